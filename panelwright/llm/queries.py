@@ -27,6 +27,13 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelwright.llm.topk import top_k
+
+    ship(spark)
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelwright.llm.toxicity import toxicity
 
@@ -74,7 +81,21 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(cut(table(spark, sf_dir, "documents").select("doc_id", word_count(F.col("text")).alias("size"))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op3_toxicity, op4_tokens, op5_suffix, op6_minhash, op7_quality, op8_pack)}
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelwright.llm.embed import near_vectors
+
+    ship(spark)
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op10_idfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelwright.llm.idfile import id_files
+
+    ship(spark)
+    return id_files(table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("byte_bpe_50k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op2_topk, op3_toxicity, op4_tokens, op5_suffix, op6_minhash, op7_quality, op8_pack, op9_embeddings, op10_idfile)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix": r"""
@@ -96,5 +117,25 @@ r AS (SELECT doc_id, size, source, row_number() OVER (PARTITION BY source ORDER
 SELECT doc_id, size, source_size, target,
        CAST((((start + i * step) >> 24) - ((start + (i - 1) * step) >> 24)) * size AS BIGINT) AS taken
 FROM r JOIN u ON r.source IS NOT DISTINCT FROM u.source
+""",
+    "op2_topk": """
+WITH v AS (
+  SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: floor(256.0 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+""",
+    "op9_embeddings": """
+WITH RECURSIVE u AS (
+  SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT a AS id, a AS reached FROM l UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.reached),
+c AS (SELECT id, min(reached) AS component FROM r GROUP BY id),
+n AS (SELECT a AS id, count(*) AS n FROM l GROUP BY a)
+SELECT CAST(e.vec_id AS BIGINT) AS vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, CAST(coalesce(c.component, e.vec_id) AS BIGINT) AS component_id,
+       coalesce(c.component, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.id = e.vec_id LEFT JOIN c ON c.id = e.vec_id
 """,
 }
