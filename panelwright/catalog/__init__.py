@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from panelwright.catalog import basics
+from panelwright.catalog import basics, relational
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (basics,):
+for _part in (basics, relational):
     QUERIES |= _part.C.queries
     ORACLE_SQL |= _part.C.oracle

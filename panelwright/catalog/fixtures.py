@@ -5,6 +5,8 @@ Money is summed in whole cents and divided once, so that values are equal to the
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +32,13 @@ VIEWS = {
 }
 
 
-def sql(body: str, *names: str) -> str:
-    """body after WITH clauses for the views that it uses."""
-    use = names or [n for n in VIEWS if __import__("re").search(rf"\b{n}\b", body)]
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in use) + ("\n" if body.lstrip().upper().startswith("SELECT") else ",\n") + body
+def sql(body: str) -> str:
+    """body after WITH clauses for the views that it names."""
+    use = [n for n in VIEWS if re.search(rf"\b{n}\b", body)]
+    if not use:
+        return body
+    more = not body.lstrip().upper().startswith("SELECT")
+    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in use) + (",\n" if more else "\n") + body
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
