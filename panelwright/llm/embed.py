@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import components, cut
+from panelwright.llm.common import components, cut, least_labels
 from panelwright.llm.vectors import by_dimension, usable
 
 #: Standard deviations of the estimate that its bound allows for.
@@ -65,20 +65,6 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray,
     return i[exact], j[exact]
 
 
-def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n rows the least row that links reach."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept (vec_id = component_id).
 
