@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from panelwright.catalog import basics, relational
+from panelwright.catalog import basics, judging, relational
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (basics, relational):
+for _part in (basics, relational, judging):
     QUERIES |= _part.C.queries
     ORACLE_SQL |= _part.C.oracle
