@@ -27,7 +27,14 @@ def cut(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write df in the shared folder and read it back: the lineage ends here, and lost executors lose nothing."""
     spark = df.sparkSession
     path = path or f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # The write's shuffle files go with it: nothing runs this plan again.
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

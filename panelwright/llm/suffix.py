@@ -120,7 +120,7 @@ def _pack_rows(docs: DataFrame) -> DataFrame:
 
         import pyarrow as pa
 
-        option = pa.ipc.IpcWriteOptions(compression="zstd")
+        option = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
         pending, size = [], 0
 
         def row():
@@ -203,7 +203,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     of its bytes is replaced by U+FFFD). An empty table gives an empty table. Extra columns pass through,
     whatever their names, as long as they do not start with "mix_".
     """
-    d = docs.select("*", F.coalesce("text", F.lit("")).alias("mix_text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("mix_id"))
+    # The text is packed once; mix_null brings back which texts were null.
+    others = [c for c in docs.columns if c != "text"]
+    d = docs.select(*others, F.coalesce("text", F.lit("")).alias("mix_text"), F.col("text").isNull().alias("mix_null"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("mix_id"))
     chunks = cut(_pack_rows(d))
     groups = max(8, int(chunks.agg(F.sum("bytes")).first()[0] or 0) // GROUP)
     fine = groups * 4
@@ -273,6 +275,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return pa.Table.from_batches([_blobs(schema, rows)])
 
     found = cut(chunks.select("chunk", "rows").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(runs, RUNS))
+    discard(replies)
 
     def factors(t):
         import pyarrow as pa
@@ -299,6 +302,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         import hashlib
 
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         tables = []
         for blob in left["rows"].to_pylist():
@@ -334,11 +338,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     got = done[source]
                 for column, x in zip((removed, spans, digest, text), got, strict=True):
                     column.append(x)
-            t = c.table.drop_columns(["mix_text", "mix_id"])
+            whole = pc.if_else(c.table["mix_null"], pa.scalar(None, pa.string()), c.table["mix_text"].cast(pa.string()))
+            t = c.table.drop_columns(["mix_text", "mix_id", "mix_null"]).append_column("text", whole)
             n = pa.array(np.diff(c.offsets), pa.int64())
             for name, values in (("n_bytes", n), ("n_removed", pa.array(removed, pa.int64())), ("n_spans", pa.array(spans, pa.int64())), ("kept_sha256", pa.array(digest, pa.string())), ("kept_text", pa.array(text, pa.string()))):
                 t = t.append_column(name, values)
-            tables.append(t)
+            tables.append(t.select(out_schema.names))
         if tables:
             return pa.concat_tables(tables)
         return out_schema.empty_table()
@@ -348,6 +353,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     schema = StructType([StructField(f.name, f.dataType, True) for f in docs.schema] + [StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [StructField(n, StringType()) for n in ("kept_sha256", "kept_text")])
     out_schema = to_arrow_schema(schema)
-    discard(replies)
     discard(found)
     return chunks.select("chunk", "rows").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
