@@ -11,8 +11,8 @@ from panelwright.llm.labels import training_rows
 
 #: A byte is predicted from the four before it. The model is held in 64 parts of 2**16 slots for byte sequences and 2**14 for contexts, so it takes 21 MB whatever it was counted on.
 ORDER, PARTS, SLOT_BITS, CONTEXT_BITS = 5, 64, 16, 14
-#: Taken off each class's count of a sequence and given to the backoff that both classes share.
-DISCOUNT = 2.0
+#: Taken off each class's count of a whole sequence, and off the continuation counts of shorter ones; what is freed goes to the next shorter one.
+DISCOUNT, SHORTER = 2.0, 0.75
 #: A document is judged by the highest mean over windows of so many bytes, half a window apart.
 WINDOW = 32
 
@@ -36,8 +36,8 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _part_of(key: np.ndarray) -> np.ndarray:
-    """By the three bytes before the last: all that one context or its backoff needs is in one part."""
-    return (mix64((key >> np.uint64(8)) & np.uint64(0xFFFFFF)) >> np.uint64(58)).astype(np.int64)
+    """By the two bytes before the last: all that a context and its shorter ones need is in one part."""
+    return (mix64((key >> np.uint64(8)) & np.uint64(0xFFFF)) >> np.uint64(58)).astype(np.int64)
 
 
 def _counts(batches):
@@ -77,9 +77,9 @@ def _counts(batches):
 def _part(pdf):
     """The log ratios of one part's sequences and contexts.
 
-    p(byte | four bytes) = max(count - DISCOUNT, 0) / total of the context + freed mass * backoff, where the
-    backoff, the same for both classes, is the share of different first bytes that the shorter sequence
-    follows in both classes together.
+    p(byte | four bytes) = max(count - DISCOUNT, 0) / total of the context + freed mass * p(byte | three
+    bytes), which counts in how many different contexts of its class the shorter sequence occurs; so down to
+    two bytes, whose backoff is counted in both classes together and shared by them.
     """
     import pandas as pd
 
@@ -90,25 +90,35 @@ def _part(pdf):
     count = np.stack([np.bincount(at[:k], n[0], len(key)), np.bincount(at[k:], n[1], len(key))])
     context, to = np.unique(key >> np.uint64(8), return_inverse=True)
     total = np.stack([np.bincount(to, count[c], len(context)) for c in (0, 1)])
-    own = np.maximum(count - DISCOUNT, 0)
-    freed = 1 - np.stack([np.bincount(to, own[c], len(context)) for c in (0, 1)]) / np.maximum(total, 1)
-    own = own / np.maximum(total, 1)[:, to]
-    short, by = np.unique(key & np.uint64(0xFFFFFFFF), return_inverse=True)
-    follows = np.bincount(by).astype(float)
-    _, group = np.unique(short >> np.uint64(8), return_inverse=True)
-    backoff = (follows / np.bincount(group, follows)[group])[by]
-    p = own + freed[:, to] * backoff
+    short, s4 = np.unique(key & np.uint64(0xFFFFFFFF), return_inverse=True)
+    shorter, s3 = np.unique(short & np.uint64(0xFFFFFF), return_inverse=True)
+    follows4 = np.stack([np.bincount(s4, count[c] > 0, len(short)) for c in (0, 1)])
+    follows3 = np.stack([np.bincount(s3, follows4[c] > 0, len(shorter)) for c in (0, 1)])
+
+    def level(n, of, below, discount):
+        """Discounted shares of n within the contexts `of`, and below for what was freed."""
+        _, group = np.unique(of, return_inverse=True)
+        total = np.stack([np.bincount(group, n[c]) for c in (0, 1)])
+        own = np.maximum(n - discount, 0)
+        freed = 1 - np.stack([np.bincount(group, own[c]) for c in (0, 1)]) / np.maximum(total, 1)
+        return own / np.maximum(total, 1)[:, group] + freed[:, group] * below, freed
+
+    both = np.bincount(s3, minlength=len(shorter)).astype(float)
+    _, pair = np.unique(shorter >> np.uint64(8), return_inverse=True)
+    p3, _ = level(follows3, shorter >> np.uint64(8), (both / np.bincount(pair, both)[pair])[None, :], SHORTER)
+    p4, _ = level(follows4, short >> np.uint64(8), p3[:, s3], SHORTER)
+    p, freed = level(count, key >> np.uint64(8), p4[:, s4], DISCOUNT)
     ratio = np.log(p[1]) - np.log(p[0])
     of_context = np.log(freed[1]) - np.log(freed[0])
-    shown = np.flatnonzero((own > 0).any(0))
+    shown = np.flatnonzero(np.abs(ratio - of_context[to]) > 0.01)
     shown = shown[np.argsort(count[:, shown].sum(0), kind="stable")]  # where two sequences meet in a slot, the more frequent one stays
     slots = np.full(1 << SLOT_BITS, np.nan, np.float32)
     slots[(mix64(key[shown]) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)] = ratio[shown]
     contexts = np.zeros(1 << CONTEXT_BITS, np.float32)
     order = np.argsort(total.sum(0), kind="stable")
     contexts[(mix64(context[order]) & np.uint64((1 << CONTEXT_BITS) - 1)).astype(np.int64)] = of_context[order]
-    both = [int(x.sum()) for x in total]
-    return pd.DataFrame([{"part": int(pdf.part.iloc[0]), "slots": slots.tobytes(), "contexts": contexts.tobytes(), "ordinary": both[0], "toxic": both[1]}])
+    seen = [int(x.sum()) for x in total]
+    return pd.DataFrame([{"part": int(pdf.part.iloc[0]), "slots": slots.tobytes(), "contexts": contexts.tobytes(), "ordinary": seen[0], "toxic": seen[1]}])
 
 
 class Model:
