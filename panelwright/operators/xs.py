@@ -21,16 +21,16 @@ def section(by=BY) -> WindowSpec:
 def rank_pct(x, by=BY) -> Column:
     """Average rank divided by the number of values."""
     x = _col(x)
-    has = x.isNotNull().cast("int")
-    below = F.rank().over(Window.partitionBy(*by, has).orderBy(x))
-    same = F.count("*").over(Window.partitionBy(*by, x))
-    return F.when(x.isNotNull(), (below + (same - 1) / 2) / F.count(x).over(section(by)))
+    # One ordering serves rank and ties: nulls stand last, and peers are a frame from the current value to itself.
+    w = section(by).orderBy(x.asc_nulls_last())
+    same = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(x.isNotNull(), (F.rank().over(w) + (same - 1) / 2) / F.count(x).over(section(by)))
 
 
 def rank(x, by=BY, desc: bool = False) -> Column:
     """Competition rank; nulls have none."""
     x = _col(x)
-    return F.when(x.isNotNull(), F.rank().over(Window.partitionBy(*by, x.isNotNull().cast("int")).orderBy(x.desc() if desc else x)))
+    return F.when(x.isNotNull(), F.rank().over(section(by).orderBy(x.desc_nulls_last() if desc else x.asc_nulls_last())))
 
 
 def scale(x, a: float = 1.0, by=BY) -> Column:
