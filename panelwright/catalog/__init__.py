@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from panelwright.catalog import basics, books, formulas, judging, more, relational
+from panelwright.catalog import basics, books, formulas, judging, more, relational, report_factors
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (basics, relational, judging, books, formulas, more):
+for _part in (basics, relational, judging, books, formulas, more, report_factors):
     QUERIES |= _part.C.queries
     ORACLE_SQL |= _part.C.oracle
