@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from panelwright.catalog import basics, books, formulas, judging, more, relational, report_factors
+from panelwright.catalog import basics, books, formulas, judging, more, relational, report_factors, rest
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (basics, relational, judging, books, formulas, more, report_factors):
+for _part in (basics, relational, judging, books, formulas, more, report_factors, rest):
     QUERIES |= _part.C.queries
     ORACLE_SQL |= _part.C.oracle

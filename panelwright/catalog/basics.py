@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelwright.catalog import fixtures as X
 from panelwright.functions import elementwise as el
-from panelwright.operators import panel, ts, xs
+from panelwright.operators import kernels, panel, ts, xs
 
 C = Q = X.Catalog()
 
@@ -75,18 +75,7 @@ r AS (SELECT code, date, p AS c, i FROM o WHERE i = 1
       UNION ALL SELECT o.code, o.date, r.c * (1 - o.u) + o.p * o.u, o.i FROM r JOIN o ON o.code = r.code AND o.i = r.i + 1)
 SELECT code, date, (c) AS value FROM r""")
 C.oracle["TS_22_held_cost"] = C.oracle["TS_22_held_cost"].replace("WITH ", "WITH RECURSIVE ", 1)
-C.add("TS_24_ordered_map", lambda s, d: _bars(s, d).groupBy("code").applyInPandas(_smooth, "code string, date date, value double"))
-
-
-def _smooth(pdf):
-    """Exponential smoothing that restarts after a doubling: state that no window expresses."""
-    import pandas as pd
-
-    out, state = [], None
-    for code, date, close in pdf.sort_values("date")[["code", "date", "close"]].itertuples(index=False):
-        state = close if state is None or close > 2 * state else 0.9 * state + 0.1 * close
-        out.append((code, date, (state)))
-    return pd.DataFrame(out, columns=["code", "date", "value"])
+C.add("TS_24_ordered_map", lambda s, d: _bars(s, d).groupBy("code").applyInPandas(kernels.smoothed, "code string, date date, value double"))
 
 
 def _ewma(s, d):

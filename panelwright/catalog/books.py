@@ -15,7 +15,11 @@ from panelwright.streaming import bars as stream
 C = X.Catalog()
 B = X.bars
 M = X.minutes
-_day = Window.partitionBy("code", "date").orderBy("datetime")
+
+
+def _day():
+    return Window.partitionBy("code", "date").orderBy("datetime")
+
 
 # Minute to day
 MIN_SQL = """r AS (SELECT *, ln(close / lag(close) OVER v) AS r, row_number() OVER v AS i, hour(datetime) AS hh FROM minutes WHERE close > 0 WINDOW v AS (PARTITION BY code, date ORDER BY datetime)),
@@ -24,8 +28,8 @@ q AS (SELECT *, lag(abs(r)) OVER (PARTITION BY code, date ORDER BY datetime) AS
 
 
 def _features(s, d):
-    m = M(s, d).where("close > 0").withColumns({"r": F.ln(F.col("close") / F.lag("close").over(_day)), "hh": F.hour("datetime")})
-    m = m.withColumns({"r0": F.lag(F.abs("r")).over(_day), "dv": F.sum("vol").over(Window.partitionBy("code", "date"))})
+    m = M(s, d).where("close > 0").withColumns({"r": F.ln(F.col("close") / F.lag("close").over(_day())), "hh": F.hour("datetime")})
+    m = m.withColumns({"r0": F.lag(F.abs("r")).over(_day()), "dv": F.sum("vol").over(Window.partitionBy("code", "date"))})
     r2 = F.col("r") * F.col("r")
     return m.groupBy("code", "date").agg(
         F.count("*").alias("n_min"), F.sum(r2).alias("rv"), (F.sum(F.abs("r") * F.col("r0")) * F.pi() / 2).alias("bv"), F.sum(F.signum("r") * r2).alias("srv"), F.sum(r2 * F.col("r")).alias("r3"), F.sum(r2 * r2).alias("r4"),
@@ -40,7 +44,7 @@ sum((vol / dv) ** 2) AS hhi, max(vol) / sum(vol) AS top1, sum(amount) / sum(vol)
 
 def _top_share(order, out):
     def run(s, d):
-        m = M(s, d).where("close > 0").withColumn("r", F.ln(F.col("close") / F.lag("close").over(_day)))
+        m = M(s, d).where("close > 0").withColumn("r", F.ln(F.col("close") / F.lag("close").over(_day())))
         m = m.withColumn("k", F.round(order(), 9)).where("k is not null")
         w = Window.partitionBy("code", "date").orderBy(F.desc("k"), "datetime").rowsBetween(Window.unboundedPreceding, 0)
         m = m.withColumn("cum", F.sum("vol").over(w) / F.sum("vol").over(Window.partitionBy("code", "date")))
@@ -70,14 +74,14 @@ def _reconciled(s, d):
 C.add("MIN_04_reconcile", _reconciled, "SELECT DISTINCT code, date, 'pass' AS verdict FROM minutes", values=())
 C.add("MIN_05_cutoff", lambda s, d: M(s, d).where(F.hour("datetime") < 18).groupBy("code", "date").agg(F.min_by("open", "datetime").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "datetime").alias("close")).withColumn("next_open", F.lead("open").over(ts.along())), """c AS (SELECT code, date, arg_min(open, datetime) AS open, max(high) AS high, min(low) AS low, arg_max(close, datetime) AS close FROM minutes WHERE hour(datetime) < 18 GROUP BY 1, 2)
 SELECT *, lead(open) OVER (PARTITION BY code ORDER BY date) AS next_open FROM c""", values=("open", "high", "low", "close", "next_open"))
-C.add("MIN_06_entry_curve", lambda s, d: M(s, d).where("close > 0").withColumn("r", F.first("close").over(_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * 0 + F.last("close").over(_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / F.col("close") - 1).groupBy("code", F.hour("datetime").alias("hour")).agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd")), """c AS (SELECT code, hour(datetime) AS hour, last_value(close) OVER (PARTITION BY code, date ORDER BY datetime ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) / close - 1 AS r FROM minutes WHERE close > 0)
+C.add("MIN_06_entry_curve", lambda s, d: M(s, d).where("close > 0").withColumn("r", F.first("close").over(_day().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * 0 + F.last("close").over(_day().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / F.col("close") - 1).groupBy("code", F.hour("datetime").alias("hour")).agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd")), """c AS (SELECT code, hour(datetime) AS hour, last_value(close) OVER (PARTITION BY code, date ORDER BY datetime ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) / close - 1 AS r FROM minutes WHERE close > 0)
 SELECT code, CAST(hour AS INTEGER) AS hour, count(*) AS n, avg(r) AS mean, stddev_samp(r) AS sd FROM c GROUP BY 1, 2""", dates=(), values=("mean", "sd"))
 C.add("MIN_07_buckets", lambda s, d: B(s, d).withColumn("a", ts.rolling("amount", 20, "avg", 10, last=-1)).select("code", "date", xs.ntile("a", 5).alias("bucket")).where("bucket is not null"), """a AS (SELECT code, date, CASE WHEN count(amount) OVER v >= 10 THEN avg(amount) OVER v END AS a FROM bars WINDOW v AS (PARTITION BY code ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
 SELECT code, date, CAST(ntile(5) OVER (PARTITION BY date ORDER BY a, code) AS INTEGER) AS bucket FROM a WHERE a IS NOT NULL""", values=())
 
 
 def _tide(s, d):
-    m = M(s, d).withColumn("s", F.sum("vol").over(_day.rowsBetween(-4, 4)))
+    m = M(s, d).withColumn("s", F.sum("vol").over(_day().rowsBetween(-4, 4)))
     peak = Window.partitionBy("code", "date")
     m = m.withColumn("peak", F.max_by("datetime", F.struct("s", F.col("datetime"))).over(peak))
     return m.groupBy("code", "date").agg(F.max("s").alias("top"), F.min(F.when(F.col("datetime") <= F.col("peak"), F.col("s"))).alias("before"), F.min(F.when(F.col("datetime") >= F.col("peak"), F.col("s"))).alias("after"))
@@ -90,8 +94,8 @@ SELECT code, date, max(s) AS top, min(s) FILTER (WHERE datetime <= peak) AS befo
 
 def _surge(s, d):
     day = Window.partitionBy("code", "date")
-    m = M(s, d).withColumn("dv", F.col("vol") - F.lag("vol").over(_day))
-    m = m.withColumns({"hot": F.col("dv") > F.avg("dv").over(day) + F.stddev_samp("dv").over(day), "next5": F.avg("close").over(_day.rowsBetween(0, 4))})
+    m = M(s, d).withColumn("dv", F.col("vol") - F.lag("vol").over(_day()))
+    m = m.withColumns({"hot": F.col("dv") > F.avg("dv").over(day) + F.stddev_samp("dv").over(day), "next5": F.avg("close").over(_day().rowsBetween(0, 4))})
     return m.where("hot").groupBy("code", "date").agg(F.count("*").alias("n"), F.avg("next5").alias("mean"))
 
 

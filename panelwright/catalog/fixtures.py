@@ -10,6 +10,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.shipping import ship
+
 VIEWS = {
     "bars": """SELECT code, date, (high + low) / 2 AS open, high, low, cents / vol / 100 AS close, vol, amount FROM (
   SELECT CAST(l_suppkey AS VARCHAR) AS code, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
@@ -119,6 +121,7 @@ class Catalog:
 
         def query(spark, sf_dir):
             spark.conf.set("spark.sql.ansi.enabled", "false")
+            ship(spark)
             df = run(spark, sf_dir)
             shown = {f.name: F.col(f.name).cast("string") for f in df.schema if f.dataType.typeName() == "date"}
             return df.withColumns(shown | {v: F.round(F.col(v).cast("double") + SHIFT, digits) for v in values if v in df.columns})

@@ -46,7 +46,13 @@ def add(name, run, body, **k):
     C.add(name, run, SQL + body if body else None, **k)
 
 
-add("EV_01_rank_ic", lambda s, d: ev.daily_ic(joined(s, d, (4,)).where("factor = 'mom_4'"), (4,)).select("date", "n", F.col("rank_ic").alias("value")), "SELECT date, n, rank_ic AS value FROM ic WHERE factor = 'mom_4' AND h = 4")
+def rank_ic(s, d, least: int = 30):
+    """Daily rank IC of four-row momentum against the four-row forward return."""
+    s.conf.set("spark.sql.ansi.enabled", "false")
+    return ev.daily_ic(joined(s, d, (4,)).where("factor = 'mom_4'"), (4,), least).select("date", "n", F.col("rank_ic").alias("value"))
+
+
+add("EV_01_rank_ic", rank_ic, "SELECT date, n, rank_ic AS value FROM ic WHERE factor = 'mom_4' AND h = 4")
 add("EV_02_ic_horizons", lambda s, d: ic(s, d), "SELECT factor, date, CAST(h AS INTEGER) AS h, n, ic, rank_ic FROM ic", values=("ic", "rank_ic"))
 add("EV_03_ic_summary", lambda s, d: ev.ic_summary(ic(s, d)), "SELECT factor, CAST(h AS INTEGER) AS h, count(rank_ic) AS days, avg(rank_ic) AS mean, stddev_samp(rank_ic) AS sd, avg(rank_ic) / stddev_samp(rank_ic) AS icir, avg(CAST(rank_ic > 0 AS INTEGER)) AS win, avg(n) AS avg_n FROM ic GROUP BY 1, 2", dates=(), values=("mean", "sd", "icir", "win", "avg_n"))
 add("EV_04_half_life", lambda s, d: ev.half_life(ev.ic_summary(ic(s, d))), """, s AS (SELECT factor, h, abs(avg(rank_ic)) AS a FROM ic GROUP BY 1, 2),

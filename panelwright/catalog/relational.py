@@ -220,8 +220,13 @@ C.add("AG_14_tokens", lambda s, d: X.table(s, d, "part").select(F.explode(F.spli
 W = "WINDOW w AS (PARTITION BY code ORDER BY date)"
 C.add("WN_01_lag_lead", lambda s, d: B(s, d).select("code", "date", (ts.lead("close", 2) - ts.delay("close", 2)).alias("value")), f"SELECT code, date, lead(close, 2) OVER w - lag(close, 2) OVER w AS value FROM bars {W}")
 C.add("WN_02_dedupe", lambda s, d: panel.latest(X.reports(s, d), ["code"], [F.desc("notice"), F.desc("period")]).select("code", "period", "notice", "revenue"), "SELECT code, period, notice, revenue FROM reports QUALIFY row_number() OVER (PARTITION BY code ORDER BY notice DESC, period DESC) = 1", dates=("period", "notice"), values=("revenue",))
-_bydate = Window.partitionBy("date").orderBy("vol")
-C.add("WN_03_ranks", lambda s, d: B(s, d).select("code", "date", F.rank().over(_bydate).alias("r"), F.dense_rank().over(_bydate).alias("dr"), F.ntile(10).over(Window.partitionBy("date").orderBy("vol", "code")).alias("nt"), F.percent_rank().over(_bydate).alias("value")), "SELECT code, date, CAST(rank() OVER v AS INTEGER) AS r, CAST(dense_rank() OVER v AS INTEGER) AS dr, CAST(ntile(10) OVER (PARTITION BY date ORDER BY vol, code) AS INTEGER) AS nt, percent_rank() OVER v AS value FROM bars WINDOW v AS (PARTITION BY date ORDER BY vol)")
+
+
+def _bydate():
+    return Window.partitionBy("date").orderBy("vol")
+
+
+C.add("WN_03_ranks", lambda s, d: B(s, d).select("code", "date", F.rank().over(_bydate()).alias("r"), F.dense_rank().over(_bydate()).alias("dr"), F.ntile(10).over(Window.partitionBy("date").orderBy("vol", "code")).alias("nt"), F.percent_rank().over(_bydate()).alias("value")), "SELECT code, date, CAST(rank() OVER v AS INTEGER) AS r, CAST(dense_rank() OVER v AS INTEGER) AS dr, CAST(ntile(10) OVER (PARTITION BY date ORDER BY vol, code) AS INTEGER) AS nt, percent_rank() OVER v AS value FROM bars WINDOW v AS (PARTITION BY date ORDER BY vol)")
 C.add("WN_04_rows_frames", lambda s, d: B(s, d).select("code", "date", F.avg("close").over(ts.rows(-8, -3)).alias("a"), F.sum("vol").over(ts.rows(None, -1)).alias("b")), f"SELECT code, date, avg(close) OVER (w ROWS BETWEEN 8 PRECEDING AND 3 PRECEDING) AS a, sum(vol) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM bars {W}", values=("a", "b"))
 C.add("WN_05_range_frames", lambda s, d: B(s, d).withColumn("m", (F.year("date") * 12 + F.month("date")).cast("int")).select("code", "date", F.sum("vol").over(Window.partitionBy("code").orderBy("m").rangeBetween(-2, 0)).alias("value")), "SELECT code, date, sum(vol) OVER (PARTITION BY code ORDER BY year(date) * 12 + month(date) RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS value FROM bars")
 
