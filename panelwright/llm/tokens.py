@@ -72,12 +72,12 @@ def version(path: str) -> str:
 
 
 @functools.cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """One per worker, so that its memory of pieces serves all tasks that the worker runs."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path)
+    return Encoder(path, remembered)
 
 
 def token_counts(docs: DataFrame, path: str, cache: str, limit: int = 512) -> DataFrame:
