@@ -17,7 +17,9 @@ DEVIATIONS = 5.0
 #: Chance that no table brings together two vectors just at the threshold.
 MISS = 1e-5
 #: Rows of a bucket that one comparison takes at a time, and of all buckets of a task.
-BLOCK, TASK = 2048, 16_384
+BLOCK, TASK = 1024, 16_384
+#: Pairs that are computed exactly at a time.
+PAIRS = 1 << 16
 
 
 @functools.cache
@@ -61,7 +63,10 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray,
     estimate = (code @ (w @ rotation(d, 0)).T) / (math.sqrt(d) * f[:, None])
     error = np.sqrt(np.maximum(0, 1 - f * f) / (f * f * max(1, d - 1)))
     i, j = np.nonzero(estimate + DEVIATIONS * error[:, None] >= threshold)
-    exact = (x[i] * y[j]).sum(1) / (nx[i] * ny[j]) >= threshold
+    exact = np.zeros(len(i), bool)
+    for k in range(0, len(i), PAIRS):
+        a, b = i[k : k + PAIRS], j[k : k + PAIRS]
+        exact[k : k + PAIRS] = (x[a] * y[b]).sum(1) / (nx[a] * ny[b]) >= threshold
     return i[exact], j[exact]
 
 
@@ -81,7 +86,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """
     own = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     ok = usable(F.col("embedding")) & F.exists("embedding", lambda x: x != 0)
-    own = own.withColumn("embedding", F.when(ok, F.col("embedding").cast("array<double>")))
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"  # then four bytes a component lose nothing
+    kind = np.float32 if single else np.float64
+    own = own.withColumn("embedding", F.when(ok, F.col("embedding") if single else F.col("embedding").cast("array<double>")))
     good = own.where(F.col("embedding").isNotNull())
     classes = cut(good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("m")))
     bits, n = tables(classes.count(), threshold)
@@ -94,13 +101,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
                 k = keys(x / np.linalg.norm(x, axis=1)[:, None], bits, n)
                 ids, m = np.asarray(batch.column(1))[at], np.asarray(batch.column(2))[at]
                 rows = np.arange(len(x))
-                raw = [r.tobytes() for r in x]
-                names = [r.tobytes() for r in k]
+                raw = [r.tobytes() for r in x.astype(kind)]
                 for t in range(n):
-                    yield pa.RecordBatch.from_arrays([pa.array((np.int64(x.shape[1]) << 44) + (np.int64(t) << 32) + k[:, t]), pa.array(ids[rows]), pa.array(m[rows]), pa.array(names, pa.binary()), pa.array(raw, pa.binary())], ["bucket", "id", "m", "names", "x"])
+                    yield pa.RecordBatch.from_arrays([pa.array((np.int64(x.shape[1]) << 44) + (np.int64(t) << 32) + k[:, t]), pa.array(ids[rows]), pa.array(m[rows]), pa.array(raw, pa.binary())], ["bucket", "id", "m", "x"])
 
-    rows = classes.mapInArrow(dealt, "bucket long, id long, m long, names binary, x binary")
-    sizes = classes.mapInArrow(lambda b: dealt(b), "bucket long, id long, m long, names binary, x binary").groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    rows = classes.mapInArrow(dealt, "bucket long, id long, m long, x binary")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     rows = rows.join(sizes, "bucket")
     blocks = (F.col("size") / BLOCK).cast("int") + 1
     rows = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -114,11 +120,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
 
         t = t.sort_by([("bucket", "ascending"), ("pair", "ascending"), ("id", "ascending")])
         bucket, pair, blocks, mine, ids, m = (np.asarray(t[c]) for c in ("bucket", "pair", "blocks", "mine", "id", "m"))
-        raw, names = t["x"].to_pylist(), np.frombuffer(b"".join(t["names"].to_pylist()), np.int32).reshape(len(t), -1)
+        raw = t["x"].to_pylist()
         edge = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (pair[1:] != pair[:-1]), True])
         out = [[], [], []]
         for a, b in zip(edge[:-1], edge[1:], strict=True):
-            x = np.frombuffer(b"".join(raw[a:b])).reshape(b - a, -1)
+            x = np.frombuffer(b"".join(raw[a:b]), kind).reshape(b - a, -1).astype(np.float64)
             one, two = np.flatnonzero(mine[a:b] == pair[a] // blocks[a]), np.flatnonzero(mine[a:b] == pair[a] % blocks[a])
             i, j = linked(x[one], x[two], threshold)
             i, j = one[i], two[j]
@@ -126,7 +132,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
             i, j = i[keep], j[keep]
             t_no = int(bucket[a] >> 32) & 0xFFF
             if t_no and len(i):  # counted already where they met before
-                new = ~(names[a + i, :t_no] == names[a + j, :t_no]).any(1)
+                some, at = np.unique(np.r_[i, j], return_inverse=True)
+                names = keys(x[some] / np.linalg.norm(x[some], axis=1)[:, None], bits, n)[:, :t_no]
+                one_, two_ = at[: len(i)], at[len(i) :]
+                new = np.ones(len(i), bool)
+                for column in names.T:
+                    new &= column[one_] != column[two_]
                 i, j = i[new], j[new]
             if len(i):
                 links = np.bincount(i, m[a + j], b - a) + np.bincount(j, m[a + i], b - a)
