@@ -112,8 +112,8 @@ def previous_factors(content: np.ndarray, offsets: np.ndarray, strings: np.ndarr
     return mask
 
 
-def _pack_rows(docs: DataFrame) -> DataFrame:
-    """Chunks of docs: (chunk, bytes, rows as an Arrow stream)."""
+def pack_rows(docs: DataFrame, most: int = CHUNK) -> DataFrame:
+    """Chunks of docs, of up to `most` bytes of text or one document: (chunk, bytes, rows as an Arrow stream)."""
 
     def pack(batches):
         import uuid
@@ -135,12 +135,12 @@ def _pack_rows(docs: DataFrame) -> DataFrame:
             _, offsets = text_buffers(batch.column(at))
             a = 0
             while a < batch.num_rows:
-                b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK - size, "right")) - 1)
+                b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most - size, "right")) - 1)
                 b = min(b, batch.num_rows)
                 pending.append(batch.slice(a, b - a))
                 size += int(offsets[b] - offsets[a])
                 a = b
-                if size >= CHUNK // 2:
+                if size >= most // 2:
                     yield row()
                     pending, size = [], 0
         if pending:
@@ -179,7 +179,7 @@ def _group_of(name: np.ndarray, groups: int) -> np.ndarray:
     return ((name >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
 
 
-def _split(key: np.ndarray, groups: int):
+def split(key: np.ndarray, groups: int):
     order = np.argsort(key, kind="stable")
     cuts = np.searchsorted(key[order], np.arange(groups + 1))
     for g in np.flatnonzero(np.diff(cuts)):
@@ -206,7 +206,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # The text is packed once; mix_null brings back which texts were null.
     others = [c for c in docs.columns if c != "text"]
     d = docs.select(*others, F.coalesce("text", F.lit("")).alias("mix_text"), F.col("text").isNull().alias("mix_null"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("mix_id"))
-    chunks = cut(_pack_rows(d))
+    chunks = cut(pack_rows(d))
     groups = max(8, int(chunks.agg(F.sum("bytes")).first()[0] or 0) // GROUP)
     fine = groups * 4
 
@@ -217,7 +217,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for chunk, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 c = _Chunk(rows)
                 key = np.unique(c.name)
-                yield _blobs([("part", pa.int32()), ("chunk", pa.string()), ("names", pa.binary())], [(g, chunk, key[i].astype(np.uint32).tobytes()) for g, i in _split(_group_of(key, groups), groups)])
+                yield _blobs([("part", pa.int32()), ("chunk", pa.string()), ("names", pa.binary())], [(g, chunk, key[i].astype(np.uint32).tobytes()) for g, i in split(_group_of(key, groups), groups)])
 
     def shared(t):
         import pyarrow as pa
@@ -269,7 +269,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             if len(sure):
                 rows.append((-1, chunk, start[sure].astype(np.uint32).tobytes(), strings[sure].astype(np.uint8).tobytes(), None, None))
             keep = np.flatnonzero(one)
-            for g, i in _split(_group_of(c.name[r][keep], fine), fine):
+            for g, i in split(_group_of(c.name[r][keep], fine), fine):
                 k = keep[i]
                 rows.append((g, chunk, start[k].astype(np.uint32).tobytes(), strings[k].astype(np.uint8).tobytes(), doc[k].tobytes(), _gather(content, ends[k], strings[k] + LENGTH - 1).tobytes()))
         return pa.Table.from_batches([_blobs(schema, rows)])

@@ -6,11 +6,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import mix64, slices, text_buffers
+from panelwright.llm.common import cut, discard, mix64, slices, text_buffers
 from panelwright.llm.labels import training_rows
-
-#: A byte is predicted from the four before it. The model is held in 64 parts of 2**16 slots for byte sequences and 2**14 for contexts, so it takes 21 MB whatever it was counted on.
-ORDER, PARTS, SLOT_BITS, CONTEXT_BITS = 5, 64, 16, 14
+from panelwright.llm.suffix import pack_rows, split
+
+#: A byte is predicted from the four before it. The model is a table of 64 parts that holds every counted sequence and context with its key, and so grows with what was counted.
+ORDER, PARTS = 5, 64
+#: A model of up to so many entries (12 bytes each) is broadcast; a larger one stays in its table, to which the documents' distinct sequences are joined.
+BROADCAST_ENTRIES = 2_000_000
+#: For that join: bytes of text in a chunk, and of all chunks whose sequences meet a part in one task.
+CHUNK, TOGETHER = 8 << 20, 4 << 30
+#: What an entry of the model is, above the 40 bits of the longest sequence.
+WHOLE, CONTEXT4, BYTES4, CONTEXT3, BYTES3, CONTEXT2 = (np.uint64(i << 40) for i in range(6))
 #: Taken off each class's count of a whole sequence, and off the continuation counts of shorter ones; what is freed goes to the next shorter one.
 DISCOUNT, SHORTER = 2.0, 0.75
 #: A document is judged by the highest mean over windows of so many bytes, half a window apart.
@@ -75,7 +82,7 @@ def _counts(batches):
 
 
 def _part(pdf):
-    """The log ratios of one part's sequences and contexts.
+    """The log ratios, toxic over ordinary, of all of one part's sequences, and of what its contexts free.
 
     p(byte | four bytes) = max(count - DISCOUNT, 0) / total of the context + freed mass * p(byte | three
     bytes), which counts in how many different contexts of its class the shorter sequence occurs; so down to
@@ -105,42 +112,55 @@ def _part(pdf):
 
     both = np.bincount(s3, minlength=len(shorter)).astype(float)
     _, pair = np.unique(shorter >> np.uint64(8), return_inverse=True)
-    p3, _ = level(follows3, shorter >> np.uint64(8), (both / np.bincount(pair, both)[pair])[None, :], SHORTER)
-    p4, _ = level(follows4, short >> np.uint64(8), p3[:, s3], SHORTER)
+    p3, freed2 = level(follows3, shorter >> np.uint64(8), (both / np.bincount(pair, both)[pair])[None, :], SHORTER)
+    p4, freed3 = level(follows4, short >> np.uint64(8), p3[:, s3], SHORTER)
     p, freed = level(count, key >> np.uint64(8), p4[:, s4], DISCOUNT)
-    ratio = np.log(p[1]) - np.log(p[0])
-    of_context = np.log(freed[1]) - np.log(freed[0])
-    shown = np.flatnonzero(np.abs(ratio - of_context[to]) > 0.01)
-    shown = shown[np.argsort(count[:, shown].sum(0), kind="stable")]  # where two sequences meet in a slot, the more frequent one stays
-    slots = np.full(1 << SLOT_BITS, np.nan, np.float32)
-    slots[(mix64(key[shown]) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)] = ratio[shown]
-    contexts = np.zeros(1 << CONTEXT_BITS, np.float32)
-    order = np.argsort(total.sum(0), kind="stable")
-    contexts[(mix64(context[order]) & np.uint64((1 << CONTEXT_BITS) - 1)).astype(np.int64)] = of_context[order]
+    of = {WHOLE: (key, p), CONTEXT4: (context, freed), BYTES4: (short, p4), CONTEXT3: (np.unique(short >> np.uint64(8)), freed3), BYTES3: (shorter, p3), CONTEXT2: (np.unique(shorter >> np.uint64(8)), freed2)}
+    keys = np.concatenate([kind | k for kind, (k, _) in of.items()])
+    values = np.concatenate([np.log(x[1]) - np.log(x[0]) for _, x in of.values()]).astype(np.float32)
     seen = [int(x.sum()) for x in total]
-    return pd.DataFrame([{"part": int(pdf.part.iloc[0]), "slots": slots.tobytes(), "contexts": contexts.tobytes(), "ordinary": seen[0], "toxic": seen[1]}])
+    return pd.DataFrame([{"part": int(pdf.part.iloc[0]), "keys": keys.tobytes(), "values": values.tobytes(), "entries": len(keys), "ordinary": seen[0], "toxic": seen[1]}])
 
 
 class Model:
     """The log ratio, toxic over ordinary, of every byte after the four before it.
 
-    A sequence without evidence in either class has the ratio of what its context leaves to the shared
-    backoff; an unknown context has 0.
+    Entries are found by their whole key. A sequence that was not counted has what its context frees and
+    the ratio of the next shorter sequence; a context that was not counted frees everything in both classes.
     """
 
     def __init__(self, parts: list) -> None:
-        self.slots = np.full((PARTS, 1 << SLOT_BITS), np.nan, np.float32)
-        self.contexts = np.zeros((PARTS, 1 << CONTEXT_BITS), np.float32)
-        for r in parts:
-            self.slots[r["part"]] = np.frombuffer(r["slots"], np.float32)
-            self.contexts[r["part"]] = np.frombuffer(r["contexts"], np.float32)
-        self.slots, self.contexts = self.slots.ravel(), self.contexts.ravel()
+        keys = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r["keys"], np.uint64) for r in parts]])
+        values = np.concatenate([np.zeros(0, np.float32), *[np.frombuffer(r["values"], np.float32) for r in parts]])
+        # mix64 maps no two keys to one number, so those numbers stand for the keys.
+        h = mix64(keys)
+        order = np.argsort(h)
+        self.h, self.values = np.r_[h[order], np.uint64(2**64 - 1)], np.r_[values[order], np.float32(np.nan)]
+        bits = len(keys).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.h, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The entries' values, NaN for keys without one."""
+        h = mix64(key)
+        i = self.first[(h >> self.shift).astype(np.int64)]
+        more = np.flatnonzero(self.h[i] < h)
+        while len(more):
+            i[more] += 1
+            more = more[self.h[i[more]] < h[more]]
+        return np.where(self.h[i] == h, self.values[i], np.float32(np.nan))
 
     def ratios(self, key: np.ndarray) -> np.ndarray:
-        part = _part_of(key)
-        out = self.slots[(part << SLOT_BITS) | (mix64(key) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)]
+        out = self.find(WHOLE | key)
         rest = np.flatnonzero(np.isnan(out))
-        out[rest] = self.contexts[(part[rest] << CONTEXT_BITS) | (mix64(key[rest] >> np.uint64(8)) & np.uint64((1 << CONTEXT_BITS) - 1)).astype(np.int64)]
+        out[rest] = 0
+        for context, shorter, size in ((CONTEXT4, BYTES4, 4), (CONTEXT3, BYTES3, 3), (CONTEXT2, None, 2)):
+            k = key[rest] & np.uint64((1 << 8 * (size + 1)) - 1)
+            out[rest] += np.nan_to_num(self.find(context | (k >> np.uint64(8))))
+            if shorter is not None:
+                r = self.find(shorter | (k & np.uint64((1 << 8 * size) - 1)))
+                out[rest] += np.nan_to_num(r)
+                rest = rest[np.isnan(r)]
         return out
 
     def windows(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -160,28 +180,79 @@ class Model:
         return out
 
 
-def fit(train: DataFrame) -> Model | None:
-    """Count (text, label) rows on the executors; only the tables of fixed size reach the driver. None without both classes."""
+def fit(train: DataFrame, most: int = BROADCAST_ENTRIES) -> Model | DataFrame | None:
+    """Count (text, label) rows on the executors. The model's table, or with up to `most` entries the model itself; None without both classes."""
     counts = train.select("text", "label").mapInArrow(_counts, "part int, label int, keys binary, n binary")
-    parts = counts.groupBy("part").applyInPandas(_part, "part int, slots binary, contexts binary, ordinary long, toxic long").collect()
-    return Model(parts) if all(sum(r[c] for r in parts) for c in ("ordinary", "toxic")) else None
+    parts = cut(counts.groupBy("part").applyInPandas(_part, "part int, keys binary, values binary, entries long, ordinary long, toxic long"))
+    size, *seen = parts.agg(F.sum("entries"), F.sum("ordinary"), F.sum("toxic")).first()
+    if all(seen) and size > most:
+        return parts.select("part", "keys", "values")
+    model = Model(parts.select("keys", "values").collect()) if all(seen) else None
+    discard(parts)
+    return model
 
 
-def ratios(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
+def ratios(docs: DataFrame, model: Model | DataFrame, *keep: str) -> DataFrame:
     """docs' columns `keep` and ratio, each document's log ratio."""
+    d = docs.select(*keep, F.col("text").alias("mix_text"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "mix_text"]
+    schema = ", ".join([*fields, "mix_ratio double"])
+    if isinstance(model, DataFrame):
+        return _joined(d, model, schema)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
+        for batch in batches:
+            yield _scored(batch, held.value)
+
+    return d.mapInArrow(score, schema)
+
+
+def _scored(batch, model: Model):
+    """A record batch with mix_ratio in the place of mix_text."""
+    import pyarrow as pa
+
+    at = batch.schema.get_field_index("mix_text")
+    r = model.windows(*text_buffers(batch.column(at)))
+    return pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns) if i != at], pa.array(r, pa.float64())], [*[n for n in batch.schema.names if n != "mix_text"], "mix_ratio"])
+
+
+def _joined(d: DataFrame, model: DataFrame, schema: str) -> DataFrame:
+    """ratios() where the model is too large to hold: chunks of documents ask its parts for their distinct sequences."""
+    chunks = cut(pack_rows(d, CHUNK))
+    salts = 1 + int(chunks.agg(F.sum("bytes")).first()[0] or 0) // TOGETHER
+
+    def asked(batches):
         import pyarrow as pa
 
         for batch in batches:
-            at = batch.schema.get_field_index("mix_text")
-            r = held.value.windows(*text_buffers(batch.column(at)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns) if i != at], pa.array(r, pa.float64())], [*[n for n in batch.schema.names if n != "mix_text"], "mix_ratio"])
+            for chunk, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data, at = text_buffers(pa.ipc.open_stream(rows).read_all()["mix_text"])
+                found = [np.unique(_grams(data[at[a] : at[b]], at[a : b + 1] - at[a])) for a, b in slices(at, 1 << 20)]
+                key = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]))
+                out = [(p, chunk, key[i].tobytes()) for p, i in split(_part_of(key), PARTS)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.binary())], ["part", "chunk", "keys"])
+
+    def answered(left, right):
+        import pyarrow as pa
 
-    d = docs.select(*keep, F.col("text").alias("mix_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "mix_text"]
-    return d.mapInArrow(score, ", ".join([*fields, "mix_ratio double"]))
+        m = Model(right.select(["keys", "values"]).to_pylist())
+        values = [m.ratios(np.frombuffer(k, np.uint64)).tobytes() for k in left["keys"].to_pylist()]
+        return pa.table({"chunk": left["chunk"].cast(pa.string()), "keys": left["keys"].cast(pa.binary()), "values": pa.array(values, pa.binary())})
+
+    def score(left, right):
+        import pyarrow as pa
+
+        # What the parts answered is whole: nothing is left to a shorter sequence.
+        m = Model(right.select(["keys", "values"]).to_pylist())
+        done = [_scored(b, m) for rows in left["rows"].to_pylist() for b in pa.ipc.open_stream(rows).read_all().to_batches()]
+        return pa.Table.from_batches(done)
+
+    salt = (F.crc32(F.col("chunk").cast("binary")) % salts).cast("int")
+    keys = chunks.select("chunk", "rows").mapInArrow(asked, "part int, chunk string, keys binary").withColumn("salt", salt)
+    parts = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    answers = keys.groupBy("part", "salt").cogroup(parts.groupBy("part", "salt")).applyInArrow(answered, "chunk string, keys binary, values binary")
+    return chunks.select("chunk", "rows").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
 
 
 def calibration(scored: DataFrame) -> tuple[float, float]:
@@ -207,7 +278,7 @@ def calibration(scored: DataFrame) -> tuple[float, float]:
     return a - b * mu / sd, b / sd
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, most: int = BROADCAST_ENTRIES) -> DataFrame:
     """docs with score (double, 0 to 1: probability that the text is toxic) and predicted (int).
 
     The models are compared on the log-likelihood a byte: the highest mean over windows of 32 bytes that
@@ -215,10 +286,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     those of remainder 4 only set the curve from the log ratio to a probability; remainder 0 is never
     read for labels. Texts are scored whole. Null and empty texts have ratio 0.
     Without labels of both classes every score is 0. Repeated rows are scored alike; an empty table gives
-    an empty table. Extra columns pass through.
+    an empty table. Extra columns pass through. A model of over `most` entries is joined, not broadcast,
+    with the same scores.
     """
     train = training_rows(docs, labels, "toxic")
-    model = fit(train.where("fold < 4"))
+    model = fit(train.where("fold < 4"), most)
     keep = [c for c in docs.columns]
     if model is None:
         return docs.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
