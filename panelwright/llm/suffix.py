@@ -11,6 +11,10 @@ have equal names wherever they stand.
 3. By name, the strings of those runs are put in suffix order. Among neighbours that agree in LENGTH bytes,
    the longest previous factor with a smaller document is at least LENGTH where the previous or the next
    smaller document exists. The answers go back to the chunks, which cut their texts.
+
+A short phrase that is frequent in different surroundings gives one name many runs without any repeat of
+LENGTH bytes. Parts of step 3 that come out heavy are therefore dealt anew, string by string, by a hash of
+the whole string, after each chunk has reduced equal strings to its smallest document.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from panelwright.llm.common import NULL_ID, cut, discard, mix64, text_buffers
 LENGTH, K = 50, 24
 #: Bytes of text in a chunk, and of all texts in a group of names.
 CHUNK, GROUP = 2 << 20, 8 << 20
+#: Bytes of runs beyond which a part is dealt anew by whole strings, and strings in each share of it.
+HEAVY, SHARE = 8 << 20, 50_000
 
 
 def names(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,13 +86,8 @@ def _gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarr
     return data[i]
 
 
-def previous_factors(content: np.ndarray, offsets: np.ndarray, strings: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each run the mask of its strings (bit i: the i-th) that also start in a document before `first`.
-
-    The strings of all runs are sorted as suffixes cut at LENGTH; runs of the order with equal strings are
-    where neighbours' common prefixes reach LENGTH, and the previous and next smaller documents exist just
-    where the least document of that stretch is smaller.
-    """
+def _ordered(content: np.ndarray, offsets: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The strings of all runs: (run, place in the run, a hash of all LENGTH bytes, suffix order, whether the order's next string is another one)."""
     run = np.repeat(np.arange(len(strings)), strings)
     i = np.arange(len(run)) - np.repeat(np.cumsum(strings) - strings, strings)
     at = offsets[run] + i
@@ -103,6 +104,20 @@ def previous_factors(content: np.ndarray, offsets: np.ndarray, strings: np.ndarr
         for c in columns:
             s = c[order]
             new[1:] |= s[1:] != s[:-1]
+    h = np.zeros(len(order), np.uint64)
+    for c in columns:
+        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + c)
+    return run, i, h, order, new
+
+
+def previous_factors(content: np.ndarray, offsets: np.ndarray, strings: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each run the mask of its strings (bit i: the i-th) that also start in a document before `first`.
+
+    The strings of all runs are sorted as suffixes cut at LENGTH; runs of the order with equal strings are
+    where neighbours' common prefixes reach LENGTH, and the previous and next smaller documents exist just
+    where the least document of that stretch is smaller.
+    """
+    run, i, _, order, new = _ordered(content, offsets, strings)
     group = np.cumsum(new) - 1
     document = first[run][order]
     least = np.minimum.reduceat(document, np.flatnonzero(new)) if len(order) else document
@@ -231,13 +246,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     lists = chunks.select("chunk", "rows").mapInArrow(listed, "part int, chunk string, names binary")
     replies = cut(lists.groupBy("part").applyInArrow(shared, "part int, chunk string, names binary"))
 
-    RUNS = "part int, chunk string, start binary, strings binary, first binary, content binary"
+    RUNS = "part int, chunk string, start binary, strings binary, first binary, content binary, n long, size long"
 
     def runs(left, right):
         """part -1: strings that go for sure, as another document of the chunk has the same run before."""
         import pyarrow as pa
 
-        schema = [("part", pa.int32()), ("chunk", pa.string()), ("start", pa.binary()), ("strings", pa.binary()), ("first", pa.binary()), ("content", pa.binary())]
+        schema = [("part", pa.int32()), ("chunk", pa.string()), ("start", pa.binary()), ("strings", pa.binary()), ("first", pa.binary()), ("content", pa.binary()), ("n", pa.int64()), ("size", pa.int64())]
         rows = []
         chunk = left["chunk"][0].as_py() if len(left) else None
         for blob in left["rows"].to_pylist():
@@ -267,16 +282,40 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 one[k] = before == k or doc[before] == doc[k]
             sure = np.flatnonzero(~one)
             if len(sure):
-                rows.append((-1, chunk, start[sure].astype(np.uint32).tobytes(), strings[sure].astype(np.uint8).tobytes(), None, None))
+                rows.append((-1, chunk, start[sure].astype(np.uint32).tobytes(), strings[sure].astype(np.uint8).tobytes(), None, None, None, None))
             keep = np.flatnonzero(one)
             for g, i in split(_group_of(c.name[r][keep], fine), fine):
                 k = keep[i]
-                rows.append((g, chunk, start[k].astype(np.uint32).tobytes(), strings[k].astype(np.uint8).tobytes(), doc[k].tobytes(), _gather(content, ends[k], strings[k] + LENGTH - 1).tobytes()))
+                rows.append((g, chunk, start[k].astype(np.uint32).tobytes(), strings[k].astype(np.uint8).tobytes(), doc[k].tobytes(), _gather(content, ends[k], strings[k] + LENGTH - 1).tobytes(), int(strings[k].sum()), int((strings[k] + LENGTH - 1).sum())))
         return pa.Table.from_batches([_blobs(schema, rows)])
 
     found = cut(chunks.select("chunk", "rows").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(runs, RUNS))
     discard(replies)
 
+    def dealt(batches):
+        """The strings of heavy parts one by one; part -1: those that go for sure, as another document of the chunk has them before."""
+        import pyarrow as pa
+
+        schema = [("part", pa.int32()), ("share", pa.int32()), ("chunk", pa.string()), ("start", pa.binary()), ("strings", pa.binary()), ("first", pa.binary()), ("content", pa.binary())]
+        for batch in batches:
+            for r in batch.to_pylist():
+                strings = np.frombuffer(r["strings"], np.uint8).astype(np.int64)
+                start, first, content = np.frombuffer(r["start"], np.uint32), np.frombuffer(r["first"], np.int64), np.frombuffer(r["content"], np.uint8)
+                at = np.cumsum(strings + LENGTH - 1) - (strings + LENGTH - 1)
+                run, i, h, order, new = _ordered(content, at, strings)
+                document = first[run][order]
+                again = np.minimum.reduceat(document, np.flatnonzero(new))[np.cumsum(new) - 1] < document
+                place = (start[run] + i).astype(np.uint32)
+                rows = []
+                if again.any():
+                    sure = order[again]
+                    rows.append((-1, 0, r["chunk"], place[sure].tobytes(), np.ones(len(sure), np.uint8).tobytes(), None, None))
+                keep = order[~again]
+                for share, k in split(_group_of(h[keep], r["shares"]), r["shares"]):
+                    k = keep[k]
+                    rows.append((r["part"], share, r["chunk"], place[k].tobytes(), np.ones(len(k), np.uint8).tobytes(), first[run[k]].tobytes(), _gather(content, at[run[k]] + i[k], np.full(len(k), LENGTH)).tobytes()))
+                yield _blobs(schema, rows)
+
     def factors(t):
         import pyarrow as pa
 
@@ -294,9 +333,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 rows.append((chunk, s[hit].tobytes(), m[hit].tobytes()))
         return pa.Table.from_batches([_blobs([("chunk", pa.string()), ("start", pa.binary()), ("mask", pa.binary())], rows)])
 
-    back = found.where("part >= 0").groupBy("part").applyInArrow(factors, "chunk string, start binary, mask binary")
-    sure = found.where("part < 0").select("chunk", "start", F.lit(None).cast("binary").alias("mask"), "strings")
-    answers = cut(back.withColumn("strings", F.lit(None).cast("binary")).unionByName(sure))
+    ANSWERS = "chunk string, start binary, mask binary"
+    weights = found.where("part >= 0").groupBy("part").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).where(F.col("size") > HEAVY).collect()
+    light, sure, single = found.where("part >= 0"), found.where("part < 0").select("chunk", "start", "strings"), None
+    if weights:
+        heavy = F.broadcast(d.sparkSession.createDataFrame([(r["part"], 1 + r["n"] // SHARE) for r in weights], "part int, shares int"))
+        single = cut(light.join(heavy, "part").select("part", "chunk", "start", "strings", "first", "content", "shares").mapInArrow(dealt, "part int, share int, chunk string, start binary, strings binary, first binary, content binary"))
+        light = light.join(heavy, "part", "left_anti")
+        sure = sure.unionByName(single.where("part < 0").select("chunk", "start", "strings"))
+    back = light.groupBy("part").applyInArrow(factors, ANSWERS)
+    if single is not None:
+        back = back.unionByName(single.where("part >= 0").groupBy("part", "share").applyInArrow(factors, ANSWERS))
+    answers = cut(back.withColumn("strings", F.lit(None).cast("binary")).unionByName(sure.withColumn("mask", F.lit(None).cast("binary"))))
+    if single is not None:
+        discard(single)
 
     def finish(left, right):
         import hashlib
