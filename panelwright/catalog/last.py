@@ -62,19 +62,24 @@ C.add("PIT_04_statements", _statements, "SELECT code, period, known, net_profit
 
 
 def _rolling_model(s, d):
-    """A linear model of two ranked factors, fitted on two years and used on the next one, for each year."""
+    """A linear model of two ranked factors, fitted on two years and used on the next half-year, for each half-year that has two years before it in the table."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
     x = factors(s, d).withColumn("r", xs.rank_pct("value", ("factor", "date"))).groupBy("date", "code").pivot("factor", ["mom_4", "size"]).agg(F.max("r")).na.drop()
     y = B(s, d).select("date", "code", clip(panel.forward_return("close", 4), -0.5, 0.5).alias("label"))
     m = VectorAssembler(inputCols=["mom_4", "size"], outputCol="features").transform(x.join(y, ["date", "code"])).select("date", "code", "features", "label").cache()
+    half = F.add_months(F.trunc("date", "year"), F.when(F.month("date") > 6, 6).otherwise(0))
+    labelled = {r["half"]: r["n"] for r in m.groupBy(half.alias("half")).agg(F.count("label").alias("n")).orderBy("half").collect()}
     out = None
-    for year in (1998, 2000):
-        fit = LinearRegression(regParam=0.01).fit(m.where((F.year("date") >= year - 2) & (F.year("date") < year) & F.col("label").isNotNull()))
-        p = fit.transform(m.where(F.year("date") == year)).select("date", "code", F.round("prediction", 3).alias("score"))
+    for start in labelled:
+        since = start.replace(year=start.year - 2)
+        if since < min(labelled) or not sum(n for h, n in labelled.items() if since <= h < start):
+            continue
+        fit = LinearRegression(regParam=0.01).fit(m.where((F.col("date") >= F.lit(since)) & (F.col("date") < F.lit(start)) & F.col("label").isNotNull()))
+        p = fit.transform(m.where(half == F.lit(start))).select("date", "code", F.round("prediction", 3).alias("score"))
         out = p if out is None else out.unionByName(p)
-    return out
+    return m.select("date", "code", F.lit(0.0).alias("score")).limit(0) if out is None else out
 
 
 C.add("ML_03_rolling", _rolling_model, values=())
