@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -14,19 +15,43 @@ NULL_ID = np.iinfo(np.int64).max
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where the setting is unset (tests)."""
+    """The folder that spark.checkpoint.dir names. Where it is unset a local session gets a temporary one, a cluster an error: a folder of one machine is none that executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="panelwright-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+#: Folders that cut() made while scratch() is open.
+_made: list[str] | None = None
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Delete the intermediate tables of what is called and written inside, once it is written."""
+    global _made
+    before, _made = _made, []
+    try:
+        yield
+    finally:
+        for path in _made:
+            _delete(spark, path)
+        _made = before
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write df in the shared folder and read it back: the lineage ends here, and lost executors lose nothing."""
     spark = df.sparkSession
-    path = path or f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path = path or temporary(spark, "cut")
     # The write's shuffle files go with it: nothing runs this plan again.
     setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(setting, "false")
@@ -38,12 +63,30 @@ def cut(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; scratch() deletes it."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _made is not None:
+        _made.append(path)
+    return path
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by cut() that nothing reads any more."""
     spark = df.sparkSession
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, file)
+
+
+def column(name: str) -> Column:
+    """The column of that name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def passed(df: DataFrame, *outputs: str) -> list[Column]:
+    """df's columns that no output replaces: an output takes the place of an input column of its name."""
+    taken = {o.lower() for o in outputs}
+    return [column(c) for c in df.columns if c.lower() not in taken]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,7 +148,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     that has an edge to another id; component is the smallest id that it reaches. Each round is two
     groupings by id with partial aggregation; its result is written to the shared folder. An id with very
     many links is only ever reduced to a minimum before its links are joined to that, and AQE splits that
-    join. No links reach the driver; it sees a row count and a checksum a round.
+    join. It ends when each component is a star. No links reach the driver; it sees whether a round is the last.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
@@ -118,20 +161,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         moved = both.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return moved.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def settled(e: DataFrame) -> bool:
+        """Only stars are left: no id points to two others, or is pointed to and points on."""
+        ends = e.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty()
 
-    before = mark(e)
-    for _ in range(max_rounds):
+    rounds = 0
+    while not settled(e):
+        if rounds == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
         after = cut(star(star(e, True), False))
-        now = mark(after)
         discard(e)
-        e = after
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        e, rounds = after, rounds + 1
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 

@@ -9,170 +9,248 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import shared_folder
-
-#: Ids in a block; documents' bytes in a part; bits of a context's slot.
-BLOCK, PART, SLOTS = 8192, 12 << 20, 12
-#: Probabilities have 12 bits and stay off the ends.
-ONE, LEAST = 4096, 32
-
-
-class _Coder:
-    """Binary arithmetic coding of many blocks at once, one lane a block; every lane has its own range and bytes."""
-
-    def __init__(self, lanes: int, payload: np.ndarray | None = None, starts: np.ndarray | None = None) -> None:
-        self.low, self.high = np.zeros(lanes, np.uint32), np.full(lanes, 0xFFFFFFFF, np.uint32)
-        self.decoding = payload is not None
-        if self.decoding:
-            self.data, self.at = np.r_[payload, np.zeros(8, np.uint8)], starts.copy()
-            self.end = len(payload) + 7
-            self.code = np.zeros(lanes, np.uint32)
-            for _ in range(4):
-                self._read(np.arange(lanes))
-        else:
-            self.out, self.n = np.zeros((lanes, 1 << 10), np.uint8), np.zeros(lanes, np.int64)
-
-    def _read(self, k: np.ndarray) -> None:
-        self.code[k] = (self.code[k] << np.uint32(8)) | self.data[np.minimum(self.at[k], self.end)]
-        self.at[k] += 1
-
-    def bit(self, k: np.ndarray, p: np.ndarray, bit: np.ndarray | None = None) -> np.ndarray:
-        """Code one bit in each of the lanes k; p is the chance of a 1 in 1/4096."""
-        low, high = self.low[k], self.high[k]
-        mid = low + (high - low) // np.uint32(ONE) * p.astype(np.uint32)
-        if self.decoding:
-            bit = self.code[k] <= mid
-        high = np.where(bit, mid, high)
-        low = np.where(bit, low, mid + np.uint32(1))
-        while True:
-            same = np.flatnonzero((low ^ high) < np.uint32(1 << 24))
-            if not len(same):
-                break
-            lanes = k[same]
-            if self.decoding:
-                self._read(lanes)
-            else:
-                if self.n.max() + 8 >= self.out.shape[1]:
-                    self.out = np.hstack([self.out, np.zeros_like(self.out)])
-                self.out[lanes, self.n[lanes]] = high[same] >> np.uint32(24)
-                self.n[lanes] += 1
-            low[same] <<= np.uint32(8)
-            high[same] = (high[same] << np.uint32(8)) | np.uint32(255)
-        self.low[k], self.high[k] = low, high
-        return bit
-
-    def finish(self) -> list[bytes]:
-        tail = np.stack([(self.high >> np.uint32(s)).astype(np.uint8) for s in (24, 16, 8, 0)], 1)
-        return [self.out[i, :n].tobytes() + tail[i].tobytes() for i, n in enumerate(self.n)]
-
-
-class _Mixer:
-    """What a lane has learned: the id that last followed the last two ids and the last one, how sure each is, and how ids begin."""
-
-    def __init__(self, lanes: int, id_bits: int) -> None:
-        size = 1 << SLOTS
-        self.next = [np.zeros(lanes * size, np.uint32) for _ in range(2)]
-        self.sure = [np.zeros(lanes * size, np.uint8) for _ in range(2)]
-        self.hit = [np.full(lanes * 64, ONE // 4, np.int32) for _ in range(2)]
-        self.overall = [np.full(lanes, ONE // 4, np.int32) for _ in range(2)]
-        self.tree = np.full(lanes * 16, ONE // 2, np.int32)
-        self.low_bits = max(0, id_bits - 4)
-        self.one, self.two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-
-    def step(self, coder: _Coder, k: np.ndarray, ids: np.ndarray | None, literal) -> np.ndarray:
-        """Code or decode the next id of the lanes k. literal(lanes, low bits or None) writes or reads what no order predicts."""
-        decoding = ids is None
-        mask = np.uint32((1 << SLOTS) - 1)
-        h1 = (self.one[k] * np.uint32(2654435761)) >> np.uint32(32 - SLOTS)
-        h2 = ((self.one[k] * np.uint32(2654435761)) ^ (self.two[k] * np.uint32(2246822519) + np.uint32(374761393))) >> np.uint32(32 - SLOTS)
-        base = k.astype(np.int64) << SLOTS
-        slot = [base + (h2 & mask), base + (h1 & mask)]
-        guess = [self.next[o][slot[o]] for o in (0, 1)]
-        sure = [self.sure[o][slot[o]].astype(np.int64) for o in (0, 1)]
-        agree = guess[0] == guess[1]
-        out = np.zeros(len(k), np.uint32)
-        left = np.arange(len(k))
-        for o in (0, 1):  # the order-2 guess, then the order-1 guess where it is another
-            some = left if o == 0 else left[~agree[left]]
-            if not len(some):
-                continue
-            at = k[some].astype(np.int64) * 64 + sure[0][some] * 16 + sure[1][some] * 4 + agree[some] * 2
-            own, all_ = self.hit[o][at], self.overall[o][k[some]]
-            p = np.clip((3 * own + all_) >> 2, LEAST, ONE - LEAST)
-            bit = coder.bit(k[some], p, None if decoding else ids[some] == guess[o][some])
-            self.hit[o][at] = own + np.where(bit, (ONE - own) >> 4, -(own >> 4))
-            self.overall[o][k[some]] = all_ + np.where(bit, (ONE - all_) >> 6, -(all_ >> 6))
-            out[some[bit]] = guess[o][some[bit]]
-            taken = np.zeros(len(k), bool)
-            taken[some[bit]] = True
-            left = left[~taken[left]]
-        if len(left):  # order 0: the first four bits by their frequency so far, the others as they are
-            node, lanes = np.ones(len(left), np.int64), k[left].astype(np.int64)
-            top = None if decoding else (ids[left] >> np.uint32(self.low_bits)).astype(np.int64)
-            for b in (3, 2, 1, 0):
-                at = lanes * 16 + node
-                p = self.tree[at]
-                bit = coder.bit(k[left], np.clip(p, LEAST, ONE - LEAST), None if decoding else (top >> b & 1) == 1)
-                self.tree[at] = p + np.where(bit, (ONE - p) >> 5, -(p >> 5))
-                node = node * 2 + bit
-            low = literal(k[left], None if decoding else ids[left] & np.uint32((1 << self.low_bits) - 1))
-            out[left] = ((node - 16).astype(np.uint32) << np.uint32(self.low_bits)) | low
-        ids = out if decoding else ids
-        for o in (0, 1):
-            right = guess[o] == ids
-            self.sure[o][slot[o]] = np.where(right, np.minimum(sure[o] + 1, 3), np.maximum(sure[o] - 2, 0)).astype(np.uint8)
-            self.next[o][slot[o]] = np.where(right | (sure[o] >= 2), guess[o], ids)
-        self.two[k], self.one[k] = self.one[k], ids
-        return ids
-
-
-def encode_blocks(ids: np.ndarray, sizes: np.ndarray, id_bits: int) -> list[tuple[bytes, bytes]]:
-    """(coded bytes, literal bytes) of each block; ids are all blocks', one after the other."""
-    starts = np.cumsum(sizes) - sizes
-    coder, mixer = _Coder(len(sizes)), _Mixer(len(sizes), id_bits)
-    lanes, values = [], []
-
-    def literal(k, low):
-        lanes.append(k)
-        values.append(low)
-        return low
-
-    order = np.argsort(-sizes, kind="stable")
-    for i in range(int(sizes.max(initial=0))):
-        k = np.sort(order[: np.searchsorted(-sizes[order], -i, "left")])
-        mixer.step(coder, k, ids[starts[k] + i], literal)
-    coded = coder.finish()
-    lane, value = np.concatenate([*lanes, np.zeros(0, np.int64)]), np.concatenate([*values, np.zeros(0, np.uint32)])
-    by = np.argsort(lane, kind="stable")
-    cuts = np.searchsorted(lane[by], np.arange(len(sizes) + 1))
-    bits = (value[by, None] >> np.arange(mixer.low_bits, dtype=np.uint32) & np.uint32(1)).astype(np.uint8)
-    return [(c, np.packbits(bits[a:b].ravel(), bitorder="little").tobytes()) for c, a, b in zip(coded, cuts[:-1], cuts[1:], strict=True)]
-
-
-def decode_blocks(blocks: list[tuple[bytes, bytes]], sizes: np.ndarray, id_bits: int) -> np.ndarray:
-    """The ids of all blocks, one after the other."""
-    starts = np.cumsum(sizes) - sizes
-    lengths = np.array([len(c) for c, _ in blocks])
-    coder = _Coder(len(sizes), np.frombuffer(b"".join(c for c, _ in blocks), np.uint8), np.cumsum(lengths) - lengths)
-    mixer = _Mixer(len(sizes), id_bits)
-    low_bits = mixer.low_bits
-    raw = np.frombuffer(b"".join(v for _, v in blocks) + bytes(8), np.uint8)
-    size = np.array([len(v) for _, v in blocks])
-    at = (np.cumsum(size) - size) * 8
-
-    def literal(k, _):
-        p = at[k]
-        at[k] += low_bits
-        byte, shift = p >> 3, (p & 7).astype(np.uint32)
-        word = raw[byte].astype(np.uint32) | raw[byte + 1].astype(np.uint32) << np.uint32(8) | raw[byte + 2].astype(np.uint32) << np.uint32(16) | raw[byte + 3].astype(np.uint32) << np.uint32(24)
-        return (word >> shift) & np.uint32((1 << low_bits) - 1)
-
-    out = np.zeros(int(sizes.sum()), np.uint32)
-    order = np.argsort(-sizes, kind="stable")
-    for i in range(int(sizes.max(initial=0))):
-        k = np.sort(order[: np.searchsorted(-sizes[order], -i, "left")])
-        out[starts[k] + i] = mixer.step(coder, k, None, literal)
-    return out
+from panelwright.llm.common import shared_folder, slices, text_buffers
+
+#: Ids of a block at most; documents' bytes of a part.
+BLOCK, PART = 6 << 20, 10 << 20
+#: A block is coded in up to LANES stretches side by side, of SHORTEST ids at least.
+LANES, SHORTEST = 8192, 512
+#: Bits of the order-2 table's index; what an id adds to its order-0 frequency, which starts at 1.
+SLOTS, GAIN = 20, 24
+#: The range has up to TOP bits and is refilled below LOW; a choice between candidates has 2**SCALE parts.
+TOP, LOW, SCALE = 48, 32, 16
+
+
+class _Model:
+    """What the lanes of a block have learned together, the same in coding and decoding.
+
+    Order 0 is every id's frequency so far; orders 1 and 2 hold for each context a candidate, the id that
+    followed, and a count of 0 to 15 of how firmly it did. How often a candidate of a count was right gives
+    that order's probability for it, and the rest goes to all ids by order 0. An id's probability is the
+    sum of the three orders' with weights that belong to the pair of counts and follow the orders' shares
+    in what came true. Order 2 is a hashed table whose rows carry four bits of check.
+    """
+
+    def __init__(self, vocabulary: int, lanes: int) -> None:
+        self.tables = [np.zeros(vocabulary + 1, np.int32), np.zeros(1 << SLOTS, np.int32)]  # id << 8 | count << 4 | check
+        n = np.arange(16)
+        self.right = [np.stack([4 * n, np.full(16, 6)], 1).astype(np.int64) for _ in range(2)]
+        self.credit = np.tile(np.array([64, 96, 192], np.int64), (256, 1))
+        self.count = np.ones(vocabulary, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.one = np.full(lanes, vocabulary, np.int32)
+        self.two = np.full(lanes, vocabulary, np.int32)
+        self.steps = 0
+        self.refresh()
+
+    def refresh(self) -> None:
+        if self.waiting:
+            self.count += GAIN * np.bincount(np.concatenate(self.waiting), minlength=len(self.count))
+            self.waiting = []
+        upto = np.cumsum(self.count)
+        self.below, self.total = upto - self.count, int(upto[-1])
+        self.share = self.count.astype(np.float32)
+        self.share *= np.float32(1 / self.total)
+        p = [r[:, 0] / r.sum(1) for r in self.right]
+        w = self.credit / self.credit.sum(1, keepdims=True)
+        one, two = np.tile(p[0], 16), np.repeat(p[1], 16)
+        self.p = [one.astype(np.float32), two.astype(np.float32)]
+        self.weight = [np.ascontiguousarray(w[:, k], np.float32) for k in range(3)]
+        whole = np.float32((1 << SCALE) - 136)  # leaves a part to every candidate and some to all other ids
+        self.q1, self.q2 = (w[:, 1] * one).astype(np.float32) * whole, (w[:, 2] * two).astype(np.float32) * whole
+        self.w0 = self.weight[0] * whole
+
+    def predict(self) -> None:
+        """Each lane's candidates a2 and a1 (where t2, t1 hold) and the ends of their parts of 2**SCALE; the rest stands for the other ids."""
+        h = self.two.astype(np.uint32)
+        h *= np.uint32(0x9E3779B1)
+        h += self.one.astype(np.uint32) * np.uint32(0x85EBCA77)
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x2C1B3C6D)
+        self.check = (h & np.uint32(15)).astype(np.int32)
+        self.slot = (h >> np.uint32(32 - SLOTS)).astype(np.int64)
+        v1, v2 = self.tables[0].take(self.one), self.tables[1].take(self.slot)
+        v2 *= (v2 & 15) == self.check
+        s1, s2 = (v1 >> 4) & 15, (v2 >> 4) & 15
+        joint = s2 << 4
+        joint |= s1
+        a1, a2 = v1 >> 8, v2 >> 8
+        t1, t2 = s1 > 0, s2 > 0
+        both = a1 == a2
+        both &= t2
+        q1, q2, w0 = self.q1.take(joint), self.q2.take(joint), self.w0.take(joint)
+        q2 += q1 * both
+        q2 += w0 * self.share.take(a2)
+        q1 += w0 * self.share.take(a1)
+        t1 &= ~both
+        e2, e1 = q2.astype(np.int32), q1.astype(np.int32)
+        e2 += 1
+        e1 += 1
+        e2 *= t2
+        e1 *= t1
+        e1 += e2
+        self.v1, self.v2, self.s1, self.s2, self.joint = v1, v2, s1, s2, joint
+        self.a1, self.a2, self.t1, self.t2, self.e1, self.e2 = a1, a2, t1, t2, e1, e2
+
+    def learn(self, ids: np.ndarray, right2: np.ndarray) -> None:
+        right1 = self.a1 == ids
+        right1 &= self.s1 > 0
+        fresh = (ids << 8) | 16
+        for order, v, s, right in ((1, self.v1, self.s1, right1), (2, self.v2, self.s2, right2)):
+            # right: one more, up to 15; wrong: a firm candidate's count halves, a weak one gives way
+            moved = v + 16 * (right & (s < 15)) - ((s >> 1) << 4) * ~right
+            new = np.where((s > 2) | right, moved, fresh | self.check if order == 2 else fresh)
+            self.tables[order - 1][self.slot if order == 2 else self.one] = new
+        self.waiting.append(ids)
+        i = self.steps
+        if i < 32 or i % 8 == 0:
+            self._weigh(ids, right1, right2)
+        if i < 32 or i % 4 == 0:
+            self.refresh()
+        self.steps += 1
+        self.two, self.one = self.one, ids
+
+    def _weigh(self, ids: np.ndarray, right1: np.ndarray, right2: np.ndarray) -> None:
+        j, by0 = self.joint, self.share.take(ids)
+        known = right1 | right2
+        part = [self.weight[0].take(j) * by0]
+        for k, (right, s) in enumerate(((right1, self.s1), (right2, self.s2))):
+            p = self.p[k].take(j)
+            miss = (1 - p) * by0
+            part.append(self.weight[k + 1].take(j) * np.where(right, p, np.where(known, miss * by0, miss)))
+            self.right[k] += np.bincount(s * 2 + ~right, minlength=32).reshape(16, 2)
+        scale = 64 / (part[0] + part[1] + part[2])
+        for k in range(3):
+            self.credit[:, k] += np.bincount(j, (part[k] * scale).astype(np.int64), 256).astype(np.int64)
+
+
+def _shape(n: int) -> tuple[int, int]:
+    """(lanes, ids of each) of a block of n ids."""
+    lanes = max(1, min(LANES, n // SHORTEST))
+    return lanes, -(-n // lanes)
+
+
+def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
+    """Range-code ids below `vocabulary`: the words of each lane as counts, then the words, 16 bits each."""
+    n = len(ids)
+    lanes, steps = _shape(n)
+    padded = np.zeros(lanes * steps, np.int32)
+    padded[:n] = ids
+    rows = np.ascontiguousarray(padded.reshape(lanes, steps).T)
+    m = _Model(vocabulary, lanes)
+    low, rng = np.zeros(lanes, np.int64), np.full(lanes, (1 << TOP) - 1, np.int64)
+    width = steps * 3 + 8
+    out, at = np.zeros(lanes * width, np.uint16), np.arange(lanes) * width
+    first = at.copy()
+
+    def carry(k: np.ndarray) -> None:
+        low[k] &= (1 << TOP) - 1
+        p = at[k] - 1
+        while len(p):
+            out[p] += np.uint16(1)
+            p = p[out[p] == 0] - 1
+
+    def emit(k: np.ndarray) -> np.ndarray:
+        x, y, p = low[k], rng[k], at[k]
+        out[p] = x >> LOW
+        x <<= 16
+        x &= (1 << TOP) - 1
+        y <<= 16
+        p += 1
+        low[k], rng[k], at[k] = x, y, p
+        return k[y < 1 << LOW]
+
+    for i in range(steps):
+        ids = rows[i]
+        m.predict()
+        is2 = m.a2 == ids
+        is2 &= m.t2
+        is1 = m.a1 == ids
+        is1 &= m.t1
+        other = ~(is1 | is2)
+        r = rng >> SCALE
+        start = m.e2 * is1 + m.e1 * other
+        size = np.where(is2, m.e2, np.where(is1, m.e1, 1 << SCALE)) - start
+        low += r * start
+        rng = r * size
+        k = np.flatnonzero(other)
+        if len(k):  # what neither candidate is, by the frequencies of order 0
+            few = k[rng[k] < 1 << LOW]
+            while len(few):
+                over = few[low[few] >> TOP > 0]
+                if len(over):
+                    carry(over)
+                few = emit(few)
+            r, x = (rng[k] / m.total).astype(np.int64), ids[k]
+            low[k] += r * m.below.take(x)
+            rng[k] = r * m.count.take(x)
+        over = np.flatnonzero(low >> TOP)
+        if len(over):
+            carry(over)
+        few = np.flatnonzero(rng < 1 << LOW)
+        while len(few):
+            few = emit(few)
+        m.learn(ids, is2)
+    low += (1 << 16) - 1  # two more words name a stretch inside the range, whatever follows them
+    over = np.flatnonzero(low >> TOP)
+    if len(over):
+        carry(over)
+    out[at], out[at + 1] = low >> LOW, (low >> 16) & 0xFFFF
+    size = at + 2 - first
+    words = out.reshape(lanes, width)[np.arange(width) < size[:, None]]
+    return size.astype("<u4").tobytes() + words.astype("<u2").tobytes()
+
+
+def decode_block(data: bytes, n: int, vocabulary: int) -> np.ndarray:
+    """The n ids of a block; ValueError where the bytes can't be such a block."""
+    lanes, steps = _shape(n)
+    size = np.frombuffer(data[: 4 * lanes], "<u4").astype(np.int64)
+    if len(size) != lanes or len(data) != 4 * lanes + 2 * size.sum() or size.min() < 2:
+        raise ValueError("a block has another length than its lanes")
+    words = np.r_[np.frombuffer(data, "<u2", offset=4 * lanes), np.zeros(4, np.uint16)]
+    at = np.cumsum(size) - size
+    value = words[at].astype(np.int64) << 32 | words[at + 1].astype(np.int64) << 16 | words[at + 2]
+    at += 3
+    rng = np.full(lanes, (1 << TOP) - 1, np.int64)
+    m = _Model(vocabulary, lanes)
+    rows = np.zeros((steps, lanes), np.int32)
+
+    def refill(k: np.ndarray) -> np.ndarray:
+        v, y, p = value[k], rng[k], at[k]
+        v <<= 16
+        v |= words.take(p, mode="clip")
+        p += 1
+        y <<= 16
+        rng[k], at[k], value[k] = y, p, v
+        return k[y < 1 << LOW]
+
+    for i in range(steps):
+        m.predict()
+        r = rng >> SCALE
+        v = (value / r).astype(np.int32)  # exact: both are below 2**48
+        is2, in1 = v < m.e2, v < m.e1
+        other = ~in1
+        start = m.e2 * (in1 & ~is2) + m.e1 * other
+        size = np.where(is2, m.e2, np.where(in1, m.e1, 1 << SCALE)) - start
+        value -= r * start
+        rng = r * size
+        ids = np.where(is2, m.a2, m.a1)
+        k = np.flatnonzero(other)
+        if len(k):
+            few = k[rng[k] < 1 << LOW]
+            while len(few):
+                few = refill(few)
+            r, v = (rng[k] / m.total).astype(np.int64), value[k]
+            x = np.searchsorted(m.below, (v / r).astype(np.int64), "right") - 1
+            ids[k] = x
+            value[k] = v - r * m.below.take(x)
+            rng[k] = r * m.count.take(x)
+        few = np.flatnonzero(rng < 1 << LOW)
+        while len(few):
+            few = refill(few)
+        rows[i] = ids
+        m.learn(ids, is2)
+    return rows.T.ravel()[:n]
 
 
 def crc32_joined(a: int, b: int, n: int) -> int:
@@ -199,74 +277,104 @@ def crc32_joined(a: int, b: int, n: int) -> int:
     return a ^ b
 
 
-FILE = "part int, block long, id_bits int, doc_id array<long>, seq array<long>, piece array<int>, length array<int>, crc32 long, coded binary, literals binary"
+
+FILE = "part int, block long, vocabulary int, doc_id array<long>, seq array<long>, piece array<int>, length array<int>, crc32 long, coded binary"
 PIECES = "part int, block long, seq long, piece int, doc_id long, length int, crc long"
 
 
+class _Pending:
+    """Ids that wait for a block, with the pieces of documents that they are."""
+
+    def __init__(self) -> None:
+        self.ids, self.doc, self.null = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.seq, self.piece, self.length = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.documents = 0
+
+    def add(self, ids: np.ndarray, length: np.ndarray, doc: np.ndarray, null: np.ndarray) -> None:
+        k = len(length)
+        self.ids, self.doc, self.null = np.r_[self.ids, ids], np.r_[self.doc, doc], np.r_[self.null, null]
+        self.seq, self.piece, self.length = np.r_[self.seq, self.documents + np.arange(k)], np.r_[self.piece, np.zeros(k, np.int32)], np.r_[self.length, length]
+        self.documents += k
+
+    def take(self, n: int) -> tuple:
+        """Take out the first n ids: (ids, doc, null, seq, piece, length)."""
+        upto = np.cumsum(self.length)
+        whole = int(np.searchsorted(upto, n, "right"))
+        rest = n - (int(upto[whole - 1]) if whole else 0)  # ids of a document that goes on in the next block
+        k = whole + (rest > 0)
+        length = self.length[:k].copy()
+        if rest:
+            length[-1] = rest
+        out = self.ids[:n], self.doc[:k], self.null[:k], self.seq[:k], self.piece[:k], length
+        self.ids = self.ids[n:].copy()
+        self.doc, self.null, self.seq, self.piece, self.length = (x[whole:].copy() for x in (self.doc, self.null, self.seq, self.piece, self.length))
+        if rest:
+            self.piece[0] += 1
+            self.length[0] -= rest
+        return out
+
+
 def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2) -> None:
     """Encode every text and write its ids, end_id after each document, to `folder` in ascending doc_id order.
 
-    A file row is a block of 8,192 ids (fewer at the end of a part): the pieces of documents in it, a
-    crc32 of its ids as little-endian unsigned 32-bit integers, and two byte strings. A block starts from
-    fresh models. Each id is predicted by the id that last followed the two ids before it and by the one
-    that last followed the one before it; whether they hold is coded with adaptive probabilities mixed from
-    a lane's overall rate and the rate where the guesses are as sure as here. What neither predicts is coded
-    by the frequency of ids' first four bits, and its other bits stand in the literals.
+    A file row is a block of up to BLOCK ids: the pieces of documents in it, a crc32 of its ids as
+    little-endian unsigned 32-bit integers, and its range-coded bytes. A block starts from a fresh model and
+    is decoded without any other. It is cut into lanes of equal length that are coded side by side, so that
+    one step of array arithmetic codes an id of every lane, and all lanes teach the one model.
 
     Null texts are empty and give end_id alone; null ids come first; rows that repeat an id follow each
-    other in an order set by their texts. Documents are dealt by ranges of (doc_id, digest of text), so no
-    id and no part has to fit more than about 12 MB of text beside its longest document.
+    other in an order set by their texts. Documents are dealt by ranges of (doc_id, digest of text, place
+    in the input), so neither one id nor equal rows have to fit a part; a task holds a block and a batch of
+    documents, however large its part is.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, int(total) // PART)
-    d = d.withColumn("mix_tie", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "mix_tie").sortWithinPartitions("doc_id", "mix_tie")
+    d = d.withColumns({"mix_tie": F.xxhash64("text"), "mix_place": F.monotonically_increasing_id()})
+    d = d.repartitionByRange(parts, "doc_id", "mix_tie", "mix_place").sortWithinPartitions("doc_id", "mix_tie", "mix_place")
 
     def encode(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         from panelwright.llm.tokens import encoder
 
-        use = encoder(tokenizer, 250_000)  # id arrays take more room than counts
-        end = np.array([end_id], np.uint32)
-        doc_ids, ids = [], []
+        use = encoder(tokenizer)
+        part, n_blocks, waiting = TaskContext.get().partitionId(), 0, _Pending()
+        vocabulary = max(len(use.spaced), end_id + 1)
+
+        def block(n):
+            ids, doc, null, seq, piece, length = waiting.take(n)
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            arrays = [
+                pa.array([part], pa.int32()), pa.array([n_blocks], pa.int64()), pa.array([vocabulary], pa.int32()), one(pa.array(doc, mask=null)), one(pa.array(seq)), one(pa.array(piece)),
+                one(pa.array(length.astype(np.int32))), pa.array([zlib.crc32(ids.astype("<u4").tobytes())], pa.int64()), pa.array([encode_block(ids, vocabulary)], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in FILE.split(", ")])
+
         for batch in batches:
-            doc_ids += batch.column(0).to_pylist()
-            ids += [np.r_[x, end] for x in use.ids(batch.column(1).to_pylist())]
-        if not doc_ids:
-            return
-        length = np.array([len(x) for x in ids])
-        flat = np.concatenate(ids).astype(np.uint32)
-        del ids
-        id_bits = max(5, int(flat.max()).bit_length())
-        n = len(flat)
-        edges = np.arange(0, n + BLOCK, BLOCK).clip(0, n)
-        edges = np.unique(edges)
-        cuts = np.unique(np.r_[edges, np.cumsum(length)])
-        first = cuts[:-1]
-        doc = np.searchsorted(np.cumsum(length), first, "right")
-        piece = first - (np.cumsum(length) - length)[doc]
-        piece = np.where(piece > 0, 1 + (piece + (np.cumsum(length) - length)[doc]) // BLOCK - (np.cumsum(length) - length)[doc] // BLOCK - 1, 0)
-        size = np.diff(cuts)
-        in_block = np.searchsorted(edges, first, "right") - 1
-        part = TaskContext.get().partitionId()
-        at = np.searchsorted(in_block, np.arange(len(edges)))
-        for lo in range(0, len(edges) - 1, 2048):
-            hi = min(lo + 2048, len(edges) - 1)
-            coded = encode_blocks(flat[edges[lo] : edges[hi]], np.diff(edges[lo : hi + 1]), id_bits)
-            rows = []
-            for b, (c, v) in enumerate(coded, lo):
-                s = slice(at[b], at[b + 1])
-                rows.append((part, b, id_bits, [doc_ids[x] for x in doc[s]], doc[s].tolist(), piece[s].tolist(), size[s].tolist(), zlib.crc32(flat[edges[b] : edges[b + 1]].astype("<u4").tobytes()), c, v))
-            types = (pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [f.split()[0] for f in FILE.split(", ")])
+            null = np.asarray(batch.column(0).is_null())
+            doc = np.asarray(pc.fill_null(batch.column(0), 0))
+            for a, b in slices(text_buffers(batch.column(1))[1], 16 << 20):
+                ids, length = use.flat(batch.column(1)[a:b])
+                to = np.cumsum(length + 1)
+                flat = np.full(int(to[-1]), end_id, np.int32)
+                inner = np.ones(len(flat), bool)
+                inner[to - 1] = False
+                flat[inner] = ids
+                waiting.add(flat, length + 1, doc[a:b], null[a:b])
+                while len(waiting.ids) >= BLOCK:
+                    yield block(BLOCK)
+                    n_blocks += 1
+        if len(waiting.ids):
+            yield block(len(waiting.ids))
 
     d.select("doc_id", "text").mapInArrow(encode, FILE).write.option("compression", "none").parquet(folder)
 
 
 def read_ids(df: DataFrame, folder: str) -> DataFrame:
-    """Per document of the files under `folder`: doc_id, start (ids of all documents before it), n_tokens and ids_crc32. Blocks whose checksum fails raise ValueError."""
+    """Per document of the files under `folder`: doc_id, start (ids of all documents before it), n_tokens and ids_crc32. Blocks whose bytes or checksum fail raise ValueError."""
     spark = df.sparkSession
     blocks = spark.read.schema(FILE).parquet(folder)
 
@@ -274,20 +382,19 @@ def read_ids(df: DataFrame, folder: str) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            rows = batch.to_pylist()
-            for bits in sorted({r["id_bits"] for r in rows}):
-                some = [r for r in rows if r["id_bits"] == bits]
-                sizes = np.array([sum(r["length"]) for r in some])
-                flat = decode_blocks([(r["coded"], r["literals"]) for r in some], sizes, bits).astype("<u4")
-                out, at = [], 0
-                for r, n in zip(some, sizes, strict=True):
-                    if zlib.crc32(flat[at : at + n].tobytes()) != r["crc32"]:
-                        raise ValueError(f"block {r['block']} of part {r['part']} does not match its checksum")
-                    for seq, piece, doc_id, length in zip(r["seq"], r["piece"], r["doc_id"], r["length"], strict=True):
-                        out.append((r["part"], r["block"], seq, piece, doc_id, length, zlib.crc32(flat[at : at + length].tobytes())))
-                        at += length
-                types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], [f.split()[0] for f in PIECES.split(", ")])
+            for i in range(batch.num_rows):
+                part, block, vocabulary, crc = (batch.column(c)[i].as_py() for c in ("part", "block", "vocabulary", "crc32"))
+                doc, seq, piece, length = (batch.column(c)[i].values for c in ("doc_id", "seq", "piece", "length"))
+                to = np.cumsum(np.asarray(length), dtype=np.int64)
+                n = int(to[-1])
+                flat = decode_block(batch.column("coded")[i].as_py(), n, vocabulary).astype("<u4").tobytes()
+                if zlib.crc32(flat) != crc:
+                    raise ValueError(f"block {block} of part {part} does not match its checksum")
+                view = memoryview(flat)
+                own = [zlib.crc32(view[a:b]) for a, b in zip([0, *(4 * to[:-1]).tolist()], (4 * to).tolist(), strict=True)]
+                k = len(to)
+                arrays = [pa.array(np.full(k, part, np.int32)), pa.array(np.full(k, block)), seq, piece, doc, length, pa.array(own, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in PIECES.split(", ")])
 
     pieces = blocks.mapInArrow(decode, PIECES)
     docs = pieces.groupBy("part", "seq").agg(F.first("doc_id").alias("doc_id"), F.sum("length").cast("long").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("piece", "crc", "length"))).alias("pieces"))
@@ -308,7 +415,7 @@ def read_ids(df: DataFrame, folder: str) -> DataFrame:
     sizes = blocks.groupBy("part").agg(F.sum(F.aggregate("length", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    docs = docs.withColumn("inside", F.coalesce(in_part, F.lit(0))).join(F.broadcast(sizes), "part")
+    docs = docs.withColumn("inside", F.coalesce(in_part, F.lit(0))).join(sizes, "part")
     return docs.select("doc_id", (F.col("before") + F.col("inside")).cast("long").alias("start"), "n_tokens", crc.alias("ids_crc32"))
 
 

@@ -4,66 +4,143 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import re
+import json
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm.common import cut, discard, passed, text_buffers
 
-#: Pieces that one Python worker remembers; beyond, it starts over.
-REMEMBERED = 700_000
-_INNER = re.compile(r"(?<=\S) (?=\S)")
+#: Up to so many missing digests (32 bytes each) are broadcast to fetch their texts.
+BROADCAST_DIGESTS = 200_000
+#: How byte-level vocabularies write a space.
+_SPACE = chr(0x120)
+#: A space at an end or beside other white space, and white space at a word's end, in the regular expressions of Arrow.
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{180e}\p{Z}]"
+_ODD, _EDGE = rf"^ | $| {_WHITE}|{_WHITE} ", rf"^{_WHITE}|{_WHITE}$"
+#: Words that are encoded as one text.
+TOGETHER = 2000
+
+
+def splits_at_spaces(path: str) -> bool:
+    """Whether the file's rules never join what a single space between two other characters separates: plain byte-level splitting, no normalizer, no added token that takes white space along."""
+    rules = json.loads(Path(path).read_bytes())
+    before = rules.get("pre_tokenizer") or {}
+    model = rules.get("model") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex") is True and before.get("add_prefix_space") is False
+    alone = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] for t in rules.get("added_tokens") or [])
+    return plain and alone and not rules.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout") and not rules.get("truncation") and not rules.get("padding")
 
 
 class Encoder:
-    """Ids of whole texts, piece by piece.
+    """Ids of whole texts as the library gives them.
 
-    The byte-level splitting rule never joins what a single space between two other characters separates,
-    so a text's ids are those of its pieces in order: each piece starts with such a space, the first
-    without. Pieces come back often and are encoded once per worker while they are remembered.
+    Where the tokenizer's rules allow it, texts are cut at single spaces between other characters, and a
+    text's ids are those of its words in order, each with the space before it. Words come back often, so
+    the distinct ones of a batch are encoded, many of them in one text, where each starts with a token that
+    starts with a space. Texts with other white space around a space, and other tokenizers' texts, are
+    encoded whole.
     """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, object] = {}
-        self.remembered = remembered
-
-    def _learn(self, pieces: list[str], keep) -> None:
-        if len(self.known) + len(pieces) > self.remembered:
-            self.known.clear()
-        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.known[piece] = keep(e)
-
-    def _pieces(self, texts: list[str]) -> list[list[str]]:
-        """The split pieces of each text; all but a text's first lost a leading space."""
-        return [_INNER.split(t) if "  " in t or "\n " in t or " \n" in t or not t.isprintable() else t.split(" ") if t[:1] != " " and t[-1:] != " " else _INNER.split(t) for t in texts]
-
-    def _encode(self, texts: list[str], keep) -> list[list]:
-        """keep(encoding) of every piece of every text."""
-        out = []
-        for i in range(0, len(texts), 256):
-            split = [[p[0], *[" " + x for x in p[1:]]] for p in self._pieces(texts[i : i + 256])]
-            new = [x for x in dict.fromkeys(x for p in split for x in p) if x not in self.known]
-            known = self.known
-            if len(new) + len(known) > self.remembered:
-                known.clear()
-                new = list(dict.fromkeys(x for p in split for x in p))
-            self._learn(new, keep)
-            known = self.known
-            out += [[known[x] for x in p] for p in split]
-        return out
-
-    def counts(self, texts: list[str]) -> list[int]:
-        return [sum(p) for p in self._encode(texts, len)]
-
-    def ids(self, texts: list[str]) -> list[list]:
-        """For each text the ids of its pieces as arrays."""
-        import numpy as np
-
-        return [np.concatenate(p) if p else np.zeros(0, np.uint32) for p in self._encode(texts, lambda e: np.array(e.ids, np.uint32))]
+        self.whole = not splits_at_spaces(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith(_SPACE)]] = True
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, length of each)."""
+        found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(found) if found else np.zeros(0, np.int32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _words(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, length) of the Arrow strings `words`, each after a space."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        start, length = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        edgy = np.asarray(pc.match_substring_regex(words, _EDGE))
+        easy = np.flatnonzero(~edgy)
+        some = words.take(pa.array(easy)) if edgy.any() else words
+        data, at = text_buffers(some)
+        joined, letter = np.full(len(data) + len(some), ord(" "), np.uint8), np.ones(len(data) + len(some), bool)
+        letter[at[:-1] + np.arange(len(some))] = False
+        joined[letter] = data
+        cuts = [*(at[:-1] + np.arange(len(some)))[::TOGETHER].tolist(), len(joined)]
+        ids, _ = self._encode([joined[i:j].tobytes().decode() for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
+        edge = np.flatnonzero(self.spaced[ids])
+        if len(edge) == len(some):
+            start[easy], length[easy] = edge, np.diff(np.r_[edge, len(ids)])
+        else:  # a token list that spells spaces otherwise
+            ids, length[easy] = self._encode([" " + w for w in some.to_pylist()])
+            start[easy] = np.cumsum(length[easy]) - length[easy]
+        if edgy.any():
+            more, n = self._encode([" " + w for w in words.take(pa.array(np.flatnonzero(edgy))).to_pylist()])
+            start[edgy], length[edgy] = len(ids) + np.cumsum(n) - n, n
+            ids = np.r_[ids, more]
+        return ids, start, length
+
+    def _parts(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start of each part, its length, parts of each text): an Arrow string array's texts as stretches of ids."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        odd = np.asarray(pc.match_substring_regex(column, _ODD)) | self.whole
+        plain, other = np.flatnonzero(~odd), np.flatnonzero(odd)
+        split = pc.split_pattern(column.take(pa.array(plain)) if len(other) else column, " ")
+        words, size = split.flatten(), np.diff(np.asarray(split.offsets))
+        first = np.cumsum(size) - size
+        rest = np.ones(len(words), bool)
+        rest[first] = False
+        coded = words.filter(pa.array(rest)).dictionary_encode()
+        ids, at, length = self._words(coded.dictionary)
+        heads, n_heads = self._encode(words.take(pa.array(first)).to_pylist())
+        whole, n_whole = self._encode(column.take(pa.array(other)).to_pylist())
+        row = np.zeros(len(words), np.int64)
+        row[rest] = np.asarray(coded.indices)
+        starts, lengths = at[row] if len(at) else np.zeros(len(words), np.int64), length[row] if len(at) else np.zeros(len(words), np.int64)
+        starts[first], lengths[first] = len(ids) + np.cumsum(n_heads) - n_heads, n_heads
+        parts = np.ones(len(column), np.int64)
+        parts[plain] = size
+        if len(other):  # the whole texts' stretches come in where they stand
+            place = np.cumsum(parts) - parts
+            own = np.ones(int(parts.sum()), bool)
+            own[place[other]] = False
+            s, n = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+            s[own], n[own] = starts, lengths
+            s[~own], n[~own] = len(ids) + len(heads) + np.cumsum(n_whole) - n_whole, n_whole
+            starts, lengths = s, n
+        return np.concatenate([ids, heads, whole]), starts, lengths, parts
+
+    def flat(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, length of each text) of an Arrow string array; null is empty."""
+        column = _strings(column)
+        if not len(column):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        ids, start, n, parts = self._parts(column)
+        to = np.cumsum(n)
+        return ids[np.repeat(start - (to - n), n) + np.arange(int(to[-1]))], np.diff(np.r_[0, to[np.cumsum(parts) - 1]])
+
+    def counts(self, column) -> np.ndarray:
+        """The number of ids of each text of an Arrow string array; null is empty."""
+        column = _strings(column)
+        if not len(column):
+            return np.zeros(0, np.int64)
+        _, _, n, parts = self._parts(column)
+        return np.diff(np.r_[0, np.cumsum(n)[np.cumsum(parts) - 1]])
+
+
+def _strings(column):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
 def version(path: str) -> str:
@@ -72,12 +149,12 @@ def version(path: str) -> str:
 
 
 @functools.cache
-def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
-    """One per worker, so that its memory of pieces serves all tasks that the worker runs."""
+def encoder(path: str) -> Encoder:
+    """One per worker: the file is read once."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path, remembered)
+    return Encoder(path)
 
 
 def token_counts(docs: DataFrame, path: str, cache: str, limit: int = 512) -> DataFrame:
@@ -85,34 +162,41 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = 512) -> Da
 
     The content is the text as it stands, null as empty: the tokenizer's counts depend on every byte, so
     normalising removes nothing else. `cache` is a folder of the cluster's shared storage; its rows
-    (content digest, n_tokens) stand in one folder for each tokenizer version. Texts whose digest is not
-    there are encoded, each distinct one once however often it comes, and appended. Digests are sha256.
-    Null ids, repeated rows, and empty tables give rows alike; extra columns pass through, whatever their
-    names, as long as they do not start with "mix_".
+    (content digest, n_tokens) stand in one folder for each tokenizer version. Digests are sha256. Digests
+    that are not there are found first, without the texts; then only their texts are fetched (up to
+    BROADCAST_DIGESTS digests by broadcasting them, more by dealing both sides by digest), encoded once
+    each, and appended. So a full cache moves no text. Null ids, repeated rows and empty tables give rows
+    alike; extra columns pass through, except that an output replaces an input column of its name.
     """
     spark = docs.sparkSession
     place = f"{cache.rstrip('/')}/tokenizer={version(path)}"
-    d = docs.withColumn("mix_text", F.coalesce("text", F.lit("")))
-    d = d.withColumn("mix_digest", F.unhex(F.sha2(F.col("mix_text").cast("binary"), 256)))
-    schema = "mix_digest binary, mix_tokens long"
-    distinct = d.select("mix_digest", "mix_text").dropDuplicates(["mix_digest"])
+    content = F.coalesce(F.col("text"), F.lit(""))
+    digest = F.unhex(F.sha2(content.cast("binary"), 256))
+    texts = docs.select(digest.alias("digest"), content.alias("content"))
+    schema = "digest binary, tokens long"
     folder = spark._jvm.org.apache.hadoop.fs.Path(place)
-    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    if there:
-        distinct = distinct.join(spark.read.schema(schema).parquet(place).select("mix_digest"), "mix_digest", "left_anti")
+    missing = None
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        stored = spark.read.schema(schema).parquet(place)
+        missing = cut(docs.select(digest.alias("digest")).distinct().join(stored, "digest", "left_anti"))
+        texts = texts.join(F.broadcast(missing) if missing.count() <= BROADCAST_DIGESTS else missing, "digest", "left_semi")
 
     def count(batches):
         import pyarrow as pa
 
         use = encoder(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(use.counts(batch.column(1).to_pylist()), pa.int64())], ["mix_digest", "mix_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(use.counts(batch.column(1)), pa.int64())], ["digest", "tokens"])
 
-    distinct.mapInArrow(count, schema).write.mode("append").parquet(place)
-    known = spark.read.schema(schema).parquet(place).dropDuplicates(["mix_digest"])
-    narrow = d.select(*docs.columns, F.octet_length("mix_text").cast("long").alias("mix_bytes"), "mix_digest")
-    out = narrow.join(known, "mix_digest")
-    return out.select(*[out[c] for c in docs.columns], F.col("mix_bytes").alias("n_bytes"), F.col("mix_tokens").alias("n_tokens"), (F.col("mix_tokens") > limit).alias("over_limit"))
+    texts.dropDuplicates(["digest"]).mapInArrow(count, schema).write.mode("append").parquet(place)
+    if missing is not None:
+        discard(missing)
+    known = spark.read.schema(schema).parquet(place).dropDuplicates(["digest"]).select(F.struct("digest", "tokens").alias("mix_known"))
+    outputs = "n_bytes", "n_tokens", "over_limit"
+    narrow = docs.select(*passed(docs, *outputs, "mix_digest", "mix_bytes", "mix_known"), F.octet_length(content).cast("long").alias("mix_bytes"), digest.alias("mix_digest"))
+    out = narrow.join(known, F.col("mix_digest") == F.col("mix_known.digest"))
+    n = F.col("mix_known.tokens")
+    return out.select(*passed(docs, *outputs, "mix_digest", "mix_bytes", "mix_known"), F.col("mix_bytes").alias("n_bytes"), n.alias("n_tokens"), (n > limit).alias("over_limit"))
 
 
-__all__ = ["Encoder", "encoder", "token_counts", "version"]
+__all__ = ["Encoder", "encoder", "splits_at_spaces", "token_counts", "version"]

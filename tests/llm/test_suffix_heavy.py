@@ -3,7 +3,7 @@
 import random
 
 from pyspark.sql import functions as F
-from test_operators import brute_repeats, docs_of
+from test_training_data import brute_repeats, docs_of
 
 from panelwright.llm import suffix
 

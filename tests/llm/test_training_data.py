@@ -78,20 +78,44 @@ def test_top_k_against_all_scores(spark):
     assert {g["query_id"] for g in got} == set(range(0, 400, 50))
 
 
-def test_cover_tree_bounds():
+def test_cover_tree_and_pruning():
+    """Every node covers its points, siblings' centres are apart, and clustered data leave most pairs unscored."""
     r = np.random.default_rng(2)
-    x = np.vstack([r.standard_normal((3, 4))[i % 3] * 10 + r.standard_normal(4) * 0.1 for i in range(900)])
-    root = topk.cover_tree(x)
-    assert root.children
-
-    def walk(n):
-        assert (np.linalg.norm(x[n.points] - n.center, axis=1) <= n.radius + 1e-9).all()
-        if n.children:
-            assert sorted(np.concatenate([c.points for c in n.children])) == sorted(n.points)
-            for c in n.children:
-                walk(c)
-
-    walk(root)
+    centers = r.standard_normal((60, 16)) * 10
+    x = np.vstack([centers, centers[r.integers(0, 60, 6000)] + r.standard_normal((6000, 16)) * 0.3, np.repeat(centers[:1], 100, 0)])
+    tree = topk.Tree(x, np.arange(len(x)))
+    assert sorted(tree.ids) == list(range(len(x))) and (tree.first < tree.last).sum() > 5
+    for a in range(len(tree.lo)):
+        assert (np.linalg.norm(tree.x[tree.lo[a] : tree.hi[a]] - tree.center[a], axis=1) <= tree.radius[a] + 1e-9).all()
+        own = np.arange(tree.first[a], tree.last[a])
+        if len(own):
+            assert tree.lo[own[0]] == tree.lo[a] and tree.hi[own[-1]] == tree.hi[a] and (tree.lo[own[1:]] == tree.hi[own[:-1]]).all()
+            apart = np.linalg.norm(tree.center[own][:, None] - tree.center[own][None], axis=2)[~np.eye(len(own), dtype=bool)]
+            assert apart.min() > tree.radius[a] / topk.SHRINK - 1e-6 and (tree.radius[own] <= tree.radius[a] / topk.SHRINK + 1e-6).all()
+    q = topk.Tree(x[::50], np.arange(0, len(x), 50), topk.QUERY_LEAF)
+    found = topk.Search(q, topk.Tree.load(tree.dump()), 5)
+    assert found.scored < 0.5 * len(q.x) * len(x)
+    s = q.x @ x.T
+    s[np.arange(len(q.x)), q.ids] = -np.inf
+    assert np.allclose(found.score, -np.sort(-s, 1)[:, :5])
+    even = np.random.default_rng(3).standard_normal((2000, 64))  # evenly spread points still make a tree of several levels
+    assert len(topk.Tree(even, np.arange(2000)).lo) > 30
+
+
+def test_top_k_over_several_blocks(spark, monkeypatch):
+    """Pivots, salted blocks, repeated rows and blocks that are never met."""
+    monkeypatch.setattr(topk, "DATA_BLOCK", 150)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    r = np.random.default_rng(5)
+    v = np.vstack([r.standard_normal((400, 6)) * 0.1 + c for c in (5 * np.eye(6))[:3]] + [np.ones((300, 6))])
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(50, v[50].tolist())] * 3
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    e, ids = np.floor(256 * np.array([x for _, x in rows])), np.array([i for i, _ in rows])
+    for q in range(0, len(v), 50):
+        s = e @ np.floor(256 * v[q])
+        want = sorted((-int(a), int(i)) for a, i in zip(s, ids, strict=True) if i != q)[:5]
+        assert [(-x["score"], x["vec_id"]) for x in sorted((g for g in got if g["query_id"] == q), key=lambda g: g["rank"])] == want
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
 def test_toxicity_learns(spark):
@@ -135,6 +159,7 @@ def test_quality_learns(spark):
 
 def test_token_counts_and_cache(spark, texts, tmp_path):
     public = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     from panelwright.llm.tokens import Encoder, token_counts
@@ -142,9 +167,13 @@ def test_token_counts_and_cache(spark, texts, tmp_path):
     path = public.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
     odd = ["a   b", "x\n y", " lead", "trail ", "it's  'll don't", "<|endoftext|> foo <|endoftext|>", "a b c", "tab\tx \t y", "\n\n a", "\x1c b\x85 c", "  two  lead", "don 't"]
-    small = Encoder(path, remembered=3)
+    small = Encoder(path)
+    together = small.flat(pa.array([*odd, None, "plain words"]))
+    assert together[0].tolist() == [i for o in [*odd, "", "plain words"] for i in t.encode(o, add_special_tokens=False).ids]
     for o in odd:
-        assert small.ids([o])[0].tolist() == t.encode(o, add_special_tokens=False).ids, repr(o)
+        assert small.flat(pa.array([o, o]))[0].tolist() == 2 * t.encode(o, add_special_tokens=False).ids, repr(o)
+    other = public.path("word_bpe_49k.json")  # its rules drop white space: whole texts are encoded
+    assert Encoder(other).counts(pa.array(odd)).tolist() == [len(Tokenizer.from_file(other).encode(o, add_special_tokens=False).ids) for o in odd]
     d = docs_of(spark, [*texts, *[(100 + i, o, "o") for i, o in enumerate(odd)], (1, texts[1][1], "again")]).withColumn("n_tokens_before", F.lit(1))
     want = Counter((i, len(t.encode(x or "", add_special_tokens=False).ids), len((x or "").encode())) for i, x in [(r["doc_id"], r["text"]) for r in d.collect()])
     for _ in range(2):  # the second time everything is in the cache
@@ -152,7 +181,7 @@ def test_token_counts_and_cache(spark, texts, tmp_path):
         assert Counter((r["doc_id"], r["n_tokens"], r["n_bytes"]) for r in got.collect()) == want
         assert all(r["over_limit"] == (r["n_tokens"] > 512) for r in got.collect())
     stored = spark.read.parquet(str(tmp_path / "cache"))
-    assert stored.count() == stored.select("mix_digest").distinct().count() == d.select(F.coalesce("text", F.lit(""))).distinct().count()
+    assert stored.count() == stored.select("digest").distinct().count() == d.select(F.coalesce("text", F.lit(""))).distinct().count()
 
 
 def brute_repeats(rows):
@@ -192,6 +221,32 @@ def test_previous_factors_masks():
     assert mask.tolist() == [(1 << 21) - 1, 0]
 
 
+def test_longest_previous_factors_against_plain():
+    """Against comparing each string with every string of a smaller document; below 50 bytes only that it is below."""
+    r = random.Random(11)
+    for _ in range(20):
+        stock = [bytes(r.choice(b"ab") for _ in range(120)) for _ in range(3)]
+        runs = []
+        for _ in range(12):
+            s = bytearray(r.choice(stock))
+            for _ in range(r.randint(0, 3)):
+                s[r.randrange(120)] ^= 3
+            a = r.randint(0, 40)
+            runs.append(bytes(s[a : a + r.randint(50, 80)]))
+        strings = np.array([len(x) - 49 for x in runs])
+        first = np.array([r.randint(0, 6) for _ in runs])
+        content, at = np.frombuffer(b"".join(runs), np.uint8), np.cumsum([0, *map(len, runs)])[:-1]
+        run, i, _, order, lcp = suffix._ordered(content, at, strings)
+        got = suffix.longest_previous_factors(first[run][order], lcp)
+        text = [runs[a][b : b + 50] for a, b in zip(run[order], i[order], strict=True)]
+        document = first[run][order]
+        common = lambda x, y: next((k for k in range(50) if x[k] != y[k]), 50)
+        assert text == sorted(text) and lcp.tolist() == [0, *[common(x, y) for x, y in zip(text[:-1], text[1:], strict=True)]]
+        plain = [max([common(x, y) for y, e in zip(text, document, strict=True) if e < d], default=0) for x, d in zip(text, document, strict=True)]
+        assert [min(g, 49) if p < 50 else g for g, p in zip(got.tolist(), plain, strict=True)] == [g if p < 50 else 50 for g, p in zip(got.tolist(), plain, strict=True)]
+        assert [g >= 50 for g in got] == [p >= 50 for p in plain] and any(p >= 50 for p in plain)
+
+
 def brute_classes(rows):
     bags = {}
     for i, t in rows:
@@ -269,6 +324,48 @@ def test_packing_invariants(spark, texts):
     assert packing.pack(docs_of(spark, []).withColumn("size", F.lit(1))).count() == 0
 
 
+def least_capacity(sizes, lengths):
+    """The least total capacity, over all ways to part the sizes."""
+    import functools
+
+    cap = lambda total: next((c for c in lengths if c >= total), None)
+
+    @functools.cache
+    def rest(mask):
+        if not mask:
+            return 0
+        low, others = mask & -mask, mask & (mask - 1)
+        best, sub = None, others
+        while True:  # every set with the first item
+            c = cap(sum(x for i, x in enumerate(sizes) if (low | sub) >> i & 1))
+            if c is not None:
+                total = c + rest(others & ~sub)
+                best = total if best is None else min(best, total)
+            if not sub:
+                return best
+            sub = (sub - 1) & others
+
+    return rest((1 << len(sizes)) - 1)
+
+
+def test_packing_lengths_are_chosen_together():
+    r = random.Random(8)
+    lengths = [512, 1024, 2048, 4096]
+    got = want = 0
+    for _ in range(60):
+        sizes = sorted((r.choice([r.randint(1, 4096), r.randint(1, 1100), 1000]) for _ in range(r.randint(3, 8))), reverse=True)
+        place, capacity = packing.best_fit(sizes, lengths, 16)
+        assert all(sum(n for n, (b, _) in zip(sizes, place, strict=True) if b == k) <= c for k, c in enumerate(capacity))
+        got, want = got + sum(capacity), want + least_capacity(tuple(sizes), lengths)
+    assert got <= 1.02 * want
+    # lengths that don't divide each other: what fills one well leaves room in another
+    sizes = sorted((r.choice([r.randint(1400, 1530), r.randint(1400, 1530), r.randint(2500, 4000), r.randint(20, 100)]) for _ in range(5000)), reverse=True)
+    place, capacity = packing.best_fit(sizes, [600, 1536, 4096], 16)
+    _, alone = packing.best_fit(sizes, [4096], 16)
+    used = Counter(capacity)
+    assert sum(capacity) < 0.99 * sum(alone) and len([c for c in used if used[c] > 10]) >= 2, used
+
+
 def test_embeddings_against_all_pairs(spark):
     r = np.random.default_rng(6)
     v = r.standard_normal((250, 16))
@@ -292,12 +389,36 @@ def test_embeddings_against_all_pairs(spark):
 
 def test_blocks_round_trip():
     r = np.random.default_rng(0)
-    for sizes in ([1], [300, 1, 77, 300], [2000] * 5):
-        ids = (r.zipf(1.4, sum(sizes)) % 50257).astype(np.uint32)
-        blocks = idfile.encode_blocks(ids, np.array(sizes), 16)
-        assert (idfile.decode_blocks(blocks, np.array(sizes), 16) == ids).all()
-    same = idfile.encode_blocks(np.tile(np.arange(50, dtype=np.uint32), 200), np.array([10000]), 16)
-    assert sum(len(a) + len(b) for a, b in same) < 2000  # what repeats costs next to nothing
+    for n, vocabulary in ((1, 5), (2, 50257), (127, 300), (129, 50257), (5000, 50257), (40_000, 200_000)):
+        for ids in ((r.zipf(1.4, n) % vocabulary).astype(np.int32), r.integers(0, vocabulary, n).astype(np.int32), np.full(n, vocabulary - 1, np.int32)):
+            assert (idfile.decode_block(idfile.encode_block(ids, vocabulary), n, vocabulary) == ids).all()
+    same = idfile.encode_block(np.tile(np.arange(50, dtype=np.int32), 2000), 50257)
+    assert len(same) < 12_000  # what repeats costs about a bit an id, half of it the lanes' ends
+
+
+def test_blocks_beat_frequencies():
+    """Contexts must pay: ids drawn from a chain cost less than their order-0 entropy, and ids drawn alone little more."""
+    r = np.random.default_rng(1)
+    n, v = 200_000, 400
+    follow = r.integers(0, v, (v, 2))
+    ids = np.zeros(n, np.int32)
+    for i in range(1, n):
+        ids[i] = follow[ids[i - 1], int(r.random() < 0.2)]
+    alone = (r.zipf(1.3, n) % v).astype(np.int32)
+    for x, most in ((ids, 0.45), (alone, 1.08)):
+        p = np.bincount(x)[np.unique(x)] / n
+        assert len(idfile.encode_block(x, v)) * 8 / n < most * -(p * np.log2(p)).sum()
+
+
+def test_damaged_blocks_are_refused(spark, tmp_path):
+    public = pytest.importorskip("public_tokenizers")
+    idfile.write_ids(docs_of(spark, [(i, f"some words {i} and more", "s") for i in range(50)]), public.path("byte_bpe_50k.json"), str(tmp_path / "a"))
+    rows = [r.asDict() for r in spark.read.parquet(str(tmp_path / "a")).collect()]
+    for harm in (lambda c: c[:-2], lambda c: c[:40] + bytes([c[40] ^ 64]) + c[41:]):
+        place = str(tmp_path / f"b{len(harm(bytes(50)))}")
+        spark.createDataFrame([{**r, "coded": bytearray(harm(bytes(r["coded"])))} for r in rows], idfile.FILE).write.parquet(place)
+        with pytest.raises(Exception, match="checksum|length"):
+            idfile.read_ids(spark.range(1), place).collect()
 
 
 def test_crc32_joined():
@@ -305,7 +426,9 @@ def test_crc32_joined():
         assert idfile.crc32_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
 
 
-def test_id_files_against_the_library(spark, texts, tmp_path):
+def test_id_files_against_the_library(spark, texts, tmp_path, monkeypatch):
+    monkeypatch.setattr(idfile, "BLOCK", 5000)  # the longest text spans blocks
+    monkeypatch.setattr(idfile, "PART", 20_000)
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
