@@ -16,8 +16,10 @@ from panelwright.llm.vectors import by_dimension, usable
 DEVIATIONS = 5.0
 #: Chance that no table brings together two vectors just at the threshold.
 MISS = 1e-5
-#: Rows of a bucket that one comparison takes at a time, and of all buckets of a task.
-BLOCK, TASK = 1024, 16_384
+#: Rows of a bucket that the tables aim at; of a bucket's block, and of all buckets of a task.
+BUCKET, BLOCK, TASK = 512, 2048, 65_536
+#: Buckets of more than BLOCK rows whose sizes are broadcast at most (16 bytes each); beyond, a join deals the rows.
+BROADCAST_BUCKETS = 200_000
 #: Pairs that are computed exactly at a time.
 PAIRS = 1 << 16
 
@@ -30,8 +32,8 @@ def rotation(d: int, k: int) -> np.ndarray:
 
 
 def tables(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
-    """(bits of a bucket's name, tables): about 32 rows a bucket, and so many tables that a pair at the threshold meets in one but for `miss`."""
-    bits = int(min(24, max(4, round(math.log2(max(1, n) / 32)))))
+    """(bits of a bucket's name, tables): about BUCKET rows a bucket, and so many tables that a pair at the threshold meets in one but for `miss`."""
+    bits = int(min(24, max(4, round(math.log2(max(1, n) / BUCKET)))))
     meet = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(miss) / math.log1p(-meet)))
 
@@ -43,26 +45,61 @@ def keys(u: np.ndarray, bits: int, n: int) -> np.ndarray:
     return (signs.reshape(len(u), n, bits) @ (1 << np.arange(bits))).astype(np.int32)
 
 
-def encode(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code (the signs after rotation 0, as +-1) and correction factor of each unit vector: the inner product of the vector with its own code's direction."""
-    r = u @ rotation(u.shape[1], 0)
-    code = np.where(r > 0, 1.0, -1.0)
-    return code, (r * code).sum(1) / math.sqrt(u.shape[1])
+def code_type(d: int) -> np.dtype:
+    """What is stored of a vector of d dimensions: the signs after rotation 0, its components there in four bits as planes, their least value and step, and the correction factor."""
+    words = -(-d // 64)
+    return np.dtype([("signs", "<u8", words), ("planes", "<u8", (4, words)), ("least", "<f4"), ("step", "<f4"), ("factor", "<f4")])
 
 
-def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of x and y with cosine >= threshold.
+def encode(u: np.ndarray) -> np.ndarray:
+    """The code of each unit vector. The factor is the inner product of the vector with its signs' direction."""
+    n, d = u.shape
+    out = np.zeros(n, code_type(d))
+    r = u @ rotation(d, 0)
+
+    def packed(bits):
+        raw = np.zeros((n, 8 * out["signs"].shape[1]), np.uint8)
+        raw[:, : -(-d // 8)] = np.packbits(bits, axis=1, bitorder="little")
+        return raw.view("<u8")
+
+    out["signs"], out["factor"] = packed(r > 0), np.abs(r).sum(1) / math.sqrt(d)
+    out["least"] = r.min(1)
+    out["step"] = np.maximum((r.max(1) - out["least"]) / 15, 1e-9)
+    # rounding up or down at random, by the component's own constant, leaves sums without bias
+    q = np.floor((r - out["least"][:, None]) / out["step"][:, None] + np.random.default_rng([12, d]).random(d)).clip(0, 15).astype(np.uint8)
+    for b in range(4):
+        out["planes"][:, b] = packed(q >> b & 1)
+    return out
+
 
-    <code, y> / factor estimates <x, y> without bias; its error is about sqrt((1 - f^2) / (f^2 (d - 1))).
-    Pairs whose upper bound is below the threshold are left out, the others are computed in double precision.
+def estimate(x: np.ndarray, y: np.ndarray, d: int) -> np.ndarray:
+    """Unbiased estimates of the inner products of x's vectors with y's: x's signs with y's components, by counting bits, over x's factor."""
+    of_x, of_y = np.bitwise_count(x["signs"]).sum(1, dtype=np.float64), np.bitwise_count(y["planes"]).sum(2, dtype=np.float64) @ [1, 2, 4, 8]
+    both = np.zeros((len(x), len(y)), np.int32)
+    for b in range(4):
+        for w in range(x["signs"].shape[1]):
+            both += np.bitwise_count(x["signs"][:, w, None] & y["planes"][None, :, b, w]).astype(np.int32) << b
+    least, step = y["least"].astype(np.float64), y["step"].astype(np.float64)
+    return (2 * (np.outer(of_x, least) + both * step) - (d * least + step * of_y)) / (math.sqrt(d) * x["factor"].astype(np.float64)[:, None])
+
+
+def open_pairs(x: np.ndarray, y: np.ndarray, d: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose inner product may reach the threshold.
+
+    For two unit vectors with inner product p the estimate's error comes from the part of y that is
+    orthogonal to x, of length sqrt(1 - p^2), and has deviation sqrt((1 - f^2) (1 - p^2) / (f^2 (d - 1)));
+    rounding to four bits adds at most step / (2 f). A pair at the threshold or above lies within DEVIATIONS
+    of these, and up to 26 dimensions always.
     """
+    f = x["factor"].astype(np.float64)[:, None]
+    spread = np.maximum(0, 1 - f * f) * max(0.0, 1 - threshold * threshold) / max(1, d - 1) + y["step"].astype(np.float64) ** 2 / 4
+    return np.nonzero(estimate(x, y, d) + DEVIATIONS * np.sqrt(spread) / f + 1e-6 >= threshold)
+
+
+def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of x and y with cosine >= threshold, in double precision."""
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-    u, w = x / nx[:, None], y / ny[:, None]
-    d = x.shape[1]
-    code, f = encode(u)
-    estimate = (code @ (w @ rotation(d, 0)).T) / (math.sqrt(d) * f[:, None])
-    error = np.sqrt(np.maximum(0, 1 - f * f) / (f * f * max(1, d - 1)))
-    i, j = np.nonzero(estimate + DEVIATIONS * error[:, None] >= threshold)
+    i, j = np.nonzero((x / nx[:, None]) @ (y / ny[:, None]).T >= threshold - 1e-9)
     exact = np.zeros(len(i), bool)
     for k in range(0, len(i), PAIRS):
         a, b = i[k : k + PAIRS], j[k : k + PAIRS]
@@ -78,8 +115,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     vectors, those with null or non-finite components, and those of another dimension link with nothing. A
     row without an id has no links, a null component, and is kept. Only vec_id and embedding are read.
 
-    Equal vectors are one class with a count. Classes go to buckets of several tables by signs after random
-    rotations; a pair of classes counts in the first table where it meets, so counts are sums over tasks.
+    Equal vectors are one class with a count. A class is coded once: the signs of its rotated direction, its
+    components there in four bits, and a correction factor, 52 bytes for 64 dimensions. Classes go to
+    buckets of several tables by signs after random rotations, with their codes alone. There the estimates
+    and their bounds leave pairs open; the vectors of the rows in open pairs follow, and these pairs are
+    computed. A pair of classes counts in the first table where it meets, so counts are sums over tasks.
     Buckets of more than BLOCK rows are split into pairs of blocks. A task returns one row for each of its
     classes: links found, and the least class it is connected with inside the bucket, so a large cluster
     costs rows, not pairs.
@@ -87,7 +127,6 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     own = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     ok = usable(F.col("embedding")) & F.exists("embedding", lambda x: x != 0)
     single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"  # then four bytes a component lose nothing
-    kind = np.float32 if single else np.float64
     own = own.withColumn("embedding", F.when(ok, F.col("embedding") if single else F.col("embedding").cast("array<double>")))
     good = own.where(F.col("embedding").isNotNull())
     classes = cut(good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("m")))
@@ -98,37 +137,66 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
 
         for batch in batches:
             for at, x in by_dimension(batch.column(0)):
-                k = keys(x / np.linalg.norm(x, axis=1)[:, None], bits, n)
-                ids, m = np.asarray(batch.column(1))[at], np.asarray(batch.column(2))[at]
-                rows = np.arange(len(x))
-                raw = [r.tobytes() for r in x.astype(kind)]
+                u = x / np.linalg.norm(x, axis=1)[:, None]
+                k, ids = keys(u, bits, n), pa.array(np.asarray(batch.column(1))[at])
+                raw = pa.array([r.tobytes() for r in encode(u)], pa.binary())
                 for t in range(n):
-                    yield pa.RecordBatch.from_arrays([pa.array((np.int64(x.shape[1]) << 44) + (np.int64(t) << 32) + k[:, t]), pa.array(ids[rows]), pa.array(m[rows]), pa.array(raw, pa.binary())], ["bucket", "id", "m", "x"])
+                    yield pa.RecordBatch.from_arrays([pa.array((np.int64(x.shape[1]) << 44) + (np.int64(t) << 32) + k[:, t]), ids, raw], ["bucket", "id", "code"])
 
-    rows = classes.mapInArrow(dealt, "bucket long, id long, m long, x binary")
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    rows = rows.join(sizes, "bucket")
-    blocks = (F.col("size") / BLOCK).cast("int") + 1
+    rows = classes.select("embedding", "id").mapInArrow(dealt, "bucket long, id long, code binary")
+    sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK))
+    rows = rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_BUCKETS else sizes, "bucket", "left")
+    blocks = F.coalesce((F.col("size") / BLOCK).cast("int"), F.lit(0)) + 1
     rows = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("mine")) * F.col("blocks") + F.greatest(o, F.col("mine")))
     rows = rows.withColumn("pair", F.explode(pair)).drop("size")
     tasks = max(1, classes.count() * n // TASK)
-    rows = rows.withColumn("task", F.pmod(F.xxhash64("bucket", "pair"), F.lit(tasks)))
+    task = F.pmod(F.xxhash64("bucket", "pair"), F.lit(tasks))
+
+    def ends(bucket: np.ndarray, pair: np.ndarray):
+        edge = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (pair[1:] != pair[:-1]), True])
+        return zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)
+
+    def sides(pair: int, blocks: int, mine: np.ndarray):
+        """Rows of the two blocks that meet, and whether they are one."""
+        return np.flatnonzero(mine == pair // blocks), np.flatnonzero(mine == pair % blocks), pair // blocks == pair % blocks
+
+    def sift(t):
+        t = t.sort_by([("bucket", "ascending"), ("pair", "ascending"), ("id", "ascending")])
+        bucket, pair, blocks, mine = (np.asarray(t[c]) for c in ("bucket", "pair", "blocks", "mine"))
+        raw = t["code"].to_pylist()
+        keep = np.zeros(len(bucket), bool)
+        for a, b in ends(bucket, pair):
+            d = int(bucket[a] >> 44)
+            code = np.frombuffer(b"".join(raw[a:b]), code_type(d))
+            one, two, same = sides(pair[a], blocks[a], mine[a:b])
+            for k in range(0, len(one), 1024):
+                i, j = open_pairs(code[one[k : k + 1024]], code[two], d, threshold)
+                i, j = one[k : k + 1024][i], two[j]
+                if same:
+                    i, j = i[i != j], j[i != j]
+                keep[a + i] = keep[a + j] = True
+        return t.drop(["code", "task"]).filter(keep)
+
+    opened = rows.withColumn("task", task).groupBy("task").applyInArrow(sift, "bucket long, id long, blocks int, mine int, pair int")
+    vector = classes.select("id", "m", "embedding")
+    rows = opened.join(vector, "id").withColumn("task", task)
 
     def compare(t):
         import pyarrow as pa
 
         t = t.sort_by([("bucket", "ascending"), ("pair", "ascending"), ("id", "ascending")])
         bucket, pair, blocks, mine, ids, m = (np.asarray(t[c]) for c in ("bucket", "pair", "blocks", "mine", "id", "m"))
-        raw = t["x"].to_pylist()
-        edge = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (pair[1:] != pair[:-1]), True])
+        row, matrix = np.zeros(len(bucket), np.int64), {}
+        for at, x in by_dimension(t["embedding"]):
+            row[at], matrix[x.shape[1]] = np.arange(len(at)), x
         out = [[], [], []]
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
-            x = np.frombuffer(b"".join(raw[a:b]), kind).reshape(b - a, -1).astype(np.float64)
-            one, two = np.flatnonzero(mine[a:b] == pair[a] // blocks[a]), np.flatnonzero(mine[a:b] == pair[a] % blocks[a])
+        for a, b in ends(bucket, pair):
+            x = matrix[int(bucket[a] >> 44)][row[a:b]]
+            one, two, same = sides(pair[a], blocks[a], mine[a:b])
             i, j = linked(x[one], x[two], threshold)
             i, j = one[i], two[j]
-            keep = i < j if pair[a] // blocks[a] == pair[a] % blocks[a] else slice(None)
+            keep = i < j if same else slice(None)
             i, j = i[keep], j[keep]
             t_no = int(bucket[a] >> 32) & 0xFFF
             if t_no and len(i):  # counted already where they met before
