@@ -8,9 +8,9 @@ have equal names wherever they stand.
 1. Documents are packed, whole record batches, into chunks of a few MB, and every chunk lists the names
    that it holds. Names that a second chunk or document holds are sent back to the chunks.
 2. Each chunk sends the runs of such names, once for each content with its smallest document.
-3. By name, the strings of those runs are put in suffix order. Among neighbours that agree in LENGTH bytes,
-   the longest previous factor with a smaller document is at least LENGTH where the previous or the next
-   smaller document exists. The answers go back to the chunks, which cut their texts.
+3. By name, the strings of those runs are put in suffix order, with the common prefixes of neighbours. The
+   previous and the next smaller document of each place give its longest previous factor; where that has
+   LENGTH bytes the string goes. The answers go back to the chunks, which cut their texts.
 
 A short phrase that is frequent in different surroundings gives one name many runs without any repeat of
 LENGTH bytes. Parts of step 3 that come out heavy are therefore dealt anew, string by string, by a hash of
@@ -87,7 +87,7 @@ def _gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarr
 
 
 def _ordered(content: np.ndarray, offsets: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The strings of all runs: (run, place in the run, a hash of all LENGTH bytes, suffix order, whether the order's next string is another one)."""
+    """The strings of all runs: (run, place in the run, a hash of all LENGTH bytes, suffix order, common prefix of each in that order with the one before it, up to LENGTH)."""
     run = np.repeat(np.arange(len(strings)), strings)
     i = np.arange(len(run)) - np.repeat(np.cumsum(strings) - strings, strings)
     at = offsets[run] + i
@@ -98,30 +98,49 @@ def _ordered(content: np.ndarray, offsets: np.ndarray, strings: np.ndarray) -> t
         words = (words << np.uint64(8)) | padded[b : b + len(words)]
     columns = [words[at + 8 * j] for j in range(LENGTH // 8)] + [words[at + LENGTH - 8]]
     order = np.lexsort(columns[::-1])
-    new = np.zeros(len(order), bool)
-    if len(order):
-        new[0] = True
-        for c in columns:
-            s = c[order]
-            new[1:] |= s[1:] != s[:-1]
+    lcp = np.zeros(len(order), np.int64)
+    same = np.ones(max(0, len(order) - 1), bool)
+    for j, c in enumerate(columns):
+        s = c[order]
+        x = s[1:] ^ s[:-1]
+        end = np.flatnonzero(same & (x != 0))  # the first word that differs, and in it the bytes before that
+        lcp[end + 1] = (8 * j if j < LENGTH // 8 else LENGTH - 8) + sum((x[end] < np.uint64(1 << k)).astype(np.int64) for k in range(8, 64, 8))
+        same[end] = False
+    lcp[1:][same] = LENGTH
     h = np.zeros(len(order), np.uint64)
     for c in columns:
         h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + c)
-    return run, i, h, order, new
+    return run, i, h, order, lcp
 
 
-def previous_factors(content: np.ndarray, offsets: np.ndarray, strings: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each run the mask of its strings (bit i: the i-th) that also start in a document before `first`.
+def _nearest_smaller(document: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each place of a suffix order the common prefix with the nearest earlier place whose document is smaller; exact where it is at least LENGTH, less than LENGTH otherwise.
 
-    The strings of all runs are sorted as suffixes cut at LENGTH; runs of the order with equal strings are
-    where neighbours' common prefixes reach LENGTH, and the previous and next smaller documents exist just
-    where the least document of that stretch is smaller.
+    All places follow their links at once: from a place with no smaller document to where that one's link
+    already leads, as everything between holds none smaller either. A link carries the least common prefix
+    on its way, and is given up once that is below LENGTH.
     """
-    run, i, _, order, new = _ordered(content, offsets, strings)
-    group = np.cumsum(new) - 1
-    document = first[run][order]
-    least = np.minimum.reduceat(document, np.flatnonzero(new)) if len(order) else document
-    hit = order[least[group] < document]
+    to, least = np.arange(len(document)) - 1, lcp.copy()
+    active = np.flatnonzero(least >= LENGTH)
+    while True:
+        active = active[document[to[active]] >= document[active]]
+        if not len(active):
+            return least
+        least[active], to[active] = np.minimum(least[active], least[to[active]]), to[to[active]]
+        active = active[least[active] >= LENGTH]
+
+
+def longest_previous_factors(document: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """The longest-previous-factor array in suffix order: how much of each string also starts in a smaller document, from the nearest smaller document before and after it. Exact where it is at least LENGTH, which lcp is cut at."""
+    before = _nearest_smaller(document, lcp)
+    after = _nearest_smaller(document[::-1], np.r_[0, lcp[:0:-1]])[::-1] if len(lcp) else before
+    return np.maximum(before, after)
+
+
+def previous_factors(content: np.ndarray, offsets: np.ndarray, strings: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each run the mask of its strings (bit i: the i-th) whose longest previous factor, in documents before `first`, has LENGTH bytes."""
+    run, i, _, order, lcp = _ordered(content, offsets, strings)
+    hit = order[longest_previous_factors(first[run][order], lcp) >= LENGTH]
     mask = np.zeros(len(strings), np.uint64)
     np.bitwise_or.at(mask, run[hit], np.uint64(1) << i[hit].astype(np.uint64))
     return mask
@@ -302,9 +321,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 strings = np.frombuffer(r["strings"], np.uint8).astype(np.int64)
                 start, first, content = np.frombuffer(r["start"], np.uint32), np.frombuffer(r["first"], np.int64), np.frombuffer(r["content"], np.uint8)
                 at = np.cumsum(strings + LENGTH - 1) - (strings + LENGTH - 1)
-                run, i, h, order, new = _ordered(content, at, strings)
-                document = first[run][order]
-                again = np.minimum.reduceat(document, np.flatnonzero(new))[np.cumsum(new) - 1] < document
+                run, i, h, order, lcp = _ordered(content, at, strings)
+                again = longest_previous_factors(first[run][order], lcp) >= LENGTH
                 place = (start[run] + i).astype(np.uint32)
                 rows = []
                 if again.any():
