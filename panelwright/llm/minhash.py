@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import components, cut, least_labels, mix64, slices, text_buffers
@@ -255,7 +255,7 @@ def _crossing(members: DataFrame, texts: DataFrame, deals: int, least: float) ->
     of its own, so no task holds more than two blocks. Signatures first leave the rows with a likely
     partner; only those are sent again with their texts, compared in the task, and give one link a row.
     """
-    members = members.withColumn("blocks", (F.count("*").over(Window.partitionBy("band")) / BLOCK).cast("int") + 1)
+    members = members.withColumn("blocks", (F.col("n") / BLOCK).cast("int") + 1)
     members = members.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
     dealt = members.withColumn("pair", F.explode(pair)).select("band", "slot", "pair.i", "pair.j", "mine", "doc_id", "component", "signature", "names")
@@ -271,7 +271,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     Similarity is the weighted Jaccard similarity of the multisets of five-word shingles; words are what
     ASCII white space separates, as they stand. A document of fewer than five words is one shingle; one
     without words is like no other. Equal texts with words are in one class. A null id is a document of its
-    own with a null class, and is kept; rows that repeat an id repeat its row. Only doc_id and text are read.
+    own with a null class, and is kept. Rows of one id are one document: they repeat its row, and where
+    their texts differ, what is similar to any of them is in its class. Only doc_id and text are read; an
+    empty table gives no rows.
 
     Equal texts are reduced to their smallest id first. Then each bucket links all members to its smallest;
     those pairs are recomputed from the texts and give first groups. In buckets that still hold several
@@ -284,18 +286,21 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     words = sig.where(F.col("signature").isNotNull())
     first = cut(words.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("signature").alias("signature"), F.min("bands").alias("bands"), F.min("names").alias("names")))
     bands = first.select(F.col("first").alias("doc_id"), F.posexplode("bands").alias("slot", "h")).select("doc_id", "slot", F.xxhash64("slot", "h").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "low")
+    shared = bands.groupBy("band").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1")
     members = cut(bands.join(shared, "band"))
     star = cut(members.where("low <> doc_id").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct())
     some = members.select("doc_id").distinct()
-    texts = cut(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    links = cut(_verified(star, texts, least))
+    texts = cut(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    # An id with several texts ties them together.
+    several = words.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
+    tied = words.select("doc_id", "digest").join(several, "doc_id", "left_semi").join(first.select("digest", "first"), "digest").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    links = cut(_verified(star, texts, least).unionByName(tied))
     groups = cut(components(links))
-    labelled = members.join(groups, members.doc_id == groups.id, "left").select("band", "slot", members.doc_id, F.coalesce("component", "doc_id").alias("component"))
+    labelled = members.join(groups, members.doc_id == groups.id, "left").select("band", "n", "slot", members.doc_id, F.coalesce("component", "doc_id").alias("component"))
     mixed = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
     sigs = first.select(F.col("first").alias("doc_id"), "signature", "names")
     more = cut(_crossing(labelled.join(mixed, "band", "left_semi").join(sigs, "doc_id"), texts, 16 + members.count() // 8192, least))
-    groups = components(links.unionByName(more))
+    groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     of_text = first.join(groups, first["first"] == groups.id, "left").select("digest", F.coalesce("component", "first").alias("class_id"))
     out = sig.join(of_text, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
