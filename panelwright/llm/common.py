@@ -89,6 +89,12 @@ def passed(df: DataFrame, *outputs: str) -> list[Column]:
     return [column(c) for c in df.columns if c.lower() not in taken]
 
 
+def masked(df: DataFrame, *outputs: str) -> tuple[list[Column], list[Column]]:
+    """(df's columns that no output replaces under plain names, the same columns back under their own), so that an operator's own names can't clash with them."""
+    names = [c for c in df.columns if c.lower() not in {o.lower() for o in outputs}]
+    return [column(c).alias(f"mix_c{i}") for i, c in enumerate(names)], [F.col(f"mix_c{i}").alias(c) for i, c in enumerate(names)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

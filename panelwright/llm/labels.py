@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.common import held_out
 
-#: Up to so many labelled rows (16 bytes each) are broadcast; beyond, both sides are dealt by doc_id.
-BROADCAST_ROWS = 1_000_000
+#: Up to so many labelled rows (about 100 bytes each in memory) are broadcast; beyond, both sides are dealt by doc_id.
+BROADCAST_ROWS = 200_000
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, column: str, most: int = BROADCAST_ROWS) -> DataFrame:

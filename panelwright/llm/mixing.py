@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import cut
+from panelwright.llm.common import column, cut, masked
 
 #: Copies are counted in units of 2**-24, so that sums of expected copies are exact in longs.
 UNIT = 1 << 24
@@ -48,14 +48,16 @@ def mix(docs: DataFrame, size: str = "size", seed: int = 0, weights: tuple[int,
 
     Null sources form one source, null ids stand first, repeated rows are separate documents, empty
     documents take part with size 0, an empty table gives an empty table. Extra columns pass through,
-    whatever their names, as long as they do not start with "mix_".
+    whatever their names; an output replaces an input column of its name.
 
     No task gets a source: ranks are made of counts by (source, size), counts by (source, size, bucket of
     65,536 by the id's digest) and a row number within such a bucket, so a source with a third of all rows,
     or one size that they all share, is dealt out by bucket.
     """
+    hidden, shown = masked(docs, "source_size", "target", "copies")
+    docs = docs.select(*hidden, "doc_id", "source", column(size).alias("mix_units"))
     bucket = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 4)
-    d = docs.select("*", F.col("source").alias("mix_source"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("mix_size"), bucket.alias("mix_bucket"))
+    d = docs.select("*", F.col("source").alias("mix_source"), F.coalesce("mix_units", F.lit(0)).cast("long").alias("mix_size"), bucket.alias("mix_bucket"))
     cells = cut(d.groupBy("mix_source", "mix_size", "mix_bucket").agg(F.count("*").alias("mix_n")))
     of_size = cells.groupBy("mix_source", "mix_size").agg(F.sum("mix_n").alias("mix_n"))
     up_to = Window.unboundedPreceding, -1
@@ -75,4 +77,4 @@ def mix(docs: DataFrame, size: str = "size", seed: int = 0, weights: tuple[int,
     d = d.join(cells, same(d, cells, "mix_source", "mix_size", "mix_bucket")).drop(cells.mix_source).drop(cells.mix_size).drop(cells.mix_bucket)
     i = F.col("mix_first") + F.col("mix_row")
     crossed = F.shiftright(F.col("mix_start") + i * F.col("mix_step"), 24) - F.shiftright(F.col("mix_start") + (i - 1) * F.col("mix_step"), 24)
-    return d.select(*[d[c] for c in docs.columns], F.col("mix_total").alias("source_size"), F.col("mix_target").alias("target"), crossed.cast("long").alias("copies"))
+    return d.select(*shown, F.col("mix_total").alias("source_size"), F.col("mix_target").alias("target"), crossed.cast("long").alias("copies"))

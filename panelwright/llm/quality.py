@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import slices, text_buffers
+from panelwright.llm.common import masked, slices, text_buffers
 from panelwright.llm.labels import training_rows
 
 #: Bytes in a step, steps in half a chunk, sizes of the byte vectors and of the filter bank. A filter sees two steps, a chunk two halves; chunks overlap by half.
@@ -157,11 +157,13 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
     Learns from at most 1,500 documents of each class of labels.quality whose id's crc32 mod 5 is not 0
     (the class shares come from all of those); every text is scored whole. A null text is an empty one and
     has the score of a chunk of padding. Without labels of both classes every score is 0. Repeated rows
-    are scored alike; an empty table gives an empty table. Extra columns pass through.
+    are scored alike; an empty table gives an empty table. Extra columns pass through, whatever their
+    names; an output replaces an input column of its name.
     """
     net = fit(training_rows(docs, labels, "quality"))
+    hidden, shown = masked(docs, "score", "predicted")
     if net is None:
-        return docs.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return docs.select(*hidden).select(*shown, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     held = docs.sparkSession.sparkContext.broadcast(net)
 
     def score(batches):
@@ -172,6 +174,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
             keep = [i for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(held.value.scores(*text_buffers(batch.column(at))), pa.float64())], [*[batch.schema.names[i] for i in keep], "score"])
 
-    d = docs.select(*docs.columns, F.col("text").alias("mix_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return d.mapInArrow(score, ", ".join([*fields, "score double"])).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    d = docs.select(*hidden, F.col("text").alias("mix_text"))
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in d.schema if f.name != "mix_text"]
+    scored = d.mapInArrow(score, ", ".join([*fields, "score double"]))
+    return scored.select(*shown, "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

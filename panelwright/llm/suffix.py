@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import NULL_ID, cut, discard, mix64, text_buffers
+from panelwright.llm.common import NULL_ID, cut, discard, masked, mix64, text_buffers
 
 LENGTH, K = 50, 24
 #: Bytes of text in a chunk, and of all texts in a group of names.
@@ -235,8 +235,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     an id with the same text lose nothing to each other. Texts under 50 bytes stay. n_spans counts maximal
     removed runs; kept_sha256 is of the bytes left; kept_text is those as text (a character that loses some
     of its bytes is replaced by U+FFFD). An empty table gives an empty table. Extra columns pass through,
-    whatever their names, as long as they do not start with "mix_".
+    whatever their names; an output replaces an input column of its name.
     """
+    outputs = "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"
+    hidden, shown = masked(docs, *outputs, "text")
+    at = [c for c in docs.columns if c.lower() not in outputs].index("text")
+    out = _removed(docs.select("doc_id", "text", *hidden))
+    return out.select(*shown[:at], "text", *shown[at:], *outputs)
+
+
+def _removed(docs: DataFrame) -> DataFrame:
+    """remove_repeats() of doc_id, text and columns of plain names."""
     # The text is packed once; mix_null brings back which texts were null.
     others = [c for c in docs.columns if c != "text"]
     d = docs.select(*others, F.coalesce("text", F.lit("")).alias("mix_text"), F.col("text").isNull().alias("mix_null"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("mix_id"))

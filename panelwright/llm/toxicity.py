@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import cut, discard, mix64, slices, text_buffers
+from panelwright.llm.common import cut, discard, masked, mix64, slices, text_buffers
 from panelwright.llm.labels import training_rows
 from panelwright.llm.suffix import pack_rows, split
 
@@ -286,15 +286,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = BROADCAST_ENTRIES)
     those of remainder 4 only set the curve from the log ratio to a probability; remainder 0 is never
     read for labels. Texts are scored whole. Null and empty texts have ratio 0.
     Without labels of both classes every score is 0. Repeated rows are scored alike; an empty table gives
-    an empty table. Extra columns pass through. A model of over `most` entries is joined, not broadcast,
+    an empty table. Extra columns pass through, whatever their names; an output replaces an input column of
+    its name. A model of over `most` entries is joined, not broadcast,
     with the same scores.
     """
     train = training_rows(docs, labels, "toxic")
     model = fit(train.where("fold < 4"), most)
-    keep = [c for c in docs.columns]
+    hidden, shown = masked(docs, "score", "predicted")
     if model is None:
-        return docs.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return docs.select(*hidden).select(*shown, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     a, b = calibration(ratios(train.where("fold = 4"), model, "label"))
-    d = ratios(docs, model, *keep)
+    d = ratios(docs.select(*hidden, "text"), model, *[f"mix_c{i}" for i in range(len(hidden))])
     score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("mix_ratio"))))
-    return d.select(*keep, score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted"))
+    return d.select(*shown, score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted"))
