@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from panelwright.catalog import basics, books, formulas, judging, last, more, paper, relational, report_factors, rest
+from panelwright.catalog import basics, books, families, formulas, judging, last, more, paper, relational, report_factors, rest
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (basics, relational, judging, books, formulas, more, report_factors, rest, last, paper):
+for _part in (basics, relational, judging, books, formulas, more, report_factors, rest, last, paper, families):
     QUERIES |= _part.C.queries
     ORACLE_SQL |= _part.C.oracle

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from panelwright.shipping import ship
 
+#: Which orders make up the items of a quarter's statements.
+ITEMS = {"revenue": "true", "net_profit": "o_orderstatus = 'F'", "operate_cf": "o_orderpriority = '1-URGENT'", "debt": "o_orderpriority = '2-HIGH'", "fees": "o_orderpriority = '4-NOT SPECIFIED'", "cost": "o_orderpriority = '5-LOW'"}
+
 VIEWS = {
     "bars": """SELECT code, date, (high + low) / 2 AS open, high, low, cents / vol / 100 AS close, vol, amount FROM (
   SELECT CAST(l_suppkey AS VARCHAR) AS code, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
@@ -28,6 +31,18 @@ VIEWS = {
   10000.0 + 100.0 * s_suppkey AS shares FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "flow": """SELECT CAST(l_suppkey AS VARCHAR) AS code, CAST(date_trunc('week', l_shipdate) AS DATE) AS date,
   CAST(CAST(sum(CASE WHEN l_returnflag = 'A' THEN CAST(round(l_extendedprice * 100) AS BIGINT) WHEN l_returnflag = 'R' THEN -CAST(round(l_extendedprice * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS DOUBLE) / 100 AS main_net FROM lineitem GROUP BY 1, 2""",
+    "flows": """SELECT CAST(l_suppkey AS VARCHAR) AS code, CAST(date_trunc('week', l_shipdate) AS DATE) AS date,
+  CAST(CAST(sum(CASE WHEN l_quantity <= 10 AND l_returnflag = 'A' THEN CAST(round(l_extendedprice * 100) AS BIGINT) WHEN l_quantity <= 10 AND l_returnflag = 'R' THEN -CAST(round(l_extendedprice * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS DOUBLE) / 100 AS small_net,
+  CAST(CAST(sum(CASE WHEN l_linestatus = 'F' THEN CAST(round(l_extendedprice * 100) AS BIGINT) ELSE -CAST(round(l_extendedprice * 100) AS BIGINT) END) AS BIGINT) AS DOUBLE) / 100 AS net_amount FROM lineitem GROUP BY 1, 2""",
+    "seats": """SELECT CAST(l_suppkey AS VARCHAR) AS code, CAST(l_shipdate AS DATE) AS date, l_linestatus AS seat,
+  CAST(CAST(sum(CASE WHEN l_returnflag = 'A' THEN CAST(round(l_extendedprice * 100) AS BIGINT) ELSE -CAST(round(l_extendedprice * 100) AS BIGINT) END) AS BIGINT) AS DOUBLE) / 100 AS net FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2, 3""",
+    "capital": """SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS code, CAST(date_trunc('year', l_shipdate) AS DATE) AS date, (10000.0 + 100.0 * l_suppkey) * (year(l_shipdate) - 1972) / 20 AS float_shares,
+  (10000.0 + 100.0 * l_suppkey) * (year(l_shipdate) - 1972) / 20 * 1.2 AS total_shares FROM lineitem""",
+    "items": """SELECT code, period, CAST(period + CAST(15 + (CAST(code AS BIGINT) * 7 + quarter(period) * 13) % 90 AS INTEGER) AS DATE) AS notice, year(period) * 4 + quarter(period) AS q, revenue, net_profit, operate_cf, revenue - cost AS gross_profit,
+  revenue - cost - fees AS op_profit, 4 * revenue AS total_assets, 2 * debt AS total_liab, 4 * revenue - 2 * debt AS total_equity, fees AS inventory, fees / 4 AS goodwill, cost / 8 AS one_off, CASE WHEN debt > 0 THEN revenue / debt END AS current_ratio
+  FROM (SELECT CAST(o_custkey % (SELECT count(*) FROM supplier) AS VARCHAR) AS code, last_day(CAST(date_trunc('quarter', o_orderdate) AS DATE) + INTERVAL 2 MONTH) AS period, """
+    + ", ".join(f"CAST(CAST(sum(CASE WHEN {c} THEN CAST(round(o_totalprice * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS DOUBLE) / 100 AS {n}" for n, c in ITEMS.items())
+    + """ FROM orders GROUP BY 1, 2)""",
     "minutes": """SELECT event_type AS code, date_trunc('minute', ts) AS datetime, CAST(ts AS DATE) AS date, (max(value) + min(value)) / 2 AS open, max(value) AS high,
   min(value) AS low, CAST(CAST(sum(CAST(round(value * 1000) AS BIGINT)) AS BIGINT) AS DOUBLE) / 1000 / count(*) AS close, CAST(count(*) + sum(user_id % 7) AS DOUBLE) AS vol,
   CAST(CAST(sum(CAST(round(value * 1000) AS BIGINT)) AS BIGINT) AS DOUBLE) / 1000 AS amount FROM events GROUP BY 1, 2, 3""",
@@ -91,6 +106,42 @@ def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("code"), _week("l_shipdate").alias("date")).agg((F.sum(signed).cast("double") / 100).alias("main_net"))
 
 
+def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Net flow of small trades, and of all trades by the side that began them."""
+    price = _cents("l_extendedprice")
+    small = F.when((F.col("l_quantity") <= 10) & (F.col("l_returnflag") == "A"), price).when((F.col("l_quantity") <= 10) & (F.col("l_returnflag") == "R"), -price).otherwise(0)
+    whole = F.when(F.col("l_linestatus") == "F", price).otherwise(-price)
+    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("code"), _week("l_shipdate").alias("date"))
+    return d.agg((F.sum(small).cast("double") / 100).alias("small_net"), (F.sum(whole).cast("double") / 100).alias("net_amount"))
+
+
+def seats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two kinds of seats bought net, by day."""
+    d = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'")
+    net = F.when(F.col("l_returnflag") == "A", _cents("l_extendedprice")).otherwise(-_cents("l_extendedprice"))
+    return d.groupBy(F.col("l_suppkey").cast("string").alias("code"), F.to_date("l_shipdate").alias("date"), F.col("l_linestatus").alias("seat")).agg((F.sum(net).cast("double") / 100).alias("net"))
+
+
+def capital(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares from the start of each year."""
+    shares = (F.lit(10000.0) + 100.0 * F.col("l_suppkey")) * (F.year("l_shipdate") - 1972) / 20
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("code"), F.trunc("l_shipdate", "year").alias("date"), shares.alias("float_shares"), (shares * 1.2).alias("total_shares")).distinct()
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statement items of single quarters with their publication date, and the quarter's number q."""
+    n = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
+    period = F.last_day(F.add_months(F.date_trunc("quarter", "o_orderdate").cast("date"), 2))
+    sums = [(F.sum(F.when(F.expr(c), _cents("o_totalprice")).otherwise(0)).cast("double") / 100).alias(i) for i, c in ITEMS.items()]
+    d = table(spark, sf_dir, "orders").join(F.broadcast(n)).groupBy((F.col("o_custkey") % F.col("n")).cast("string").alias("code"), period.alias("period")).agg(*sums)
+    notice = F.date_add("period", (15 + (F.col("code").cast("long") * 7 + F.quarter("period") * 13) % 90).cast("int"))
+    c = F.col
+    return d.select(
+        "code", "period", notice.alias("notice"), (F.year("period") * 4 + F.quarter("period")).alias("q"), "revenue", "net_profit", "operate_cf", (c("revenue") - c("cost")).alias("gross_profit"), (c("revenue") - c("cost") - c("fees")).alias("op_profit"), (4 * c("revenue")).alias("total_assets"),
+        (2 * c("debt")).alias("total_liab"), (4 * c("revenue") - 2 * c("debt")).alias("total_equity"), c("fees").alias("inventory"), (c("fees") / 4).alias("goodwill"), (c("cost") / 8).alias("one_off"), F.when(c("debt") > 0, c("revenue") / c("debt")).alias("current_ratio"),
+    )
+
+
 def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minute bars by event type."""
     total = F.sum(_cents("value", 1000)).cast("double") / 1000
