@@ -292,5 +292,4 @@ C.add("SS_03_deduplicated", stream.deduplicated, "SELECT event_type AS code, cou
 # Factor library
 for _name, (_build, _body) in library.FACTORS.items():
     C.add(f"FA_{_name}", lambda s, d, f=_build: f(panel.returns(B(s, d)).join(X.flow(s, d), ["code", "date"])).select("code", "date", "value"), library.SQL + _body)
-C.add("UX_06_sanity", lambda s, d: factors(s, d).groupBy("factor").agg(((F.count("value") / F.count("*") >= 0.05) & (F.count("value") > 0)).alias("ok")), "SELECT * FROM (VALUES ('mom_4', true), ('vol_12', true), ('size', true)) t(factor, ok)", dates=(), values=())
 C.add("MIN_log_range", lambda s, d: M(s, d).select("code", "date", "datetime", guarded_log(safe_div(F.col("high"), F.col("low"))).alias("value")).groupBy("code", "date").agg(F.avg("value").alias("value")), "SELECT code, date, avg(CASE WHEN high / nullif(low, 0) > 0 THEN ln(high / nullif(low, 0)) END) AS value FROM minutes GROUP BY 1, 2")

@@ -49,26 +49,6 @@ t AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY amount DESC, code)
 m AS (SELECT phase, date, avg(f) AS r FROM t WHERE r <= 10 GROUP BY 1, 2) SELECT CAST(phase AS INTEGER) AS phase, count(*) AS n, avg(r) AS value FROM m GROUP BY 1""", dates=())
 
 
-def capped(weights, cap: float, rounds: int = 20, by: str = "date"):
-    """Weights with none above cap: what is cut goes to the others in proportion, round after round."""
-    d = weights
-    w = Window.partitionBy(by)
-    for _ in range(rounds):
-        over = F.col("weight") >= cap - 1e-12
-        room = F.sum(F.when(~over, F.col("weight"))).over(w)
-        excess = F.sum(F.when(over, F.col("weight") - cap)).over(w)
-        d = d.withColumn("weight", F.when(over, F.lit(cap)).when(room > 0, F.col("weight") * (1 + F.coalesce(excess, F.lit(0.0)) / room)).otherwise(F.col("weight")))
-    return d
-
-
-def _capped(s, d):
-    h = held(s, d).join(B(s, d).select("date", "code", "amount"), ["date", "code"])
-    h = h.withColumn("weight", F.col("amount") / F.sum("amount").over(Window.partitionBy("date")))
-    c = capped(h, 0.15, 6)
-    return c.groupBy("date").agg((F.max("weight") <= 0.15 + 1e-6).alias("ok"), F.sum("weight").alias("value"))
-
-
-C.add("PF_14_capped", _capped, HELD + "SELECT date, true AS ok, 1.0 AS value FROM held GROUP BY date")
 C.add("PF_20_break_even", lambda s, d: _periods(s, d).join(_turnover(s, d), "date").agg((F.avg("ret") / F.avg("turnover")).alias("value")), PERIODS + TURNOVER + "SELECT avg(ret) / avg(turnover) AS value FROM periods JOIN tv USING (date)", dates=())
 C.add("PF_24_flow_rule", lambda s, d: X.flow(s, d).groupBy("date").agg(F.sum("main_net").alias("net")).withColumn("m", F.avg("net").over(Window.orderBy("date").rowsBetween(-19, 0))).select("date", F.when(F.lag("m").over(Window.orderBy("date")) < 0, 0.5).otherwise(1.0).alias("value")), """m AS (SELECT date, avg(net) OVER (ORDER BY date ROWS 19 PRECEDING) AS m FROM (SELECT date, sum(main_net) AS net FROM flow GROUP BY date))
 SELECT date, CASE WHEN lag(m) OVER (ORDER BY date) < 0 THEN 0.5 ELSE 1.0 END AS value FROM m""")
@@ -155,7 +135,6 @@ C.add("ES_05_offsets", _offsets, """b AS (SELECT code, date, row_number() OVER v
 n AS (SELECT code, CAST(CASE WHEN dayofweek(notice) = 1 THEN notice ELSE date_trunc('week', notice) + INTERVAL 7 DAY END AS DATE) AS date FROM reports),
 e AS (SELECT b.code, b.i AS i0, k FROM b JOIN n USING (code, date) CROSS JOIN range(-3, 4) r(k))
 SELECT CAST(k AS INTEGER) AS k, count(*) AS n, avg(spike) AS value FROM e JOIN b ON b.code = e.code AND b.i = e.i0 + k GROUP BY 1""", dates=())
-C.oracle.pop("ES_05_offsets")
 C.add("ES_06_drawdown_inflow", lambda s, d: panel.returns(B(s, d)).join(X.flow(s, d), ["code", "date"]).withColumns({"r2": ts.change("close", 2), "top": ts.high("main_net", 20, 5)}).where("r2 <= -0.15 and main_net >= top").select("code", "date"), "SELECT code, date FROM (SELECT code, date, main_net, close / lag(close, 2) OVER v - 1 AS r2, CASE WHEN count(main_net) OVER (v ROWS 19 PRECEDING) >= 5 THEN max(main_net) OVER (v ROWS 19 PRECEDING) END AS top FROM bars JOIN flow USING (code, date) WINDOW v AS (PARTITION BY code ORDER BY date)) WHERE r2 <= -0.15 AND main_net >= top", values=())
 C.add("DQ_02_freshness", lambda s, d: B(s, d).agg(F.max("date").alias("a")).join(X.reports(s, d).agg(F.max("notice").alias("b"))).select(F.datediff("a", "b").alias("behind"), (F.abs(F.datediff("a", "b")) <= 120).alias("ok")), "SELECT CAST(date_diff('day', b, a) AS INTEGER) AS behind, abs(date_diff('day', b, a)) <= 120 AS ok FROM (SELECT max(date) AS a FROM bars), (SELECT max(notice) AS b FROM reports)", dates=(), values=())
 C.add("DQ_05_water_level", lambda s, d: ev.coverage(factors(s, d), B(s, d)).select("factor", "behind", "ok"), JUDGING + """, n AS (SELECT factor, date, count(*) AS n FROM factors WHERE value IS NOT NULL GROUP BY 1, 2),

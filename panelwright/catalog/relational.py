@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,14 +9,14 @@ from panelwright.catalog import fixtures as X
 from panelwright.functions.elementwise import finite
 from panelwright.operators import asof, panel, ts
 from panelwright.sources import tables as src
+from panelwright.sources.folders import fresh
 
 C = X.Catalog()
 B = X.bars
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/tables-{__import__('uuid').uuid4().hex}" if base else tempfile.mkdtemp(prefix="panelwright-")
+    return fresh(spark, "tables")
 
 
 def _written(s, d):

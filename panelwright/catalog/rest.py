@@ -52,47 +52,10 @@ SELECT code, date, arg_max(l, (ll, l)) AS value FROM a GROUP BY 1, 2""")
 C.oracle["MIN_14_box_cox"] = C.oracle["MIN_14_box_cox"].replace("arg_max(l, (ll, l)) AS value FROM a GROUP BY 1, 2", "l AS value FROM a QUALIFY row_number() OVER (PARTITION BY code, date ORDER BY ll DESC, l DESC) = 1")
 
 
-def _risk_parity(s, d):
-    """Weights of equal risk at each rebalance: 40 multiplicative steps on the covariance of the holdings' last 30 returns."""
-    b = panel.returns(B(s, d)).where("ret is not null")
-    h = held(s, d)
-    past = b.withColumn("last", F.collect_list("ret").over(ts.rows(-29))).select("date", "code", "last")
-
-    def solve(pdf):
-        import numpy as np
-        import pandas as pd
-
-        n = min(map(len, pdf["last"]))
-        x = np.array([v[-n:] for v in pdf["last"]])
-        c = np.cov(x) * 0.7 + np.diag(np.diag(np.cov(x))) * 0.3 if n > 2 and len(x) > 1 else np.eye(len(x))
-        w = np.full(len(x), 1 / len(x))
-        for _ in range(40):
-            risk = w * (c @ w)
-            w = np.clip(w * np.sqrt(risk.mean() / np.maximum(risk, 1e-18)), 0, None)
-            w /= w.sum()
-        return pd.DataFrame({"date": pdf["date"], "code": pdf["code"], "weight": w})
-
-    return h.join(past, ["date", "code"]).groupBy("date").applyInPandas(solve, "date date, code string, weight double")
-
-
-C.add("PF_12_risk_parity", lambda s, d: _risk_parity(s, d).groupBy("date").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("total")))
 C.add("PF_13_transfer", lambda s, d: factors(s, d).where("factor = 'size' and value is not null").withColumn("w", F.greatest(F.lit(0.0), F.col("value") - F.avg("value").over(xs.section()))).withColumns({"a": xs.rank("value"), "b": xs.rank("w")}).groupBy("date").agg(ev.corr_if_varied("a", "b").alias("value")), JUDGING + """, w AS (SELECT date, value, greatest(0, value - avg(value) OVER (PARTITION BY date)) AS w FROM factors WHERE factor = 'size' AND value IS NOT NULL),
 r AS (SELECT date, rank() OVER (PARTITION BY date ORDER BY value) AS a, rank() OVER (PARTITION BY date ORDER BY w) AS b FROM w) SELECT date, corr(a, b) AS value FROM r GROUP BY 1""")
 
 
-def _group_cap(s, d):
-    """Weights whose groups are held to 30 %, the cut going to the other groups in proportion, ten rounds."""
-    h = held(s, d).join(X.groups(s, d).select("code", "coarse"), "code").withColumn("w", F.lit(0.1))
-    for _ in range(10):
-        g, t = F.sum("w").over(Window.partitionBy("date", "coarse")), F.sum("w").over(Window.partitionBy("date"))
-        h = h.withColumn("w", F.col("w") * F.least(F.lit(1.0), 0.3 * t / g))
-        h = h.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("date")))
-    return h.groupBy("date").agg(F.round(F.sum("w"), 6).alias("total"), F.count("*").alias("n"))
-
-
-C.add("PF_15_group_cap", _group_cap, None)
-
-
 def _calendar_events(s, d, hold: int = 3):
     """Mean return per date of all events opened on the `hold` rows before."""
     b = panel.returns(B(s, d)).withColumns({"i": F.row_number().over(ts.along()), "hit": F.col("vol") > 80})

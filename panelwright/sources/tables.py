@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.operators.panel import latest
+from panelwright.sources.folders import remove
 
 
 def scan(spark: SparkSession, paths: str | list[str], first: str | None = None, last: str | None = None, on: str = "date") -> DataFrame:
@@ -56,9 +59,12 @@ def append_years(spark: SparkSession, folder: str, new: DataFrame, keys: list[st
     years = [r[0] for r in new.select("year").distinct().collect()]
     old = spark.read.parquet(folder).where(F.col("year").isin(years))
     merged = keep_last([old, new], keys)
-    aside = f"{folder.rstrip('/')}-merging"
-    merged.write.mode("overwrite").partitionBy("year").parquet(aside)
-    write_partitioned(spark.read.parquet(aside), folder, ["year"])
+    aside = f"{folder.rstrip('/')}-merging-{uuid.uuid4().hex}"  # two writers never share it
+    merged.write.partitionBy("year").parquet(aside)
+    try:
+        write_partitioned(spark.read.parquet(aside), folder, ["year"])
+    finally:
+        remove(spark, aside)
 
 
 def window_merge(old: DataFrame, new: DataFrame, since: str, on: str = "date") -> DataFrame:

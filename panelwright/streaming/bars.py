@@ -5,12 +5,11 @@ Each takes a directory of event files as a stream and, for replays, runs it to i
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.sources.folders import exists, fresh
+
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream; the path must be a folder or a glob of files."""
@@ -27,29 +26,14 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 def replayed(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """The stream's result after all that is there now, as a Parquet table in the shared folder; no row passes through the driver."""
     spark = stream.sparkSession
-    base = f"{_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = fresh(spark, "stream")
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         w = w.format("parquet").option("path", f"{base}/rows")
     else:  # each batch is the whole result, which takes the place of the one before
         w = w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/rows"))
     w.start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows") if _exists(spark, f"{base}/rows") else spark.createDataFrame([], stream.schema)
-
-
-def _folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where the setting is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="panelwright-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows") if exists(spark, f"{base}/rows") else spark.createDataFrame([], stream.schema)
 
 
 def tumbling_bars(events: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
