@@ -201,7 +201,33 @@ c AS (SELECT *, sum(ls) OVER (PARTITION BY factor ORDER BY date) AS nav FROM l),
 SELECT factor, count(*) AS n, avg(ls) AS mean, avg(ls) / (stddev_samp(ls) / sqrt(count(*))) AS t, avg(ls) * 13 AS annual, avg(CAST(ls > 0 AS INTEGER)) AS win, min(dd) AS drawdown FROM dd GROUP BY 1""", dates=(), values=("mean", "t", "annual", "win", "drawdown"))
 
 # Metric tables
-add("MS_01_daily_metrics", lambda s, d: factors(s, d).groupBy("factor", "date").agg(F.count("*").alias("rows"), F.count("value").alias("n"), F.stddev_samp("value").alias("sd"), F.percentile("value", F.lit(0.01)).alias("q01"), F.percentile("value", F.lit(0.5)).alias("q50"), F.percentile("value", F.lit(0.99)).alias("q99")), "SELECT factor, date, count(*) AS rows, count(value) AS n, stddev_samp(value) AS sd, quantile_cont(value, 0.01) AS q01, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.99) AS q99 FROM factors GROUP BY 1, 2", values=("sd", "q01", "q50", "q99"))
+H = (1, 2, 4, 8, 12)
+
+
+def _metrics(s, d):
+    b = panel.returns(B(s, d)).withColumns({n: c() for n, (c, _) in _DEF.items()}).withColumn("vol_12", F.round("vol_12", 9))
+    return ev.daily_metrics(b.select("date", "code", "close", *_DEF), list(_DEF), H, (1, 5, 20))
+
+
+def _metrics_sql() -> str:
+    both = lambda h: f"CASE WHEN value IS NOT NULL AND fwd_{h} IS NOT NULL THEN "
+    ranks = ", ".join(f"CASE WHEN value IS NOT NULL AND fwd_{h} IS NOT NULL THEN rank() OVER (PARTITION BY factor, date ORDER BY {both(h)}{x} END NULLS LAST) END AS {n}{h}" for h in H for x, n in (("value", "v"), (f"fwd_{h}", "f")))
+    tiles = ", ".join(f"CASE WHEN value IS NOT NULL AND fwd_{h} IS NOT NULL THEN ntile(5) OVER (PARTITION BY factor, date, value IS NOT NULL AND fwd_{h} IS NOT NULL ORDER BY value, code) END AS q{h}" for h in (H[0], H[-1]))
+    ics = ", ".join(f"CASE WHEN count(v{h}) >= 30 THEN corr(value, fwd_{h}) FILTER (WHERE v{h} IS NOT NULL) END AS ic_{h}, CASE WHEN count(v{h}) >= 30 THEN corr(v{h}, f{h}) END AS rank_ic_{h}" for h in H)
+    rets = ", ".join(f"avg(fwd_{h}) FILTER (WHERE q{h} = {q}) AS ret_{h}_{q}" for h in (H[0], H[-1]) for q in range(1, 6))
+    autos = ", ".join(f"corr(r, l{k}) AS auto_{k}" for k in (1, 5, 20))
+    turns = ", ".join(f"CASE WHEN max(i) > 1 THEN 1 - count(*) FILTER (WHERE q = {q} AND was = {q}) / nullif(count(*) FILTER (WHERE q = {q}), 0) END AS turnover_{q}" for q in (1, 5))
+    return f"""rets AS (SELECT *, close / lag(close) OVER (PARTITION BY code ORDER BY date) - 1 AS ret FROM bars),
+fx AS (SELECT date, code, factor, CASE WHEN factor = 'vol_12' THEN round(raw, 9) ELSE raw END AS value FROM ({" UNION ALL ".join(f"SELECT date, code, '{n}' AS factor, {q} AS raw FROM rets WINDOW v AS (PARTITION BY code ORDER BY date)" for n, (_, q) in _DEF.items())})),
+fw AS (SELECT date, code, {", ".join(f"lead(close, {h}) OVER v / close - 1 AS fwd_{h}" for h in H)} FROM bars WINDOW v AS (PARTITION BY code ORDER BY date)),
+dt AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM bars)),
+a AS (SELECT *, CASE WHEN value IS NOT NULL THEN rank() OVER (PARTITION BY factor, date ORDER BY value NULLS LAST) END AS r, CASE WHEN value IS NOT NULL THEN ntile(5) OVER (PARTITION BY factor, date, value IS NOT NULL ORDER BY value, code) END AS q, {ranks}, {tiles} FROM fx JOIN fw USING (date, code) JOIN dt USING (date)),
+l AS (SELECT *, {", ".join(f"CASE WHEN value IS NOT NULL THEN lag(r, {k}) OVER x END AS l{k}" for k in (1, 5, 20))}, CASE WHEN lag(i) OVER w = i - 1 THEN lag(q) OVER w END AS was FROM a WINDOW w AS (PARTITION BY factor, code ORDER BY date), x AS (PARTITION BY factor, code, value IS NOT NULL ORDER BY date))
+SELECT factor, date, count(*) AS rows, count(value) AS n, count(value) / count(*) AS coverage, count(value) / count(*) < 0.5 AS degraded, stddev_samp(value) AS sd, quantile_cont(value, 0.01) AS q01, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.99) AS q99, {ics}, {rets}, {autos}, {turns} FROM l GROUP BY 1, 2"""
+
+
+_NUMBERS = ("coverage", "sd", "q01", "q50", "q99", *[f"{x}_{h}" for h in H for x in ("ic", "rank_ic")], *[f"ret_{h}_{q}" for h in (H[0], H[-1]) for q in range(1, 6)], "auto_1", "auto_5", "auto_20", "turnover_1", "turnover_5")
+C.add("MS_01_daily_metrics", _metrics, _metrics_sql(), values=_NUMBERS)
 add("MS_02_autocorrelation", lambda s, d: ev.autocorrelation(factors(s, d), 1), """, r AS (SELECT *, rank() OVER (PARTITION BY factor, date ORDER BY value) AS r FROM factors WHERE value IS NOT NULL),
 l AS (SELECT *, lag(r) OVER (PARTITION BY factor, code ORDER BY date) AS r0 FROM r)
 SELECT factor, date, count(*) AS n, corr(r, r0) AS rho FROM l WHERE r0 IS NOT NULL GROUP BY 1, 2""", values=("rho",))
@@ -218,12 +244,35 @@ add("MS_09_sampled", lambda s, d: ev.pairwise(factors(s, d).join(F.broadcast(pan
 
 
 def _crowd(s, d):
-    g = X.groups(s, d).select("code", "coarse")
-    r = panel.returns(B(s, d)).where("date >= '2001-06-01'").join(g, "code")
-    return ev.pair_corr_mean(r, "ret", "coarse")
-
-
-add("MS_11_pair_correlation", _crowd, None, values=("rho",))
+    """Mean pair correlation within each region, over all dates."""
+    return ev.pair_corr_mean(panel.returns(B(s, d)).join(X.groups(s, d).select("code", "coarse"), "code"), "ret", "coarse")
+
+
+add("MS_11_pair_correlation", _crowd, """, rg AS (SELECT coarse, code, date, ret FROM rets JOIN groups USING (code) WHERE ret IS NOT NULL), n AS (SELECT coarse, code, count(*) AS n FROM rg GROUP BY 1, 2),
+u AS (SELECT coarse, code FROM n QUALIFY n = max(n) OVER (PARTITION BY coarse)), x AS (SELECT rg.* FROM rg JOIN u USING (coarse, code)), z AS (SELECT *, (ret - avg(ret) OVER v) / stddev_pop(ret) OVER v AS z FROM x WINDOW v AS (PARTITION BY coarse, code)),
+p AS (SELECT coarse, date, sum(z) * sum(z) - sum(z * z) AS p, count(*) AS k FROM z GROUP BY 1, 2) SELECT coarse, max(k) AS codes, CASE WHEN max(k) > 1 THEN sum(p) / (count(*) * max(k) * (max(k) - 1)) END AS rho FROM p GROUP BY 1""", dates=(), values=("rho",))
+
+
+def _crowding(s, d):
+    """Sides of two factors on every fifth date: the fifth with the highest and the lowest values; 12 rows of returns stand for 60 days."""
+    f = factors(s, d).where("factor <> 'size' and value is not null").join(F.broadcast(panel.every_kth(B(s, d), 5)), "date", "left_semi")
+    q = f.withColumn("q", xs.ntile("value", 5, ("factor", "date"))).where("q in (1, 5)")
+    b = B(s, d).select("date", "code", (F.col("amount") / F.col("vol") / F.col("close")).alias("bp"), F.col("vol").alias("turnover"))
+    m = q.join(b, ["date", "code"]).select("factor", "date", "code", F.when(F.col("q") == 5, 1).otherwise(-1).alias("side"), F.col("value").alias("score"), "bp", "turnover")
+    return ev.crowding(m, panel.returns(B(s, d)).where("ret is not null"), 12, 10, 20)
+
+
+add("MS_11_crowding", _crowding, """, g AS (SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM bars)) WHERE i % 5 = 0),
+q AS (SELECT factor, date, code, value, ntile(5) OVER (PARTITION BY factor, date ORDER BY value, code) AS q FROM factors SEMI JOIN g USING (date) WHERE factor <> 'size' AND value IS NOT NULL),
+m AS (SELECT q.*, amount / vol / close AS bp, vol AS turnover FROM q JOIN bars USING (date, code) WHERE q IN (1, 5)),
+s AS (SELECT factor, date, ln(quantile_cont(bp, 0.5) FILTER (WHERE q = 5) / quantile_cont(bp, 0.5) FILTER (WHERE q = 1)) AS spread, quantile_cont(turnover, 0.5) FILTER (WHERE q = 5) AS turnover FROM m GROUP BY 1, 2),
+l AS (SELECT date, code, list(ret) OVER (PARTITION BY code ORDER BY date ROWS 11 PRECEDING) AS l FROM rets WHERE ret IS NOT NULL),
+t AS (SELECT factor, date, code, l FROM (SELECT *, row_number() OVER (PARTITION BY factor, date ORDER BY value DESC, code) AS k FROM m WHERE q = 5) JOIN l USING (date, code) WHERE k <= 10 AND len(l) = 12),
+e AS (SELECT factor, date, code, unnest(range(12)) AS i, unnest(l) AS x FROM t), z AS (SELECT factor, date, i, (x - avg(x) OVER v) / stddev_pop(x) OVER v AS z FROM e WINDOW v AS (PARTITION BY factor, date, code)),
+p AS (SELECT factor, date, i, count(*) AS n, sum(z) * sum(z) - sum(z * z) AS p FROM z GROUP BY 1, 2, 3), c AS (SELECT factor, date, CASE WHEN max(n) > 1 THEN sum(p) / (12 * max(n) * (max(n) - 1)) END AS corr FROM p GROUP BY 1, 2),
+a AS (SELECT factor, date, spread, corr, turnover FROM s LEFT JOIN c USING (factor, date)),
+y AS (SELECT *, """ + ", ".join(f"CASE WHEN count({x}) OVER v >= 20 AND min({x}) OVER v < max({x}) OVER v THEN ({x} - avg({x}) OVER v) / stddev_samp({x}) OVER v END AS z_{x}" for x in ("spread", "corr", "turnover")) + """ FROM a WINDOW v AS (PARTITION BY factor ORDER BY date ROWS UNBOUNDED PRECEDING))
+SELECT factor, date, spread, corr, turnover, CASE WHEN len(list_filter([z_spread, z_corr, z_turnover], lambda x: x IS NOT NULL)) >= 2 THEN list_avg(list_filter([z_spread, z_corr, z_turnover], lambda x: x IS NOT NULL)) END AS crowding FROM y""", values=("spread", "corr", "turnover", "crowding"), digits=3)
 add("MS_12_crowding_gate", lambda s, d: ic(s, d).where("h = 4").withColumn("rank_ic", F.round("rank_ic", 9)).withColumn("pct", ts.percentile_of("rank_ic", 40, 20, by=("factor",))).select("factor", "date", F.col("pct").alias("value"), (F.col("pct") >= 0.8).alias("alert"), (1 - 0.4 * F.col("pct")).alias("gate")), """SELECT factor, date, CASE WHEN count(rank_ic) OVER v >= 20 THEN len(list_filter(list(rank_ic) OVER v, lambda x: x <= rank_ic))::DOUBLE / count(rank_ic) OVER v END AS value, CASE WHEN count(rank_ic) OVER v >= 20 THEN len(list_filter(list(rank_ic) OVER v, lambda x: x <= rank_ic))::DOUBLE / count(rank_ic) OVER v END >= 0.8 AS alert,
 1 - 0.4 * CASE WHEN count(rank_ic) OVER v >= 20 THEN len(list_filter(list(rank_ic) OVER v, lambda x: x <= rank_ic))::DOUBLE / count(rank_ic) OVER v END AS gate FROM (SELECT factor, date, round(rank_ic, 9) AS rank_ic FROM ic WHERE h = 4) WINDOW v AS (PARTITION BY factor ORDER BY date ROWS 39 PRECEDING)""", values=("value", "gate"))
 

@@ -83,7 +83,28 @@ pool AS (SELECT CAST(month + INTERVAL 1 MONTH AS DATE) AS month, code FROM mm QU
 j AS (SELECT factor, joined.date, joined.code, value, fwd_4 FROM joined JOIN pool ON pool.code = joined.code AND pool.month = CAST(date_trunc('month', joined.date) AS DATE) WHERE value IS NOT NULL AND fwd_4 IS NOT NULL),
 r AS (SELECT factor, date, rank() OVER (PARTITION BY factor, date ORDER BY value) AS a, rank() OVER (PARTITION BY factor, date ORDER BY fwd_4) AS b FROM j)
 SELECT factor, date, count(*) AS n, corr(a, b) AS value FROM r GROUP BY 1, 2 HAVING count(*) >= 30""")
-C.add("MS_10_redundant", lambda s, d: ev.pairwise(factors(s, d)).withColumn("close", F.abs("rho") >= 0.7).groupBy("close").agg(F.count("*").alias("pairs")), None)
+
+
+def _clustered(s, d):
+    """Clusters of seven factors, some of them near copies."""
+    b = panel.returns(B(s, d))
+    cols = {"mom_4": ts.change("close", 4), "mom_5": ts.change("close", 5), "mom_12": ts.change("close", 12), "vol_12": F.round(ts.std("ret", 12, 6), 9), "vol_14": F.round(ts.std("ret", 14, 6), 9), "amount": F.col("amount"), "volume": F.col("vol")}
+    long = F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), F.col(f"_{n}").alias("value")) for n in cols]))
+    f = b.withColumns({f"_{n}": c for n, c in cols.items()}).select("date", "code", long.alias("x")).select("date", "code", "x.factor", "x.value")
+    return ev.clusters(ev.pairwise(f), f)
+
+
+C.add("MS_10_clusters", _clustered, """rt AS (SELECT *, close / lag(close) OVER (PARTITION BY code ORDER BY date) - 1 AS ret FROM bars),
+w AS (SELECT date, code, close / lag(close, 4) OVER v - 1 AS mom_4, close / lag(close, 5) OVER v - 1 AS mom_5, close / lag(close, 12) OVER v - 1 AS mom_12, round(CASE WHEN count(ret) OVER (v ROWS 11 PRECEDING) >= 6 THEN stddev_samp(ret) OVER (v ROWS 11 PRECEDING) END, 9) AS vol_12, round(CASE WHEN count(ret) OVER (v ROWS 13 PRECEDING) >= 6 THEN stddev_samp(ret) OVER (v ROWS 13 PRECEDING) END, 9) AS vol_14, amount, vol AS volume FROM rt WINDOW v AS (PARTITION BY code ORDER BY date)),
+f AS (UNPIVOT w ON mom_4, mom_5, mom_12, vol_12, vol_14, amount, volume INTO NAME factor VALUE value),
+j AS (SELECT x.factor AS a, y.factor AS b, date, rank() OVER (PARTITION BY x.factor, y.factor, date ORDER BY x.value) AS ra, rank() OVER (PARTITION BY x.factor, y.factor, date ORDER BY y.value) AS rb FROM f x JOIN f y USING (date, code) WHERE x.factor < y.factor),
+c AS (SELECT a, b, avg(rho) AS rho FROM (SELECT a, b, date, corr(ra, rb) AS rho FROM j GROUP BY 1, 2, 3 HAVING count(*) >= 30) GROUP BY 1, 2),
+e AS (SELECT a, b, abs(rho) AS r FROM c UNION ALL SELECT b, a, abs(rho) FROM c), n AS (SELECT DISTINCT factor FROM f),
+g AS (SELECT factor AS x, factor AS y FROM n UNION SELECT g.x, e.b FROM g JOIN e ON e.a = g.y WHERE e.r >= 0.7),
+l AS (SELECT x AS factor, min(y) AS cluster FROM g GROUP BY 1),
+m AS (SELECT e.a AS factor, avg(e.r) AS r FROM e JOIN l p ON p.factor = e.a JOIN l q ON q.factor = e.b WHERE p.cluster = q.cluster GROUP BY 1)
+SELECT factor, cluster, count(*) OVER (PARTITION BY cluster) AS size, first_value(factor) OVER (PARTITION BY cluster ORDER BY round(coalesce(r, 0), 9) DESC, factor) AS medoid FROM l LEFT JOIN m USING (factor)""", dates=(), values=())
+C.oracle["MS_10_clusters"] = C.oracle["MS_10_clusters"].replace("WITH ", "WITH RECURSIVE ", 1)
 C.add("UNI_07_one_group", lambda s, d: X.table(s, d, "orders").groupBy(F.col("o_custkey").alias("code")).agg(F.min_by("o_orderpriority", F.struct("o_orderdate", "o_orderpriority")).alias("board")), "SELECT o_custkey AS code, o_orderpriority AS board FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderpriority) = 1", dates=(), values=())
 C.add("CA_02_ex_gap", lambda s, d: asof.asof(X.actions(s, d).join(B(s, d).select("code", "date", "open"), ["code", "date"]), B(s, d).select("code", "date", "close"), ["close"], strict=True).select("code", "date", (F.col("open") / (F.col("close") - F.col("cash")) - 1).alias("value")), "SELECT a.code, a.date, o.open / (b.close - a.cash) - 1 AS value FROM (SELECT actions.code, actions.date, cash, open FROM actions JOIN bars USING (code, date)) a JOIN bars o ON o.code = a.code AND o.date = a.date ASOF LEFT JOIN bars b ON a.code = b.code AND a.date > b.date")
 

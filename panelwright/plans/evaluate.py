@@ -5,6 +5,7 @@ A factor table is (date, code, factor, value); one job judges any number of fact
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,15 +93,157 @@ def bucket_turnover(factors: DataFrame, n: int, bucket: int) -> DataFrame:
     return d.where("i > 1").join(before, ["factor", "i", "code"], "left").groupBy("factor", "date").agg((1 - F.sum(F.coalesce("was", F.lit(0))) / F.count("*")).alias("turnover"))
 
 
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Competition ranks down each column."""
+    return np.stack([np.searchsorted(np.sort(c), c, "left") + 1.0 for c in x.T], 1) if x.size else x
+
+
+def section_correlations(names: list[str], x: np.ndarray, least: int) -> list[tuple[str, str, int, float | None]]:
+    """(a, b, n, rho) of every two columns a < b of a section's values (null: NaN); ranks are those of the rows that both have.
+
+    Columns with the same rows are ranked once and correlated by one product of matrices.
+    """
+    there = np.isfinite(x)
+    masks, of = np.unique(there, axis=1, return_inverse=True)
+    out = []
+    for g in range(masks.shape[1]):
+        for h in range(g, masks.shape[1]):
+            rows = masks[:, g] & masks[:, h]
+            n = int(rows.sum())
+            if n < least:
+                continue
+            i, j = np.flatnonzero(of == g), np.flatnonzero(of == h)
+            both = [_ranks(x[np.ix_(rows, k)]) for k in (i, j)]
+            both = [r - r.mean(0) for r in both]
+            size = [np.sqrt((r * r).sum(0)) for r in both]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                rho = (both[0].T @ both[1]) / np.outer(*size)
+            for k, m in ((k, m) for k in range(len(i)) for m in range(len(j)) if g != h or k < m):
+                a, b = sorted((names[i[k]], names[j[m]]))
+                out.append((a, b, n, float(rho[k, m]) if size[0][k] > 0 and size[1][m] > 0 else None))
+    return out
+
+
+def daily_pairs(factors: DataFrame, least: int = 30) -> DataFrame:
+    """date, a, b, n, rho: rank correlation of every two factors a < b on each date.
+
+    A date's section, codes by factors, is one group: the table is shuffled once, not once a pair. Rows that
+    repeat a factor and code on a date count as their greatest value.
+    """
+
+    def one(pdf):
+        import pandas as pd
+
+        wide = pdf.pivot_table(index="code", columns="factor", values="value", aggfunc="max")
+        rows = section_correlations(list(wide.columns), wide.to_numpy(float), least)
+        return pd.DataFrame({"date": pd.Series([pdf["date"].iloc[0]] * len(rows), dtype=object), "a": pd.Series([r[0] for r in rows], dtype=object), "b": pd.Series([r[1] for r in rows], dtype=object), "n": pd.array([r[2] for r in rows], dtype="Int64"), "rho": pd.array([r[3] for r in rows], dtype="Float64")})
+
+    return factors.where("value is not null").select("date", "factor", "code", "value").groupBy("date").applyInPandas(one, "date date, a string, b string, n long, rho double")
+
+
 def pairwise(factors: DataFrame, least: int = 30) -> DataFrame:
-    """Mean rank correlation of every two factors a < b over dates; ranks are those of the rows that both have."""
-    x = factors.where("value is not null")
-    a, b = (x.select("date", "code", F.col("factor").alias(n), F.col("value").alias(f"v{n}")) for n in "ab")
-    j = a.join(b, ["date", "code"]).where("a < b")
-    key = ("a", "b", "date")
-    j = j.withColumns({"ra": xs.rank("va", key), "rb": xs.rank("vb", key)})
-    d = j.groupBy(*key).agg(F.count("*").alias("n"), corr_if_varied("ra", "rb").alias("rho")).where(F.col("n") >= least)
-    return d.groupBy("a", "b").agg(F.avg("rho").alias("rho"), F.count("rho").alias("days"))
+    """Mean rank correlation of every two factors a < b over dates, and the dates that have one."""
+    return daily_pairs(factors, least).groupBy("a", "b").agg(F.avg("rho").alias("rho"), F.count("rho").alias("days"))
+
+
+def clusters(pairs: DataFrame, factors: DataFrame, bound: float = 0.7) -> DataFrame:
+    """factor, cluster (its least factor's name), size, medoid: factors linked by pairs (a, b, rho) of at least `bound` in size form a cluster; its medoid has the highest mean |rho| to its others, ties by name.
+
+    The least name spreads over the links round by round until nothing changes; the table has a row a
+    factor.
+    """
+    links = pairs.where(F.abs("rho") >= bound).select("a", "b").persist()
+    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = factors.select("factor").distinct().withColumn("cluster", F.col("factor"))
+    while True:
+        near = links.join(label.select(F.col("factor").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("factor")).agg(F.min("cluster").alias("_near"))
+        spread = label.join(near, "factor", "left").select("factor", F.least("cluster", F.coalesce("_near", "cluster")).alias("cluster"), (F.col("_near") < F.col("cluster")).alias("_moved")).persist()
+        moved = spread.where("_moved").count()
+        label = spread.select("factor", "cluster")
+        if not moved:
+            break
+    both = pairs.select("a", "b", F.abs("rho").alias("r"))
+    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
+    inside = both.join(label.select(F.col("factor").alias("a"), "cluster"), "a").join(label.select(F.col("factor").alias("b"), F.col("cluster").alias("_c")), "b").where("cluster = _c")
+    mean = inside.groupBy(F.col("a").alias("factor")).agg(F.avg("r").alias("_r"))
+    w = Window.partitionBy("cluster")
+    d = label.join(mean, "factor", "left").withColumn("_r", F.round(F.coalesce("_r", F.lit(0.0)), 9))
+    d = d.withColumns({"size": F.count("*").over(w), "medoid": F.first("factor").over(w.orderBy(F.desc("_r"), "factor"))})
+    return d.select("factor", "cluster", "size", "medoid")
+
+
+def daily_metrics(panel_: DataFrame, names: list[str], horizons: tuple[int, ...] = (1, 5, 10, 20), lags: tuple[int, ...] = (1, 5, 20), least: int = 30, ends: tuple[int, int] | None = None, share: float = 0.5) -> DataFrame:
+    """A row a factor and date of a panel (date, code, close and a column a factor): what a daily check needs, in one job.
+
+    rows and n (values); coverage n / rows and degraded (coverage below `share`); sd, q01, q50, q99; for each
+    horizon h in rows ic_h and rank_ic_h over rows with a value and a forward return (null under `least`);
+    ret_h_1 to ret_h_5 of the first and last horizon (or `ends`), quintiles of those rows; for each lag
+    auto_lag, the correlation of ranks with the code's ranks that many rows before; turnover_1 and
+    turnover_5, the share of the bottom and top fifth's codes that were not there on the date before.
+
+    Forward returns stand on the panel's own rows before factors are set one under the other, so prices are
+    read once and nothing is joined but the dates' numbers.
+    """
+    first, last = ends or (horizons[0], horizons[-1])
+    p = panel.forward_returns(panel_, horizons)
+    dates = p.select("date").distinct().withColumn("_i", F.row_number().over(Window.orderBy("date")))
+    long = F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), F.col(n).cast("double").alias("value")) for n in names]))
+    d = p.join(F.broadcast(dates), "date").select("date", "code", "_i", *[f"fwd_{h}" for h in horizons], long.alias("x")).select("*", "x.factor", "x.value").drop("x")
+    some = F.col("value").isNotNull()
+    columns = {"_r": xs.rank("value", KEY), "_q": xs.ntile("value", 5, KEY)}
+    for h in horizons:
+        both = some & F.col(f"fwd_{h}").isNotNull()
+        columns |= {f"_v{h}": xs.rank(F.when(both, F.col("value")), KEY), f"_f{h}": xs.rank(F.when(both, F.col(f"fwd_{h}")), KEY)}
+        if h in (first, last):
+            columns[f"_q{h}"] = xs.ntile(F.when(both, F.col("value")), 5, KEY)
+    d = d.withColumns(columns)
+    w = Window.partitionBy("factor", "code").orderBy("date")
+    valued = Window.partitionBy("factor", "code", some.cast("int")).orderBy("date")
+    d = d.withColumns({f"_l{k}": F.when(some, F.lag("_r", k).over(valued)) for k in lags})
+    d = d.withColumn("_was", F.when(F.lag("_i").over(w) == F.col("_i") - 1, F.lag("_q").over(w)))
+    out = [F.count("*").alias("rows"), F.count("value").alias("n"), (F.count("value") / F.count("*")).alias("coverage"), (F.count("value") / F.count("*") < share).alias("degraded"), F.stddev_samp("value").alias("sd"), *[F.percentile("value", F.lit(q)).alias(a) for a, q in (("q01", 0.01), ("q50", 0.5), ("q99", 0.99))]]
+    for h in horizons:
+        v = F.when(F.col(f"_v{h}").isNotNull(), F.col("value"))
+        enough = F.count(f"_v{h}") >= least
+        varies = (F.min(v) < F.max(v)) & (F.min(F.when(v.isNotNull(), F.col(f"fwd_{h}"))) < F.max(F.when(v.isNotNull(), F.col(f"fwd_{h}"))))
+        out += [F.when(enough & varies, finite(F.corr(v, F.col(f"fwd_{h}")))).alias(f"ic_{h}"), F.when(enough & varies, finite(F.corr(f"_v{h}", f"_f{h}"))).alias(f"rank_ic_{h}")]
+    out += [F.avg(F.when(F.col(f"_q{h}") == q, F.col(f"fwd_{h}"))).alias(f"ret_{h}_{q}") for h in (first, last) for q in range(1, 6)]
+    out += [F.when(F.min(F.when(F.col(f"_l{k}").isNotNull(), F.col("_r"))) < F.max(F.when(F.col(f"_l{k}").isNotNull(), F.col("_r"))), finite(F.corr(F.when(F.col(f"_l{k}").isNotNull(), F.col("_r")), F.col(f"_l{k}")))).alias(f"auto_{k}") for k in lags]
+    new = lambda q: F.when(F.max("_i") > 1, 1 - F.count(F.when((F.col("_q") == q) & (F.col("_was") == q), 1)) / F.count(F.when(F.col("_q") == q, 1)))
+    return d.groupBy("factor", "date").agg(*out, new(1).alias("turnover_1"), new(5).alias("turnover_5"))
+
+
+def crowding(members: DataFrame, returns: DataFrame, window: int = 60, most: int = 100, before: int = 40) -> DataFrame:
+    """Per factor and date of members (factor, date, code, side, score, bp, turnover; side 1 long, -1 short): how crowded the long side is.
+
+    spread: ln of the long side's median bp over the short side's; corr: mean pairwise correlation of the
+    returns of the `most` highest scores of the long side over the last `window` rows, of names with all of
+    them; turnover: the long side's median. Each gets a z against the factor's dates up to its own (`before`
+    at least), and crowding is the mean of those z, where two or more are there.
+
+    Pairs are never formed: with returns standardised over the window, the sum over pairs is the square of
+    their sum less the sum of their squares, position by position.
+    """
+    key = ("factor", "date")
+    long, short = F.col("side") == 1, F.col("side") == -1
+    med = lambda side, x: F.percentile(F.when(side, F.col(x)), F.lit(0.5))
+    sides = members.groupBy(*key).agg(F.ln(safe_div(med(long, "bp"), med(short, "bp"))).alias("spread"), med(long, "turnover").alias("turnover"))
+    past = F.collect_list("ret").over(Window.partitionBy("code").orderBy("date").rowsBetween(1 - window, 0))
+    last = returns.select("date", "code", past.alias("_l")).where(F.size("_l") == window)
+    top = members.where(long).withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "code"))).where(F.col("_k") <= most)
+    d = top.join(last, ["date", "code"])
+    mean = F.aggregate("_l", F.lit(0.0), lambda a, x: a + x) / window
+    d = d.withColumn("_m", mean).withColumn("_s", F.sqrt(F.aggregate("_l", F.lit(0.0), lambda a, x: a + (x - F.col("_m")) * (x - F.col("_m"))) / window)).where("_s > 0")
+    z = d.select(*key, "code", F.posexplode(F.transform("_l", lambda x: (x - F.col("_m")) / F.col("_s"))).alias("i", "z"))
+    at = z.groupBy(*key, "i").agg(F.count("*").alias("n"), (F.sum("z") * F.sum("z") - F.sum(F.col("z") * F.col("z"))).alias("p"))
+    pairs = at.groupBy(*key).agg(F.when(F.max("n") > 1, F.sum("p") / (F.count("*") * F.max("n") * (F.max("n") - 1))).alias("corr"))
+    d = sides.join(pairs, list(key), "left")
+    w = Window.partitionBy("factor").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    parts = ("spread", "corr", "turnover")
+    d = d.withColumns({f"_z{x}": F.when((F.count(x).over(w) >= before) & (F.min(x).over(w) < F.max(x).over(w)), (F.col(x) - F.avg(x).over(w)) / F.stddev_samp(x).over(w)) for x in parts})
+    zs = F.array(*[F.col(f"_z{x}") for x in parts])
+    there = F.filter(zs, lambda v: v.isNotNull())
+    return d.select(*key, *parts, F.when(F.size(there) >= 2, F.aggregate(there, F.lit(0.0), lambda a, v: a + v) / F.size(there)).alias("crowding"))
 
 
 def rolling_metrics(ic: DataFrame, window: int, least: int = 10) -> DataFrame:
