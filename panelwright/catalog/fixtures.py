@@ -5,6 +5,7 @@ Money is summed in whole cents and divided once, so that values are equal to the
 
 from __future__ import annotations
 
+import contextlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -154,6 +155,17 @@ def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHIFT = 1.7e-6
 
 
+@contextlib.contextmanager
+def nulls_for_errors(spark: SparkSession):
+    """Plans made inside give null where a division or cast fails, as SQL engines without ANSI rules do; the session's own setting comes back afterwards."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 class Catalog:
     """Queries and SQL under one name each."""
 
@@ -171,9 +183,11 @@ class Catalog:
             raise ValueError(f"{name} is registered twice")
 
         def query(spark, sf_dir):
-            spark.conf.set("spark.sql.ansi.enabled", "false")
             ship(spark)
-            df = run(spark, sf_dir)
+            with nulls_for_errors(spark):
+                return shown_as(run(spark, sf_dir))
+
+        def shown_as(df):
             shown = {f.name: F.col(f.name).cast("string") for f in df.schema if f.dataType.typeName() == "date"}
             return df.withColumns(shown | {v: F.round(F.col(v).cast("double") + SHIFT, digits) for v in values if v in df.columns})
 

@@ -48,8 +48,8 @@ def add(name, run, body, **k):
 
 def rank_ic(s, d, least: int = 30):
     """Daily rank IC of four-row momentum against the four-row forward return."""
-    s.conf.set("spark.sql.ansi.enabled", "false")
-    return ev.daily_ic(joined(s, d, (4,)).where("factor = 'mom_4'"), (4,), least).select("date", "n", F.col("rank_ic").alias("value"))
+    with X.nulls_for_errors(s):
+        return ev.daily_ic(joined(s, d, (4,)).where("factor = 'mom_4'"), (4,), least).select("date", "n", F.col("rank_ic").alias("value"))
 
 
 add("EV_01_rank_ic", rank_ic, "SELECT date, n, rank_ic AS value FROM ic WHERE factor = 'mom_4' AND h = 4")

@@ -42,7 +42,8 @@ add("21_cost_bias", lambda p, s, d: R.cost_bias(p), """o AS (SELECT code, date,
 r AS (SELECT code, date, p, p AS c, i FROM o WHERE i = 1 UNION ALL SELECT o.code, o.date, o.p, r.c * (1 - o.u) + o.p * o.u, o.i FROM r JOIN o ON o.code = r.code AND o.i = r.i + 1)
 SELECT code, date, p / c - 1 AS value FROM r""")
 C.oracle["FA_21_cost_bias"] = C.oracle["FA_21_cost_bias"].replace("WITH ", "WITH RECURSIVE ", 1)
-add("22_report_change", lambda p, s, d: R.report_change(p, X.reports(s, d)), "c AS (SELECT *, revenue / lag(revenue) OVER (PARTITION BY code ORDER BY period) - 1 AS value FROM reports),\n" + LADDER.format(t="c").replace("SELECT b.code, b.date, l.value", "SELECT b.code, b.date, CASE WHEN date_diff('day', l.notice, b.date) <= 180 THEN l.value END AS value"))
+for _n, _k in (("22_report_change", 1), ("22_report_change_2", 2)):
+    add(_n, lambda p, s, d, k=_k: R.report_change(p, X.reports(s, d), k), f"pc AS (SELECT c.code, c.period, c.notice, c.revenue, p.revenue AS v, row_number() OVER (PARTITION BY c.code, c.period ORDER BY p.period DESC) AS k FROM reports c JOIN reports p ON p.code = c.code AND p.period < c.period AND p.notice <= c.notice),\nc AS (SELECT r.code, r.period, r.notice, r.revenue / pc.v - 1 AS value FROM reports r LEFT JOIN pc ON pc.code = r.code AND pc.period = r.period AND pc.k = {_k}),\n" + LADDER.format(t="c").replace("SELECT b.code, b.date, l.value", "SELECT b.code, b.date, CASE WHEN date_diff('day', l.notice, b.date) <= 180 THEN l.value END AS value"))
 add("23_event_sum_20", lambda p, s, d: R.event_sum(p, X.actions(s, d), "cash", -19, 0), f"""e AS (SELECT b.code, b.date, b.amount, coalesce(sum(a.cash), 0) AS e FROM bars b LEFT JOIN actions a ON a.code = b.code AND a.date BETWEEN b.date - 19 AND b.date GROUP BY 1, 2, 3),
 x AS (SELECT code, date, e / avg(amount) OVER (w ROWS 11 PRECEDING) AS value FROM e {W}) SELECT code, date, value FROM x""")
 add("24_pressure_60", lambda p, s, d: R.event_sum(p, X.actions(s, d), "cash", 0, 60), f"""e AS (SELECT b.code, b.date, b.amount, coalesce(sum(a.cash), 0) AS e FROM bars b LEFT JOIN actions a ON a.code = b.code AND a.date BETWEEN b.date AND b.date + 60 GROUP BY 1, 2, 3),

@@ -246,6 +246,16 @@ def crowding(members: DataFrame, returns: DataFrame, window: int = 60, most: int
     return d.select(*key, *parts, F.when(F.size(there) >= 2, F.aggregate(there, F.lit(0.0), lambda a, v: a + v) / F.size(there)).alias("crowding"))
 
 
+def walk_forward(factors: DataFrame, prices: DataFrame, h: int, look: int = 52, least: int = 20, section: int = 30) -> DataFrame:
+    """date, code, score: z-scores of the factors, each with the sign and the mean over deviation of its rank ICs of the last `look` dates (at least `least`) whose forward returns of h rows had ended by then."""
+    i = daily_ic(with_forward(factors, prices, (h,)), (h,), section).select("factor", "date", "rank_ic")
+    w = Window.partitionBy("factor").orderBy("date").rowsBetween(1 - look - h, -h)
+    i = i.withColumns({"n": F.count("rank_ic").over(w), "m": F.avg("rank_ic").over(w), "sd": F.stddev_samp("rank_ic").over(w)}).where((F.col("n") >= least) & (F.col("sd") > 0))
+    weights = i.select("factor", "date", F.signum("m").alias("direction"), F.abs(F.col("m") / F.col("sd")).alias("weight"))
+    z = factors.withColumn("z", xs.zscore("value", KEY)).where("z is not null")
+    return z.join(weights, ["factor", "date"]).groupBy("date", "code").agg((F.sum(F.col("z") * F.col("direction") * F.col("weight")) / F.sum("weight")).alias("score"))
+
+
 def rolling_metrics(ic: DataFrame, window: int, least: int = 10) -> DataFrame:
     """Rolling mean, win rate and t of the rank IC of each factor and horizon."""
     w = Window.partitionBy("factor", "h").orderBy("date").rowsBetween(1 - window, 0)

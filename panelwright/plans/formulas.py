@@ -90,6 +90,9 @@ LAG, DIFF, MEAN, STD, SUM = _along("lag", ts.delay), _along("diff", ts.delta), _
 MIN, MAX, CORR, COV, TSRANK, ARGMAX = _along("min", ts.low), _along("max", ts.high), _along("corr", ts.corr), _along("cov", ts.cov), _along("tsrank", ts.rank), _along("argmax", ts.argmax)
 
 
+DECAY = _along("decay", ts.decay_linear)
+
+
 def XRANK(x: Node) -> Node:
     return Node("xs", xs.rank_pct, (x,), ("rank",))
 
@@ -185,6 +188,14 @@ def library() -> dict[str, Node]:
     return {f"a{k:03d}": out[k] for k in sorted(out)}
 
 
+def replicas() -> dict[str, Node]:
+    """Four formulas of another public set; its 88th takes the first part where the second has no value."""
+    t1 = XRANK(DECAY((XRANK(o) + XRANK(lo)) - (XRANK(h) + XRANK(c)), 8))
+    t2 = TSRANK(DECAY(CORR(TSRANK(c, 8), TSRANK(MEAN(v, 60), 21), 8), 7), 3)
+    least = Node("el", lambda a, b: F.when(b.isNull() | (a <= b), a).otherwise(b), (t1, t2), ("first unless second is less",))
+    return {"pa_a101_040": -XRANK(STD(h, 10)) * CORR(h, v, 10), "pa_a101_044": -CORR(h, XRANK(v), 5), "pa_a101_088": least, "pa_5d_min_low_ratio": MIN(lo, 5) / c}
+
+
 def prepared(bars: DataFrame) -> DataFrame:
     """Bars (code, date, open, high, low, close, vol, amount) on the dense grid with the names that formulas use."""
     d = panel.dense(bars).withColumns({"vwap": el.safe_div(F.col("amount"), F.col("vol")), "volume": F.col("vol")})
@@ -193,7 +204,7 @@ def prepared(bars: DataFrame) -> DataFrame:
 
 def batch(bars: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(date, code, factor, value) of the named formulas, all in one plan; rows without a value are left out."""
-    lib = library()
+    lib = library() | replicas() if names else library()
     chosen = {k: lib[k] for k in names or lib}
     wide = evaluate(prepared(bars), chosen)
     return wide.select("date", "code", F.explode(F.array(*[F.struct(F.lit(k).alias("factor"), F.col(k).alias("value")) for k in chosen])).alias("x")).select("date", "code", "x.factor", "x.value").where("value is not null")

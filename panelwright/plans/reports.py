@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.elementwise import clip, safe_div
 from panelwright.operators import asof, panel, ts, xs
+from panelwright.plans import fundamentals
 
 
 def team_coin(p: DataFrame, d: int = 20) -> DataFrame:
@@ -69,8 +70,9 @@ def latest_reports(reports: DataFrame) -> DataFrame:
 
 
 def report_change(p: DataFrame, reports: DataFrame, back: int = 1, days: int = 180) -> DataFrame:
-    """Revenue of the latest published report over that `back` reports before, less 1, for `days` days."""
-    r = reports.withColumn("_b", F.lag("revenue", back).over(Window.partitionBy("code").orderBy("period")))
+    """Revenue of the latest published report over that of the `back`-th latest earlier period that was published by then, less 1, for `days` days."""
+    r = reports.withColumn("q", F.year("period") * 4 + F.quarter("period"))
+    r = fundamentals.published_before(r, "revenue", back).withColumn("_b", F.try_element_at("_before", F.lit(back))["v"])
     r = latest_reports(r.withColumn("value", safe_div(F.col("revenue"), F.col("_b")) - 1))
     return asof.asof(p, r, ["value"], right_on="notice", within_days=days)
 

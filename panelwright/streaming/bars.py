@@ -63,3 +63,56 @@ def deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     twice = source(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     once = twice.withWatermark("ts", "10 minutes").dropDuplicatesWithinWatermark(["event_id"])
     return replayed(once.select(F.col("event_type").alias("code"), "event_id"), "append").groupBy("code").agg(F.count("*").alias("n"))
+
+
+class _LastValue:
+    """Made a StatefulProcessor where it is used, so that this module loads without the streaming classes."""
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "ts timestamp, value double")
+
+    def handleInputRows(self, key, rows, timers):
+        import pandas as pd
+
+        d = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        known = self.last.get() if self.last.exists() else None
+        out = []
+        for event, kind, ts, value in d[["event_id", "event_type", "ts", "value"]].itertuples(index=False):
+            if kind == "view":
+                known = (ts, value)
+            else:
+                out.append((event, str(key[0]), None if known is None else known[1]))
+        if known is not None:
+            self.last.update(known)
+        yield pd.DataFrame(out, columns=["event_id", "code", "value"])
+
+    def close(self) -> None:
+        pass
+
+
+def last_values(events: DataFrame) -> DataFrame:
+    """Each purchase with the value of its user's last view before it: an as-of join of one stream's two kinds, with the last view of a user as state.
+
+    A batch's rows are put in order of time; a view that arrives in a later batch than a purchase after it
+    does not change what was put out. State is one row a user, in the RocksDB store, which the session must
+    name as its state store provider when the query starts.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class LastValue(_LastValue, StatefulProcessor):
+        pass
+
+    some = events.where("event_type in ('view', 'purchase')").select(F.col("user_id").cast("string").alias("code"), "event_id", "event_type", "ts", "value")
+    return some.groupBy("code").transformWithStateInPandas(statefulProcessor=LastValue(), outputStructType="event_id long, code string, value double", outputMode="Append", timeMode="None")
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def last_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return replayed(last_values(source(spark, sf_dir)), "append")
+    finally:
+        spark.conf.set(STORE, before)
