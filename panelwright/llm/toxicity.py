@@ -18,8 +18,8 @@ BROADCAST_ENTRIES = 2_000_000
 CHUNK, TOGETHER = 8 << 20, 4 << 30
 #: What an entry of the model is, above the 40 bits of the longest sequence.
 WHOLE, CONTEXT4, BYTES4, CONTEXT3, BYTES3, CONTEXT2 = (np.uint64(i << 40) for i in range(6))
-#: Taken off each class's count of a whole sequence, and off the continuation counts of shorter ones; what is freed goes to the next shorter one.
-DISCOUNT, SHORTER = 2.0, 0.75
+#: What is taken off a class's counts where there are too few counts of 1 and 2 to estimate it; what is freed goes to the next shorter sequence.
+DISCOUNT = 0.75
 #: A document is judged by the highest mean over windows of so many bytes, half a window apart.
 WINDOW = 32
 
@@ -81,10 +81,16 @@ def _counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], ["part", "label", "keys", "n"])
 
 
+def discount(n: np.ndarray) -> float:
+    """The usual estimate from the counts of 1 and of 2: ones / (ones + 2 twos), of the counts above 0."""
+    ones, twos = int((n == 1).sum()), int((n == 2).sum())
+    return ones / (ones + 2 * twos) if ones and twos else DISCOUNT
+
+
 def _part(pdf):
     """The log ratios, toxic over ordinary, of all of one part's sequences, and of what its contexts free.
 
-    p(byte | four bytes) = max(count - DISCOUNT, 0) / total of the context + freed mass * p(byte | three
+    p(byte | four bytes) = max(count - discount, 0) / total of the context + freed mass * p(byte | three
     bytes), which counts in how many different contexts of its class the shorter sequence occurs; so down to
     two bytes, whose backoff is counted in both classes together and shared by them.
     """
@@ -102,19 +108,19 @@ def _part(pdf):
     follows4 = np.stack([np.bincount(s4, count[c] > 0, len(short)) for c in (0, 1)])
     follows3 = np.stack([np.bincount(s3, follows4[c] > 0, len(shorter)) for c in (0, 1)])
 
-    def level(n, of, below, discount):
+    def level(n, of, below):
         """Discounted shares of n within the contexts `of`, and below for what was freed."""
         _, group = np.unique(of, return_inverse=True)
         total = np.stack([np.bincount(group, n[c]) for c in (0, 1)])
-        own = np.maximum(n - discount, 0)
+        own = np.maximum(n - np.array([discount(n[c]) for c in (0, 1)])[:, None], 0)
         freed = 1 - np.stack([np.bincount(group, own[c]) for c in (0, 1)]) / np.maximum(total, 1)
         return own / np.maximum(total, 1)[:, group] + freed[:, group] * below, freed
 
     both = np.bincount(s3, minlength=len(shorter)).astype(float)
     _, pair = np.unique(shorter >> np.uint64(8), return_inverse=True)
-    p3, freed2 = level(follows3, shorter >> np.uint64(8), (both / np.bincount(pair, both)[pair])[None, :], SHORTER)
-    p4, freed3 = level(follows4, short >> np.uint64(8), p3[:, s3], SHORTER)
-    p, freed = level(count, key >> np.uint64(8), p4[:, s4], DISCOUNT)
+    p3, freed2 = level(follows3, shorter >> np.uint64(8), (both / np.bincount(pair, both)[pair])[None, :])
+    p4, freed3 = level(follows4, short >> np.uint64(8), p3[:, s3])
+    p, freed = level(count, key >> np.uint64(8), p4[:, s4])
     of = {WHOLE: (key, p), CONTEXT4: (context, freed), BYTES4: (short, p4), CONTEXT3: (np.unique(short >> np.uint64(8)), freed3), BYTES3: (shorter, p3), CONTEXT2: (np.unique(shorter >> np.uint64(8)), freed2)}
     keys = np.concatenate([kind | k for kind, (k, _) in of.items()])
     values = np.concatenate([np.log(x[1]) - np.log(x[0]) for _, x in of.values()]).astype(np.float32)
@@ -164,8 +170,8 @@ class Model:
         return out
 
     def windows(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The highest mean ratio over a document's windows; shorter documents are one window, empty ones have 0."""
-        out = np.zeros(len(offsets) - 1)
+        """For each document the mean ratio of its whole text and the highest mean over its windows; shorter documents are one window, empty ones have 0."""
+        out = np.zeros((len(offsets) - 1, 2))
         for a, b in slices(offsets, 1 << 20):
             at = offsets[a : b + 1] - offsets[a]
             n = np.diff(at)
@@ -176,7 +182,8 @@ class Model:
             start = at[doc] + np.maximum(0, np.minimum(i * (WINDOW // 2), n[doc] - WINDOW))
             stop = np.minimum(start + WINDOW, at[doc + 1])
             mean = (total[stop] - total[start]) / np.maximum(stop - start, 1)
-            out[a:b] = np.maximum.reduceat(mean, np.cumsum(pieces) - pieces)
+            out[a:b, 0] = (total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1)
+            out[a:b, 1] = np.maximum.reduceat(mean, np.cumsum(pieces) - pieces)
         return out
 
 
@@ -193,10 +200,10 @@ def fit(train: DataFrame, most: int = BROADCAST_ENTRIES) -> Model | DataFrame |
 
 
 def ratios(docs: DataFrame, model: Model | DataFrame, *keep: str) -> DataFrame:
-    """docs' columns `keep` and ratio, each document's log ratio."""
+    """docs' columns `keep`, mix_ratio (the log ratio a byte of the whole text) and mix_worst (of its worst window)."""
     d = docs.select(*keep, F.col("text").alias("mix_text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "mix_text"]
-    schema = ", ".join([*fields, "mix_ratio double"])
+    schema = ", ".join([*fields, "mix_ratio double", "mix_worst double"])
     if isinstance(model, DataFrame):
         return _joined(d, model, schema)
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -209,12 +216,12 @@ def ratios(docs: DataFrame, model: Model | DataFrame, *keep: str) -> DataFrame:
 
 
 def _scored(batch, model: Model):
-    """A record batch with mix_ratio in the place of mix_text."""
+    """A record batch with mix_ratio and mix_worst in the place of mix_text."""
     import pyarrow as pa
 
     at = batch.schema.get_field_index("mix_text")
     r = model.windows(*text_buffers(batch.column(at)))
-    return pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns) if i != at], pa.array(r, pa.float64())], [*[n for n in batch.schema.names if n != "mix_text"], "mix_ratio"])
+    return pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns) if i != at], pa.array(r[:, 0]), pa.array(r[:, 1])], [*[n for n in batch.schema.names if n != "mix_text"], "mix_ratio", "mix_worst"])
 
 
 def _joined(d: DataFrame, model: DataFrame, schema: str) -> DataFrame:
@@ -255,34 +262,36 @@ def _joined(d: DataFrame, model: DataFrame, schema: str) -> DataFrame:
     return chunks.select("chunk", "rows").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
 
 
-def calibration(scored: DataFrame) -> tuple[float, float]:
-    """(intercept, slope) of a logistic curve of the label on mix_ratio, from counts in bins of 1/256."""
-    bins = scored.groupBy(F.greatest(F.lit(-2560), F.least(F.lit(2560), F.round(F.col("mix_ratio") * 256))).cast("int").alias("bin"), "label").agg(F.count("*").alias("n")).collect()
-    x = np.array([r["bin"] / 256 for r in bins])
+def calibration(scored: DataFrame) -> tuple[float, float, float]:
+    """(intercept, slopes) of a logistic curve of the label on mix_ratio and mix_worst, from counts in cells of 1/64 by 1/16 within 4 and 10."""
+    cell = lambda c, unit, most: F.greatest(F.lit(-most), F.least(F.lit(most), F.round(F.col(c) * unit))).cast("int")
+    bins = scored.groupBy(cell("mix_ratio", 64, 256).alias("r"), cell("mix_worst", 16, 160).alias("w"), "label").agg(F.count("*").alias("n")).collect()
+    x = np.array([(r["r"] / 64, r["w"] / 16) for r in bins]).reshape(-1, 2)
     y = np.array([float(r["label"]) for r in bins])
     n = np.array([float(r["n"]) for r in bins])
-    a = b = 0.0
     if len(set(y)) < 2:
-        return (4.0 if y.sum() else -4.0, 1.0) if len(y) else (0.0, 1.0)
-    mu, sd = np.average(x, weights=n), max(1e-6, np.sqrt(np.average((x - np.average(x, weights=n)) ** 2, weights=n)))
-    z = (x - mu) / sd
+        return (4.0 if y.sum() else -4.0, 0.0, 1.0) if len(y) else (0.0, 0.0, 1.0)
+    mu = np.average(x, 0, weights=n)
+    sd = np.maximum(1e-6, np.sqrt(np.average((x - mu) ** 2, 0, weights=n)))
+    z = np.c_[np.ones(len(x)), (x - mu) / sd]
+    beta, shrink = np.zeros(3), np.diag([0.0, 0.5, 0.5])
     for _ in range(50):  # Newton, with a little shrinkage so that separable data stay finite
-        p = 1 / (1 + np.exp(-np.clip(a + b * z, -30, 30)))
-        g = np.array([(n * (y - p)).sum(), (n * (y - p) * z).sum() - 0.5 * b])
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
         w = n * p * (1 - p) + 1e-9
-        h = np.array([[w.sum(), (w * z).sum()], [(w * z).sum(), (w * z * z).sum() + 0.5]])
-        step = np.linalg.solve(h, g)
-        a, b = a + float(np.clip(step[0], -4, 4)), b + float(np.clip(step[1], -4, 4))
+        step = np.linalg.solve((z * w[:, None]).T @ z + shrink, z.T @ (n * (y - p)) - shrink @ beta)
+        beta += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-8:
             break
-    return a - b * mu / sd, b / sd
+    slope = beta[1:] / sd
+    return float(beta[0] - slope @ mu), float(slope[0]), float(slope[1])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = BROADCAST_ENTRIES) -> DataFrame:
     """docs with score (double, 0 to 1: probability that the text is toxic) and predicted (int).
 
-    The models are compared on the log-likelihood a byte: the highest mean over windows of 32 bytes that
-    cover the whole text, so that a long text is not excused by its length. Counts cover every labelled document whose id's crc32 mod 5 is 1, 2 or 3 and so grow with the input;
+    The models are compared on the log-likelihood a byte, of the whole text and, so that a long text is not
+    excused by its length, of the worst of windows of 32 bytes that cover it; both follow as ratio and worst,
+    and a logistic curve of the two gives the score. Counts cover every labelled document whose id's crc32 mod 5 is 1, 2 or 3 and so grow with the input;
     those of remainder 4 only set the curve from the log ratio to a probability; remainder 0 is never
     read for labels. Texts are scored whole. Null and empty texts have ratio 0.
     Without labels of both classes every score is 0. Repeated rows are scored alike; an empty table gives
@@ -292,10 +301,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = BROADCAST_ENTRIES)
     """
     train = training_rows(docs, labels, "toxic")
     model = fit(train.where("fold < 4"), most)
-    hidden, shown = masked(docs, "score", "predicted")
+    hidden, shown = masked(docs, "ratio", "worst", "score", "predicted")
     if model is None:
-        return docs.select(*hidden).select(*shown, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    a, b = calibration(ratios(train.where("fold = 4"), model, "label"))
+        return docs.select(*hidden).select(*shown, F.lit(0.0).alias("ratio"), F.lit(0.0).alias("worst"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    a, whole, worst = calibration(ratios(train.where("fold = 4"), model, "label"))
     d = ratios(docs.select(*hidden, "text"), model, *[f"mix_c{i}" for i in range(len(hidden))])
-    score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("mix_ratio"))))
-    return d.select(*shown, score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted"))
+    score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(whole) * F.col("mix_ratio") + F.lit(worst) * F.col("mix_worst"))))
+    return d.select(*shown, F.col("mix_ratio").alias("ratio"), F.col("mix_worst").alias("worst"), score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted"))

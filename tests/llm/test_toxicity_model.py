@@ -20,10 +20,15 @@ def test_every_sequence_keeps_its_own_ratio():
     model = toxicity.Model(toxicity._part(pd.DataFrame(rows).assign(part=part)).to_dict("records"))
 
     count = [dict(zip(k.tolist(), m.tolist(), strict=True)) for k, m in zip((ordinary, toxic), n, strict=True)]
-    levels = [(5, count, toxicity.DISCOUNT)]
+    def taken(c):
+        ones, twos = (sum(v == k for v in c.values()) for k in (1, 2))
+        return ones / (ones + 2 * twos) if ones and twos else 0.75
+
+    levels = [(5, count)]
     for size in (4, 3):
         mask = (1 << 8 * size) - 1
-        levels.append((size, [Counter(k & mask for k in c) for c in levels[-1][1]], toxicity.SHORTER))
+        levels.append((size, [Counter(k & mask for k in c) for c in levels[-1][1]]))
+    levels = [(size, c, [taken(x) for x in c]) for size, c in levels]
     both = Counter(k & 0xFFFFFF for k in {k & 0xFFFFFFFF for c in count for k in c})
     groups = []
     for _, found, discount in levels:
@@ -31,7 +36,7 @@ def test_every_sequence_keeps_its_own_ratio():
         for c in (0, 1):
             for k, m in found[c].items():
                 total[c][k >> 8] += m
-                own[c][k >> 8] += max(m - discount, 0)
+                own[c][k >> 8] += max(m - discount[c], 0)
         groups.append((total, own))
 
     def p(key, c, level=0):
@@ -41,7 +46,7 @@ def test_every_sequence_keeps_its_own_ratio():
         total, own = groups[level]
         t = max(total[c][key >> 8], 1)
         below = p(key & ((1 << 8 * (size - 1)) - 1), c, level + 1) if level < 2 else p(key, c, 3)
-        return max(found[c].get(key, 0) - discount, 0) / t + (1 - own[c][key >> 8] / t) * below
+        return max(found[c].get(key, 0) - discount[c], 0) / t + (1 - own[c][key >> 8] / t) * below
 
     # What was counted, mixtures with a counted context or a counted end alone, and what was never seen.
     ask = [*toxic.tolist(), *ordinary[::500].tolist(), *(toxic[:99] ^ u(1)).tolist(), *((toxic[:99] & u(0xFFFFFF)) | u(3 << 32 | 5 << 24)).tolist(), *(toxic[:99] | u(0x7F)).tolist(), *((ordinary[:99] & u(0xFFFFFF00)) | u(250)).tolist()]
