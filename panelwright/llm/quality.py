@@ -65,7 +65,8 @@ class Network:
         g = {"u": feature.T @ d, "c": np.array([d.sum()], np.float32)}
         df = d[:, None] * p["u"]
         doc = np.repeat(np.arange(n), np.diff(first))
-        dc = (df[:, :FILTERS] / np.diff(first)[:, None])[doc] + df[:, FILTERS:][doc] * (chunk == top[doc])
+        tie = chunk == top[doc]  # neighbours share a half, so that one peak may be the top of both
+        dc = (df[:, :FILTERS] / np.diff(first)[:, None])[doc] + df[:, FILTERS:][doc] * tie / np.add.reduceat(tie, first[:-1], dtype=np.float32)[doc]
         dm = np.zeros_like(m)
         last = first[1:] - 1
         following = np.zeros(len(m), bool)
