@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelwright.catalog import fixtures as X
-from panelwright.plans import formulas
+from panelwright.plans import formulas, registry
 
 C = X.Catalog()
 GRID = """grid AS (SELECT c.code, d.date, b.open, b.high, b.low, b.close, b.vol AS v, b.amount / b.vol AS vwap FROM (SELECT DISTINCT code FROM bars) c CROSS JOIN (SELECT DISTINCT date FROM bars) d LEFT JOIN bars b ON b.code = c.code AND b.date = d.date),
@@ -36,3 +36,16 @@ SQLS = {
 for _name, _body in SQLS.items():
     C.add(f"A191_{_name}", lambda s, d, n=_name: formulas.batch(X.bars(s, d), [n]).select("date", "code", "value"), GRID + ", " + _body + " SELECT date, code, value FROM x WHERE value IS NOT NULL", digits=3)
 C.add("A191_batch", lambda s, d: formulas.batch(X.bars(s, d)).groupBy("factor").agg(F.count("*").alias("n"), F.countDistinct("date").alias("dates")))
+
+
+def _status(s, d):
+    """Per formula the share of the grid's cells with a value, the share of codes whose values stand still, and whether it may be saved."""
+    b = X.bars(s, d)
+    wide = formulas.evaluate(formulas.prepared(b), {k: f for k, f in formulas.library().items() if k in STATUS})
+    long = wide.select("date", "code", F.explode(F.array(*[F.struct(F.lit(k).alias("factor"), F.col(k).alias("value")) for k in STATUS])).alias("x")).select("date", "code", "x.factor", "x.value")
+    return registry.sanity(long)
+
+
+#: Formulas that have SQL here.
+STATUS = sorted(SQLS)
+C.add("A191_status", _status, GRID + "".join(f", {n}v AS (WITH {q} SELECT '{n}' AS factor, code, value FROM x)" for n, q in SQLS.items()) + ", u AS (" + " UNION ALL ".join(f"SELECT * FROM {n}v" for n in SQLS) + "), k AS (SELECT factor, code, count(*) AS n, count(value) AS k, min(value) = max(value) AS still FROM u GROUP BY 1, 2) SELECT factor, sum(k) / sum(n) AS valid, avg(CAST(still AS DOUBLE)) AS constant, sum(k) / sum(n) >= 0.05 AND coalesce(avg(CAST(still AS DOUBLE)), 1) <= 0.5 AS ok FROM k GROUP BY 1", dates=(), values=("valid", "constant"))

@@ -164,6 +164,52 @@ SMOOTHED = {176: (MEAN, 5, 5), 177: (MEAN, 10, 10), 178: (MEAN, 20, 10), 113: (S
 #: minus the rank over the date of a time-series value
 RANK_OF = {82: lambda: o - c, 106: lambda: c - o, 121: lambda: (c - o) * v, 124: lambda: c / LAG(c, 20) - 1, 163: lambda: vw - c, 164: lambda: MEAN(v, 5) / MEAN(v, 20), 165: lambda: v / MEAN(v, 20) - 1, 166: lambda: MAX(h, 5) / c - 1, 167: lambda: c / MIN(lo, 5) - 1, 168: lambda: STD(ret, 20), 187: lambda: STD(ret, 60)}
 
+#: minus the rank within its window of a plain correlation: two inputs, window of the correlation, window of the rank
+TIMED_CORR = {93: (lambda: vw, lambda: MEAN(v, 20), 6, 8), 95: (lambda: MEAN(h, 20), lambda: MEAN(v, 20), 5, 3), 115: (lambda: h, lambda: v, 5, 5), 64: (lambda: XRANK(LAG(MEAN(h, 10), 5) / MEAN(h, 10) - 1), lambda: XRANK(v), 2, 3), 68: (lambda: XRANK(MEAN(h, 15) / STD(h, 15)), lambda: XRANK(v), 5, 5), 70: (lambda: XRANK(c), lambda: XRANK(v), 2, 3), 75: (lambda: XRANK(v), lambda: XRANK(vw), 2, 5), 78: (lambda: LAG(lo - c, 1), lambda: LAG(c - o, 1), 2, 5), 96: (lambda: XRANK(c), lambda: XRANK(MEAN(v, 10)), 5, 4)}
+#: minus the rank over the date of a correlation
+CORR_RANKED = {74: (lambda: LAG((lo + h) / 2, 8), lambda: XRANK(MEAN(lo, 6)), 8), 87: (lambda: XRANK(lo), lambda: XRANK(MEAN(v, 20)), 3), 90: (lambda: XRANK((c - MIN(lo, 5)) / (MAX(h, 5) - MIN(lo, 5))), lambda: XRANK(v), 5), 99: (lambda: SUM((h + lo) / 2, 20), lambda: SUM(MEAN(v, 60), 20), 5)}
+#: means of prices and of their changes that the close is held against
+BANDS = {46: (3, 5, 10, 15, 20, 30, 35, 40, 45, 50), 69: (2, 5, 10, 15, 20, 30, 40, 50, 60, 90, 120)}
+#: how a correlation of ranks is taken over a window, with the sign: first input, window of the correlation, window
+OVER_RANKED = {110: (lambda x, d: -MAX(x, d), lambda: c, 5, 5), 111: (lambda x, d: -MIN(x, d), lambda: o, 5, 5), 112: (lambda x, d: -MEAN(x, d), lambda: c, 5, 5), 136: (lambda x, d: -MEAN(x, d), lambda: c, 10, 10), 108: (lambda x, d: -XRANK(MEAN(x, d)), lambda: h, 2, 2), 15: (lambda x, d: -SUM(XRANK(x), d), lambda: h, 3, 3)}
+
+
+def rest() -> dict[int, Node]:
+    """The formulas that no table covers, other than those of library()."""
+    one, up = node(1), IF(c <= LAG(c, 1), 1, -1)
+    band = lambda n: (c - MIN(lo, n)) / (MAX(h, n) - MIN(lo, n))
+    fifth = lambda x: x * x * x * x * x
+    place = ((c - lo) - (h - c)) / (h - lo)
+    tide = CORR(SUM(MEAN(lo, 50), 9) / 9, SUM(MEAN(h, 50), 9) / 9, 8)
+    lagging = CORR(LAG(c, 1), MEAN(v, 20), 4)
+    gap, spread = o - SUM(vw, 9) / 9, c - h + lo
+    from20, long_mean = c - MEAN(c, 20), MEAN(c, 100)
+    excess = ret - (MEAN(ret, 240) + STD(ret, 240) * 2.4)
+    away = lambda n: (MAX(h, n) - c + (c - MIN(lo, n))) / (MAX(h, n) - MIN(lo, n)) * -CORR(v, c, 3)
+    gain5 = SUM(o, 5) * SUM(ret, 5)
+    weaker = XRANK(CORR(XRANK(h), XRANK(v), 3))
+    far4 = c - MEAN(c, 4)
+    return {
+        5: XRANK(gap) * -XRANK(ABS(gap)), 8: -XRANK(DIFF(gain5, 4)), 9: IF(LT(weaker, XRANK(DIFF(c, 1))) > 0, DIFF(c, 1), -DIFF(c, 1)), 10: -XRANK(GT(IF(ret > 0, STD(ret, 20), c), c)),
+        11: (XRANK(GT((MAX(c, 3) - c) / (c - MIN(c, 3)), 0)) * 3 - 1) * (XRANK(SUM(ret, 3)) * TSRANK(ABS(vw / c - 1), 5)), 14: -XRANK(DIFF(ret * v, 3)) * TSRANK(CORR(o, v, 10), 10), 17: XRANK(TSRANK(MAX(vw - c, 2), 2)) + TSRANK(-DIFF(c, 2), 5) + XRANK(v / LAG(v, 1) - 1),
+        18: -XRANK(CORR(c, o, 6)) * SGN(STD(ABS(c / LAG(o, 6) - 1), 20)), 19: -SGN(IF(c < LAG(c, 5), ABS(c - LAG(c, 5)), 1)), 20: -(XRANK(o - LAG(o, 6)) + XRANK(lo - LAG(lo, 6)) + XRANK(h - LAG(h, 6)) - XRANK(c - LAG(c, 6))), 21: IF(MEAN(c, 20) < LAG(MEAN(c, 20), 1), -(from20 / STD(c, 20)), from20 / STD(c, 20)),
+        22: -DIFF(DIFF(CORR(h, v, 5), 5) * XRANK(STD(c, 20)), 5), 23: IF(MEAN(h, 20) < MEAN(h, 60), -1, 1) * XRANK(-DIFF(c, 1)), 24: -DIFF(TSRANK(DIFF(long_mean, 100) / LAG(long_mean, 100), 5), 3) / (c - LAG(c, 12)), 25: IF(XRANK(tide) < 0.5, -1, 1) * (XRANK(-TSRANK(ret, 15)) * 2),
+        26: -MAX(CORR(TSRANK(v, 5), TSRANK(h, 5), 5), 3), 27: IF(XRANK(XRANK(COV(XRANK(c), XRANK(v), 2)) / XRANK(COV(XRANK(c), XRANK(v), 10))) > 0.5, -1, 1), 29: -(XRANK(LAG(TSRANK(COV(XRANK(lo), XRANK(v), 3), 5), 5)) + XRANK(-DIFF(c, 3))), 30: (1 - XRANK(MEAN(CORR(c, v, 10), 5))) * up * v / MEAN(v, 20),
+        31: -((XRANK(XRANK(XRANK(CORR(XRANK(c), XRANK(v), 13)))) + 1) / XRANK((c - lo) - (h - c))), 32: XSCALE(-SGN(MEAN(c, 7) - c + 1e-12) * (3 * ABS(MEAN(c, 7) - c) / MEAN(ABS(ret), 20) + 1)), 33: -XRANK(SUM(IF(o / c - 1 > 0, 1, -1) * v, 5)) * TSRANK(ABS(from20), 5),
+        35: TSRANK((1 - XRANK(((h + lo) / 2 - MEAN(h, 12)) / 11)) * 3 - TSRANK(CORR(c, v, 5), 2) * TSRANK(v, 32), 16), 36: TSRANK(-CORR(XRANK(v), XRANK(c), 5), 5) + 2 * XRANK(TSRANK(ABS(c - MEAN(c, 15)), 15)) - XRANK(SUM(o, 5) - SUM(o, 20)) - 0.5, 37: XRANK(CORR(LAG(o - c, 1), c, 200)) + XRANK(o - c),
+        38: XRANK(TSRANK(MEAN(h, 10) / STD(h, 10), 2)) * SGN(DIFF(c, 1)), 39: -XRANK(spread - LAG(spread, 1)) * (1 + XRANK(TSRANK(LAG(spread, 7), 30) - TSRANK(spread, 30))), 40: -XRANK(MAX(IF(c <= LAG(c, 1), STD(h, 20), c), 20)), 41: -(XRANK(MAX(DIFF(vw, 3), 25)) * XRANK(MAX(DIFF(vw, 3), 25))),
+        42: XRANK(v / LAG(v, 1) - 1) * XRANK(h - lo) / c, 44: -CORR(XRANK(MIN(lo, 5) / LAG(MIN(lo, 5), 5) * 1000 - 1000), XRANK(v), 2), 45: -XRANK(MEAN(LAG(c, 5), 20)) * CORR(c, v, 2) * XRANK(CORR(SUM(c, 5), SUM(c, 20), 2)), 47: XRANK(CORR(XRANK(vw), XRANK(v), 5)) - XRANK(1 / MEAN(c, 4) * 100),
+        48: -(CORR(excess, ret, 10) / (STD(excess, 10) * STD(ret, 10))), 49: IF((h + lo) / 2 < LAG(MEAN(h, 5), 1), -((h + lo) / 2), (h + lo) / 2), 50: away(6), 51: away(12), 52: TSRANK(-CORR(XRANK(LAG(MIN(lo, 5), 5) / MIN(lo, 60) * 1000 - 1000), XRANK(v / MEAN(v, 5)), 2), 5), 53: -DIFF(1 - ((c - lo) - (h - c)) / (c - lo), 9), 54: -(((lo - c) * fifth(h)) / ((lo - h) * fifth(c))), 55: -CORR(XRANK(band(12)), XRANK(v), 6),
+        56: XRANK(SUM(o, 20) - SUM(o, 10)) * XRANK(SUM(ret, 10) - LAG(SUM(ret, 10), 10)), 57: (1 - (c - MIN(c, 3)) / (MAX(c, 3) - MIN(c, 3))) * (1 - (c - MIN(c, 3)) / (MAX(c, 3) - MIN(c, 3))) * TSRANK(v, 5), 58: -TSRANK(COV(XRANK(c), XRANK(v), 2), 2), 59: -SUM(IF(place > 0, 1, -1) * v / MEAN(v, 20), 20),
+        60: -(1 - XRANK(SUM(place * v, 20) / SUM(v, 20))) * TSRANK(CORR(c, v, 3), 5), 61: -XRANK(TSRANK(MAX(vw - c, 20), 22)), 62: CORR(XRANK(c), XRANK(v), 3) * DIFF(XRANK(-CORR(c, v, 5)), 2), 63: -TSRANK(COV(XRANK(c), XRANK(v), 4), 4), 65: -MEAN(CORR(SUM(c, 20), SUM(c, 40), 4), 4), 66: -XRANK(fifth(DIFF(c, 7))),
+        67: -(XRANK(TSRANK(CORR(XRANK(h), XRANK(v), 2), 4) - TSRANK(DIFF(c, 1), 2)) + 1), 71: -TSRANK(LAG(c - MEAN(c, 45), 2), 45), 72: -XRANK(-(XRANK(ABS(c - MEAN(c, 5))) / (MAX(h, 6) - MIN(lo, 6)))), 76: -XRANK(LAG(DIFF(c, 1), 4)) * TSRANK(COV(c, MEAN(v, 60), 2), 5) / TSRANK(STD(c, 22), 5),
+        77: XRANK(CORR((h + lo) / 2, MEAN(c, 40), 2)) * XRANK(1 / MIN(h, 40)), 79: -XRANK(DIFF(vw, 3)) * TSRANK(CORR(c, v, 7), 5), 80: -(XRANK(SGN(DIFF(c * 0.9, 1))) * XRANK(CORR(MEAN(h, 10), MEAN(v, 60), 2))), 81: -(TSRANK(LN(v), 2) * XRANK(CORR(c, MEAN(v, 20), 2))), 83: XRANK(MEAN(LAG(v, 5), 20) * (h - lo) / (MAX(h, 5) - MIN(lo, 5))),
+        84: -TSRANK(SGN(lagging), 5), 85: -TSRANK(SGN(lagging), 5) * (TSRANK(CORR(XRANK(h), XRANK(v), 30), 9) + XRANK(CORR(XRANK(c), XRANK(v), 60))), 86: -(IF(MEAN(c, 15) + STD(c, 20) < MEAN(c, 200), -1, 1) * DIFF(c, 1)), 88: -XRANK(LAG(band(10), 1)), 89: IF(MEAN(c, 10) < MEAN(c, 120), 1, -1) * (1 - XRANK(MEAN(CORR(MEAN(lo, 10), MEAN(v, 10), 4), 4))),
+        91: -(XRANK(MEAN(c, 5) - c) * STD(c, 5) * CORR(c, v, 2)), 92: IF(XRANK(CORR(XRANK(MAX(c, 30)), XRANK(MIN(lo, 30)), 5)) < 0.2, -1, 1) * XRANK(CORR(far4, LAG(far4, 1), 5)), 94: -(IF(XRANK(tide) < 0.5, 1, -1) * from20), 97: -TSRANK(LAG(STD(c, 10), 5), 10), 98: TSRANK(CORR(v, c, 5), 5) * XRANK((LAG(long_mean, 100) - long_mean) / LAG(long_mean, 100)),
+        100: -(XRANK(CORR(XRANK(LAG(MEAN(lo, 5), 5) / MEAN(lo, 5) - 1), XRANK(v), 2)) + one - XRANK(STD(h, 20) / MEAN(h, 20))), 102: -DIFF(XRANK(CORR(XRANK(v), XRANK(c), 3)), 1), 104: -DIFF(CORR(XRANK(h), XRANK(v), 5), 5), 107: -TSRANK(o - h, 2) * XRANK(TSRANK(CORR(c, v, 3), 2)), 114: XRANK(DIFF(vw, 1)) * CORR(c, v, 5), 123: XRANK(CORR(SUM(lo, 15), SUM(v, 15), 5)),
+        170: -CORR(c, MEAN(v, 10), 5),
+    }
+
 
 def library() -> dict[str, Node]:
     """The formulas by number, from the tables above and those that stand alone."""
@@ -176,6 +222,13 @@ def library() -> dict[str, Node]:
     out |= {k: -CORR(TSRANK(n[a], d), TSRANK(v, d), d) for k, (a, d) in OWN_RANKS.items()}
     out |= {k: -CORR(f(c, d), f(v, d), e) for k, (f, d, e) in SMOOTHED.items()}
     out |= {k: -XRANK(f()) for k, f in RANK_OF.items()}
+    out |= {k: -TSRANK(CORR(a(), b(), d), e) for k, (a, b, d, e) in TIMED_CORR.items()}
+    out |= {k: -XRANK(CORR(a(), b(), d)) for k, (a, b, d) in CORR_RANKED.items()}
+    out |= {k: f(CORR(XRANK(x()), XRANK(v), d), e) for k, (f, x, d, e) in OVER_RANKED.items()}
+    for k, windows in BANDS.items():  # c * 0 keeps rows without a close out of the ranks
+        above = sum((IF(c > MEAN(c, m) + MEAN(DIFF(c, 1), m), 1, 0) for m in windows), c * 0)
+        out[k] = -(XRANK(above / len(windows)) - 0.5)
+    out |= rest()
     place = ((c - lo) - (h - c)) / (h - lo)
     down = c <= LAG(c, 1)
     out |= {
@@ -202,9 +255,23 @@ def prepared(bars: DataFrame) -> DataFrame:
     return d.withColumn("ret", ts.change("close", 1))
 
 
+#: Formulas of one plan; a larger batch is several, as the time to plan grows faster than their number.
+TOGETHER = 24
+
+
 def batch(bars: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(date, code, factor, value) of the named formulas, all in one plan; rows without a value are left out."""
+    """(date, code, factor, value) of the named formulas, or of the whole library; rows without a value are left out.
+
+    Up to TOGETHER formulas are one plan; the plans of a larger batch start from the same exchanged panel.
+    """
     lib = library() | replicas() if names else library()
-    chosen = {k: lib[k] for k in names or lib}
-    wide = evaluate(prepared(bars), chosen)
-    return wide.select("date", "code", F.explode(F.array(*[F.struct(F.lit(k).alias("factor"), F.col(k).alias("value")) for k in chosen])).alias("x")).select("date", "code", "x.factor", "x.value").where("value is not null")
+    # those that are alike stand together, so that a plan has few phases and shares parts
+    order = sorted(names or lib, key=lambda k: (lib[k].phase, k))
+    ready, out = prepared(bars), None
+    for i in range(0, len(order), TOGETHER):
+        chosen = {k: lib[k] for k in order[i : i + TOGETHER]}
+        wide = evaluate(ready, chosen)
+        long = F.explode(F.array(*[F.struct(F.lit(k).alias("factor"), F.col(k).alias("value")) for k in chosen]))
+        part = wide.select("date", "code", long.alias("x")).select("date", "code", "x.factor", "x.value").where("value is not null")
+        out = part if out is None else out.unionByName(part)
+    return out
