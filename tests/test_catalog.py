@@ -9,7 +9,7 @@ import pytest
 
 SF = os.environ.get("PANELWRIGHT_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["TS_07_rank", "TS_12_slope", "TS_22_held_cost", "TS_28_cooled_down", "XS_05_winsorize", "XS_09_neutralize", "PNL_03_dense", "JN_04_asof", "JN_07_interval", "JN_10_triangular", "SNK_02_append_years", "AG_13_rollup", "TK_08_buffer", "PIT_03_suppression", "CA_01_adjustment", "MIN_01_day_features", "SS_01_tumbling", "FA_03_rsi_14"]
+SOME = ["TS_07_rank", "TS_12_slope", "TS_22_held_cost", "TS_28_cooled_down", "XS_05_winsorize", "XS_09_neutralize", "PNL_03_dense", "JN_04_asof", "JN_07_interval", "JN_10_triangular", "SNK_02_append_years", "AG_13_rollup", "TK_08_buffer", "PIT_03_suppression", "CA_01_adjustment", "MIN_01_day_features", "SS_01_tumbling", "FA_03_rsi_14", "FA_29_roe_ttm", "FA_36_sue_i", "FA_38_gpoa_chg", "UX_01_registered", "PF_21_weekday", "SS_04_last_value", "CA_04_taxed"]
 
 
 def rows(df):
