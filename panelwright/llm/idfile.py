@@ -14,7 +14,7 @@ from panelwright.llm.common import shared_folder, slices, text_buffers
 #: Ids of a block at most; documents' bytes of a part.
 BLOCK, PART = 6 << 20, 10 << 20
 #: A block is coded in up to LANES stretches side by side, of SHORTEST ids at least.
-LANES, SHORTEST = 8192, 512
+LANES, SHORTEST = 4096, 512
 #: Bits of the order-2 table's index; what an id adds to its order-0 frequency, which starts at 1.
 SLOTS, GAIN = 20, 24
 #: The range has up to TOP bits and is refilled below LOW; a choice between candidates has 2**SCALE parts.
@@ -48,7 +48,7 @@ class _Model:
             self.count += GAIN * np.bincount(np.concatenate(self.waiting), minlength=len(self.count))
             self.waiting = []
         upto = np.cumsum(self.count)
-        self.below, self.total = upto - self.count, int(upto[-1])
+        self.below, self.total = (upto - self.count).astype(np.int32), int(upto[-1])
         self.share = self.count.astype(np.float32)
         self.share *= np.float32(1 / self.total)
         p = [r[:, 0] / r.sum(1) for r in self.right]
@@ -72,8 +72,7 @@ class _Model:
         v1, v2 = self.tables[0].take(self.one), self.tables[1].take(self.slot)
         v2 *= (v2 & 15) == self.check
         s1, s2 = (v1 >> 4) & 15, (v2 >> 4) & 15
-        joint = s2 << 4
-        joint |= s1
+        joint = ((s2 << 4) | s1).astype(np.intp)
         a1, a2 = v1 >> 8, v2 >> 8
         t1, t2 = s1 > 0, s2 > 0
         both = a1 == a2
@@ -130,9 +129,15 @@ def _shape(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
-def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
-    """Range-code ids below `vocabulary`: the words of each lane as counts, then the words, 16 bits each."""
+def encode_block(ids: np.ndarray) -> bytes:
+    """Range-code ids of 0 and above: which ids there are, then the words of each lane as counts, then the words, 16 bits each."""
     n = len(ids)
+    there = np.flatnonzero(np.bincount(ids))  # the ids are coded as their numbers among these, so that tables stay small
+    number = np.zeros(int(there[-1]) + 1, np.int32)
+    number[there] = np.arange(len(there))
+    ids = number[ids]
+    vocabulary = len(there)
+    head = zlib.compress(np.diff(there, prepend=0).astype("<u4").tobytes())
     lanes, steps = _shape(n)
     padded = np.zeros(lanes * steps, np.int32)
     padded[:n] = ids
@@ -198,12 +203,18 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     out[at], out[at + 1] = low >> LOW, (low >> 16) & 0xFFFF
     size = at + 2 - first
     words = out.reshape(lanes, width)[np.arange(width) < size[:, None]]
-    return size.astype("<u4").tobytes() + words.astype("<u2").tobytes()
+    return np.array([len(head)], "<u4").tobytes() + head + size.astype("<u4").tobytes() + words.astype("<u2").tobytes()
 
 
-def decode_block(data: bytes, n: int, vocabulary: int) -> np.ndarray:
+def decode_block(data: bytes, n: int) -> np.ndarray:
     """The n ids of a block; ValueError where the bytes can't be such a block."""
     lanes, steps = _shape(n)
+    cut = 4 + int.from_bytes(data[:4], "little")
+    try:
+        there = np.cumsum(np.frombuffer(zlib.decompress(data[4:cut]), "<u4"), dtype=np.int64)
+    except zlib.error as e:
+        raise ValueError("a block's list of ids does not match its checksum") from e
+    data, vocabulary = data[cut:], len(there)
     size = np.frombuffer(data[: 4 * lanes], "<u4").astype(np.int64)
     if len(size) != lanes or len(data) != 4 * lanes + 2 * size.sum() or size.min() < 2:
         raise ValueError("a block has another length than its lanes")
@@ -241,7 +252,7 @@ def decode_block(data: bytes, n: int, vocabulary: int) -> np.ndarray:
             while len(few):
                 few = refill(few)
             r, v = (rng[k] / m.total).astype(np.int64), value[k]
-            x = np.searchsorted(m.below, (v / r).astype(np.int64), "right") - 1
+            x = np.searchsorted(m.below, (v / r).astype(np.int32), "right") - 1
             ids[k] = x
             value[k] = v - r * m.below.take(x)
             rng[k] = r * m.count.take(x)
@@ -250,7 +261,7 @@ def decode_block(data: bytes, n: int, vocabulary: int) -> np.ndarray:
             few = refill(few)
         rows[i] = ids
         m.learn(ids, is2)
-    return rows.T.ravel()[:n]
+    return there.astype(np.int32)[rows.T.ravel()[:n]]
 
 
 def crc32_joined(a: int, b: int, n: int) -> int:
@@ -278,7 +289,7 @@ def crc32_joined(a: int, b: int, n: int) -> int:
 
 
 
-FILE = "part int, block long, vocabulary int, doc_id array<long>, seq array<long>, piece array<int>, length array<int>, crc32 long, coded binary"
+FILE = "part int, block long, doc_id array<long>, seq array<long>, piece array<int>, length array<int>, crc32 long, coded binary"
 PIECES = "part int, block long, seq long, piece int, doc_id long, length int, crc long"
 
 
@@ -342,14 +353,13 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2) ->
 
         use = encoder(tokenizer)
         part, n_blocks, waiting = TaskContext.get().partitionId(), 0, _Pending()
-        vocabulary = max(len(use.spaced), end_id + 1)
 
         def block(n):
             ids, doc, null, seq, piece, length = waiting.take(n)
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             arrays = [
-                pa.array([part], pa.int32()), pa.array([n_blocks], pa.int64()), pa.array([vocabulary], pa.int32()), one(pa.array(doc, mask=null)), one(pa.array(seq)), one(pa.array(piece)),
-                one(pa.array(length.astype(np.int32))), pa.array([zlib.crc32(ids.astype("<u4").tobytes())], pa.int64()), pa.array([encode_block(ids, vocabulary)], pa.binary()),
+                pa.array([part], pa.int32()), pa.array([n_blocks], pa.int64()), one(pa.array(doc, mask=null)), one(pa.array(seq)), one(pa.array(piece)),
+                one(pa.array(length.astype(np.int32))), pa.array([zlib.crc32(ids.astype("<u4").tobytes())], pa.int64()), pa.array([encode_block(ids)], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in FILE.split(", ")])
 
@@ -383,11 +393,11 @@ def read_ids(df: DataFrame, folder: str) -> DataFrame:
 
         for batch in batches:
             for i in range(batch.num_rows):
-                part, block, vocabulary, crc = (batch.column(c)[i].as_py() for c in ("part", "block", "vocabulary", "crc32"))
+                part, block, crc = (batch.column(c)[i].as_py() for c in ("part", "block", "crc32"))
                 doc, seq, piece, length = (batch.column(c)[i].values for c in ("doc_id", "seq", "piece", "length"))
                 to = np.cumsum(np.asarray(length), dtype=np.int64)
                 n = int(to[-1])
-                flat = decode_block(batch.column("coded")[i].as_py(), n, vocabulary).astype("<u4").tobytes()
+                flat = decode_block(batch.column("coded")[i].as_py(), n).astype("<u4").tobytes()
                 if zlib.crc32(flat) != crc:
                     raise ValueError(f"block {block} of part {part} does not match its checksum")
                 view = memoryview(flat)

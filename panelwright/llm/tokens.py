@@ -95,15 +95,12 @@ class Encoder:
         split = pc.split_pattern(column.take(pa.array(plain)) if len(other) else column, " ")
         words, size = split.flatten(), np.diff(np.asarray(split.offsets))
         first = np.cumsum(size) - size
-        rest = np.ones(len(words), bool)
-        rest[first] = False
-        coded = words.filter(pa.array(rest)).dictionary_encode()
+        coded = words.dictionary_encode()
         ids, at, length = self._words(coded.dictionary)
         heads, n_heads = self._encode(words.take(pa.array(first)).to_pylist())
         whole, n_whole = self._encode(column.take(pa.array(other)).to_pylist())
-        row = np.zeros(len(words), np.int64)
-        row[rest] = np.asarray(coded.indices)
-        starts, lengths = at[row] if len(at) else np.zeros(len(words), np.int64), length[row] if len(at) else np.zeros(len(words), np.int64)
+        row = np.asarray(coded.indices)
+        starts, lengths = at[row], length[row]
         starts[first], lengths[first] = len(ids) + np.cumsum(n_heads) - n_heads, n_heads
         parts = np.ones(len(column), np.int64)
         parts[plain] = size
@@ -124,7 +121,9 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         ids, start, n, parts = self._parts(column)
         to = np.cumsum(n)
-        return ids[np.repeat(start - (to - n), n) + np.arange(int(to[-1]))], np.diff(np.r_[0, to[np.cumsum(parts) - 1]])
+        place = np.repeat((start - (to - n)).astype(np.int32), n)  # a batch has fewer than 2**31 ids
+        place += np.arange(len(place), dtype=np.int32)
+        return ids[place], np.diff(np.r_[0, to[np.cumsum(parts) - 1]])
 
     def counts(self, column) -> np.ndarray:
         """The number of ids of each text of an Arrow string array; null is empty."""

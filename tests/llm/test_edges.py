@@ -42,7 +42,7 @@ def operators(spark, labels, folder):
     public = pytest.importorskip("public_tokenizers")
     path = public.path("byte_bpe_50k.json")
     return {
-        "mix": (lambda d: mix(d, size="n_chars"), {"source_size", "target", "copies"}), "toxicity": (lambda d: toxicity(d, labels), {"score", "predicted"}), "quality": (lambda d: quality(d, labels), {"score", "predicted"}),
+        "mix": (lambda d: mix(d, size="n_chars"), {"source_size", "target", "copies"}), "toxicity": (lambda d: toxicity(d, labels), {"ratio", "worst", "score", "predicted"}), "quality": (lambda d: quality(d, labels), {"score", "predicted"}),
         "tokens": (lambda d: token_counts(d, path, folder), {"n_bytes", "n_tokens", "over_limit"}), "suffix": (remove_repeats, {"n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"}),
         "minhash": (near_duplicates, None), "pack": (lambda d: pack(d, "n_chars"), None), "ids": (lambda d: id_files(d, path), None),
     }
