@@ -95,7 +95,14 @@ def op10_idfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files(table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op2_topk, op3_toxicity, op4_tokens, op5_suffix, op6_minhash, op7_quality, op8_pack, op9_embeddings, op10_idfile)}
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelwright.llm.codes import compressed
+
+    ship(spark)
+    return compressed(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op2_topk, op3_toxicity, op4_tokens, op5_suffix, op6_minhash, op7_quality, op8_pack, op9_embeddings, op10_idfile, op11_codes)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix": r"""
@@ -137,5 +144,47 @@ n AS (SELECT a AS id, count(*) AS n FROM l GROUP BY a)
 SELECT CAST(e.vec_id AS BIGINT) AS vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, CAST(coalesce(c.component, e.vec_id) AS BIGINT) AS component_id,
        coalesce(c.component, e.vec_id) = e.vec_id AS kept
 FROM embeddings e LEFT JOIN n ON n.id = e.vec_id LEFT JOIN c ON c.id = e.vec_id
+""",
+    "op11_codes": """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id ASC NULLS LAST) AS id, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024.0::DOUBLE * x::DOUBLE) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT id, p, e[p * 16 + 1 : p * 16 + 16] AS y FROM v, range(4) AS ps(p)),
+b0 AS (SELECT p, id - 1 AS k, y FROM x WHERE id <= 256),
+b1 AS (
+  SELECT b0.p, b0.k, coalesce(m.y, b0.y) AS y FROM b0 LEFT JOIN (
+    SELECT p, k, list(s ORDER BY d) AS y FROM (
+      SELECT p, k, d, CAST(floor(sum(y[d]) / count(*)) AS BIGINT) AS s FROM (
+        SELECT x.p, x.id, x.y, arg_min(b.k, (list_sum(list_transform(list_zip(x.y, b.y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) * 256 + b.k) AS k
+        FROM x JOIN b0 b ON x.p = b.p GROUP BY x.p, x.id, x.y), range(1, 17) AS ds(d) GROUP BY p, k, d) GROUP BY p, k) m
+  ON m.p = b0.p AND m.k = b0.k),
+b2 AS (
+  SELECT b1.p, b1.k, coalesce(m.y, b1.y) AS y FROM b1 LEFT JOIN (
+    SELECT p, k, list(s ORDER BY d) AS y FROM (
+      SELECT p, k, d, CAST(floor(sum(y[d]) / count(*)) AS BIGINT) AS s FROM (
+        SELECT x.p, x.id, x.y, arg_min(b.k, (list_sum(list_transform(list_zip(x.y, b.y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) * 256 + b.k) AS k
+        FROM x JOIN b1 b ON x.p = b.p GROUP BY x.p, x.id, x.y), range(1, 17) AS ds(d) GROUP BY p, k, d) GROUP BY p, k) m
+  ON m.p = b1.p AND m.k = b1.k),
+b3 AS (
+  SELECT b2.p, b2.k, coalesce(m.y, b2.y) AS y FROM b2 LEFT JOIN (
+    SELECT p, k, list(s ORDER BY d) AS y FROM (
+      SELECT p, k, d, CAST(floor(sum(y[d]) / count(*)) AS BIGINT) AS s FROM (
+        SELECT x.p, x.id, x.y, arg_min(b.k, (list_sum(list_transform(list_zip(x.y, b.y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) * 256 + b.k) AS k
+        FROM x JOIN b2 b ON x.p = b.p GROUP BY x.p, x.id, x.y), range(1, 17) AS ds(d) GROUP BY p, k, d) GROUP BY p, k) m
+  ON m.p = b2.p AND m.k = b2.k),
+b4 AS (
+  SELECT b3.p, b3.k, coalesce(m.y, b3.y) AS y FROM b3 LEFT JOIN (
+    SELECT p, k, list(s ORDER BY d) AS y FROM (
+      SELECT p, k, d, CAST(floor(sum(y[d]) / count(*)) AS BIGINT) AS s FROM (
+        SELECT x.p, x.id, x.y, arg_min(b.k, (list_sum(list_transform(list_zip(x.y, b.y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) * 256 + b.k) AS k
+        FROM x JOIN b3 b ON x.p = b.p GROUP BY x.p, x.id, x.y), range(1, 17) AS ds(d) GROUP BY p, k, d) GROUP BY p, k) m
+  ON m.p = b3.p AND m.k = b3.k),
+c AS (
+  SELECT id, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM (
+    SELECT x.p, x.id, min((list_sum(list_transform(list_zip(x.y, b.y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) * 256 + b.k) AS best, best % 256 AS k
+    FROM x JOIN b4 b ON x.p = b.p GROUP BY x.p, x.id) GROUP BY id),
+h AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, k)) AS digest FROM b4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256
+FROM v JOIN c USING (id), h
 """,
 }
