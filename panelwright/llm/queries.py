@@ -102,7 +102,14 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compressed(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op2_topk, op3_toxicity, op4_tokens, op5_suffix, op6_minhash, op7_quality, op8_pack, op9_embeddings, op10_idfile, op11_codes)}
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelwright.llm.ranked import top_documents
+
+    ship(spark)
+    return top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op2_topk, op3_toxicity, op4_tokens, op5_suffix, op6_minhash, op7_quality, op8_pack, op9_embeddings, op10_idfile, op11_codes, op12_ranked)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix": r"""
@@ -186,5 +193,19 @@ c AS (
 h AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, k)) AS digest FROM b4)
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256
 FROM v JOIN c USING (id), h
+""",
+    "op12_ranked": r"""
+WITH t AS MATERIALIZED (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+i AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM benchmark),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(words)) AS BIGINT) AS n_terms FROM t WHERE len(words) > 0),
+q AS (SELECT i, word, count(*) AS times FROM (SELECT i, unnest(words) AS word FROM i) GROUP BY ALL),
+p AS MATERIALIZED (SELECT d, word, count(*) AS tf FROM (SELECT d, unnest(words) AS word FROM t) WHERE word IN (SELECT word FROM q) GROUP BY ALL),
+w AS (SELECT word, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT) AS w FROM (SELECT word, count(*) AS df FROM p GROUP BY word), s),
+m AS (SELECT d, doc_id, 100 - 25 + ((25 * CAST(len(words) AS BIGINT) * n_docs) // n_terms) AS m FROM t, s WHERE len(words) > 0),
+r AS (SELECT i, d, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS score FROM p JOIN q USING (word) JOIN w USING (word) JOIN m USING (d) GROUP BY i, d),
+k AS (SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM r JOIN m USING (d) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, CAST(doc_id AS BIGINT) AS doc_id, CAST(score AS BIGINT) AS score FROM k JOIN i USING (i) WHERE rank <= 20
 """,
 }
