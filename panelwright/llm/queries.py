@@ -109,7 +109,14 @@ def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op2_topk, op3_toxicity, op4_tokens, op5_suffix, op6_minhash, op7_quality, op8_pack, op9_embeddings, op10_idfile, op11_codes, op12_ranked)}
+def op13_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelwright.llm.lm import log_probabilities
+
+    ship(spark)
+    return log_probabilities(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op2_topk, op3_toxicity, op4_tokens, op5_suffix, op6_minhash, op7_quality, op8_pack, op9_embeddings, op10_idfile, op11_codes, op12_ranked, op13_lm)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix": r"""
