@@ -9,16 +9,32 @@ C = X.Catalog()
 #: The fixture's days have fewer bars than a market's.
 BARS = 30
 
-FEATURES = """m AS (SELECT *, row_number() OVER v AS bar, ln(close / lag(close) OVER v) AS r, hour(datetime) AS hh FROM minutes WHERE close > 0 WINDOW v AS (PARTITION BY code, date ORDER BY datetime)),
-b AS (SELECT *, abs(r) AS ar, abs(r) * lag(abs(r)) OVER (PARTITION BY code, date ORDER BY datetime) AS bvt, max(high) OVER (PARTITION BY code, date) AS dh, min(low) OVER (PARTITION BY code, date) AS dl FROM m),
-k AS (SELECT *, sum(vol) OVER (PARTITION BY code, date) AS whole, sum(vol) OVER (PARTITION BY code, date ORDER BY round(ar / power(greatest(vol, 1.0), 0.25), 9) DESC, bar ROWS UNBOUNDED PRECEDING) AS s, sum(vol) OVER (PARTITION BY code, date ORDER BY vol DESC, bar ROWS UNBOUNDED PRECEDING) AS u FROM b WHERE vol > 0 AND r IS NOT NULL),
-t AS (SELECT code, date, sum(amount) FILTER (WHERE s <= 0.2 * whole OR s - vol < 0.2 * whole) / sum(vol) FILTER (WHERE s <= 0.2 * whole OR s - vol < 0.2 * whole) AS sp, sum(r) FILTER (WHERE u <= 0.2 * whole OR u - vol < 0.2 * whole) AS topv_r,
-  sum(CASE WHEN r > 0 THEN vol ELSE 0 END) FILTER (WHERE u <= 0.2 * whole OR u - vol < 0.2 * whole) / sum(vol) FILTER (WHERE u <= 0.2 * whole OR u - vol < 0.2 * whole) AS topv_upr FROM k GROUP BY 1, 2),
-g AS (SELECT code, date, count(*) AS n_min, sum(r * r) AS rv, pi() / 2 * sum(bvt) AS bv, sum(r * r) FILTER (WHERE r > 0) AS rs_pos, sum(r * r) FILTER (WHERE r < 0) AS rs_neg, sum(r * r * r) AS sum_r3, sum(r * r * r * r) AS sum_r4, avg(ar) AS abi,
-  sum(vol) FILTER (WHERE hh < 6) / sum(vol) AS v_open, sum(vol) FILTER (WHERE hh >= 18) / sum(vol) AS v_close, sum(vol) FILTER (WHERE hh < 12) AS v_am, sum(vol) FILTER (WHERE hh >= 12) AS v_pm, sum(vol * vol) / (sum(vol) * sum(vol)) AS v_hhi, max(vol) / sum(vol) AS v_top1,
-  arg_max(close, bar) FILTER (WHERE hh < 6) / arg_min(open, bar) - 1 AS r_first, arg_max(close, bar) / arg_max(close, bar) FILTER (WHERE hh < 18) - 1 AS r_last, arg_max(close, bar) FILTER (WHERE hh < 12) / arg_min(open, bar) - 1 AS r_am, arg_max(close, bar) / arg_max(close, bar) FILTER (WHERE hh < 12) - 1 AS r_pm,
-  min(bar) FILTER (WHERE high = dh) / count(*) AS hi_pos, min(bar) FILTER (WHERE low = dl) / count(*) AS lo_pos, sum(amount) / sum(vol) AS vwap, avg(ar / nullif(amount, 0)) AS amihud_min, corr(r, vol) AS corr_rv, max(high) - min(low) AS day_range, sum(amount) AS amt_sum, arg_max(close, bar) AS close FROM b GROUP BY 1, 2),
-f AS (SELECT g.*, topv_r, topv_upr, sp / vwap AS smart_q FROM g JOIN t USING (code, date))
+# The same from the day's bars as lists in the order of time, one query for each family of features.
+FEATURES = """days AS (
+  SELECT code, date, count(*) AS n, list(open ORDER BY datetime) AS o, list(high ORDER BY datetime) AS h, list(low ORDER BY datetime) AS l, list(close ORDER BY datetime) AS c, list(vol ORDER BY datetime) AS v, list(amount ORDER BY datetime) AS a, list(hour(datetime) ORDER BY datetime) AS hours
+  FROM minutes WHERE close > 0 GROUP BY code, date),
+moves AS (SELECT *, [NULL::DOUBLE] || list_transform(range(2, n + 1), lambda i: ln(c[i] / c[i - 1])) AS r, len(list_filter(hours, lambda x: x < 6)) AS n6, len(list_filter(hours, lambda x: x < 12)) AS n12, len(list_filter(hours, lambda x: x < 18)) AS n18 FROM days),
+price_path AS (
+  SELECT code, date, c[n] AS close, list_max(h) - list_min(l) AS day_range, list_position(h, list_max(h)) / n AS hi_pos, list_position(l, list_min(l)) / n AS lo_pos,
+    CASE WHEN n6 > 0 THEN c[n6] / o[1] - 1 END AS r_first, CASE WHEN n12 > 0 THEN c[n12] / o[1] - 1 END AS r_am, CASE WHEN n12 > 0 THEN c[n] / c[n12] - 1 END AS r_pm, CASE WHEN n18 > 0 THEN c[n] / c[n18] - 1 END AS r_last
+  FROM moves),
+profile AS (
+  SELECT code, date, list_sum(v[1:n12]) AS v_am, list_sum(v[n12 + 1:n]) AS v_pm, list_sum(v[1:n6]) / list_sum(v) AS v_open, list_sum(v[n18 + 1:n]) / list_sum(v) AS v_close,
+    list_max(v) / list_sum(v) AS v_top1, list_sum(list_transform(v, lambda x: (x / list_sum(v)) ** 2)) AS v_hhi
+  FROM moves),
+variation AS (
+  SELECT code, date, list_sum(list_transform(r, lambda x: x ** 2)) AS rv, list_sum(list_transform(r, lambda x: x ** 3)) AS sum_r3, list_sum(list_transform(r, lambda x: x ** 4)) AS sum_r4,
+    list_sum(list_transform(list_filter(r, lambda x: x < 0), lambda x: x ** 2)) AS rs_neg, list_sum(list_transform(list_filter(r, lambda x: x > 0), lambda x: x ** 2)) AS rs_pos,
+    pi() / 2 * list_sum(list_transform(range(3, n + 1), lambda i: abs(r[i] * r[i - 1]))) AS bv
+  FROM moves),
+bars_again AS (SELECT code, date, unnest(range(1, n + 1)) AS i, unnest(r) AS r, unnest(v) AS v, unnest(a) AS a FROM moves),
+liquidity AS (SELECT code, date, count(*) AS n_min, sum(a) AS amt_sum, sum(a) / sum(v) AS vwap, avg(abs(r)) AS abi, avg(abs(r) / nullif(a, 0)) AS amihud_min, corr(r, v) AS corr_rv FROM bars_again GROUP BY code, date),
+ahead AS (
+  SELECT code, date, r, v, a, coalesce(sum(v) OVER (PARTITION BY code, date ORDER BY round(abs(r) / greatest(v, 1) ** 0.25, 9) DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 0.2 * sum(v) OVER (PARTITION BY code, date) AS informed,
+    coalesce(sum(v) OVER (PARTITION BY code, date ORDER BY v DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 0.2 * sum(v) OVER (PARTITION BY code, date) AS busy
+  FROM bars_again WHERE v > 0 AND r IS NOT NULL),
+tops AS (SELECT code, date, sum(a) FILTER (WHERE informed) / sum(v) FILTER (WHERE informed) AS informed_price, sum(r) FILTER (WHERE busy) AS topv_r, coalesce(sum(v) FILTER (WHERE busy AND r > 0), 0) / sum(v) FILTER (WHERE busy) AS topv_upr FROM ahead GROUP BY code, date),
+f AS (SELECT * EXCLUDE (informed_price), informed_price / vwap AS smart_q FROM price_path JOIN profile USING (code, date) JOIN variation USING (code, date) JOIN liquidity USING (code, date) JOIN tops USING (code, date))
 """
 COLUMNS = ("rv", "bv", "rs_pos", "rs_neg", "sum_r3", "sum_r4", "abi", "v_open", "v_close", "v_am", "v_pm", "v_hhi", "v_top1", "r_first", "r_last", "r_am", "r_pm", "hi_pos", "lo_pos", "vwap", "amihud_min", "corr_rv", "day_range", "amt_sum", "close", "topv_r", "topv_upr", "smart_q")
 

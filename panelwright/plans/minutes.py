@@ -11,40 +11,76 @@ from panelwright.operators import ts
 DAY = ("code", "date")
 
 
-def _top_fifth(order: Column) -> Column:
-    """Whether a minute begins within the first fifth of the day's volume, minutes taken by `order` falling and then by time."""
-    w = Window.partitionBy(*DAY).orderBy(order.desc(), "bar").rowsBetween(Window.unboundedPreceding, 0)
-    upto, whole = F.sum("vol").over(w), F.sum("vol").over(Window.partitionBy(*DAY))
-    return (upto <= 0.2 * whole) | (upto - F.col("vol") < 0.2 * whole)
+def _within(hours: Column, x: str = "vol") -> Column:
+    return F.sum(F.when(hours, F.col(x)))
+
+
+def price_path(opened: int, noon: int, closing: int) -> dict[str, Column]:
+    """Where the price stood at the marks, against the first open or up to the last close, and when it was at its ends."""
+    begin, end = F.min_by("open", "bar"), F.max_by("close", "bar")
+
+    def before(hour: int) -> Column:
+        return F.max_by("close", F.when(F.col("hour") < hour, F.col("bar")))
+
+    def place(of: Column) -> Column:
+        return of / F.count("*")
+
+    return {
+        "close": end, "day_range": F.max("high") - F.min("low"),
+        "r_first": before(opened) / begin - 1, "r_am": before(noon) / begin - 1, "r_pm": end / before(noon) - 1, "r_last": end / before(closing) - 1,
+        "hi_pos": place(F.max_by("bar", F.struct(F.col("high"), -F.col("bar")))), "lo_pos": place(F.min_by("bar", F.struct("low", "bar"))),
+    }
+
+
+def volume_profile(opened: int, noon: int, closing: int) -> dict[str, Column]:
+    """How the day's volume is spread over the hours and over the bars."""
+    whole, hour = F.sum("vol"), F.col("hour")
+    return {
+        "v_am": _within(hour < noon), "v_pm": _within(hour >= noon), "v_open": _within(hour < opened) / whole, "v_close": _within(hour >= closing) / whole,
+        "v_top1": F.max("vol") / whole, "v_hhi": F.sum(F.pow("vol", F.lit(2))) / F.pow(whole, F.lit(2)),
+    }
+
+
+def variation() -> dict[str, Column]:
+    """Sums of powers of the bars' log returns, on both sides, and the product of neighbours, which jumps hardly move."""
+    r, square = F.col("r"), F.pow("r", F.lit(2))
+    side = {f"rs_{name}": F.sum(F.when(sign, square)) for name, sign in (("neg", r < 0), ("pos", r > 0))}
+    powers = {name: F.sum(F.pow("r", F.lit(k))) for name, k in (("rv", 2), ("sum_r3", 3), ("sum_r4", 4))}
+    return {**side, **powers, "bv": F.sum(F.abs(r * F.col("r_before"))) * F.pi() / 2}
+
+
+def liquidity() -> dict[str, Column]:
+    """What a unit of volume or money goes with."""
+    size = F.abs("r")
+    return {"n_min": F.count("*"), "amt_sum": F.sum("amount"), "vwap": F.sum("amount") / F.sum("vol"), "abi": F.avg(size), "amihud_min": F.avg(safe_div(size, F.col("amount"))), "corr_rv": F.corr("r", "vol")}
+
+
+def leading(m: DataFrame, order: Column, share: float = 0.2) -> DataFrame:
+    """The minutes of m that come first by `order` (falling, then by time) until they hold `share` of the day's volume; the one that reaches it is the last."""
+    w = Window.partitionBy(*DAY)
+    ahead = F.coalesce(F.sum("vol").over(w.orderBy(order.desc(), "bar").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return m.withColumn("_ahead", ahead).withColumn("_whole", F.sum("vol").over(w)).where(F.col("_ahead") < share * F.col("_whole")).drop("_ahead", "_whole")
 
 
 def day_features(minutes: DataFrame, marks: tuple[int, int, int] = (6, 12, 18)) -> DataFrame:
     """A row a code and day of minute bars (code, date, datetime, open, high, low, close, vol, amount).
 
     marks are the hours that end the opening, the first half and the time before the close. Bars without a
-    price above 0 are left out. Windows are over the minutes of one code and day.
+    price above 0 are left out; days without a traded bar that has a return have no row. Windows are over the
+    minutes of one code and day.
     """
-    opened, noon, closing = marks
     w = Window.partitionBy(*DAY).orderBy("datetime")
-    m = minutes.where("close > 0").withColumns({"bar": F.row_number().over(w), "r": F.ln(F.col("close") / F.lag("close").over(w)), "hour": F.hour("datetime")})
-    m = m.withColumns({"ar": F.abs("r"), "bv": F.abs("r") * F.lag(F.abs("r")).over(w)})
-    traded = (F.col("vol") > 0) & F.col("r").isNotNull()
-    t = m.where(traded)
-    t = t.withColumns({"smart": _top_fifth(F.round(F.col("ar") / F.pow(F.greatest("vol", F.lit(1.0)), F.lit(0.25)), 9)), "busy": _top_fifth(F.col("vol"))})
-    of = lambda c, x: F.sum(F.when(F.col(c), x))
-    tops = t.groupBy(*DAY).agg((of("smart", F.col("amount")) / of("smart", F.col("vol"))).alias("smart_price"), of("busy", F.col("r")).alias("topv_r"), (of("busy", F.when(F.col("r") > 0, F.col("vol")).otherwise(0.0)) / of("busy", F.col("vol"))).alias("topv_upr"))
-    last = lambda cond: F.max_by("close", F.when(cond, F.col("bar")))
-    always, first = F.lit(True), F.min_by("open", "bar")
-    r, v = F.col("r"), F.col("vol")
-    d = m.groupBy(*DAY).agg(
-        F.count("*").alias("n_min"), F.sum(r * r).alias("rv"), (F.pi() / 2 * F.sum("bv")).alias("bv"), F.sum(F.when(r > 0, r * r)).alias("rs_pos"), F.sum(F.when(r < 0, r * r)).alias("rs_neg"), F.sum(r * r * r).alias("sum_r3"), F.sum(r * r * r * r).alias("sum_r4"), F.avg("ar").alias("abi"),
-        (F.sum(F.when(F.col("hour") < opened, v)) / F.sum(v)).alias("v_open"), (F.sum(F.when(F.col("hour") >= closing, v)) / F.sum(v)).alias("v_close"), F.sum(F.when(F.col("hour") < noon, v)).alias("v_am"), F.sum(F.when(F.col("hour") >= noon, v)).alias("v_pm"),
-        (F.sum(v * v) / (F.sum(v) * F.sum(v))).alias("v_hhi"), (F.max(v) / F.sum(v)).alias("v_top1"),
-        (last(F.col("hour") < opened) / first - 1).alias("r_first"), (last(always) / last(F.col("hour") < closing) - 1).alias("r_last"), (last(F.col("hour") < noon) / first - 1).alias("r_am"), (last(always) / last(F.col("hour") < noon) - 1).alias("r_pm"),
-        (F.max_by("bar", F.struct(F.col("high"), -F.col("bar"))) / F.count("*")).alias("hi_pos"), (F.min_by("bar", F.struct(F.col("low"), F.col("bar"))) / F.count("*")).alias("lo_pos"),
-        (F.sum("amount") / F.sum(v)).alias("vwap"), F.avg(safe_div(F.col("ar"), F.col("amount"))).alias("amihud_min"), F.corr("r", "vol").alias("corr_rv"), (F.max("high") - F.min("low")).alias("day_range"), F.sum("amount").alias("amt_sum"), last(always).alias("close"),
-    )
-    return d.join(tops, list(DAY)).withColumn("smart_q", F.col("smart_price") / F.col("vwap")).drop("smart_price")
+    m = minutes.where("close > 0").withColumns({"bar": F.row_number().over(w), "hour": F.hour("datetime"), "r": F.ln(F.col("close") / F.lag("close").over(w))})
+    m = m.withColumn("r_before", F.lag("r").over(w))
+    columns = {**price_path(*marks), **volume_profile(*marks), **variation(), **liquidity()}
+    day = m.groupBy(*DAY).agg(*[x.alias(name) for name, x in columns.items()])
+
+    traded = m.where("vol > 0 and r is not null")
+    # Moves that took little volume are the informed ones.
+    informed = F.round(F.abs("r") / F.pow(F.greatest("vol", F.lit(1.0)), F.lit(0.25)), 9)
+    smart = leading(traded, informed).groupBy(*DAY).agg((F.sum("amount") / F.sum("vol")).alias("_price"))
+    busy = leading(traded, F.col("vol")).groupBy(*DAY).agg(F.sum("r").alias("topv_r"), (F.sum(F.when(F.col("r") > 0, F.col("vol")).otherwise(0.0)) / F.sum("vol")).alias("topv_upr"))
+    return day.join(smart, list(DAY)).join(busy, list(DAY)).withColumn("smart_q", F.col("_price") / F.col("vwap")).drop("_price")
 
 
 def _f(x: str) -> Column:
