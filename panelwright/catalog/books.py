@@ -1,4 +1,4 @@
-"""Minute features, portfolios, universes, corporate actions, event studies, data quality, streams, factor library."""
+"""Minute features, portfolios, universes, corporate actions, event studies, data quality, streams."""
 
 from __future__ import annotations
 
@@ -6,10 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelwright.catalog import fixtures as X
-from panelwright.catalog.judging import factors
 from panelwright.functions.elementwise import finite, guarded_log, safe_div
 from panelwright.operators import asof, panel, ts, xs
-from panelwright.plans import library
 from panelwright.streaming import bars as stream
 
 C = X.Catalog()
@@ -289,7 +287,4 @@ C.add("SS_01_tumbling", stream.tumbling, "SELECT code, strftime(time_bucket(INTE
 C.add("SS_05_enriched", stream.enriched, "SELECT event_type AS code, r_name AS region, count(*) AS n FROM events JOIN region ON user_id % 5 = r_regionkey GROUP BY 1, 2", dates=(), values=())
 C.add("SS_03_deduplicated", stream.deduplicated, "SELECT event_type AS code, count(*) AS n FROM events GROUP BY 1", dates=(), values=())
 
-# Factor library
-for _name, (_build, _body) in library.FACTORS.items():
-    C.add(f"FA_{_name}", lambda s, d, f=_build: f(panel.returns(B(s, d)).join(X.flow(s, d), ["code", "date"])).select("code", "date", "value"), library.SQL + _body)
 C.add("MIN_log_range", lambda s, d: M(s, d).select("code", "date", "datetime", guarded_log(safe_div(F.col("high"), F.col("low"))).alias("value")).groupBy("code", "date").agg(F.avg("value").alias("value")), "SELECT code, date, avg(CASE WHEN high / nullif(low, 0) > 0 THEN ln(high / nullif(low, 0)) END) AS value FROM minutes GROUP BY 1, 2")

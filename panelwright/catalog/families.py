@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from panelwright.catalog import fixtures as X
-from panelwright.functions.elementwise import clip, safe_div
-from panelwright.operators import asof, panel, ts, xs
-from panelwright.plans import fundamentals as fu
+from panelwright.catalog.named import factor
 
 C = X.Catalog()
 W = "WINDOW w AS (PARTITION BY code ORDER BY date)"
@@ -20,86 +15,89 @@ px AS (SELECT *, vol * 100 / float_shares AS turnover, avg(ret) OVER (PARTITION
 """
 
 
-def px(s, d) -> DataFrame:
-    p = X.bars(s, d).join(X.flow(s, d), ["code", "date"]).join(X.flows(s, d), ["code", "date"])
-    p = asof.asof(panel.returns(p), X.capital(s, d), ["float_shares", "total_shares"])
-    return p.withColumns({"turnover": F.col("vol") * 100 / F.col("float_shares"), "mkt": F.avg("ret").over(xs.section())})
-
-
-def put(name: str, value, body: str, steps=None, **k) -> None:
-    """A factor of the panel: `value` makes its column, after `steps` has added what it needs."""
-
-    def run(s, d):
-        p = px(s, d)
-        return (steps(p) if steps else p).withColumn("value", value()).select("code", "date", "value")
-
-    C.add(f"FA_{name}", run, PX + body, **k)
+def put(name: str, body: str, **k) -> None:
+    """A factor of the panel, and its SQL over px."""
+    C.add(f"FA_{name}", factor(name), PX + body, **k)
 
 
 def over(fn: str, x: str, n: int, least: int) -> str:
     return f"CASE WHEN count({x}) OVER (w ROWS {n - 1} PRECEDING) >= {least} THEN {fn}({x}) OVER (w ROWS {n - 1} PRECEDING) END"
 
 
-def plain(name: str, value, expression: str, **k) -> None:
-    put(name, value, f", x AS (SELECT code, date, {expression} AS value FROM px {W}) SELECT code, date, value FROM x", **k)
+def plain(name: str, expression: str, **k) -> None:
+    put(name, f", x AS (SELECT code, date, {expression} AS value FROM px {W}) SELECT code, date, value FROM x", **k)
 
 
-c = F.col
-plain("01_momentum_60", lambda: ts.change("close", 60), "close / lag(close, 60) OVER w - 1")
-plain("01_momentum_120", lambda: ts.change("close", 120), "close / lag(close, 120) OVER w - 1")
-plain("01_reversal_10", lambda: -ts.change("close", 10), "-(close / lag(close, 10) OVER w - 1)")
-plain("02_volatility_60", lambda: ts.std("ret", 60, 2), over("stddev_samp", "ret", 60, 2))
-plain("04_price_position_250", lambda: c("close") / ts.high("close", 250, 1), "close / max(close) OVER (w ROWS 249 PRECEDING)")
-put("05_skewness_20", lambda: ts.mean("_z", 20, 1), f""", st AS (SELECT code, date, ret, avg(ret) OVER (w ROWS 19 PRECEDING) AS m, stddev_samp(ret) OVER (w ROWS 19 PRECEDING) AS s, min(ret) OVER (w ROWS 19 PRECEDING) < max(ret) OVER (w ROWS 19 PRECEDING) AS varies FROM px {W}),
-z AS (SELECT code, date, ((ret - m) / s) ** 3 AS z FROM st WHERE varies), x AS (SELECT code, date, avg(z) OVER (w ROWS 19 PRECEDING) AS value FROM z {W}) SELECT code, date, value FROM x""",
-    steps=lambda p: p.withColumns({"_m": ts.mean("ret", 20, 1), "_s": ts.std("ret", 20, 1), "_v": ts.low("ret", 20, 1) < ts.high("ret", 20, 1)}).where("_v").withColumn("_z", F.pow((c("ret") - c("_m")) / c("_s"), F.lit(3))), digits=3)
-plain("06_total_mcap", lambda: F.ln(c("close") * c("total_shares") / 1e8), "ln(close * total_shares / 1e8)")
-plain("06_turnover", lambda: c("turnover"), "turnover")
-plain("09_turnover_std_20", lambda: safe_div(ts.std("turnover", 20, 10), ts.mean("turnover", 20, 10)), f"({over('stddev_samp', 'turnover', 20, 10)}) / ({over('avg', 'turnover', 20, 10)})")
-plain("09_avg_amount_20", lambda: ts.mean("amount", 20, 1), over("avg", "amount", 20, 1))
+plain("01_momentum_60", "close / lag(close, 60) OVER w - 1")
+plain("01_momentum_120", "close / lag(close, 120) OVER w - 1")
+plain("01_reversal_10", "-(close / lag(close, 10) OVER w - 1)")
+plain("02_volatility_60", over("stddev_samp", "ret", 60, 2))
+plain("04_price_position_250", "close / max(close) OVER (w ROWS 249 PRECEDING)")
+put("05_skewness_20", f""", st AS (SELECT code, date, ret, avg(ret) OVER (w ROWS 19 PRECEDING) AS m, stddev_samp(ret) OVER (w ROWS 19 PRECEDING) AS s, min(ret) OVER (w ROWS 19 PRECEDING) < max(ret) OVER (w ROWS 19 PRECEDING) AS varies FROM px {W}),
+z AS (SELECT code, date, ((ret - m) / s) ** 3 AS z FROM st WHERE varies), x AS (SELECT code, date, avg(z) OVER (w ROWS 19 PRECEDING) AS value FROM z {W}) SELECT code, date, value FROM x""", digits=3)
+plain("06_total_mcap", "ln(close * total_shares / 1e8)")
+plain("06_turnover", "turnover")
+plain("09_turnover_std_20", f"({over('stddev_samp', 'turnover', 20, 10)}) / ({over('avg', 'turnover', 20, 10)})")
+plain("09_avg_amount_20", over("avg", "amount", 20, 1))
 for _n, _x in (("small", "small_net"), ("net", "net_amount")):
-    plain(f"10_{_n}_share_20", lambda x=_x: safe_div(ts.total(x, 20, 15), ts.total("amount", 20, 15)), f"({over('sum', _x, 20, 15)}) / ({over('sum', 'amount', 20, 15)})")
-put("10_smart_dumb_20", lambda: safe_div(ts.total("_d", 20, 15), ts.total("amount", 20, 15)), f", y AS (SELECT *, main_net - small_net AS d FROM px), x AS (SELECT code, date, ({over('sum', 'd', 20, 15)}) / ({over('sum', 'amount', 20, 15)}) AS value FROM y {W}) SELECT code, date, value FROM x", steps=lambda p: p.withColumn("_d", c("main_net") - c("small_net")))
+    plain(f"10_{_n}_share_20", f"({over('sum', _x, 20, 15)}) / ({over('sum', 'amount', 20, 15)})")
+put("10_smart_dumb_20", f", y AS (SELECT *, main_net - small_net AS d FROM px), x AS (SELECT code, date, ({over('sum', 'd', 20, 15)}) / ({over('sum', 'amount', 20, 15)}) AS value FROM y {W}) SELECT code, date, value FROM x")
 _ANCHOR = "CASE WHEN close / lag(close, 10) OVER w - 1 > 0 THEN close / min(close) OVER (w ROWS 59 PRECEDING) - 1 ELSE close / max(close) OVER (w ROWS 59 PRECEDING) - 1 END"
 
 
-def anchor():
-    return F.when(ts.change("close", 10) > 0, c("close") / ts.low("close", 60, 1) - 1).otherwise(c("close") / ts.high("close", 60, 1) - 1)
+plain("17_anchor_reversal_60", _ANCHOR)
+plain("17_anchor_rev_vol", f"({_ANCHOR}) * ({over('stddev_samp', 'ret', 20, 2)})")
+put("20_turn_idio_20", f", y AS (SELECT *, turnover - quantile_cont(turnover, 0.5) OVER (PARTITION BY date) AS i FROM px), x AS (SELECT code, date, {over('avg', 'i', 20, 15)} AS value FROM y {W}) SELECT code, date, value FROM x")
 
+# Factors of bars and the main flow alone
+PR = """pr AS (SELECT bars.*, main_net, close / lag(close) OVER v - 1 AS ret, open / lag(close) OVER v - 1 AS overnight FROM bars JOIN flow USING (code, date) WINDOW v AS (PARTITION BY code ORDER BY date)),
+"""
 
-plain("17_anchor_reversal_60", anchor, _ANCHOR)
-plain("17_anchor_rev_vol", lambda: anchor() * ts.std("ret", 20, 2), f"({_ANCHOR}) * ({over('stddev_samp', 'ret', 20, 2)})")
-put("20_turn_idio_20", lambda: ts.mean("_i", 20, 15), f", y AS (SELECT *, turnover - quantile_cont(turnover, 0.5) OVER (PARTITION BY date) AS i FROM px), x AS (SELECT code, date, {over('avg', 'i', 20, 15)} AS value FROM y {W}) SELECT code, date, value FROM x", steps=lambda p: p.withColumn("_i", c("turnover") - F.percentile("turnover", F.lit(0.5)).over(xs.section())))
+def short(name: str, expression: str) -> None:
+    C.add(f"FA_{name}", factor(name), PR + f"x AS (SELECT code, date, {expression} AS value FROM pr {W}) SELECT code, date, value FROM x")
+
+
+short("01_momentum_20", "close / lag(close, 20) OVER w - 1")
+short("01_reversal_5", "-(close / lag(close, 5) OVER w - 1)")
+short("02_volatility_20", over("stddev_samp", "ret", 20, 2))
+short("04_amplitude_20", "avg((high - low) / close) OVER (w ROWS 19 PRECEDING)")
+short("04_max_return_20", "max(ret) OVER (w ROWS 19 PRECEDING)")
+short("04_price_position_50", "close / max(close) OVER (w ROWS 49 PRECEDING)")
+short("05_downside_20", "CASE WHEN count(*) OVER (w ROWS 19 PRECEDING) >= 10 THEN sqrt(avg(least(ret, 0) ** 2) OVER (w ROWS 19 PRECEDING)) END")
+short("06_size", "ln(close * 1000)")
+short("09_amihud_20", "CASE WHEN count(ret) OVER (w ROWS 19 PRECEDING) >= 10 THEN avg(abs(ret) / (amount / 1e6)) OVER (w ROWS 19 PRECEDING) END")
+short("09_amount_cv_20", f"({over('stddev_samp', 'amount', 20, 10)}) / ({over('avg', 'amount', 20, 10)})")
+short("10_flow_share_20", f"({over('sum', 'main_net', 20, 15)}) / ({over('sum', 'amount', 20, 15)})")
+short("11_flow_change", f"({over('sum', 'main_net', 5, 5)}) / ({over('sum', 'amount', 5, 5)}) - ({over('sum', 'main_net', 20, 15)}) / ({over('sum', 'amount', 20, 15)})")
+short("14_range_cv_20", "CASE WHEN count(*) OVER (w ROWS 19 PRECEDING) >= 15 THEN stddev_samp(0.5 * ln(high / low) ** 2) OVER (w ROWS 19 PRECEDING) / nullif(avg(0.5 * ln(high / low) ** 2) OVER (w ROWS 19 PRECEDING), 0) END")
+short("17_anchor_30", "CASE WHEN close / lag(close, 10) OVER w - 1 > 0 THEN close / min(close) OVER (w ROWS 29 PRECEDING) - 1 ELSE close / max(close) OVER (w ROWS 29 PRECEDING) - 1 END")
+short("18_overnight_20", "CASE WHEN count(CASE WHEN high > low THEN overnight END) OVER (w ROWS 19 PRECEDING) >= 8 THEN avg(CASE WHEN high > low THEN overnight END) OVER (w ROWS 19 PRECEDING) END")
+short("33_clipped_z", "CASE WHEN count(amount) OVER (w ROWS 19 PRECEDING) >= 10 AND min(amount) OVER (w ROWS 19 PRECEDING) < max(amount) OVER (w ROWS 19 PRECEDING) THEN least(greatest((amount - avg(amount) OVER (w ROWS 19 PRECEDING)) / stddev_samp(amount) OVER (w ROWS 19 PRECEDING), -2), 2) END")
+short("43_kyle_lambda_24", "CASE WHEN count(ret) OVER (w ROWS 23 PRECEDING) >= 12 AND min(CASE WHEN ret IS NOT NULL THEN vol END) OVER (w ROWS 23 PRECEDING) < max(CASE WHEN ret IS NOT NULL THEN vol END) OVER (w ROWS 23 PRECEDING) THEN regr_slope(ret, vol) OVER (w ROWS 23 PRECEDING) END")
+C.add("FA_03_rsi_14", factor("03_rsi_14"), PR + """g AS (SELECT code, date, coalesce(greatest(close - lag(close) OVER w, 0), 0) AS g, coalesce(greatest(lag(close) OVER w - close, 0), 0) AS l FROM pr WINDOW w AS (PARTITION BY code ORDER BY date))
+SELECT code, date, CASE WHEN avg(l) OVER w = 0 THEN 100 ELSE 100 - 100 / (1 + avg(g) OVER w / avg(l) OVER w) END AS value FROM g WINDOW w AS (PARTITION BY code ORDER BY date ROWS 13 PRECEDING)""")
 
 # Approximations from daily bars: illiquidity by path and side, tails, similarity to the market. Amounts in millions.
 _KPATH = "least(abs(high - open) + abs(high - low) + abs(close - low), abs(open - low) + abs(high - low) + abs(close - high)) / close / (amount / 1e6)"
 
 
-def kpath():
-    o, h, low, x = c("open"), c("high"), c("low"), c("close")
-    return F.least(F.abs(h - o) + (h - low) + F.abs(x - low), F.abs(o - low) + (h - low) + F.abs(x - h)) / x / (c("amount") / 1e6)
-
-
-plain("43_cvar_20", lambda: ts.mean(F.when(c("ret") < 0, c("ret")), 20, 10), over("avg", "CASE WHEN ret < 0 THEN ret END", 20, 10))
-plain("43_kpath_illiq_20", lambda: ts.mean(kpath(), 20, 10), over("avg", _KPATH, 20, 10))
-plain("43_idio_illiq_20", lambda: ts.mean(F.abs(c("ret") - c("mkt")) / (c("amount") / 1e6), 20, 10), over("avg", "abs(ret - mkt) / (amount / 1e6)", 20, 10))
-put("43_kyle_lambda_60", lambda: ts.slope("ret", "_a", 60, 0.5), f""", y AS (SELECT *, CASE WHEN ret IS NOT NULL THEN sign(ret) * amount / 1e6 END AS a FROM px),
-x AS (SELECT code, date, CASE WHEN count(ret) OVER (w ROWS 59 PRECEDING) >= 30 AND min(a) OVER (w ROWS 59 PRECEDING) < max(a) OVER (w ROWS 59 PRECEDING) THEN regr_slope(ret, a) OVER (w ROWS 59 PRECEDING) END AS value FROM y {W}) SELECT code, date, value FROM x""",
-    steps=lambda p: p.withColumn("_a", F.signum("ret") * c("amount") / 1e6), digits=3)
-put("43_tsim_path_20", lambda: ts.corr("ret", "mkt", 20, 10) - F.abs(ts.total("_e", 20, 10)), f""", y AS (SELECT *, ret - mkt AS e, CASE WHEN ret IS NOT NULL THEN mkt END AS k FROM px),
-x AS (SELECT code, date, CASE WHEN count(ret) OVER (w ROWS 19 PRECEDING) >= 10 AND min(ret) OVER (w ROWS 19 PRECEDING) < max(ret) OVER (w ROWS 19 PRECEDING) THEN corr(ret, k) OVER (w ROWS 19 PRECEDING) - abs(sum(e) OVER (w ROWS 19 PRECEDING)) END AS value FROM y {W}) SELECT code, date, value FROM x""",
-    steps=lambda p: p.withColumn("_e", c("ret") - c("mkt")), digits=3)
+plain("43_cvar_20", over("avg", "CASE WHEN ret < 0 THEN ret END", 20, 10))
+plain("43_kpath_illiq_20", over("avg", _KPATH, 20, 10))
+plain("43_idio_illiq_20", over("avg", "abs(ret - mkt) / (amount / 1e6)", 20, 10))
+put("43_kyle_lambda_60", f""", y AS (SELECT *, CASE WHEN ret IS NOT NULL THEN sign(ret) * amount / 1e6 END AS a FROM px),
+x AS (SELECT code, date, CASE WHEN count(ret) OVER (w ROWS 59 PRECEDING) >= 30 AND min(a) OVER (w ROWS 59 PRECEDING) < max(a) OVER (w ROWS 59 PRECEDING) THEN regr_slope(ret, a) OVER (w ROWS 59 PRECEDING) END AS value FROM y {W}) SELECT code, date, value FROM x""", digits=3)
+put("43_tsim_path_20", f""", y AS (SELECT *, ret - mkt AS e, CASE WHEN ret IS NOT NULL THEN mkt END AS k FROM px),
+x AS (SELECT code, date, CASE WHEN count(ret) OVER (w ROWS 19 PRECEDING) >= 10 AND min(ret) OVER (w ROWS 19 PRECEDING) < max(ret) OVER (w ROWS 19 PRECEDING) THEN corr(ret, k) OVER (w ROWS 19 PRECEDING) - abs(sum(e) OVER (w ROWS 19 PRECEDING)) END AS value FROM y {W}) SELECT code, date, value FROM x""", digits=3)
 for _n, _op in (("dn", "<"), ("up", ">")):
-    plain(f"43_semi_illiq_{_n}_20", lambda op=_op: ts.mean(F.when(c("ret") < 0 if op == "<" else c("ret") > 0, F.abs("ret") / (c("amount") / 1e6)), 20, 10), over("avg", f"CASE WHEN ret {_op} 0 THEN abs(ret) / (amount / 1e6) END", 20, 10))
-plain("43_amp_downpos_20", lambda: ts.mean(F.when(c("high") > c("low"), (c("high") - c("close")) / (c("high") - c("low"))), 20, 10), over("avg", "CASE WHEN high > low THEN (high - close) / (high - low) END", 20, 10))
-plain("43_repair_eff_20", lambda: F.when(ts.high("high", 20, 10) > ts.low("low", 20, 10), (c("close") - ts.low("low", 20, 10)) / (ts.high("high", 20, 10) - ts.low("low", 20, 10))), f"CASE WHEN ({over('max', 'high', 20, 10)}) > ({over('min', 'low', 20, 10)}) THEN (close - min(low) OVER (w ROWS 19 PRECEDING)) / (max(high) OVER (w ROWS 19 PRECEDING) - min(low) OVER (w ROWS 19 PRECEDING)) END")
-put("43_mf_sens_60", lambda: ts.slope("ret", "_a", 60, 0.5), f""", y AS (SELECT *, CASE WHEN ret IS NOT NULL THEN main_net / amount END AS a FROM px),
-x AS (SELECT code, date, CASE WHEN count(ret) OVER (w ROWS 59 PRECEDING) >= 30 AND min(a) OVER (w ROWS 59 PRECEDING) < max(a) OVER (w ROWS 59 PRECEDING) THEN regr_slope(ret, a) OVER (w ROWS 59 PRECEDING) END AS value FROM y {W}) SELECT code, date, value FROM x""",
-    steps=lambda p: p.withColumn("_a", c("main_net") / c("amount")), digits=3)
+    plain(f"43_semi_illiq_{_n}_20", over("avg", f"CASE WHEN ret {_op} 0 THEN abs(ret) / (amount / 1e6) END", 20, 10))
+plain("43_amp_downpos_20", over("avg", "CASE WHEN high > low THEN (high - close) / (high - low) END", 20, 10))
+plain("43_repair_eff_20", f"CASE WHEN ({over('max', 'high', 20, 10)}) > ({over('min', 'low', 20, 10)}) THEN (close - min(low) OVER (w ROWS 19 PRECEDING)) / (max(high) OVER (w ROWS 19 PRECEDING) - min(low) OVER (w ROWS 19 PRECEDING)) END")
+put("43_mf_sens_60", f""", y AS (SELECT *, CASE WHEN ret IS NOT NULL THEN main_net / amount END AS a FROM px),
+x AS (SELECT code, date, CASE WHEN count(ret) OVER (w ROWS 59 PRECEDING) >= 30 AND min(a) OVER (w ROWS 59 PRECEDING) < max(a) OVER (w ROWS 59 PRECEDING) THEN regr_slope(ret, a) OVER (w ROWS 59 PRECEDING) END AS value FROM y {W}) SELECT code, date, value FROM x""", digits=3)
 
 # Seats: what a kind of seat bought net over 20 calendar days, in ten-thousandths of 20 rows' amount.
 for _n, _seat in (("inst", "F"), ("retail", "O")):
-    C.add(f"FA_25_{_n}_buy_20", lambda s, d, seat=_seat: asof.in_windows(X.bars(s, d), X.seats(s, d).where(c("seat") == seat), -19, 0, "net", "_e").withColumn("value", safe_div(c("_e") * 1e4, ts.total("amount", 20, 1))).select("code", "date", "value"), f"""e AS (SELECT b.code, b.date, b.amount, coalesce(sum(s.net), 0) AS e FROM bars b LEFT JOIN seats s ON s.code = b.code AND s.seat = '{_seat}' AND s.date BETWEEN b.date - 19 AND b.date GROUP BY 1, 2, 3),
+    C.add(f"FA_25_{_n}_buy_20", factor(f"25_{_n}_buy_20"), f"""e AS (SELECT b.code, b.date, b.amount, coalesce(sum(s.net), 0) AS e FROM bars b LEFT JOIN seats s ON s.code = b.code AND s.seat = '{_seat}' AND s.date BETWEEN b.date - 19 AND b.date GROUP BY 1, 2, 3),
 x AS (SELECT code, date, e * 10000 / sum(amount) OVER (w ROWS 19 PRECEDING) AS value FROM e {W}) SELECT code, date, value FROM x""", digits=3)
 
 # Ratios of the latest published statement.
@@ -110,22 +108,15 @@ ON_BARS = "SELECT b.code, b.date, l.value FROM bars b ASOF LEFT JOIN ladder l ON
 ITEMS = "i0 AS (SELECT * FROM items)"
 
 
-def statement(name: str, value, expression: str, table=X.items, sql: str = ITEMS, t: str = "i0", **k) -> None:
-    def run(s, d):
-        return fu.on_bars(X.bars(s, d), fu.ladder(table(s, d), value())).select("code", "date", "value")
-
-    C.add(f"FA_{name}", run, sql + LADDER.format(t=t, v=expression) + ON_BARS, **k)
-
-
-def ratio(a: str, b: str):
-    return lambda: safe_div(c(a), c(b))
+def statement(name: str, expression: str, sql: str = ITEMS, t: str = "i0", **k) -> None:
+    C.add(f"FA_{name}", factor(name), sql + LADDER.format(t=t, v=expression) + ON_BARS, **k)
 
 
 for _n, _a, _b in (("26_roa", "net_profit", "total_assets"), ("26_net_margin", "net_profit", "revenue"), ("26_asset_turnover", "revenue", "total_assets"), ("26_roe", "net_profit", "total_equity"), ("26_debt_ratio", "total_liab", "total_assets"), ("26_ocf_ratio", "operate_cf", "net_profit"), ("27_op_margin", "op_profit", "revenue"), ("27_goodwill_ratio", "goodwill", "total_equity")):
-    statement(_n, ratio(_a, _b), f"{_a} / nullif({_b}, 0)")
-statement("26_current_ratio", lambda: c("current_ratio"), "current_ratio")
-statement("26_quick_ratio", lambda: c("current_ratio") - safe_div(c("inventory"), c("total_liab")), "current_ratio - inventory / nullif(total_liab, 0)")
-statement("27_accruals", lambda: safe_div(c("net_profit") - c("operate_cf"), c("total_assets")), "(net_profit - operate_cf) / nullif(total_assets, 0)")
+    statement(_n, f"{_a} / nullif({_b}, 0)")
+statement("26_current_ratio", "current_ratio")
+statement("26_quick_ratio", "current_ratio - inventory / nullif(total_liab, 0)")
+statement("27_accruals", "(net_profit - operate_cf) / nullif(total_assets, 0)")
 
 # Trailing sums and growth over a year.
 TTM = ("revenue", "net_profit", "operate_cf", "gross_profit", "one_off")
@@ -133,49 +124,37 @@ YEAR = ("revenue", "net_profit", "total_assets")
 TTM_SQL = "i1 AS (SELECT *, " + ", ".join(f"CASE WHEN count({x}) OVER v = 4 THEN sum({x}) OVER v END AS {x}_ttm" for x in TTM) + " FROM items WINDOW v AS (PARTITION BY code ORDER BY q RANGE BETWEEN 3 PRECEDING AND CURRENT ROW)),\ni2 AS (SELECT i1.*, " + ", ".join(f"b.{x} AS {x}_y" for x in YEAR) + " FROM i1 LEFT JOIN items b ON b.code = i1.code AND b.q = i1.q - 4)"
 
 
-def ttm(s, d):
-    return fu.a_year_before(fu.trailing(X.items(s, d), list(TTM)), list(YEAR))
-
-
-def trailing(name: str, value, expression: str, **k) -> None:
-    statement(name, value, expression, ttm, TTM_SQL, "i2", **k)
+def trailing(name: str, expression: str, **k) -> None:
+    statement(name, expression, TTM_SQL, "i2", **k)
 
 
 for _n, _x in (("28_profit_growth_yoy", "net_profit"), ("28_asset_growth_yoy", "total_assets"), ("29_np_q_yoy", "net_profit"), ("29_rev_q_yoy", "revenue")):
-    trailing(_n, lambda x=_x: fu.growth(x), f"({_x} - {_x}_y) / nullif(abs({_x}_y), 0)")
-trailing("29_roe_ttm", ratio("net_profit_ttm", "total_equity"), "net_profit_ttm / nullif(total_equity, 0)")
-trailing("29_roe_cut", lambda: safe_div(c("net_profit_ttm") - c("one_off_ttm"), c("total_equity")), "(net_profit_ttm - one_off_ttm) / nullif(total_equity, 0)")
-trailing("29_roic", lambda: safe_div(c("net_profit_ttm"), c("total_equity") + c("total_liab")), "net_profit_ttm / nullif(total_equity + total_liab, 0)")
+    trailing(_n, f"({_x} - {_x}_y) / nullif(abs({_x}_y), 0)")
+trailing("29_roe_ttm", "net_profit_ttm / nullif(total_equity, 0)")
+trailing("29_roe_cut", "(net_profit_ttm - one_off_ttm) / nullif(total_equity, 0)")
+trailing("29_roic", "net_profit_ttm / nullif(total_equity + total_liab, 0)")
 
 # Three statements of a period, published on different days.
-STATEMENTS = {"income": (0, ["net_profit_ttm", "gross_profit_ttm"]), "balance": (5, ["total_assets"]), "cash": (3, ["operate_cf_ttm"])}
 MERGED_SQL = TTM_SQL + ",\ni3 AS (SELECT code, period, q, notice + 5 AS notice, net_profit_ttm, gross_profit_ttm, total_assets, operate_cf_ttm FROM i2)"
-for _n, _v, _e in (
-    ("30_gpoa", ratio("gross_profit_ttm", "total_assets"), "gross_profit_ttm / nullif(total_assets, 0)"),
-    ("30_accruals2", lambda: safe_div(F.coalesce("net_profit_ttm", F.lit(0.0)) - F.coalesce("operate_cf_ttm", F.lit(0.0)), c("total_assets")), "(coalesce(net_profit_ttm, 0) - coalesce(operate_cf_ttm, 0)) / nullif(total_assets, 0)"),
-    ("30_ocf_to_profit", ratio("operate_cf_ttm", "net_profit_ttm"), "operate_cf_ttm / nullif(net_profit_ttm, 0)"),
+for _n, _e in (
+    ("30_gpoa", "gross_profit_ttm / nullif(total_assets, 0)"),
+    ("30_accruals2", "(coalesce(net_profit_ttm, 0) - coalesce(operate_cf_ttm, 0)) / nullif(total_assets, 0)"),
+    ("30_ocf_to_profit", "operate_cf_ttm / nullif(net_profit_ttm, 0)"),
 ):
-    statement(_n, _v, _e, lambda s, d: fu.merged(ttm(s, d), STATEMENTS), MERGED_SQL, "i3")
+    statement(_n, _e, MERGED_SQL, "i3")
 
 # Per market value, with the shares of the date; statements in tens of thousands.
 MV = ", bc AS (SELECT b.code, b.date, b.close * c.total_shares / 10000 AS mv FROM bars b ASOF LEFT JOIN capital c ON b.code = c.code AND b.date >= c.date)\nSELECT b.code, b.date, {e} AS value FROM bc b ASOF LEFT JOIN ladder l ON b.code = l.code AND b.date >= l.known"
 
 
-def valued(name: str, item: str, invert: bool = False, source=ttm, sql: str = TTM_SQL, t: str = "i2") -> None:
+def valued(name: str, item: str, invert: bool = False, sql: str = TTM_SQL, t: str = "i2") -> None:
     """item over market value; invert: as one over the ratio of market value to the item, null where that is 0."""
-
-    def run(s, d):
-        p = asof.asof(X.bars(s, d), X.capital(s, d), ["total_shares"]).withColumn("mv", c("close") * c("total_shares") / 10000)
-        p = asof.asof(p, fu.ladder(source(s, d), c(item)).where("value is not null"), ["value"], right_on="known")
-        value = safe_div(F.lit(1.0), safe_div(c("mv"), c("value"))) if invert else safe_div(c("value"), c("mv"))
-        return p.select("code", "date", value.alias("value"))
-
     e = "1 / nullif(mv / nullif(value, 0), 0)" if invert else "value / nullif(mv, 0)"
-    C.add(f"FA_{name}", run, sql + LADDER.format(t=t, v=item) + MV.format(e=e))
+    C.add(f"FA_{name}", factor(name), sql + LADDER.format(t=t, v=item) + MV.format(e=e))
 
 
 for _n, _x in (("07_bp", "total_equity"), ("07_sp", "revenue"), ("07_ocfp", "operate_cf")):
-    valued(_n, _x, source=X.items, sql=ITEMS, t="i0")
+    valued(_n, _x, sql=ITEMS, t="i0")
 valued("31_ep", "net_profit_ttm", invert=True)
 valued("31_bp", "total_equity", invert=True)
 valued("32_sp_ttm", "revenue_ttm")
@@ -185,47 +164,25 @@ valued("32_cfp_ttm", "operate_cf_ttm")
 EP_SQL = TTM_SQL + LADDER.format(t="i2", v="net_profit_ttm") + MV.replace("SELECT b.code, b.date, {e} AS value", ", ep AS (SELECT b.code, b.date, value / nullif(mv, 0) AS ep").replace("\n,", ",\n") + ")"
 
 
-def ep(s, d):
-    p = asof.asof(X.bars(s, d), X.capital(s, d), ["total_shares"])
-    p = asof.asof(p, fu.ladder(ttm(s, d), c("net_profit_ttm")).where("value is not null"), ["value"], right_on="known")
-    return p.select("code", "date", safe_div(c("value"), c("close") * c("total_shares") / 10000).alias("ep"))
-
-
-def _epd(p):
-    return p.withColumn("z", clip(ts.zscore("ep", 60, 45), -10.0, 10.0))
-
-
 _EPD = f", z AS (SELECT code, date, CASE WHEN count(ep) OVER (w ROWS 59 PRECEDING) >= 45 AND min(ep) OVER (w ROWS 59 PRECEDING) < max(ep) OVER (w ROWS 59 PRECEDING) THEN least(greatest((ep - avg(ep) OVER (w ROWS 59 PRECEDING)) / stddev_samp(ep) OVER (w ROWS 59 PRECEDING), -10), 10) END AS z FROM ep {W})"
-C.add("FA_20_epd_60", lambda s, d: _epd(ep(s, d)).select("code", "date", c("z").alias("value")), EP_SQL + _EPD + " SELECT code, date, z AS value FROM z", digits=3)
-C.add("FA_20_epds_60", lambda s, d: _epd(ep(s, d)).select("code", "date", F.when(ts.std("z", 60, 45) > 1e-12, clip(ts.mean("z", 60, 45) / ts.std("z", 60, 45), -10.0, 10.0)).alias("value")), EP_SQL + _EPD + f", x AS (SELECT code, date, CASE WHEN count(z) OVER (w ROWS 59 PRECEDING) >= 45 AND stddev_samp(z) OVER (w ROWS 59 PRECEDING) > 1e-12 THEN least(greatest(avg(z) OVER (w ROWS 59 PRECEDING) / stddev_samp(z) OVER (w ROWS 59 PRECEDING), -10), 10) END AS value FROM z {W}) SELECT code, date, value FROM x", digits=3)
+C.add("FA_20_epd_60", factor("20_epd_60"), EP_SQL + _EPD + " SELECT code, date, z AS value FROM z", digits=3)
+C.add("FA_20_epds_60", factor("20_epds_60"), EP_SQL + _EPD + f", x AS (SELECT code, date, CASE WHEN count(z) OVER (w ROWS 59 PRECEDING) >= 45 AND stddev_samp(z) OVER (w ROWS 59 PRECEDING) > 1e-12 THEN least(greatest(avg(z) OVER (w ROWS 59 PRECEDING) / stddev_samp(z) OVER (w ROWS 59 PRECEDING), -10), 10) END AS value FROM z {W}) SELECT code, date, value FROM x", digits=3)
 # 1,250 days are 250 weeks, 500 are 100.
 _BEFORE = "(w ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING)"
-C.add("FA_39_ep_z5", lambda s, d: ep(s, d).select("code", "date", F.when((ts.rolling("ep", 250, "count", 100, last=-1) >= 100) & (ts.rolling("ep", 250, "min", 1, last=-1) < ts.rolling("ep", 250, "max", 1, last=-1)), safe_div(c("ep") - ts.rolling("ep", 250, "avg", 100, last=-1), ts.rolling("ep", 250, "stddev_samp", 100, last=-1))).alias("value")), EP_SQL + f", x AS (SELECT code, date, CASE WHEN count(ep) OVER {_BEFORE} >= 100 AND min(ep) OVER {_BEFORE} < max(ep) OVER {_BEFORE} THEN (ep - avg(ep) OVER {_BEFORE}) / stddev_samp(ep) OVER {_BEFORE} END AS value FROM ep {W}) SELECT code, date, value FROM x", digits=3)
-
+C.add("FA_39_ep_z5", factor("39_ep_z5"), EP_SQL + f", x AS (SELECT code, date, CASE WHEN count(ep) OVER {_BEFORE} >= 100 AND min(ep) OVER {_BEFORE} < max(ep) OVER {_BEFORE} THEN (ep - avg(ep) OVER {_BEFORE}) / stddev_samp(ep) OVER {_BEFORE} END AS value FROM ep {W}) SELECT code, date, value FROM x", digits=3)
 
-def _garp(s, d):
-    g = fu.ladder(ttm(s, d), fu.growth("net_profit")).where("value is not null")
-    p = asof.asof(ep(s, d), g, ["value"], right_on="known").where("ep is not null and value is not null")
-    return p.select("code", "date", (xs.rank(F.round("ep", 9)) * xs.rank(F.round("value", 9))).alias("value"))
 
-
-C.add("FA_39_garp", _garp, EP_SQL + LADDER.format(t="i2", v="(net_profit - net_profit_y) / nullif(abs(net_profit_y), 0)").replace("kept", "kept2").replace("ladder", "ladder2") + """, j AS (SELECT ep.code, ep.date, round(ep.ep, 9) AS e, round(l.value, 9) AS g FROM ep ASOF JOIN ladder2 l ON ep.code = l.code AND ep.date >= l.known WHERE ep.ep IS NOT NULL)
+C.add("FA_39_garp", factor("39_garp"), EP_SQL + LADDER.format(t="i2", v="(net_profit - net_profit_y) / nullif(abs(net_profit_y), 0)").replace("kept", "kept2").replace("ladder", "ladder2") + """, j AS (SELECT ep.code, ep.date, round(ep.ep, 9) AS e, round(l.value, 9) AS g FROM ep ASOF JOIN ladder2 l ON ep.code = l.code AND ep.date >= l.known WHERE ep.ep IS NOT NULL)
 SELECT code, date, rank() OVER (PARTITION BY date ORDER BY e) * rank() OVER (PARTITION BY date ORDER BY g) AS value FROM j""")
 
 # Surprises: against the rows before, against what was published by then, and from forecasts.
 for _n, _x in (("37_sue_v2", "net_profit"), ("37_sur", "revenue")):
-    C.add(f"FA_{_n}", lambda s, d, x=_x: fu.on_bars(X.bars(s, d), panel.latest(fu.zscore_before(X.items(s, d), x), ["code", "notice"], [F.desc("period")]).select("code", c("notice").alias("known"), "value")).select("code", "date", "value"), f"""z AS (SELECT code, period, notice, least(greatest(({_x} - avg({_x}) OVER v) / nullif(stddev_samp({_x}) OVER v, 0), -10), 10) AS value, count({_x}) OVER v AS n FROM items WINDOW v AS (PARTITION BY code ORDER BY q ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)),
+    C.add(f"FA_{_n}", factor(_n), f"""z AS (SELECT code, period, notice, least(greatest(({_x} - avg({_x}) OVER v) / nullif(stddev_samp({_x}) OVER v, 0), -10), 10) AS value, count({_x}) OVER v AS n FROM items WINDOW v AS (PARTITION BY code ORDER BY q ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)),
 ladder AS (SELECT * FROM (SELECT code, notice AS known, CASE WHEN n >= 6 THEN value END AS value, row_number() OVER (PARTITION BY code, notice ORDER BY period DESC) AS k FROM z) WHERE k = 1 AND value IS NOT NULL)
 """ + ON_BARS, digits=3)
 
 
-def _roe_change(s, d):
-    r = fu.trailing(X.items(s, d), ["net_profit"]).withColumn("roe", safe_div(c("net_profit_ttm"), c("total_equity")))
-    r = fu.a_year_before(r, ["roe"]).withColumn("value", c("roe") - c("roe_y")).where("value is not null")
-    return fu.on_bars(X.bars(s, d), panel.latest(r, ["code", "notice"], [F.desc("period")]).select("code", c("notice").alias("known"), "value")).select("code", "date", "value")
-
-
-C.add("FA_37_roe_chg", _roe_change, TTM_SQL + """, r AS (SELECT code, period, q, notice, net_profit_ttm / nullif(total_equity, 0) AS roe FROM i2), r4 AS (SELECT a.code, a.period, a.notice, a.roe - b.roe AS value FROM r a JOIN r b ON a.code = b.code AND b.q = a.q - 4),
+C.add("FA_37_roe_chg", factor("37_roe_chg"), TTM_SQL + """, r AS (SELECT code, period, q, notice, net_profit_ttm / nullif(total_equity, 0) AS roe FROM i2), r4 AS (SELECT a.code, a.period, a.notice, a.roe - b.roe AS value FROM r a JOIN r b ON a.code = b.code AND b.q = a.q - 4),
 ladder AS (SELECT * FROM (SELECT code, notice AS known, value, row_number() OVER (PARTITION BY code, notice ORDER BY period DESC) AS k FROM r4 WHERE value IS NOT NULL) WHERE k = 1)
 """ + ON_BARS)
 GPOA = TTM_SQL + """, gp AS (SELECT code, period, q, notice, gross_profit_ttm / nullif(total_assets, 0) AS g FROM i2),
@@ -235,27 +192,12 @@ NEWEST = """, ladder AS (SELECT * FROM (SELECT code, notice AS known, value, row
 """ + ON_BARS
 
 
-def _gpoa(s, d):
-    return fu.trailing(X.items(s, d), ["gross_profit"]).withColumn("g", safe_div(c("gross_profit_ttm"), c("total_assets")))
-
-
-def newest(s, d, r):
-    return fu.on_bars(X.bars(s, d), panel.latest(r.where("value is not null"), ["code", "notice"], [F.desc("period")]).select("code", c("notice").alias("known"), "value")).select("code", "date", "value")
-
-
-C.add("FA_38_sue_gpoa", lambda s, d: newest(s, d, fu.zscore_published(_gpoa(s, d), "g")), GPOA + ", v0 AS (SELECT code, period, notice, CASE WHEN count(pg) >= 6 THEN least(greatest((any_value(g) - avg(pg)) / nullif(stddev_samp(pg), 0), -10), 10) END AS value FROM pc WHERE k <= 8 GROUP BY 1, 2, 3)" + NEWEST, digits=3)
-C.add("FA_38_gpoa_chg", lambda s, d: newest(s, d, fu.change_published(_gpoa(s, d), "g")), GPOA + ", v0 AS (SELECT code, period, notice, CASE WHEN pq = q - 4 THEN g - pg END AS value FROM pc WHERE k = 4)" + NEWEST)
+C.add("FA_38_sue_gpoa", factor("38_sue_gpoa"), GPOA + ", v0 AS (SELECT code, period, notice, CASE WHEN count(pg) >= 6 THEN least(greatest((any_value(g) - avg(pg)) / nullif(stddev_samp(pg), 0), -10), 10) END AS value FROM pc WHERE k <= 8 GROUP BY 1, 2, 3)" + NEWEST, digits=3)
+C.add("FA_38_gpoa_chg", factor("38_gpoa_chg"), GPOA + ", v0 AS (SELECT code, period, notice, CASE WHEN pq = q - 4 THEN g - pg END AS value FROM pc WHERE k = 4)" + NEWEST)
 
 FORECASTS = "fc AS (SELECT code, period, q, period + CAST(1 + (CAST(code AS BIGINT) * 3 + quarter(period) * 11) % 14 AS INTEGER) AS known, round(net_profit * 0.9, 0) AS low, CASE WHEN CAST(code AS BIGINT) % 3 > 0 THEN round(net_profit * 1.2, 0) END AS high FROM items WHERE CAST(code AS BIGINT) % 4 > 0)"
 
 
-def forecasts(s, d):
-    """Three of four codes announce a range, or its lower end alone, within two weeks of the quarter's end."""
-    n = c("code").cast("long")
-    known = F.date_add("period", (1 + (n * 3 + F.quarter("period") * 11) % 14).cast("int"))
-    return X.items(s, d).where(n % 4 > 0).select("code", "period", "q", known.alias("known"), F.round(c("net_profit") * 0.9, 0).alias("low"), F.when(n % 3 > 0, F.round(c("net_profit") * 1.2, 0)).alias("high"))
-
-
 _PARAMETERS = """d1 AS (SELECT a.code, a.period, a.q, a.notice, a.net_profit - b.net_profit AS d FROM items a JOIN items b ON a.code = b.code AND b.q = a.q - 4),
 d2 AS (SELECT *, avg(d) OVER v AS delta, count(d) OVER v AS n FROM d1 WINDOW v AS (PARTITION BY code ORDER BY q RANGE BETWEEN 8 PRECEDING AND 1 PRECEDING)),
 d3 AS (SELECT *, d - delta AS e FROM d2 WHERE n >= 4),
@@ -267,15 +209,9 @@ fb AS (SELECT fc.code, fc.q, fc.known, CASE WHEN high IS NOT NULL THEN (low + hi
 fv AS (SELECT fb.code, fb.q, fb.known, least(greatest((est - y - delta) / sigma, -10), 10) AS value FROM fb ASOF JOIN par ON par.code = fb.code AND fb.known >= par.notice),
 pred AS (SELECT code, known, value FROM fv WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY code, known ORDER BY q DESC) = 1)
 """
-C.add("FA_35_sue_pred", lambda s, d: fu.on_bars(X.bars(s, d), fu.forecast_surprise(X.items(s, d), forecasts(s, d))).select("code", "date", "value"), _PREDICTED + ON_BARS.replace("ladder", "pred"), digits=3)
-
-
-def _fused(s, d):
-    own = fu.surprise_parameters(X.items(s, d)).withColumn("value", clip((c("_d") - c("delta")) / c("sigma"), -10.0, 10.0))
-    own = panel.latest(own, ["code", "notice"], [F.desc("period")]).select("code", c("notice").alias("known"), "value")
-    return fu.decayed_events(X.bars(s, d), own.unionByName(fu.forecast_surprise(X.items(s, d), forecasts(s, d)))).select("code", "date", "value")
+C.add("FA_35_sue_pred", factor("35_sue_pred"), _PREDICTED + ON_BARS.replace("ladder", "pred"), digits=3)
 
 
-C.add("FA_36_sue_i", _fused, _PREDICTED + """, own AS (SELECT code, notice AS known, least(greatest((d - delta) / sigma, -10), 10) AS value FROM d5 QUALIFY row_number() OVER (PARTITION BY code, notice ORDER BY period DESC) = 1),
+C.add("FA_36_sue_i", factor("36_sue_i"), _PREDICTED + """, own AS (SELECT code, notice AS known, least(greatest((d - delta) / sigma, -10), 10) AS value FROM d5 QUALIFY row_number() OVER (PARTITION BY code, notice ORDER BY period DESC) = 1),
 ev AS (SELECT code, known, avg(value) AS value FROM (SELECT * FROM own UNION ALL SELECT * FROM pred) GROUP BY 1, 2)
 SELECT b.code, b.date, sum((90 - date_diff('day', e.known, b.date)) * e.value) / sum(90 - date_diff('day', e.known, b.date)) AS value FROM bars b LEFT JOIN ev e ON e.code = b.code AND e.known BETWEEN b.date - 89 AND b.date GROUP BY 1, 2""", digits=3)

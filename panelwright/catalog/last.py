@@ -9,10 +9,10 @@ from panelwright.catalog import fixtures as X
 from panelwright.catalog.books import _features
 from panelwright.catalog.judging import BUCKETS, factors, joined
 from panelwright.catalog.judging import SQL as JUDGING
-from panelwright.functions.elementwise import clip, safe_div
-from panelwright.operators import asof, panel, ts, xs
+from panelwright.catalog.named import factor
+from panelwright.functions.elementwise import clip
+from panelwright.operators import panel, ts, xs
 from panelwright.plans import evaluate as ev
-from panelwright.plans import reports as R
 
 C = X.Catalog()
 B = X.bars
@@ -86,39 +86,25 @@ C.add("ML_03_rolling", _rolling_model, values=())
 
 
 # Factors
-def add(name, run, body, **k):
-    C.add(f"FA_{name}", lambda s, d: run(panel.returns(B(s, d)), s, d).select("code", "date", "value"), body, **k)
+def add(name, body, **k):
+    C.add(f"FA_{name}", factor(name), body, **k)
 
 
 W = "WINDOW w AS (PARTITION BY code ORDER BY date)"
-add("45_trailing_yield", lambda p, s, d: asof.in_windows(p, X.actions(s, d), -364, 0, "cash", "_c").withColumn("value", F.col("_c") / F.col("close")), "SELECT b.code, b.date, coalesce(sum(a.cash), 0) / any_value(b.close) AS value FROM bars b LEFT JOIN actions a ON a.code = b.code AND a.date BETWEEN b.date - 364 AND b.date GROUP BY 1, 2")
+add("45_trailing_yield", "SELECT b.code, b.date, coalesce(sum(a.cash), 0) / any_value(b.close) AS value FROM bars b LEFT JOIN actions a ON a.code = b.code AND a.date BETWEEN b.date - 364 AND b.date GROUP BY 1, 2")
 _EP = """ladder AS (SELECT * FROM reports QUALIFY row_number() OVER (PARTITION BY code, notice ORDER BY period DESC) = 1),
 ep AS (SELECT b.code, b.date, l.net_profit / (b.close * 1000) AS ep, b.vol FROM bars b ASOF LEFT JOIN ladder l ON b.code = l.code AND b.date >= l.notice)
 """
 
 
-def _ep(p, s, d):
-    return asof.asof(p, R.latest_reports(X.reports(s, d)), ["net_profit"], right_on="notice").withColumn("ep", F.col("net_profit") / (F.col("close") * 1000))
-
-
-add("07_ep", lambda p, s, d: _ep(p, s, d).withColumn("value", F.col("ep")), _EP + "SELECT code, date, ep AS value FROM ep")
-add("08_ep_size_half", lambda p, s, d: _ep(p, s, d).withColumn("half", (F.col("amount") >= F.percentile("amount", F.lit(0.5)).over(xs.section())).cast("int")).withColumn("value", xs.rank_pct(F.round("ep", 9), ("date", "half"))), _EP + """, h AS (SELECT code, date, round(ep.ep, 9) AS e, CAST(amount >= quantile_cont(amount, 0.5) OVER (PARTITION BY date) AS INTEGER) AS half FROM ep JOIN bars USING (code, date))
+add("07_ep", _EP + "SELECT code, date, ep AS value FROM ep")
+add("08_ep_size_half", _EP + """, h AS (SELECT code, date, round(ep.ep, 9) AS e, CAST(amount >= quantile_cont(amount, 0.5) OVER (PARTITION BY date) AS INTEGER) AS half FROM ep JOIN bars USING (code, date))
 SELECT code, date, CASE WHEN e IS NOT NULL THEN (rank() OVER (PARTITION BY date, half ORDER BY e NULLS LAST) + (count(*) OVER (PARTITION BY date, half, e) - 1) / 2.0) / count(e) OVER (PARTITION BY date, half) END AS value FROM h""")
-add("20_ep_zscore", lambda p, s, d: _ep(p, s, d).withColumn("value", ts.zscore("ep", 30, 15)), _EP + f", x AS (SELECT code, date, CASE WHEN count(ep) OVER (w ROWS 29 PRECEDING) >= 15 AND min(ep) OVER (w ROWS 29 PRECEDING) < max(ep) OVER (w ROWS 29 PRECEDING) THEN (ep - avg(ep) OVER (w ROWS 29 PRECEDING)) / stddev_samp(ep) OVER (w ROWS 29 PRECEDING) END AS value FROM ep {W}) SELECT code, date, value FROM x", digits=3)
-add("39_ep_rank_product", lambda p, s, d: _ep(p, s, d).withColumn("m", ts.change("close", 4)).where("ep is not null and m is not null").withColumn("value", xs.rank(F.round("ep", 9)) * xs.rank("m")), _EP + f", k AS (SELECT ep.code, ep.date, round(ep.ep, 9) AS e, close / lag(close, 4) OVER (PARTITION BY bars.code ORDER BY bars.date) - 1 AS m FROM ep JOIN bars ON bars.code = ep.code AND bars.date = ep.date) SELECT code, date, rank() OVER (PARTITION BY date ORDER BY e) * rank() OVER (PARTITION BY date ORDER BY m) AS value FROM k WHERE e IS NOT NULL AND m IS NOT NULL")
-
-
-def _acceleration(p, s, d):
-    q = (F.year("period") * 4 + F.quarter("period")).cast("int")
-    r = X.reports(s, d).withColumn("q", q)
-    y = r.select("code", (F.col("q") + 4).alias("q"), F.col("revenue").alias("y"))
-    r = r.join(y, ["code", "q"]).withColumn("g", safe_div(F.col("revenue") - F.col("y"), F.abs("y")))
-    w = Window.partitionBy("code").orderBy("q")
-    r = r.withColumn("value", F.when(F.lag("q").over(w) == F.col("q") - 1, clip(F.col("g") - F.lag("g").over(w), -5.0, 5.0))).where("value is not null")
-    return asof.asof(p, R.latest_reports(r), ["value"], right_on="notice")
+add("20_ep_zscore", _EP + f", x AS (SELECT code, date, CASE WHEN count(ep) OVER (w ROWS 29 PRECEDING) >= 15 AND min(ep) OVER (w ROWS 29 PRECEDING) < max(ep) OVER (w ROWS 29 PRECEDING) THEN (ep - avg(ep) OVER (w ROWS 29 PRECEDING)) / stddev_samp(ep) OVER (w ROWS 29 PRECEDING) END AS value FROM ep {W}) SELECT code, date, value FROM x", digits=3)
+add("39_ep_rank_product", _EP + f", k AS (SELECT ep.code, ep.date, round(ep.ep, 9) AS e, close / lag(close, 4) OVER (PARTITION BY bars.code ORDER BY bars.date) - 1 AS m FROM ep JOIN bars ON bars.code = ep.code AND bars.date = ep.date) SELECT code, date, rank() OVER (PARTITION BY date ORDER BY e) * rank() OVER (PARTITION BY date ORDER BY m) AS value FROM k WHERE e IS NOT NULL AND m IS NOT NULL")
 
 
-add("34_acceleration", _acceleration, """q AS (SELECT *, year(period) * 4 + quarter(period) AS q FROM reports), g AS (SELECT a.code, a.period, a.notice, a.q, (a.revenue - b.revenue) / abs(b.revenue) AS g FROM q a JOIN q b ON a.code = b.code AND a.q = b.q + 4),
+add("34_acceleration", """q AS (SELECT *, year(period) * 4 + quarter(period) AS q FROM reports), g AS (SELECT a.code, a.period, a.notice, a.q, (a.revenue - b.revenue) / abs(b.revenue) AS g FROM q a JOIN q b ON a.code = b.code AND a.q = b.q + 4),
 v AS (SELECT *, CASE WHEN lag(q) OVER w = q - 1 THEN least(greatest(g - lag(g) OVER w, -5), 5) END AS value FROM g WINDOW w AS (PARTITION BY code ORDER BY q)),
 ladder AS (SELECT * FROM v WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY code, notice ORDER BY period DESC) = 1)
 SELECT b.code, b.date, l.value FROM bars b ASOF LEFT JOIN ladder l ON b.code = l.code AND b.date >= l.notice""")

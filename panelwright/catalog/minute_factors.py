@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from panelwright.catalog import fixtures as X
+from panelwright.catalog.named import factor
 from panelwright.plans import minutes as M
 
 C = X.Catalog()
@@ -49,7 +50,7 @@ _SQL = {
     "rv": "ln(1e4 * rv)", "rjv": "greatest(rv - bv, 0) / rv", "rsk": "sqrt(n_min) * sum_r3 / power(rv, 1.5)", "rku": "n_min * sum_r4 / (rv * rv)", "dsem": "rs_neg / rv", "vopen": "v_open", "vclose": "v_close", "vhhi": "v_hhi", "vampp": "v_am / nullif(v_pm, 0)", "rlast30": "r_last",
     "rfirst30": "r_first", "hipos": "hi_pos", "amihud": "ln(1 + amihud_min)", "amtrange": "ln(1 + amt_sum / nullif(day_range, 0))", "vwapbias": "close / nullif(vwap, 0) - 1", "corr_rv": "corr_rv", "smartq": "smart_q", "topvr": "topv_r", "topvupr": "topv_upr", "rvvol": "ln(1e4 * rv)",
 }
-for _name, _window, _least in [(n, 20, 15) for n in _SQL] + [("smartq", 10, 8)]:
+for _name, _window, _least in [(n, 20, 15) for n in _SQL] + [("smartq", 10, 8)]:  # rows, and those that must be there
     _over = f"OVER (PARTITION BY code ORDER BY date ROWS {_window - 1} PRECEDING)"
     _value = f"stddev_samp(x) {_over} / nullif(avg(x) {_over}, 0)" if _name == "rvvol" else f"avg(x) {_over}"
-    C.add(f"FA_40_{_name}_{_window}", lambda s, d, n=_name, w=_window, m=_least: M.factor(features(s, d), n, w, m, BARS), FEATURES + f", x AS (SELECT code, date, {_SQL[_name]} AS x FROM f WHERE n_min >= {BARS} AND rv > 0) SELECT code, date, CASE WHEN count(x) {_over} >= {_least} THEN {_value} END AS value FROM x")
+    C.add(f"FA_40_{_name}_{_window}", factor(f"40_{_name}_{_window}"), FEATURES + f", x AS (SELECT code, date, {_SQL[_name]} AS x FROM f WHERE n_min >= {BARS} AND rv > 0) SELECT code, date, CASE WHEN count(x) {_over} >= {_least} THEN {_value} END AS value FROM x")

@@ -10,11 +10,9 @@ from panelwright.catalog.formulas import GRID, SQLS, W, _corr, _rank
 from panelwright.catalog.judging import SQL as JUDGING
 from panelwright.catalog.judging import factors
 from panelwright.catalog.minute_factors import FEATURES
-from panelwright.catalog.minute_factors import features as day_features
+from panelwright.catalog.named import factor
 from panelwright.functions.elementwise import clip
 from panelwright.operators import asof, panel, xs
-from panelwright.plans import evaluate as ev
-from panelwright.plans import formulas
 from panelwright.streaming import bars as stream
 
 C = X.Catalog()
@@ -39,7 +37,7 @@ u AS (SELECT code, date, z, {_ts_rank('y', 3)} AS t2 FROM i {W}), y AS (SELECT c
     "pa_5d_min_low_ratio": f"x AS (SELECT code, date, CASE WHEN count(low) OVER (w ROWS 4 PRECEDING) >= 5 THEN min(low) OVER (w ROWS 4 PRECEDING) END / close AS value FROM g {W})",
 }
 for _name, _body in _REPLICAS.items():
-    C.add(f"FA_41_{_name}", lambda s, d, n=_name: formulas.batch(B(s, d), [n]).select("date", "code", "value"), GRID + ", " + _body + " SELECT date, code, value FROM x WHERE value IS NOT NULL", digits=3)
+    C.add(f"FA_41_{_name}", factor(f"41_{_name}"), GRID + ", " + _body + " SELECT date, code, value FROM x WHERE value IS NOT NULL", digits=3)
 
 # Walk-forward composites of formulas and of minute features
 WALK = """, jf AS (SELECT ff.*, fwd FROM ff JOIN (SELECT date, code, lead(close, {h}) OVER (PARTITION BY code ORDER BY date) / close - 1 AS fwd FROM {prices}) USING (date, code) WHERE value IS NOT NULL AND fwd IS NOT NULL),
@@ -52,24 +50,12 @@ SELECT date, code, sum(z * direction * weight) / sum(weight) AS score FROM zz JO
 _FORMULAS = ("a109", "a134", "a162", "a167")
 
 
-def _formula_composite(s, d):
-    f = formulas.batch(B(s, d), list(_FORMULAS)).withColumn("value", F.round("value", 6))
-    return ev.walk_forward(f, B(s, d), 4)
-
-
 _FF = "".join(f", {n}v AS (WITH {SQLS[n]} SELECT '{n}' AS factor, date, code, round(value, 6) AS value FROM x WHERE value IS NOT NULL)" for n in _FORMULAS) + ", ff AS (" + " UNION ALL ".join(f"SELECT * FROM {n}v" for n in _FORMULAS) + ")"
-C.add("FA_42_formula_composite", _formula_composite, GRID + _FF + WALK.format(h=4, prices="bars", section=30, far=55, least=20), values=("score",), digits=2)
+C.add("FA_42_formula_composite", lambda s, d: factor("42_formula_composite")(s, d).withColumnRenamed("value", "score"), GRID + _FF + WALK.format(h=4, prices="bars", section=30, far=55, least=20), values=("score",), digits=2)
 _MINUTE = {"rv": ("ln(1e4 * rv)", lambda: F.ln(1e4 * F.col("rv"))), "hhi": ("v_hhi", lambda: F.col("v_hhi")), "hi_pos": ("hi_pos", lambda: F.col("hi_pos"))}
 
 
-def _minute_composite(s, d):
-    """Five codes make a section here; ICs of the last 15 days, at least 8."""
-    f = day_features(s, d).withColumns({f"_{n}": F.round(x(), 6) for n, (_, x) in _MINUTE.items()})
-    long = f.select("date", "code", F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), F.col(f"_{n}").alias("value")) for n in _MINUTE])).alias("x")).select("date", "code", "x.factor", "x.value")
-    return ev.walk_forward(long, f.select("date", "code", "close"), 1, 15, 8, 5)
-
-
-C.add("FA_42_minute_composite", _minute_composite, FEATURES + ", ff AS (" + " UNION ALL ".join(f"SELECT '{n}' AS factor, date, code, round({x}, 6) AS value FROM f" for n, (x, _) in _MINUTE.items()) + ")" + WALK.format(h=1, prices="f", section=5, far=15, least=8), values=("score",), digits=2)
+C.add("FA_42_minute_composite", lambda s, d: factor("42_minute_composite")(s, d).withColumnRenamed("value", "score"), FEATURES + ", ff AS (" + " UNION ALL ".join(f"SELECT '{n}' AS factor, date, code, round({x}, 6) AS value FROM f" for n, (x, _) in _MINUTE.items()) + ")" + WALK.format(h=1, prices="f", section=5, far=15, least=8), values=("score",), digits=2)
 
 
 # Models by domain, and for the head

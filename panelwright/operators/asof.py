@@ -24,6 +24,16 @@ def asof(left: DataFrame, right: DataFrame, columns: list[str], by: str = "code"
     return filled.select("_row.*", *[F.when(fresh, F.col(f"_v._v.{c}")).alias(c) for c in columns])
 
 
+def asof_each(left: DataFrame, right: DataFrame, columns: list[str], by: str = "code", left_on: str = "date", right_on: str = "date") -> DataFrame:
+    """As asof(), but each column by itself keeps its last value that is not null: one join for as many ladders as there are columns."""
+    r = right.where(F.col(right_on).isNotNull()).groupBy(F.col(by).alias("_k"), F.col(right_on).alias("_t")).agg(F.struct(*[F.max(c).alias(c) for c in columns]).alias("_v"))
+    lft = left.select(F.col(by).alias("_k"), F.col(left_on).alias("_t"), F.lit(1).alias("_o"), F.struct("*").alias("_row"))
+    w = Window.partitionBy("_k").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    both = _union(r.withColumn("_o", F.lit(0)), lft)
+    filled = both.withColumns({f"_v{i}": F.last(F.col("_v")[c], ignorenulls=True).over(w) for i, c in enumerate(columns)}).where(F.col("_row").isNotNull())
+    return filled.select("_row.*", *[F.col(f"_v{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def _union(r: DataFrame, left: DataFrame) -> DataFrame:
     r = r.withColumn("_row", F.lit(None).cast(left.schema["_row"].dataType))
     left = left.withColumn("_v", F.lit(None).cast(r.schema["_v"].dataType))

@@ -1,13 +1,15 @@
-"""Factors under names, with what they read, and computing, checking and saving many of them at once.
+"""Factors under names, with what they read and how far back, and computing, checking and saving many of them at once.
 
-A factor is an expression over one panel, a function of several tables, or SQL over them. Expressions of one
-panel are computed side by side in one pass.
+Tables are what is given; frames are named plans over tables and other frames, each built once however many
+factors use it. A factor is an expression over one frame, a function of frames and tables, or SQL over them.
+Expressions of one frame are computed side by side in one pass, and what several of them begin with is one column.
 """
 
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Callable, Iterable
+import datetime as dt
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,22 +18,93 @@ from panelwright.functions.elementwise import finite
 from panelwright.sources.folders import exists, file_system, fresh
 
 
+@dataclasses.dataclass(frozen=True)
+class Table:
+    """How a table's rows count in time. date: its column of dates.
+
+    rule "rows": a value needs a number of rows before it, counted by (code, date) in `calendar` (a function of
+    the inputs; the table's own rows where it is None). "events": it needs those of some calendar days.
+    "published": it needs all that was known before. A table without a date is read whole.
+    """
+
+    name: str
+    date: str | None = "date"
+    rule: str = "rows"
+    calendar: Callable[[Mapping[str, DataFrame]], DataFrame] | None = None
+
+
+@dataclasses.dataclass(frozen=True)
+class Reach:
+    """What a value needs before its own date: `rows` of the tables that count by rows (None: all of them), after
+    which each section of that time needs `before` rows more, and `days` of events. ahead: days of events yet to
+    come whose date is known already."""
+
+    rows: int | None = 0
+    before: int = 0
+    days: int = 0
+    ahead: int = 0
+
+    def __or__(self, other: Reach) -> Reach:
+        rows = None if self.rows is None or other.rows is None else max(self.rows, other.rows)
+        return Reach(rows, max(self.before, other.before), max(self.days, other.days), max(self.ahead, other.ahead))
+
+    def __add__(self, other: Reach) -> Reach:
+        rows = None if self.rows is None or other.rows is None else self.rows + other.rows
+        return Reach(rows, max(self.before, other.before), self.days + other.days, self.ahead + other.ahead)
+
+
+@dataclasses.dataclass(frozen=True)
+class Frame:
+    name: str
+    reads: tuple[str, ...]
+    build: Callable[[Mapping[str, DataFrame]], DataFrame]
+    reach: Reach = Reach()
+
+
 @dataclasses.dataclass(frozen=True)
 class Factor:
-    """reads: the tables that it needs, each with the columns it uses. One of column, build and sql is given."""
+    """reads: the tables or frames that it needs, each with the columns it uses. One of column, build and sql is given.
+
+    steps: columns that `column` needs first, each level made of the ones before. A name may be used by several
+    factors if it means the same in all.
+    """
 
     name: str
     reads: dict[str, tuple[str, ...]]
     category: str = ""
     description: str = ""
     column: Callable[[], Column] | None = None
-    build: Callable[[dict[str, DataFrame]], DataFrame] | None = None
+    build: Callable[[Mapping[str, DataFrame]], DataFrame] | None = None
     sql: str | None = None
+    steps: tuple[dict[str, Callable[[], Column]], ...] = ()
+    reach: Reach = Reach(None)
+
+
+class Inputs(Mapping):
+    """Tables and frames by name; a frame is built when it is first asked for."""
+
+    def __init__(self, tables: Mapping[str, DataFrame], frames: Mapping[str, Frame]):
+        self.tables, self.frames, self.made = tables, frames, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name in self.tables:
+            return self.tables[name]
+        if name not in self.made:
+            self.made[name] = self.frames[name].build(self)
+        return self.made[name]
+
+    def __iter__(self):
+        return iter({**self.tables, **self.frames})
+
+    def __len__(self) -> int:
+        return len({**self.tables, **self.frames})
 
 
 class Registry:
-    def __init__(self) -> None:
+    def __init__(self, tables: Iterable[Table] = ()) -> None:
         self.factors: dict[str, Factor] = {}
+        self.frames: dict[str, Frame] = {}
+        self.tables = {t.name: t for t in tables}
 
     def add(self, factor: Factor) -> Factor:
         if factor.name in self.factors:
@@ -44,7 +117,7 @@ class Registry:
         return factor
 
     def register(self, name: str, reads: dict[str, tuple[str, ...]], **about):
-        """Decorator of a function of the tables that gives code, date, value."""
+        """Decorator of a function of the inputs that gives code, date, value."""
 
         def put(f):
             self.add(Factor(name, reads, build=f, **about))
@@ -52,6 +125,17 @@ class Registry:
 
         return put
 
+    def frame(self, name: str, *reads: str, reach: Reach = Reach()):
+        """Decorator of a function of the inputs that gives a frame."""
+
+        def put(f):
+            if name in self.frames or name in self.tables:
+                raise ValueError(f"frame {name} is registered twice")
+            self.frames[name] = Frame(name, reads, f, reach)
+            return f
+
+        return put
+
     def get(self, name: str) -> Factor:
         if name not in self.factors:
             raise KeyError(f"no factor {name}; there are {sorted(self.factors)}")
@@ -60,11 +144,26 @@ class Registry:
     def names(self, category: str | None = None) -> list[str]:
         return [n for n, f in self.factors.items() if category is None or f.category == category]
 
+    def sources(self, name: str) -> set[str]:
+        """The tables that a factor, frame or table comes from."""
+        reads = self.factors[name].reads if name in self.factors else self.frames[name].reads if name in self.frames else None
+        return {name} if reads is None else set().union(*map(self.sources, reads))
+
+    def reach(self, name: str) -> Reach:
+        """How far back a factor or frame needs its tables, through the frames between."""
+        item = self.factors.get(name) or self.frames.get(name)
+        if item is None:
+            return Reach()
+        below = Reach()
+        for r in item.reads:
+            below = below | self.reach(r)
+        return item.reach + below
+
     def described(self, spark: SparkSession) -> DataFrame:
         """One row a factor: what is declared of it."""
         kind = lambda f: "column" if f.column else "build" if f.build else "sql"
-        rows = [(f.name, f.category, f.description, kind(f), sorted(f.reads)) for f in self.factors.values()]
-        return spark.createDataFrame(rows, "factor string, category string, description string, kind string, reads array<string>")
+        rows = [(f.name, f.category, f.description, kind(f), sorted(self.sources(f.name)), self.reach(f.name).rows, self.reach(f.name).days) for f in self.factors.values()]
+        return spark.createDataFrame(rows, "factor string, category string, description string, kind string, reads array<string>, rows int, days int")
 
     def caveats(self, state: dict[str, Iterable[str]]) -> dict[str, list[str]]:
         """Factors that read a column of a table which only holds the current state: their past values know the present."""
@@ -75,40 +174,102 @@ class Registry:
                 out[f.name] = sorted(found)
         return out
 
-    def compute(self, names: list[str], tables: dict[str, DataFrame], universe: DataFrame | None = None, first: str | None = None, last: str | None = None) -> DataFrame:
-        """factor, date, code, value of the named factors over tables.
+    def compute(self, names: list[str], tables: Mapping[str, DataFrame], universe: DataFrame | None = None, first: str | None = None, last: str | None = None) -> DataFrame:
+        """factor, date, code, value of the named factors over tables, for dates from first to last.
 
-        universe (code, or code and date) keeps its codes' rows. Dates are cut at the end, as windows reach
-        back. A SQL factor names its tables in braces, and {universe} a table of codes, all codes of its
-        first table where none is given.
+        universe (code, or code and date) keeps its codes' rows. A SQL factor names its tables in braces, and
+        {universe} a table of codes, all codes of its first table where none is given.
+
+        With a range, tables that the registry declares are read only as far back as the factors reach: see
+        pruned(). Factors that need all rows are computed from the whole past, beside the others.
         """
-        out, side_by_side = [], {}
         for f in map(self.get, names):
-            missing = set(f.reads) - set(tables)
+            missing = self.sources(f.name) - set(tables)
             if missing:
                 raise KeyError(f"factor {f.name} reads {sorted(missing)}")
+        some = [[n for n in names if (self.reach(n).rows is None) == whole] for whole in (False, True)]
+        d = None
+        for group in filter(None, some):
+            x = self._side_by_side(group, Inputs(self.pruned(group, tables, first, last), self.frames), universe)
+            d = x if d is None else d.unionByName(x)
+        if universe is not None:
+            d = d.join(universe, [c for c in ("date", "code") if c in universe.columns], "left_semi")
+        if first is not None:
+            d = d.where(F.col("date") >= F.lit(first).cast("date"))
+        return d if last is None else d.where(F.col("date") <= F.lit(last).cast("date"))
+
+    def pruned(self, names: list[str], tables: Mapping[str, DataFrame], first: str | None, last: str | None) -> dict[str, DataFrame]:
+        """tables without the rows that the named factors don't need for dates from first to last, as filters on their dates.
+
+        How many dates some rows are differs by code, so the first date is looked up: one pass over code and
+        date of the table that counts them, which brings one date to the driver. Codes that traded at all in
+        the time that a section is made of count for it, so sections are as in the whole run.
+        """
+        reach = Reach()
+        for n in names:
+            reach = reach | self.reach(n)
+        out, found = {s: tables[s] for n in names for s in self.sources(n)}, {}
+        inputs = Inputs(tables, self.frames)
+        day = lambda x: F.lit(x).cast("date")
+        for name in set(out) & set(self.tables):
+            t = self.tables[name]
+            if t.date is None:
+                continue
+            if last is not None:
+                until = F.date_add(day(last), reach.ahead) if t.rule == "events" else day(last)
+                out[name] = out[name].where(F.col(t.date) <= until)
+            if first is None or t.rule == "published" or reach.rows is None:
+                continue
+            key = t.calendar if t.rule == "rows" else next((x.calendar for x in self.tables.values() if x.rule == "rows"), None)
+            if key not in found:
+                rows = key(inputs) if key else tables[name].select("code", F.col(t.date).alias("date"))
+                since = rows_before(rows, str(first), last, reach.rows)
+                found[key] = rows_before(rows, since, last, reach.before) if reach.before else since
+            since = dt.date.fromisoformat(found[key]) - dt.timedelta(reach.days if t.rule == "events" else 0)
+            out[name] = out[name].where(F.col(t.date) >= day(str(since)))
+        return out
+
+    def _side_by_side(self, names: list[str], inputs: Inputs, universe: DataFrame | None) -> DataFrame:
+        out, together = [], {}
+        for f in map(self.get, names):
             if f.column is not None:
-                side_by_side.setdefault(next(iter(f.reads)), []).append(f)
+                together.setdefault(next(iter(f.reads)), []).append(f)
             elif f.build is not None:
-                out.append(f.build(tables).select(F.lit(f.name).alias("factor"), "date", "code", F.col("value").cast("double").alias("value")))
+                out.append(f.build(inputs).select(F.lit(f.name).alias("factor"), "date", "code", F.col("value").cast("double").alias("value")))
             else:
-                frames = {t: tables[t] for t in f.reads}
-                codes = universe if universe is not None else tables[next(iter(f.reads))].select("code").distinct()
-                spark = codes.sparkSession
-                d = spark.sql(f.sql, **frames, **({"universe": codes} if "{universe}" in f.sql else {}))
+                frames = {t: inputs[t] for t in f.reads}
+                codes = universe if universe is not None else inputs[next(iter(f.reads))].select("code").distinct()
+                d = codes.sparkSession.sql(f.sql, **frames, **({"universe": codes} if "{universe}" in f.sql else {}))
                 out.append(d.select(F.lit(f.name).alias("factor"), "date", "code", F.col("value").cast("double").alias("value")))
-        for t, some in side_by_side.items():
-            p = tables[t].withColumns({f"_f{i}": f.column().cast("double") for i, f in enumerate(some)})
+        for frame, some in together.items():
+            p = inputs[frame]
+            for level in range(max(len(f.steps) for f in some)):
+                columns: dict[str, Column] = {}
+                for f in some:
+                    for name, make in (f.steps[level] if level < len(f.steps) else {}).items():
+                        c = make()
+                        if str(columns.setdefault(name, c)) != str(c):
+                            raise ValueError(f"{name} means one thing in {f.name} and another elsewhere")
+                p = p.withColumns(columns)
+            p = p.withColumns({f"_f{i}": f.column().cast("double") for i, f in enumerate(some)})
             long = F.explode(F.array(*[F.struct(F.lit(f.name).alias("factor"), F.col(f"_f{i}").alias("value")) for i, f in enumerate(some)]))
             out.append(p.select("date", "code", long.alias("x")).select("x.factor", "date", "code", "x.value"))
         d = out[0]
         for x in out[1:]:
             d = d.unionByName(x)
-        if universe is not None:
-            d = d.join(universe, [c for c in ("date", "code") if c in universe.columns], "left_semi")
-        if first is not None:
-            d = d.where(F.col("date") >= F.lit(first).cast("date"))
-        return d if last is None else d.where(F.col("date") <= F.lit(last).cast("date"))
+        return d
+
+
+def rows_before(rows: DataFrame, first: str, last: str | None, n: int) -> str:
+    """The earliest date, over the codes with rows from first to last, of the n-th row before a code's first one in that range; a code with fewer gives its first row."""
+    d = rows.select("code", "date").where(F.col("date") <= F.lit(last).cast("date")) if last is not None else rows.select("code", "date")
+    inside, start = F.col("date") >= F.lit(first).cast("date"), F.lit(first).cast("date")
+    # a code has at most as many dates as the calendar
+    by_code = d.groupBy("code").agg(F.collect_set(F.when(~inside, F.col("date"))).alias("past"), F.max(inside).alias("there")).where("there")
+    past = F.sort_array("past", asc=False)
+    at = F.when((F.size(past) == 0) | F.lit(n == 0), start).otherwise(F.element_at(past, F.least(F.lit(n), F.size(past)).cast("int")))
+    found = by_code.agg(F.min(at).alias("d")).first()["d"]
+    return str(found) if found is not None else str(first)
 
 
 def sanity(factors: DataFrame, valid: float = 0.05, constant: float = 0.5) -> DataFrame:
@@ -125,14 +286,16 @@ def save(factors: DataFrame, folder: str, mode: str = "replace") -> list[str]:
 
     mode "replace": the factors' partitions are replaced; "merge": rows of the same factor, date and code
     give way and others stay. New rows are written beside the folder first, so that what is read is never
-    overwritten, and a job that dies leaves the old table as it was.
+    overwritten, and checked as they stand there. A job that dies before the last write leaves the old table as
+    it was; that write replaces partition after partition, so one that dies in it may leave some factors new and
+    others old, each of them whole.
     """
     spark = factors.sparkSession
     aside = fresh(spark, "factors")
-    factors.where(F.col("value").isNotNull()).write.partitionBy("factor").parquet(f"{aside}/new")
+    factors.write.partitionBy("factor").parquet(f"{aside}/new")
     new = spark.read.schema("date date, code string, value double, factor string").parquet(f"{aside}/new")
-    good = [r["factor"] for r in sanity(factors).where("ok").select("factor").collect()]
-    new = new.where(F.col("factor").isin(good))
+    good = [r["factor"] for r in sanity(new).where("ok").select("factor").collect()]
+    new = new.where(F.col("factor").isin(good) & F.col("value").isNotNull())
     if mode == "merge" and exists(spark, folder):
         old = spark.read.schema(new.schema).parquet(folder).where(F.col("factor").isin(good))
         new = old.join(new, ["factor", "date", "code"], "left_anti").unionByName(new)

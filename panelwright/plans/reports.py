@@ -89,6 +89,17 @@ def growth(p: DataFrame, reports: DataFrame, item: str) -> DataFrame:
     return asof.asof(p, latest_reports(r), ["value"], right_on="notice")
 
 
+def acceleration(p: DataFrame, reports: DataFrame, item: str) -> DataFrame:
+    """Change of the growth over a year from one quarter to the next, within 5; null where the quarter before has none."""
+    q = (F.year("period") * 4 + F.quarter("period")).cast("int")
+    r = reports.withColumn("q", q)
+    r = r.join(r.select("code", (F.col("q") + 4).alias("q"), F.col(item).alias("_y")), ["code", "q"])
+    r = r.withColumn("_g", safe_div(F.col(item) - F.col("_y"), F.abs("_y")))
+    w = Window.partitionBy("code").orderBy("q")
+    r = r.withColumn("value", F.when(F.lag("q").over(w) == F.col("q") - 1, clip(F.col("_g") - F.lag("_g").over(w), -5.0, 5.0))).where("value is not null")
+    return asof.asof(p, latest_reports(r), ["value"], right_on="notice")
+
+
 def surprise(p: DataFrame, reports: DataFrame, item: str = "net_profit", n: int = 8, least: int = 4) -> DataFrame:
     """Change over a year, less the mean of the n quarters before, over the deviation of those; known once both are published."""
     q = (F.year("period") * 4 + F.quarter("period")).cast("int")
