@@ -370,30 +370,6 @@ l AS (SELECT *, lag(cum) OVER w AS p, date_diff('month', lag(period) OVER w, per
 SELECT code, period, CASE WHEN quarter(period) = 1 THEN cum WHEN gap = 3 THEN cum - p END AS value FROM l""", dates=("period",), digits=2)
 
 
-def _replay(s, d):
-    """Momentum recomputed from bars cut at a date, compared with the whole run there."""
-    f = lambda b: b.withColumn("value", ts.change("close", 4)).select("code", "date", "value")
-    b = B(s, d)
-    whole, cut = f(b).where("date = '1999-06-07'"), f(b.where("date <= '1999-06-07'")).where("date = '1999-06-07'")
-    j = whole.alias("a").join(cut.alias("b"), ["code", "date"], "full")
-    return j.agg(F.count("*").alias("n"), F.count(F.when(~F.col("a.value").eqNullSafe(F.col("b.value")) & ~(F.abs(F.col("a.value") - F.col("b.value")) <= 1e-9), 1)).alias("different"))
-
-
-C.add("PIT_06_truncation", _replay, "SELECT count(*) AS n, CAST(0 AS BIGINT) AS different FROM bars WHERE date = DATE '1999-06-07'", dates=(), values=())
-
-
-def _mutation(s, d):
-    """The same with all later prices scrambled: history must not move."""
-    b = B(s, d)
-    m = b.withColumn("close", F.when(F.col("date") > "1999-06-07", F.col("close") * 2.718282 + 1.414214).otherwise(F.col("close")))
-    f = lambda x: x.withColumn("value", ts.mean("close", 6, 3)).where("date <= '1999-06-07'").select("code", "date", "value")
-    j = f(b).alias("a").join(f(m).alias("b"), ["code", "date"], "full")
-    return j.agg(F.count("*").alias("n"), F.count(F.when(~F.col("a.value").eqNullSafe(F.col("b.value")), 1)).alias("different"))
-
-
-C.add("PIT_07_mutation", _mutation, "SELECT count(*) AS n, CAST(0 AS BIGINT) AS different FROM bars WHERE date <= DATE '1999-06-07'", dates=(), values=())
-
-
 def _diff(s, d):
     a = B(s, d).where("vol > 10").select("code", "date", F.col("close").alias("x"))
     b = B(s, d).where("vol < 90").select("code", "date", (F.col("close") + F.when(F.col("code") == "3", 0.5).otherwise(0.0)).alias("y"))

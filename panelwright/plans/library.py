@@ -41,7 +41,7 @@ def _full_days(get) -> DataFrame:
 
 
 LIBRARY = Registry([
-    Table("bars"), Table("flow", calendar=_traded), Table("flows", calendar=_traded), Table("minutes", calendar=_full_days), Table("actions", rule="events"), Table("seats", rule="events"),
+    Table("bars"), Table("flow", calendar=_traded), Table("flows", calendar=_traded), Table("minutes", calendar=_full_days), Table("actions", rule="events", announced=60), Table("seats", rule="events", late=True),
     Table("capital", rule="published"), Table("items", "notice", "published"), Table("reports", "notice", "published"), Table("forecasts", "known", "published"), Table("groups", None),
 ])
 

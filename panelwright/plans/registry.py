@@ -24,13 +24,16 @@ class Table:
 
     rule "rows": a value needs a number of rows before it, counted by (code, date) in `calendar` (a function of
     the inputs; the table's own rows where it is None). "events": it needs those of some calendar days.
-    "published": it needs all that was known before. A table without a date is read whole.
+    "published": it needs all that was known before. A table without a date is read whole. late: its rows come
+    out after the date's close; announced: so many days before their date.
     """
 
     name: str
     date: str | None = "date"
     rule: str = "rows"
     calendar: Callable[[Mapping[str, DataFrame]], DataFrame] | None = None
+    late: bool = False
+    announced: int = 0
 
 
 @dataclasses.dataclass(frozen=True)
@@ -205,30 +208,49 @@ class Registry:
         date of the table that counts them, which brings one date to the driver. Codes that traded at all in
         the time that a section is made of count for it, so sections are as in the whole run.
         """
-        reach = Reach()
-        for n in names:
-            reach = reach | self.reach(n)
         out, found = {s: tables[s] for n in names for s in self.sources(n)}, {}
-        inputs = Inputs(tables, self.frames)
         day = lambda x: F.lit(x).cast("date")
         for name in set(out) & set(self.tables):
             t = self.tables[name]
             if t.date is None:
                 continue
+            readers = [n for n in names if name in self.sources(n)]
+            reach = self.farthest(readers)
             if last is not None:
                 until = F.date_add(day(last), reach.ahead) if t.rule == "events" else day(last)
                 out[name] = out[name].where(F.col(t.date) <= until)
             if first is None or t.rule == "published" or reach.rows is None:
                 continue
-            key = t.calendar if t.rule == "rows" else next((x.calendar for x in self.tables.values() if x.rule == "rows"), None)
-            if key not in found:
-                rows = key(inputs) if key else tables[name].select("code", F.col(t.date).alias("date"))
-                since = rows_before(rows, str(first), last, reach.rows)
-                found[key] = rows_before(rows, since, last, reach.before) if reach.before else since
-            since = dt.date.fromisoformat(found[key]) - dt.timedelta(reach.days if t.rule == "events" else 0)
-            out[name] = out[name].where(F.col(t.date) >= day(str(since)))
+            since = min((self.since(s, tables, first, last, reach, found) for s in self.by_rows(readers)), default=None)
+            if since is not None:
+                out[name] = out[name].where(F.col(t.date) >= day(str(dt.date.fromisoformat(since) - dt.timedelta(reach.days if t.rule == "events" else 0))))
         return out
 
+    def farthest(self, names: Iterable[str]) -> Reach:
+        reach = Reach()
+        for n in names:
+            reach = reach | self.reach(n)
+        return reach
+
+    def by_rows(self, names: Iterable[str]) -> set[str]:
+        """The tables behind the named factors that count by rows."""
+        found = {s for n in names for s in self.sources(n) if s in self.tables}
+        return {s for s in found if self.tables[s].rule == "rows" and self.tables[s].date is not None}
+
+    def counted(self, name: str, tables: Mapping[str, DataFrame]) -> DataFrame:
+        """(code, date) of the rows by which a table's reach is counted."""
+        t = self.tables[name]
+        return t.calendar(Inputs(tables, self.frames)) if t.calendar else tables[name].select("code", F.col(t.date).alias("date"))
+
+    def since(self, name: str, tables: Mapping[str, DataFrame], first: str, last: str | None, reach: Reach, found: dict) -> str:
+        """The first date that a reach by the rows of a table needs; kept in `found`."""
+        key = (name, reach.rows, reach.before)
+        if key not in found:
+            rows = self.counted(name, tables)
+            day = rows_before(rows, str(first), last, reach.rows)
+            found[key] = rows_before(rows, day, last, reach.before)
+        return found[key]
+
     def _side_by_side(self, names: list[str], inputs: Inputs, universe: DataFrame | None) -> DataFrame:
         out, together = [], {}
         for f in map(self.get, names):
