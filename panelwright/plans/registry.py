@@ -276,10 +276,14 @@ class Registry:
             p = p.withColumns({f"_f{i}": f.column().cast("double") for i, f in enumerate(some)})
             long = F.explode(F.array(*[F.struct(F.lit(f.name).alias("factor"), F.col(f"_f{i}").alias("value")) for i, f in enumerate(some)]))
             out.append(p.select("date", "code", long.alias("x")).select("x.factor", "date", "code", "x.value"))
-        d = out[0]
-        for x in out[1:]:
-            d = d.unionByName(x)
-        return d
+        return _union(out)
+
+
+def _union(some: list[DataFrame]) -> DataFrame:
+    """Two and two together: the plan is as deep as the logarithm of their number."""
+    while len(some) > 1:
+        some = [a.unionByName(b) for a, b in zip(some[::2], some[1::2], strict=False)] + ([some[-1]] if len(some) % 2 else [])
+    return some[0]
 
 
 def rows_before(rows: DataFrame, first: str, last: str | None, n: int) -> str:
