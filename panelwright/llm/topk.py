@@ -163,7 +163,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     Components count as floor(scale * x); queries are the rows whose vec_id is divisible by `every`,
     candidates all rows with another vec_id. Ties go to smaller ids; a query with fewer candidates gets
     them all. Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows
-    without an id; of rows that repeat a query's id one is the query, of candidates each counts. Vectors
+    without an id; of rows that repeat a query's id one is the query, of candidates each counts. Rows that are
+    equal in both are counted before they move, and k of them stand for any more, which no result could show. Vectors
     meet those of their own dimension. Other columns are not read; an empty table gives no rows.
 
     Rows gather around pivots, up to MOST_PIVOTS rows of the table chosen by a hash, each at its nearest; a
@@ -192,14 +193,15 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
                 own = far.argmin(1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(np.full(len(at), x.shape[1], np.int32)), pa.array(own.astype(np.int32)), pa.array(np.linalg.norm(x - p[own], axis=1))], ["vec_id", "e", "dim", "pivot", "far"])
 
-    placed = cut(v.mapInArrow(place, "vec_id long, e array<double>, dim int, pivot int, far double"))
+    placed = v.mapInArrow(place, "vec_id long, e array<double>, dim int, pivot int, far double").groupBy("vec_id", "e", "dim", "pivot", "far").agg(F.count("*").alias("n"))
+    placed = cut(placed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")))).drop("n"))
     is_query = F.col("vec_id") % every == 0
     around = placed.groupBy("dim", "pivot").agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q"), F.max("far").alias("radius"))
     near = {}  # a row a pivot, and one for each dimension without
     for r in around.collect():
         near.setdefault(r["dim"], []).append((r["pivot"], r["radius"]))
     rows = placed.join(around.select("dim", "pivot", "n", "q"), ["dim", "pivot"])
-    salt = lambda count, most: F.pmod(F.xxhash64("vec_id", "e"), F.ceil(F.col(count) / most)).cast("int")
+    salt = lambda count, most: F.pmod(F.xxhash64("vec_id", "e", "copy"), F.ceil(F.col(count) / most)).cast("int")
     data = rows.select(F.lit("d").alias("side"), "dim", "pivot", salt("n", DATA_BLOCK).alias("salt"), "vec_id", "e")
     queries = rows.where(is_query).dropDuplicates(["vec_id"]).select(F.lit("q").alias("side"), "dim", "pivot", salt("q", QUERY_BLOCK).alias("salt"), "vec_id", "e")
 
@@ -223,7 +225,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
         return pa.table({**{c: pa.array([x.as_py()], pa.int32()) for c, x in zip(("dim", "pivot", "salt"), key, strict=True)}, "floors": pa.array([found.score[:, -1].tolist()], pa.list_(pa.float64()))})
 
     at_home = q.select("dim", "pivot", "salt", F.lit("q").alias("side"), "tree")
-    homes = d.where("d_salt = 0").select("dim", F.col("d_pivot").alias("pivot"), "d_tree").join(at_home.select("dim", "pivot", "salt"), ["dim", "pivot"])
+    # a hash may leave a pivot's first blocks empty
+    least = d.groupBy("dim", "d_pivot").agg(F.min("d_salt").alias("d_salt"))
+    homes = d.join(least, ["dim", "d_pivot", "d_salt"]).select("dim", F.col("d_pivot").alias("pivot"), "d_tree").join(at_home.select("dim", "pivot", "salt"), ["dim", "pivot"])
     at_home = at_home.unionByName(homes.select("dim", "pivot", "salt", F.lit("d").alias("side"), F.col("d_tree").alias("tree")))
     floors = cut(at_home.groupBy("dim", "pivot", "salt").applyInArrow(own, FLOORS))
 
