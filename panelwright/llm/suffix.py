@@ -214,10 +214,26 @@ def _group_of(name: np.ndarray, groups: int) -> np.ndarray:
 
 
 def split(key: np.ndarray, groups: int):
-    order = np.argsort(key, kind="stable")
-    cuts = np.searchsorted(key[order], np.arange(groups + 1))
-    for g in np.flatnonzero(np.diff(cuts)):
-        yield int(g), order[cuts[g] : cuts[g + 1]]
+    """(group, its rows) for each group that has any; the work doesn't depend on the number of groups."""
+    order = np.argsort(key.astype(np.uint16) if groups < 1 << 16 else key, kind="stable")
+    sorted_key = key[order]
+    cuts = np.r_[np.flatnonzero(np.r_[True, sorted_key[1:] != sorted_key[:-1]]), len(order)] if len(order) else np.zeros(1, np.int64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield int(sorted_key[a]), order[a:b]
+
+
+def _named(part: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """A name by its part and its low half, which is what chunks and parts tell each other."""
+    return (part.astype(np.uint64) << np.uint64(32)) | short.astype(np.uint64)
+
+
+def held_elsewhere(name: np.ndarray, groups: int, parts: list[int], blobs: list[bytes]) -> np.ndarray:
+    """Which of a chunk's names the parts' replies hold: one membership test over all replies."""
+    if not parts:
+        return np.zeros(len(name), bool)
+    short = [np.frombuffer(b, np.uint32) for b in blobs]
+    replies = _named(np.repeat(np.array(parts, np.int64), [len(s) for s in short]), np.concatenate(short))
+    return np.isin(_named(_group_of(name, groups), name.astype(np.uint32)), replies)
 
 
 def _blobs(schema: list[tuple], rows: list[tuple]):
@@ -291,12 +307,7 @@ def _removed(docs: DataFrame) -> DataFrame:
             low, high = np.full(len(name), NULL_ID), np.full(len(name), np.iinfo(np.int64).min)
             np.minimum.at(low, at, doc)
             np.maximum.at(high, at, doc)
-            wanted = low < high
-            part = _group_of(name, groups)
-            short = name.astype(np.uint32)
-            for g, b in zip(right["part"].to_pylist(), right["names"].to_pylist(), strict=True):
-                mine = np.flatnonzero(part == g)
-                wanted[mine[np.isin(short[mine], np.frombuffer(b, np.uint32))]] = True
+            wanted = (low < high) | held_elsewhere(name, groups, right["part"].to_pylist(), right["names"].to_pylist())
             r = np.flatnonzero(wanted[at])
             start, strings, doc = c.start[r], c.strings[r], doc[r]
             content = _gather(c.flat, start, strings + LENGTH - 1)
@@ -361,10 +372,10 @@ def _removed(docs: DataFrame) -> DataFrame:
         return pa.Table.from_batches([_blobs([("chunk", pa.string()), ("start", pa.binary()), ("mask", pa.binary())], rows)])
 
     ANSWERS = "chunk string, start binary, mask binary"
-    weights = found.where("part >= 0").groupBy("part").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).where(F.col("size") > HEAVY).collect()
+    weights = found.where("part >= 0").groupBy("part").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).where(F.col("size") > HEAVY)
+    heavy = cut(weights.select("part", (1 + F.col("n") / SHARE).cast("int").alias("shares")))
     light, sure, single = found.where("part >= 0"), found.where("part < 0").select("chunk", "start", "strings"), None
-    if weights:
-        heavy = F.broadcast(d.sparkSession.createDataFrame([(r["part"], 1 + r["n"] // SHARE) for r in weights], "part int, shares int"))
+    if not heavy.isEmpty():
         single = cut(light.join(heavy, "part").select("part", "chunk", "start", "strings", "first", "content", "shares").mapInArrow(dealt, "part int, share int, chunk string, start binary, strings binary, first binary, content binary"))
         light = light.join(heavy, "part", "left_anti")
         sure = sure.unionByName(single.where("part < 0").select("chunk", "start", "strings"))
