@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelwright.catalog import fixtures as X
+from panelwright.catalog.formula_sql import settled, text
 from panelwright.plans import formulas, registry
 
 C = X.Catalog()
@@ -21,7 +22,7 @@ def _corr(x, y, d):
 
 
 def _rank(x):
-    return f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY {x} NULLS LAST) + (count(*) OVER (PARTITION BY date, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY date) END"
+    return f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY {settled(x)} NULLS LAST) + (count(*) OVER (PARTITION BY date, {settled(x)}) - 1) / 2.0) / count({x}) OVER (PARTITION BY date) END"
 
 
 SQLS = {
@@ -35,7 +36,25 @@ SQLS = {
 }
 for _name, _body in SQLS.items():
     C.add(f"A191_{_name}", lambda s, d, n=_name: formulas.batch(X.bars(s, d), [n]).select("date", "code", "value"), GRID + ", " + _body + " SELECT date, code, value FROM x WHERE value IS NOT NULL", digits=3)
-C.add("A191_batch", lambda s, d: formulas.batch(X.bars(s, d)).groupBy("factor").agg(F.count("*").alias("n"), F.countDistinct("date").alias("dates")))
+LIBRARY = formulas.library()
+
+
+def _parts() -> list[dict]:
+    order = sorted(LIBRARY, key=lambda k: (LIBRARY[k].phase, k))
+    return [{k: LIBRARY[k] for k in order[i : i + formulas.TOGETHER]} for i in range(0, len(order), formulas.TOGETHER)]
+
+
+#: All formulas in long form: (factor, date, code, value).
+LONG = GRID + "".join(f",\n{text(part, f'p{i}')}" for i, part in enumerate(_parts())) + ",\nlong AS (" + " UNION ALL ".join(f"SELECT factor, date, code, value FROM (UNPIVOT p{i}values ON {', '.join(part)} INTO NAME factor VALUE value)" for i, part in enumerate(_parts())) + ")"
+
+
+def _batch(s, d):
+    """All formulas, by factor and code: rows with a value, dates, and the mean of the values drawn into -1 to 1, as some are very large."""
+    f = formulas.batch(X.bars(s, d))
+    return f.groupBy("factor", "code").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), F.avg(F.col("value") / (1 + F.abs("value"))).alias("value"))
+
+
+C.add("A191_batch", _batch, LONG + " SELECT factor, code, count(*) AS n, min(date) AS first, max(date) AS last, avg(value / (1 + abs(value))) AS value FROM long WHERE value IS NOT NULL GROUP BY 1, 2", dates=("first", "last"))
 
 
 def _status(s, d):

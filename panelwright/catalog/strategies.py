@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelwright.catalog import fixtures as X
+from panelwright.catalog.formula_sql import TS
 from panelwright.catalog.formulas import GRID, SQLS, W, _corr, _rank
 from panelwright.catalog.judging import SQL as JUDGING
 from panelwright.catalog.judging import factors
@@ -20,8 +21,7 @@ B = X.bars
 
 
 def _ts_rank(x: str, d: int) -> str:
-    f = f"OVER (w ROWS {d - 1} PRECEDING)"
-    return f"CASE WHEN {x} IS NOT NULL AND count({x}) {f} >= {d} THEN (len(list_filter(list({x}) {f}, lambda e: e < {x})) + (len(list_filter(list({x}) {f}, lambda e: e = {x})) + 1) / 2.0) / count({x}) {f} END"
+    return TS["tsrank"](x, d)
 
 
 def _decay(x: str, n: int) -> str:

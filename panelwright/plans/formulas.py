@@ -25,7 +25,7 @@ class Node:
         full = (kind, key, tuple(id(a) for a in args))
         if full not in cls._known:
             n = super().__new__(cls)
-            n.kind, n.build, n.args = kind, build, args
+            n.kind, n.build, n.args, n.key = kind, build, args, key
             low = max((a.phase for a in args), default=0)
             # Phases: 0 columns as they are, odd ones along codes, even ones across dates.
             n.phase = low if kind == "el" else low + (low % 2 == 0) if kind == "ts" else max(2, low + low % 2)
@@ -87,14 +87,22 @@ def _along(name: str, f):
 
 
 LAG, DIFF, MEAN, STD, SUM = _along("lag", ts.delay), _along("diff", ts.delta), _along("mean", ts.mean), _along("std", ts.std), _along("sum", ts.total)
-MIN, MAX, CORR, COV, TSRANK, ARGMAX = _along("min", ts.low), _along("max", ts.high), _along("corr", ts.corr), _along("cov", ts.cov), _along("tsrank", ts.rank), _along("argmax", ts.argmax)
+MIN, MAX, CORR, COV, ARGMAX = _along("min", ts.low), _along("max", ts.high), _along("corr", ts.corr), _along("cov", ts.cov), _along("argmax", ts.argmax)
+
+
+def settled(x: Column) -> Column:
+    """What ranks compare: values that lie apart by rounding dust alone are ties, as a correlation of two points is 1 or -1 but for the last bits."""
+    return F.rint(x * 1e9)
+
+
+TSRANK = _along("tsrank", lambda x, d: ts.rank(settled(x), d))
 
 
 DECAY = _along("decay", ts.decay_linear)
 
 
 def XRANK(x: Node) -> Node:
-    return Node("xs", xs.rank_pct, (x,), ("rank",))
+    return Node("xs", lambda a: xs.rank_pct(settled(a)), (x,), ("rank",))
 
 
 def XSCALE(x: Node) -> Node:
