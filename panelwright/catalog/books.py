@@ -283,8 +283,16 @@ C.add("DQ_10_missing_days", lambda s, d: panel.dense(B(s, d).select("code", "dat
 C.add("DQ_11_depth", lambda s, d: B(s, d).groupBy(F.year("date").alias("year")).agg(F.count("*").alias("n"), F.countDistinct("code").alias("codes"), F.countDistinct("date").alias("days"), F.min("date").alias("first"), F.max("date").alias("last")), "SELECT CAST(year(date) AS INTEGER) AS year, count(*) AS n, count(DISTINCT code) AS codes, count(DISTINCT date) AS days, min(date) AS first, max(date) AS last FROM bars GROUP BY 1", dates=("first", "last"), values=())
 
 # Streams: a file source read to its end must give the batch result
-C.add("SS_01_tumbling", stream.tumbling, "SELECT code, strftime(time_bucket(INTERVAL 5 MINUTES, datetime), '%Y-%m-%d %H:%M') AS start, max(high) AS high, min(low) AS low, sum(vol) AS vol FROM minutes GROUP BY 1, 2", dates=(), values=("high", "low"))
+# Which events a stream of the five parts lets in, by the latest time of two parts before
+ON_TIME = """WITH parts AS (SELECT *, least((day(ts) - 1) // 10, 2) + CASE WHEN event_id % 97 = 0 THEN 2 ELSE 0 END AS part FROM events),
+marks AS (SELECT p.part, (SELECT max(ts) FROM parts q WHERE q.part <= p.part - 2) - INTERVAL 10 MINUTES AS mark FROM (SELECT DISTINCT part FROM parts) p),
+timed AS (SELECT parts.*, mark FROM parts JOIN marks USING (part))
+"""
+BAR = "time_bucket(INTERVAL 5 MINUTES, ts)"
+C.add("SS_01_tumbling", stream.tumbling, ON_TIME + f", n AS (SELECT * FROM timed WHERE mark IS NULL OR {BAR} + INTERVAL 5 MINUTES > mark) SELECT event_type AS code, strftime({BAR}, '%Y-%m-%d %H:%M') AS start, max(value) AS high, min(value) AS low, CAST(count(*) + sum(user_id % 7) AS DOUBLE) AS vol FROM n GROUP BY 1, 2", dates=(), values=("high", "low"))
 C.add("SS_05_enriched", stream.enriched, "SELECT event_type AS code, r_name AS region, count(*) AS n FROM events JOIN region ON user_id % 5 = r_regionkey GROUP BY 1, 2", dates=(), values=())
 C.add("SS_03_deduplicated", stream.deduplicated, "SELECT event_type AS code, count(*) AS n FROM events GROUP BY 1", dates=(), values=())
+C.add("SS_03_upserted", lambda s, d: stream.revised(s, d).select(F.col("event_type").alias("code"), F.date_format("ts", "yyyy-MM-dd HH:mm").alias("minute"), F.col("close").alias("value"), "n"), """WITH m AS (SELECT event_type AS code, date_trunc('minute', ts) AS t, round(avg(value), 6) AS close, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT code, strftime(t, '%Y-%m-%d %H:%M') AS minute, close + CASE WHEN minute(t) % 10 = 3 AND hour(t) % 2 = 0 THEN 1 ELSE 0 END AS value, n FROM m""", dates=())
 
 C.add("MIN_log_range", lambda s, d: M(s, d).select("code", "date", "datetime", guarded_log(safe_div(F.col("high"), F.col("low"))).alias("value")).groupBy("code", "date").agg(F.avg("value").alias("value")), "SELECT code, date, avg(CASE WHEN high / nullif(low, 0) > 0 THEN ln(high / nullif(low, 0)) END) AS value FROM minutes GROUP BY 1, 2")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelwright.catalog import fixtures as X
-from panelwright.catalog.books import HELD, PERIODS, TURNOVER, _periods, _turnover, held
+from panelwright.catalog.books import BAR, HELD, ON_TIME, PERIODS, TURNOVER, _periods, _turnover, held
 from panelwright.catalog.judging import SQL as JUDGING
 from panelwright.catalog.judging import factors, ic, joined
 from panelwright.operators import panel, ts, xs
@@ -160,4 +160,4 @@ l AS (SELECT date, code, 'mom_4' AS factor, round(a, 9) AS value FROM q UNION AL
 k AS (SELECT factor, date, rank() OVER (PARTITION BY factor, date ORDER BY value) AS rv, rank() OVER (PARTITION BY factor, date ORDER BY fwd_4) AS rf FROM l JOIN fwd USING (date, code) WHERE fwd_4 IS NOT NULL),
 i AS (SELECT factor, date, corr(rv, rf) AS ic FROM k GROUP BY 1, 2 HAVING count(*) >= 30)
 SELECT factor, count(ic) AS days, avg(ic) AS value FROM i GROUP BY 1""", dates=())
-C.add("SS_02_sliding", lambda s, d: stream.replayed(stream.sliding_variance(stream.source(s, d))).select("code", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n", "variance"), "SELECT event_type AS code, strftime(time_bucket(INTERVAL 5 MINUTES, ts) - k * INTERVAL 5 MINUTES, '%Y-%m-%d %H:%M') AS start, count(*) AS n, var_samp(value) AS variance FROM events CROSS JOIN range(0, 6) t(k) GROUP BY 1, 2", dates=(), values=("variance",), digits=3)
+C.add("SS_02_sliding", lambda s, d: stream.appended_variance(s, X.table(s, d, "events")).select("code", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n", "variance"), ON_TIME + f", w AS (SELECT event_type AS code, {BAR} - k * INTERVAL 5 MINUTES AS start, value, mark FROM timed CROSS JOIN range(0, 6) t(k)) SELECT code, strftime(start, '%Y-%m-%d %H:%M') AS start, count(*) AS n, var_samp(value) AS variance FROM w WHERE mark IS NULL OR start + INTERVAL 30 MINUTES > mark GROUP BY 1, 2", dates=(), values=("variance",), digits=3)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelwright.catalog import fixtures as X
+from panelwright.catalog.books import ON_TIME
 from panelwright.catalog.formula_sql import TS
 from panelwright.catalog.formulas import GRID, SQLS, W, _corr, _rank
 from panelwright.catalog.judging import SQL as JUDGING
@@ -135,4 +136,6 @@ C.add("PF_21_weekday", _weekday, """SELECT weekday, count(*) AS n, avg(r) AS val
   n AS (SELECT weekday, date, lead(date) OVER (PARTITION BY weekday ORDER BY week) AS next FROM w),
   h AS (SELECT weekday, n.date, next, code, close AS c0 FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY amount DESC, code) AS k FROM b) t JOIN n ON n.date = t.date WHERE k <= 10 AND next IS NOT NULL)
   SELECT weekday, h.date, avg(b.close / c0 - 1) AS r FROM h ASOF JOIN b ON b.code = h.code AND h.next >= b.date GROUP BY 1, 2) GROUP BY 1""", dates=())
-C.add("SS_04_last_value", stream.last_value, "SELECT p.event_id, CAST(p.user_id AS VARCHAR) AS code, v.value FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON v.user_id = p.user_id AND p.ts >= v.ts", dates=())
+#: The events that are no later than the watermark lets in; here the two kinds alone move it.
+SEEN = ON_TIME.replace("FROM events)", "FROM events WHERE event_type IN ('view', 'purchase'))") + ", seen AS (SELECT * FROM timed WHERE mark IS NULL OR ts > mark) "
+C.add("SS_04_last_value", stream.last_value, SEEN + "SELECT p.event_id, CAST(p.user_id AS VARCHAR) AS code, v.value FROM (SELECT * FROM seen WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM seen WHERE event_type = 'view') v ON v.user_id = p.user_id AND p.ts >= v.ts", dates=())

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.operators.panel import latest
-from panelwright.sources.folders import remove
+from panelwright.sources.folders import exists, remove
 
 
 def scan(spark: SparkSession, paths: str | list[str], first: str | None = None, last: str | None = None, on: str = "date") -> DataFrame:
@@ -45,6 +45,29 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def upsert(spark: SparkSession, folder: str, new: DataFrame, keys: list[str], by: str, batch: int) -> None:
+    """Merge new into a stored table partitioned by `by`: of one key the row of the highest batch stays, and just the partitions that new has rows in are written.
+
+    Rows carry the batch that brought them (_batch), so a batch that is delivered again, or after a later one,
+    changes nothing. A key that stands twice in a batch keeps its greatest row. A job that dies may leave
+    some partitions merged and others not; delivering the batch again finishes it.
+    """
+    new = new.withColumn("_batch", F.lit(batch).cast("long"))
+    touched = [r[0] for r in new.select(by).distinct().collect()]  # partitions, not rows
+    if not touched:
+        return
+    rows = new
+    if exists(spark, folder):
+        rows = spark.read.schema(new.schema).parquet(folder).where(F.col(by).isin(touched)).unionByName(new)
+    rest = [F.desc(c) for c in new.columns if c not in (*keys, "_batch")]
+    aside = f"{folder.rstrip('/')}-merging-{uuid.uuid4().hex}"
+    latest(rows, keys, [F.desc("_batch"), *rest]).write.partitionBy(by).parquet(aside)
+    try:
+        write_partitioned(spark.read.schema(new.schema).parquet(aside), folder, [by])
+    finally:
+        remove(spark, aside)
+
+
 def keep_last(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     """All parts' rows, of one key that of the latest part."""
     numbered = [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.sources.folders import exists, fresh
+from panelwright.sources.tables import upsert
 
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,9 +47,67 @@ def sliding_variance(events: DataFrame, width: str = "30 minutes", step: str = "
     return w.agg(F.count("*").alias("n"), F.var_samp("value").alias("variance")).select("code", F.col("window.start").alias("start"), "n", "variance")
 
 
+#: An event of this type carries no data: it closes a replay, as its time lies beyond what any window waits for.
+CLOSING = "closing"
+
+
+def arrivals(spark: SparkSession, events: DataFrame, part, parts: int, beyond: str = "2 days") -> DataFrame:
+    """A stream of the events in the order in which their parts (0 to parts - 1) arrive, a file and batch each, and one that closes it.
+
+    The parts are written to the shared folder one after the other. The closing event moves the watermark past
+    the last window, so that in append mode every window ends and no state is left.
+    """
+    folder = f"{fresh(spark, 'arrivals')}/rows"
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    for i in range(parts):
+        events.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+    end = events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr(f"INTERVAL {beyond}")).alias("ts"), F.lit(CLOSING).alias("event_type"))
+    last = end.select(*[F.col(f.name) if f.name in ("ts", "event_type") else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema])
+    last.where("ts is not null").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five-minute bars; start as text."""
-    return replayed(tumbling_bars(source(spark, sf_dir))).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+    """Five-minute bars as they end; start as text. Three parts by time arrive in order, and of each one event in 97 two parts late: those whose bar has ended by then are left out."""
+    return appended_bars(spark, spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+
+
+def by_day(events: DataFrame) -> tuple:
+    """(the part that an event arrives in, number of parts): thirds by the day of the month, and one event in 97 two parts later.
+
+    A batch still takes what the watermark of the batch before let in, so one part later would be in time.
+    """
+    third = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2)) + F.when(F.col("event_id") % 97 == 0, 2).otherwise(0)
+    return third.cast("int"), 5
+
+
+def appended_bars(spark: SparkSession, events: DataFrame) -> DataFrame:
+    return replayed(tumbling_bars(arrivals(spark, events, *by_day(events))), "append").where(f"code <> '{CLOSING}'")
+
+
+def appended_variance(spark: SparkSession, events: DataFrame) -> DataFrame:
+    return replayed(sliding_variance(arrivals(spark, events, *by_day(events))), "append").where(f"code <> '{CLOSING}'")
+
+
+def upserted(stream: DataFrame, folder: str, keys: list[str], by: str) -> None:
+    """Run the stream to its end; each batch is merged into the stored table, see tables.upsert()."""
+    spark = stream.sparkSession
+    write = stream.writeStream.option("checkpointLocation", f"{fresh(spark, 'stream')}/checkpoint").trigger(availableNow=True)
+    write.foreachBatch(lambda batch, number: upsert(spark, folder, batch, keys, by, number)).start().awaitTermination()
+
+
+def revised(spark: SparkSession, sf_dir: str, times: int = 2) -> DataFrame:
+    """Bars of a minute that come in two parts: all of them, then one in ten again with its close raised by 1. The whole stream is delivered `times` times into one stored table."""
+    m = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.date_trunc("minute", F.col("ts").cast("timestamp")))
+    m = m.groupBy("event_type", "ts").agg(F.round(F.avg("value"), 6).alias("close"), F.count("*").alias("n"))
+    again = (F.minute("ts") % 10 == 3) & (F.hour("ts") % 2 == 0)
+    both = m.withColumn("part", F.explode(F.when(again, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    both = both.withColumn("close", F.col("close") + F.col("part"))
+    bars = arrivals(spark, both, F.col("part"), 2).where("part is not null").withColumn("day", F.to_date("ts"))
+    folder = fresh(spark, "bars")
+    for _ in range(times):
+        upserted(bars.select("event_type", "ts", "close", "n", "day"), folder, ["event_type", "ts"], "day")
+    return spark.read.parquet(folder)
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,50 +128,77 @@ class _LastValue:
     """Made a StatefulProcessor where it is used, so that this module loads without the streaming classes."""
 
     def init(self, handle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "ts timestamp, value double")
+        self.waiting = handle.getListState("waiting", "event_id long, event_type string, ts timestamp, value double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
 
-    def handleInputRows(self, key, rows, timers):
+        for d in rows:
+            self.waiting.appendList(list(d[["event_id", "event_type", "ts", "value"]].itertuples(index=False, name=None)))
+            for ts in d["ts"].unique():
+                self.handle.registerTimer(pd.Timestamp(ts).value // 1_000_000 + 1)
+        yield pd.DataFrame({"event_id": pd.Series(dtype="int64"), "code": pd.Series(dtype="object"), "value": pd.Series(dtype="float64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        """What has a time up to the timer's is complete: no earlier row is let in any more."""
         import pandas as pd
 
-        d = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        until = expiredTimerInfo.getExpiryTimeInMs()
+        rows = sorted(self.waiting.get(), key=lambda r: (r[2], r[1] != "view", r[0]))
+        due = [r for r in rows if pd.Timestamp(r[2]).value // 1_000_000 < until]
         known = self.last.get() if self.last.exists() else None
         out = []
-        for event, kind, ts, value in d[["event_id", "event_type", "ts", "value"]].itertuples(index=False):
+        for event, kind, ts, value in due:
             if kind == "view":
                 known = (ts, value)
             else:
                 out.append((event, str(key[0]), None if known is None else known[1]))
         if known is not None:
-            self.last.update(known)
-        yield pd.DataFrame(out, columns=["event_id", "code", "value"])
+            self.last.update(tuple(known))
+        if len(due) < len(rows):
+            self.waiting.put(rows[len(due) :])
+        else:
+            self.waiting.clear()
+        yield pd.DataFrame(out, columns=["event_id", "code", "value"]).astype({"event_id": "int64"})
 
     def close(self) -> None:
         pass
 
 
-def last_values(events: DataFrame) -> DataFrame:
-    """Each purchase with the value of its user's last view before it: an as-of join of one stream's two kinds, with the last view of a user as state.
+def last_values(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Each purchase with the value of its user's last view at or before it: an as-of join of one stream's two kinds, with the last view of a user as state.
 
-    A batch's rows are put in order of time; a view that arrives in a later batch than a purchase after it
-    does not change what was put out. State is one row a user, in the RocksDB store, which the session must
-    name as its state store provider when the query starts.
+    Rows wait in the state, in order of time, until the watermark has passed them (a timer for each time), so a
+    view that arrives a batch later than a purchase after it still counts, as long as it is not later than
+    `late`; rows later than that are left out. State is one row a user and the rows of the last `late`, in the
+    RocksDB store, which the session must name as its state store provider when the query starts.
     """
     from pyspark.sql.streaming import StatefulProcessor
 
     class LastValue(_LastValue, StatefulProcessor):
         pass
 
-    some = events.where("event_type in ('view', 'purchase')").select(F.col("user_id").cast("string").alias("code"), "event_id", "event_type", "ts", "value")
-    return some.groupBy("code").transformWithStateInPandas(statefulProcessor=LastValue(), outputStructType="event_id long, code string, value double", outputMode="Append", timeMode="None")
+    some = events.where(f"event_type in ('view', 'purchase', '{CLOSING}')").withWatermark("ts", late)
+    some = some.select(F.coalesce(F.col("user_id").cast("string"), F.lit(CLOSING)).alias("code"), F.coalesce("event_id", F.lit(-1)).alias("event_id"), "event_type", "ts", "value")
+    done = some.groupBy("code").transformWithStateInPandas(statefulProcessor=LastValue(), outputStructType="event_id long, code string, value double", outputMode="Append", timeMode="EventTime")
+    return done.where("event_id >= 0")
 
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def last_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in three parts by time; one in 97 arrives two parts later, and counts unless the watermark has passed it by then."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type in ('view', 'purchase')")
+    return settled_values(spark, e, *by_day(e))
+
+
+def settled_values(spark: SparkSession, events: DataFrame, part, parts: int) -> DataFrame:
     before = spark.conf.get(STORE)
     spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return replayed(last_values(source(spark, sf_dir)), "append")
+        return replayed(last_values(arrivals(spark, events, part, parts)), "append")
     finally:
         spark.conf.set(STORE, before)
