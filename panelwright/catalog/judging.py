@@ -27,15 +27,19 @@ ic AS (SELECT factor, date, h, count(*) AS n, corr(value, fwd) AS ic, corr(rv, r
 """
 
 
-def factors(s, d):
-    b = panel.returns(B(s, d))
+def _long(b, *kept: str):
     cols = {n: c() for n, (c, _) in _DEF.items()}
-    long = b.withColumns(cols).select("date", "code", F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), F.col(n).alias("value")) for n in cols])).alias("x")).select("date", "code", "x.factor", "x.value")
+    long = b.withColumns(cols).select("date", "code", *kept, F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), F.col(n).alias("value")) for n in cols])).alias("x")).select("date", "code", *kept, "x.factor", "x.value")
     return long.withColumn("value", F.when(F.col("factor") == "vol_12", F.round("value", 9)).otherwise(F.col("value")))
 
 
+def factors(s, d):
+    return _long(panel.returns(B(s, d)))
+
+
 def joined(s, d, h=(1, 4, 12)):
-    return ev.with_forward(factors(s, d), B(s, d), h)
+    """Factors with forward returns, which stand on the bars' rows before factors are set one under the other."""
+    return _long(panel.forward_returns(panel.returns(B(s, d)), h), *[f"fwd_{x}" for x in h])
 
 
 def ic(s, d):

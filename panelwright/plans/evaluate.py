@@ -27,13 +27,32 @@ def corr_if_varied(x: str, y: str) -> Column:
     return F.when(varies, finite(F.corr(x, y)))
 
 
+def rank_among(flag: Column, w) -> Column:
+    """Competition rank among the rows where flag holds, in the order of window w: as many flags as are asked for share one sort."""
+    one = flag.cast("int")
+    upto, peers = w.rangeBetween(Window.unboundedPreceding, Window.currentRow), w.rangeBetween(Window.currentRow, Window.currentRow)
+    return F.when(flag, 1 + F.sum(one).over(upto) - F.sum(one).over(peers))
+
+
 def daily_ic(joined: DataFrame, horizons: tuple[int, ...] = (1,), least: int = 30, by=KEY) -> DataFrame:
-    """factor, date, h, n, ic (Pearson) and rank_ic (of competition ranks among rows with both values)."""
-    long = joined.select(*by, "code", "value", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"fwd_{h}").alias("fwd")) for h in horizons])).alias("x"))
-    d = long.select(*by, "code", "value", "x.h", "x.fwd").where("value is not null and fwd is not null")
-    key = (*by, "h")
-    d = d.withColumns({"rv": xs.rank("value", key), "rf": xs.rank("fwd", key)})
-    return d.groupBy(*key).agg(F.count("*").alias("n"), corr_if_varied("value", "fwd").alias("ic"), corr_if_varied("rv", "rf").alias("rank_ic")).where(F.col("n") >= least)
+    """factor, date, h, n, ic (Pearson) and rank_ic (of competition ranks among rows with both values).
+
+    A section is sorted once by value and once by each forward return; horizons whose rows differ take their
+    ranks from the same order.
+    """
+    d = joined.select(*by, "code", "value", *[f"fwd_{h}" for h in horizons]).where("value is not null")
+    there = {h: F.col(f"fwd_{h}").isNotNull() for h in horizons}
+    w = xs.section(by)
+    d = d.withColumns({f"_v{h}": rank_among(there[h], w.orderBy("value")) for h in horizons})
+    for h in horizons:
+        d = d.withColumn(f"_f{h}", F.when(there[h], F.rank().over(w.orderBy(F.col(f"fwd_{h}").asc_nulls_last()))))
+    out = []
+    for h in horizons:
+        d = d.withColumn(f"_x{h}", F.when(there[h], F.col("value")))
+        out += [F.count(f"fwd_{h}").alias(f"n_{h}"), corr_if_varied(f"_x{h}", f"fwd_{h}").alias(f"ic_{h}"), corr_if_varied(f"_v{h}", f"_f{h}").alias(f"rank_ic_{h}")]
+    wide = d.groupBy(*by).agg(*out)
+    long = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"n_{h}").alias("n"), F.col(f"ic_{h}").alias("ic"), F.col(f"rank_ic_{h}").alias("rank_ic")) for h in horizons]))
+    return wide.select(*by, long.alias("x")).select(*by, "x.*").where(F.col("n") >= least)
 
 
 def ic_summary(ic: DataFrame, by=("factor", "h")) -> DataFrame:
@@ -181,38 +200,60 @@ def daily_metrics(panel_: DataFrame, names: list[str], horizons: tuple[int, ...]
     auto_lag, the correlation of ranks with the code's ranks that many rows before; turnover_1 and
     turnover_5, the share of the bottom and top fifth's codes that were not there on the date before.
 
-    Forward returns stand on the panel's own rows before factors are set one under the other, so prices are
-    read once and nothing is joined but the dates' numbers.
+    Forward returns and their ranks stand on the panel's own rows, once a date, before factors are set one under
+    the other: prices are read once and nothing is joined but the dates' numbers. A section of a factor is then
+    sorted once, by value and code; ranks, quintiles and quantiles all come from that order.
     """
     first, last = ends or (horizons[0], horizons[-1])
     p = panel.forward_returns(panel_, horizons)
     dates = p.select("date").distinct().withColumn("_i", F.row_number().over(Window.orderBy("date")))
-    long = F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), F.col(n).cast("double").alias("value")) for n in names]))
-    d = p.join(F.broadcast(dates), "date").select("date", "code", "_i", *[f"fwd_{h}" for h in horizons], long.alias("x")).select("*", "x.factor", "x.value").drop("x")
+    there = lambda n, h: F.col(n).isNotNull() & F.col(f"fwd_{h}").isNotNull()
+    for h in horizons:  # a factor's rows are those with its value, in the date's one order of returns
+        w = xs.section().orderBy(F.col(f"fwd_{h}").asc_nulls_last())
+        p = p.withColumns({f"_f{h}_{i}": rank_among(there(n, h), w) for i, n in enumerate(names)})
+    long = F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), F.col(n).cast("double").alias("value"), *[F.col(f"_f{h}_{i}").alias(f"_f{h}") for h in horizons]) for i, n in enumerate(names)]))
+    d = p.join(F.broadcast(dates), "date").select("date", "code", "_i", *[f"fwd_{h}" for h in horizons], long.alias("x")).select("*", "x.*").drop("x")
     some = F.col("value").isNotNull()
-    columns = {"_r": xs.rank("value", KEY), "_q": xs.ntile("value", 5, KEY)}
-    for h in horizons:
-        both = some & F.col(f"fwd_{h}").isNotNull()
-        columns |= {f"_v{h}": xs.rank(F.when(both, F.col("value")), KEY), f"_f{h}": xs.rank(F.when(both, F.col(f"fwd_{h}")), KEY)}
-        if h in (first, last):
-            columns[f"_q{h}"] = xs.ntile(F.when(both, F.col("value")), 5, KEY)
-    d = d.withColumns(columns)
+    flags = {"": some} | {str(h): some & F.col(f"fwd_{h}").isNotNull() for h in horizons}
+
+    order = xs.section(KEY).orderBy(F.col("value").asc_nulls_last(), "code")
+    counted = {"": some} | {str(h): flags[str(h)] for h in (first, last)}
+    upto, whole = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = d.withColumns({f"_k{x}": F.sum(f.cast("int")).over(upto) for x, f in counted.items()} | {f"_n{x}": F.sum(f.cast("int")).over(whole) for x, f in counted.items()})
+    d = d.withColumns({f"_q{x}": F.when(f, fifth(F.col(f"_k{x}"), F.col(f"_n{x}"))) for x, f in counted.items()})
+    by_value = xs.section(KEY).orderBy(F.col("value").asc_nulls_last())  # the same sort serves it
+    d = d.withColumns({"_r" if x == "" else f"_v{x}": rank_among(f, by_value) for x, f in flags.items()})
+
     w = Window.partitionBy("factor", "code").orderBy("date")
-    valued = Window.partitionBy("factor", "code", some.cast("int")).orderBy("date")
-    d = d.withColumns({f"_l{k}": F.when(some, F.lag("_r", k).over(valued)) for k in lags})
+    d = d.withColumns({f"_l{k}": F.when(some, F.expr(f"lag(_r, {k}) IGNORE NULLS OVER (PARTITION BY factor, code ORDER BY date)")) for k in lags})
     d = d.withColumn("_was", F.when(F.lag("_i").over(w) == F.col("_i") - 1, F.lag("_q").over(w)))
-    out = [F.count("*").alias("rows"), F.count("value").alias("n"), (F.count("value") / F.count("*")).alias("coverage"), (F.count("value") / F.count("*") < share).alias("degraded"), F.stddev_samp("value").alias("sd"), *[F.percentile("value", F.lit(q)).alias(a) for a, q in (("q01", 0.01), ("q50", 0.5), ("q99", 0.99))]]
+
+    def quantile(q: float) -> Column:
+        at = F.lit(q) * (F.col("_n") - 1)
+        below, above = (F.max(F.when(some & (F.col("_k") - 1 == end), F.col("value"))) for end in (F.floor(at), F.ceil(at)))
+        share = F.max(at - F.floor(at))
+        return below + (above - below) * share
+
+    out = [F.count("*").alias("rows"), F.count("value").alias("n"), (F.count("value") / F.count("*")).alias("coverage"), (F.count("value") / F.count("*") < share).alias("degraded"), F.stddev_samp("value").alias("sd"), *[quantile(q).alias(a) for a, q in (("q01", 0.01), ("q50", 0.5), ("q99", 0.99))]]
     for h in horizons:
-        v = F.when(F.col(f"_v{h}").isNotNull(), F.col("value"))
-        enough = F.count(f"_v{h}") >= least
-        varies = (F.min(v) < F.max(v)) & (F.min(F.when(v.isNotNull(), F.col(f"fwd_{h}"))) < F.max(F.when(v.isNotNull(), F.col(f"fwd_{h}"))))
-        out += [F.when(enough & varies, finite(F.corr(v, F.col(f"fwd_{h}")))).alias(f"ic_{h}"), F.when(enough & varies, finite(F.corr(f"_v{h}", f"_f{h}"))).alias(f"rank_ic_{h}")]
+        v, f = F.when(flags[str(h)], F.col("value")), F.when(flags[str(h)], F.col(f"fwd_{h}"))
+        enough = (F.count(f"_v{h}") >= least) & (F.min(v) < F.max(v)) & (F.min(f) < F.max(f))
+        out += [F.when(enough, finite(F.corr(v, f))).alias(f"ic_{h}"), F.when(enough, finite(F.corr(f"_v{h}", f"_f{h}"))).alias(f"rank_ic_{h}")]
     out += [F.avg(F.when(F.col(f"_q{h}") == q, F.col(f"fwd_{h}"))).alias(f"ret_{h}_{q}") for h in (first, last) for q in range(1, 6)]
-    out += [F.when(F.min(F.when(F.col(f"_l{k}").isNotNull(), F.col("_r"))) < F.max(F.when(F.col(f"_l{k}").isNotNull(), F.col("_r"))), finite(F.corr(F.when(F.col(f"_l{k}").isNotNull(), F.col("_r")), F.col(f"_l{k}")))).alias(f"auto_{k}") for k in lags]
+    for k in lags:
+        r = F.when(F.col(f"_l{k}").isNotNull(), F.col("_r"))
+        out.append(F.when(F.min(r) < F.max(r), finite(F.corr(r, F.col(f"_l{k}")))).alias(f"auto_{k}"))
     new = lambda q: F.when(F.max("_i") > 1, 1 - F.count(F.when((F.col("_q") == q) & (F.col("_was") == q), 1)) / F.count(F.when(F.col("_q") == q, 1)))
     return d.groupBy("factor", "date").agg(*out, new(1).alias("turnover_1"), new(5).alias("turnover_5"))
 
 
+def fifth(k: Column, n: Column) -> Column:
+    """The fifth (1 to 5) in which the k-th of n rows lies; the first fifths are larger by one where n is no multiple of 5."""
+    size, more = F.floor(n / 5), n % 5
+    large = more * (size + 1)
+    return F.when(k <= large, F.ceil(k / (size + 1))).otherwise(more + F.ceil((k - large) / size)).cast("int")
+
+
 def crowding(members: DataFrame, returns: DataFrame, window: int = 60, most: int = 100, before: int = 40) -> DataFrame:
     """Per factor and date of members (factor, date, code, side, score, bp, turnover; side 1 long, -1 short): how crowded the long side is.
 
