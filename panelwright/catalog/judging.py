@@ -147,40 +147,51 @@ u AS (SELECT date, avg(m) OVER (ORDER BY date ROWS BETWEEN 12 PRECEDING AND 1 PR
 SELECT factor, up, avg(rank_ic) AS value, count(*) AS n FROM ic JOIN u USING (date) WHERE h = 4 GROUP BY 1, 2""", dates=())
 
 
+#: The modulus of shuffle keys: a Mersenne prime.
+PRIME = (1 << 31) - 1
+
+
 def _permuted(s, d, times: int = 500):
     """For each factor, the share of in-date shuffles whose mean rank IC is at least as far from 0 as the real one.
 
-    A task holds the ranks of one factor and date, and gives one correlation for each shuffle; shuffle 0 is
-    the real order. Seeds come from factor and date, so results repeat.
+    A task holds the ranks of one factor and date, and gives one correlation for each shuffle; shuffle 0 is the
+    real order. Shuffle k orders codes by (a (2k + 1) + b k k) mod PRIME, where a and b are digits of the digest
+    of factor, date and code: a uniform order for each k, independent for each two, that any engine repeats.
     """
 
     def shuffled(t):
-        import zlib
-
         import numpy as np
         import pyarrow as pa
 
         t = t.sort_by("code")
-        factor, date = t["factor"][0].as_py(), t["date"][0].as_py()
         x, y = (t[c].to_numpy().astype(float) for c in ("rv", "rf"))
         ic = np.full(times + 1, np.nan)
         if len(x) >= 30 and np.ptp(x) > 0 and np.ptp(y) > 0:
             x, y = ((v - v.mean()) / np.linalg.norm(v - v.mean()) for v in (x, y))
-            r = np.random.default_rng(zlib.crc32(f"{factor} {date}".encode()))
-            ic = np.r_[x @ y, [r.permutation(y) @ x for _ in range(times)]]
+            k = np.arange(1, times + 1)[:, None]
+            order = np.argsort((t["a"].to_numpy() * (2 * k + 1) + t["b"].to_numpy() * k * k) % PRIME, axis=1, kind="stable")
+            ic = np.r_[x @ y, y[order] @ x]
         n = np.arange(times + 1, dtype=np.int32)
-        return pa.table({"factor": pa.array([factor] * len(n), pa.string()), "k": pa.array(n), "ic": pa.array(ic, mask=np.isnan(ic))})
+        return pa.table({"factor": pa.array([t["factor"][0].as_py()] * len(n), pa.string()), "k": pa.array(n), "ic": pa.array(ic, mask=np.isnan(ic))})
 
     j = joined(s, d, (4,)).where("value is not null and fwd_4 is not null")
     by = ("factor", "date")
-    j = j.select("factor", "date", "code", xs.rank("value", by).alias("rv"), xs.rank("fwd_4", by).alias("rf"))
+    digest = F.md5(F.concat_ws("|", "factor", F.col("date").cast("string"), "code").cast("binary"))
+    digits = lambda i: F.conv(F.substring(digest, i, 7), 16, 10).cast("long")
+    j = j.select("factor", "date", "code", xs.rank("value", by).alias("rv"), xs.rank("fwd_4", by).alias("rf"), digits(1).alias("a"), digits(8).alias("b"))
     k = j.groupBy(*by).applyInArrow(shuffled, "factor string, k int, ic double").groupBy("factor", "k").agg(F.avg("ic").alias("ic"))
     real = k.where("k = 0 and ic is not null").select("factor", F.col("ic").alias("value"))
     hits = k.where("k > 0").join(real, "factor").groupBy("factor", "value").agg(F.count(F.when(F.abs("ic") >= F.abs("value"), 1)).alias("hits"))
     return hits.select("factor", "value", ((F.col("hits") + 1) / (times + 1)).alias("p"))
 
 
-add("EV_16_permutation", _permuted, None)
+add("EV_16_permutation", _permuted, f""", j AS (SELECT factor, date, code, rv, rf, md5(factor || '|' || CAST(date AS VARCHAR) || '|' || code) AS m FROM ranked WHERE h = 4),
+u AS (SELECT *, CAST('0x' || substr(m, 1, 7) AS BIGINT) AS a, CAST('0x' || substr(m, 8, 7) AS BIGINT) AS b FROM j),
+t AS (SELECT factor, date, count(*) AS n, list(rv ORDER BY code) AS x, list(rf ORDER BY code) AS y, list(a ORDER BY code) AS a, list(b ORDER BY code) AS b, avg(rv) AS mx, avg(rf) AS my, stddev_pop(rv) AS sx, stddev_pop(rf) AS sy FROM u GROUP BY 1, 2 HAVING count(*) >= 30 AND min(rv) < max(rv) AND min(rf) < max(rf)),
+p AS (SELECT *, k, CASE WHEN k = 0 THEN range(1, n + 1) ELSE list_grade_up(list_transform(range(1, n + 1), lambda i: (a[i] * (2 * k + 1) + b[i] * k * k) % {PRIME})) END AS o FROM t CROSS JOIN range(0, 501) r(k)),
+s AS (SELECT factor, k, avg((list_sum(list_transform(range(1, n + 1), lambda i: x[i] * y[o[i]])) / n - mx * my) / (sx * sy)) AS ic FROM p GROUP BY 1, 2),
+z AS (SELECT factor, ic AS value FROM s WHERE k = 0)
+SELECT factor, value, (count(*) FILTER (WHERE abs(ic) >= abs(value)) + 1) / 501.0 AS p FROM s JOIN z USING (factor) WHERE k > 0 GROUP BY 1, 2""", dates=(), values=("value", "p"))
 
 
 def _tail(s, d):
