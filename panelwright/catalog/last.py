@@ -13,6 +13,7 @@ from panelwright.catalog.named import factor
 from panelwright.functions.elementwise import clip
 from panelwright.operators import panel, ts, xs
 from panelwright.plans import evaluate as ev
+from panelwright.plans import rolling
 
 C = X.Catalog()
 B = X.bars
@@ -61,28 +62,36 @@ def _statements(s, d):
 C.add("PIT_04_statements", _statements, "SELECT code, period, known, net_profit / revenue AS value FROM (SELECT *, notice + 5 AS known, min(notice + 5) OVER (PARTITION BY code ORDER BY period DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after FROM reports) WHERE after IS NULL OR after > known", dates=("period", "known"))
 
 
-def _rolling_model(s, d):
-    """A linear model of two ranked factors, fitted on two years and used on the next half-year, for each half-year that has two years before it in the table."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+RIDGE = 0.01
 
+
+def _learned(s, d):
     x = factors(s, d).withColumn("r", xs.rank_pct("value", ("factor", "date"))).groupBy("date", "code").pivot("factor", ["mom_4", "size"]).agg(F.max("r")).na.drop()
     y = B(s, d).select("date", "code", clip(panel.forward_return("close", 4), -0.5, 0.5).alias("label"))
-    m = VectorAssembler(inputCols=["mom_4", "size"], outputCol="features").transform(x.join(y, ["date", "code"])).select("date", "code", "features", "label").cache()
-    half = F.add_months(F.trunc("date", "year"), F.when(F.month("date") > 6, 6).otherwise(0))
-    labelled = {r["half"]: r["n"] for r in m.groupBy(half.alias("half")).agg(F.count("label").alias("n")).orderBy("half").collect()}
-    out = None
-    for start in labelled:
-        since = start.replace(year=start.year - 2)
-        if since < min(labelled) or not sum(n for h, n in labelled.items() if since <= h < start):
-            continue
-        fit = LinearRegression(regParam=0.01).fit(m.where((F.col("date") >= F.lit(since)) & (F.col("date") < F.lit(start)) & F.col("label").isNotNull()))
-        p = fit.transform(m.where(half == F.lit(start))).select("date", "code", F.round("prediction", 3).alias("score"))
-        out = p if out is None else out.unionByName(p)
-    return m.select("date", "code", F.lit(0.0).alias("score")).limit(0) if out is None else out
-
-
-C.add("ML_03_rolling", _rolling_model, values=())
+    m = x.join(y, ["date", "code"]).withColumns({"half": rolling.half_year(F.col("date")), "large": (F.col("size") > 0.5).cast("int")})
+    return m.select("date", "code", "half", "large", "mom_4", "size", "label")
+
+
+def _rolling_model(s, d, by=()):
+    """A linear model of two ranked factors, fitted on two years and used on the next half-year, for each half-year that has two years before it in the table (and each domain)."""
+    m, names = _learned(s, d), ["mom_4", "size"]
+    return rolling.predicted(m, rolling.fits(m, names, "label", "half", 4, RIDGE, by), names, "half", by).select("date", "code", *by, "score")
+
+
+def _rolling_sql(by: str) -> str:
+    """by: the domain's column with a comma, or nothing."""
+    return JUDGING + f""", rk AS (SELECT date, code, factor, (rank() OVER (PARTITION BY factor, date ORDER BY value) + (count(*) OVER (PARTITION BY factor, date, value) - 1) / 2.0) / count(*) OVER (PARTITION BY factor, date) AS r FROM factors WHERE value IS NOT NULL AND factor <> 'vol_12'),
+pv AS (SELECT date, code, max(r) FILTER (WHERE factor = 'mom_4') AS x, max(r) FILTER (WHERE factor = 'size') AS z FROM rk GROUP BY 1, 2),
+m AS (SELECT date, code, CAST(year(date) * 2 + CAST(month(date) > 6 AS INTEGER) AS INTEGER) AS half, CAST(z > 0.5 AS INTEGER) AS large, x, z, least(greatest(fwd_4, -0.5), 0.5) AS y FROM pv JOIN fwd USING (date, code) WHERE x IS NOT NULL AND z IS NOT NULL),
+h AS (SELECT DISTINCT {by} half FROM m),
+c AS (SELECT {by.replace('large', 'h.large')} h.half, var_pop(x) * {1 + RIDGE} AS xx, var_pop(z) * {1 + RIDGE} AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy, avg(x) AS mx, avg(z) AS mz, avg(y) AS my
+  FROM h JOIN m ON {'m.large = h.large AND ' if by else ''} m.half BETWEEN h.half - 4 AND h.half - 1 WHERE y IS NOT NULL AND h.half - 4 >= (SELECT min(half) FROM m q {'WHERE q.large = h.large' if by else ''}) GROUP BY {'1, 2' if by else '1'}),
+k AS (SELECT {by} half, mx, mz, my, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS bx, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS bz FROM c)
+SELECT date, code, {by} my + bx * (x - mx) + bz * (z - mz) AS score FROM m JOIN k USING ({by} half)"""
+
+
+C.add("ML_03_rolling", _rolling_model, _rolling_sql(""), values=("score",))
+C.add("ML_03_rolling_by_size", lambda s, d: _rolling_model(s, d, ("large",)), _rolling_sql("large,"), values=("score",))
 
 
 # Factors
