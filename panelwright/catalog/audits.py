@@ -84,11 +84,11 @@ PLANTED = {
     "sparse": "SELECT code, date, CASE WHEN month(date) = 1 THEN close END AS value FROM bars",
 }
 CUTS = [dt.date(1997, 3, 3), dt.date(1999, 6, 7)]
-REPLAYED = ["momentum_20", "reversal_5", "volatility_60", "rsi_14", "price_position_250", "size", "amihud_20", "anchor_rev_vol_20", "overnight_mom_20", "team_coin_20", "boat_follow_20", "total_mcap", "turnover_std_20", "mf_main_pct_20", "turn_idio_20", "qz_tsim_path_20", "roe", "roe_ttm", "ep_report", "sue", "revenue_growth_yoy", "inst_buy_20", "retail_buy_20", "dividend_yield", "leak_next", "leak_centred", "leak_high"]
+REPLAYED = ["momentum_20", "reversal_5", "volatility_60", "rsi_14", "price_position_250", "size", "amihud_20", "anchor_rev_vol_20", "overnight_mom_20", "team_coin_20", "boat_follow_20", "total_mcap", "turnover_std_20", "mf_main_pct_20", "turn_idio_20", "qz_tsim_path_20", "roe", "roe_ttm", "ep_report", "sue", "revenue_growth_yoy", "inst_buy_20", "retail_buy_20", "dividend_yield", "dragon_net_20", "block_premium_20", "leak_next", "leak_centred", "leak_high"]
 SCRAMBLED = ["momentum_20", "volatility_20", "mf_main_pct_20", "turn_idio_20", "roe_ttm", "ep_report", "leak_next", "leak_centred", "leak_high"]
 #: Whether a view's row was known on the evening of a date.
-KNOWN = {"bars": "date <= {c}", "flow": "date <= {c}", "flows": "date <= {c}", "minutes": "date <= {c}", "seats": "date < {c}", "actions": "date <= {c} + 60", "capital": "date <= {c}", "items": "notice <= {c}", "reports": "notice <= {c}"}
-NUMBERS = {"bars": ("open", "high", "low", "close", "vol", "amount"), "flow": ("main_net",), "flows": ("small_net", "net_amount"), "seats": ("net",), "actions": ("cash",), "capital": ("float_shares", "total_shares"), "reports": ("revenue", "net_profit"), "items": ("revenue", "net_profit", "operate_cf", "gross_profit", "op_profit", "total_assets", "total_liab", "total_equity", "inventory", "goodwill", "one_off", "current_ratio")}
+KNOWN = {"bars": "date <= {c}", "flow": "date <= {c}", "flows": "date <= {c}", "minutes": "date <= {c}", "seats": "date < {c}", "blocks": "date < {c}", "actions": "date <= {c} + 60", "capital": "date <= {c}", "items": "notice <= {c}", "reports": "notice <= {c}"}
+NUMBERS = {"bars": ("open", "high", "low", "close", "vol", "amount"), "flow": ("main_net",), "flows": ("small_net", "net_amount"), "seats": ("net",), "blocks": ("amount", "price"), "actions": ("cash",), "capital": ("float_shares", "total_shares"), "reports": ("revenue", "net_profit"), "items": ("revenue", "net_profit", "operate_cf", "gross_profit", "op_profit", "total_assets", "total_liab", "total_equity", "inventory", "goodwill", "one_off", "current_ratio")}
 
 
 def raw(factor: str) -> str:

@@ -37,6 +37,8 @@ VIEWS = {
   CAST(CAST(sum(CASE WHEN l_linestatus = 'F' THEN CAST(round(l_extendedprice * 100) AS BIGINT) ELSE -CAST(round(l_extendedprice * 100) AS BIGINT) END) AS BIGINT) AS DOUBLE) / 100 AS net_amount FROM lineitem GROUP BY 1, 2""",
     "seats": """SELECT CAST(l_suppkey AS VARCHAR) AS code, CAST(l_shipdate AS DATE) AS date, l_linestatus AS seat,
   CAST(CAST(sum(CASE WHEN l_returnflag = 'A' THEN CAST(round(l_extendedprice * 100) AS BIGINT) ELSE -CAST(round(l_extendedprice * 100) AS BIGINT) END) AS BIGINT) AS DOUBLE) / 100 AS net FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2, 3""",
+    "blocks": """SELECT CAST(l_suppkey AS VARCHAR) AS code, CAST(l_shipdate AS DATE) AS date, CAST(CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS DOUBLE) / 100 AS amount,
+  CAST(CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS DOUBLE) / 100 / sum(l_quantity) AS price FROM lineitem WHERE l_quantity >= 45 GROUP BY 1, 2""",
     "capital": """SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS code, CAST(date_trunc('year', l_shipdate) AS DATE) AS date, (10000.0 + 100.0 * l_suppkey) * (year(l_shipdate) - 1972) / 20 AS float_shares,
   (10000.0 + 100.0 * l_suppkey) * (year(l_shipdate) - 1972) / 20 * 1.2 AS total_shares FROM lineitem""",
     "items": """SELECT code, period, CAST(period + CAST(15 + (CAST(code AS BIGINT) * 7 + quarter(period) * 13) % 90 AS INTEGER) AS DATE) AS notice, year(period) * 4 + quarter(period) AS q, revenue, net_profit, operate_cf, revenue - cost AS gross_profit,
@@ -123,6 +125,13 @@ def seats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(F.col("l_suppkey").cast("string").alias("code"), F.to_date("l_shipdate").alias("date"), F.col("l_linestatus").alias("seat")).agg((F.sum(net).cast("double") / 100).alias("net"))
 
 
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades of much volume, by day."""
+    d = table(spark, sf_dir, "lineitem").where("l_quantity >= 45")
+    amount = F.sum(_cents("l_extendedprice")).cast("double") / 100
+    return d.groupBy(F.col("l_suppkey").cast("string").alias("code"), F.to_date("l_shipdate").alias("date")).agg(amount.alias("amount"), (amount / F.sum("l_quantity")).alias("price"))
+
+
 def capital(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares from the start of each year."""
     shares = (F.lit(10000.0) + 100.0 * F.col("l_suppkey")) * (F.year("l_shipdate") - 1972) / 20

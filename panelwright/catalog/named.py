@@ -18,7 +18,7 @@ def forecasts(s: SparkSession, d: str) -> DataFrame:
     return X.items(s, d).where(n % 4 > 0).select("code", "period", "q", known.alias("known"), F.round(F.col("net_profit") * 0.9, 0).alias("low"), F.when(n % 3 > 0, F.round(F.col("net_profit") * 1.2, 0)).alias("high"))
 
 
-TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"bars": X.bars, "flow": X.flow, "flows": X.flows, "minutes": X.minutes, "actions": X.actions, "seats": X.seats, "capital": X.capital, "items": X.items, "reports": X.reports, "forecasts": forecasts, "groups": X.groups}
+TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"bars": X.bars, "flow": X.flow, "flows": X.flows, "minutes": X.minutes, "actions": X.actions, "seats": X.seats, "blocks": X.blocks, "capital": X.capital, "items": X.items, "reports": X.reports, "forecasts": forecasts, "groups": X.groups}
 
 
 class Inputs(Mapping):
@@ -64,7 +64,7 @@ FACTORS = {
     "21_cost_bias": "chip_cost_bias",
     "22_report_change": "holder_num_chg", "22_report_change_2": "holder_num_chg_2",
     "23_event_sum_20": "event_sum_20",
-    "24_pressure_60": "lockup_pressure_60",
+    "23_dragon_net_20": "dragon_net_20", "23_block_premium_20": "block_premium_20", "24_pressure_60": "event_ahead_60", "24_lockup_pressure_60": "lockup_pressure_60",
     "25_inst_buy_20": "inst_buy_20", "25_retail_buy_20": "retail_buy_20",
     "26_margin": "margin_report", "26_roa": "roa", "26_net_margin": "net_margin", "26_asset_turnover": "asset_turnover", "26_roe": "roe", "26_debt_ratio": "debt_ratio", "26_ocf_ratio": "ocf_ratio", "26_current_ratio": "current_ratio", "26_quick_ratio": "quick_ratio",
     "27_op_margin": "op_margin", "27_goodwill_ratio": "goodwill_ratio", "27_accruals": "accruals",

@@ -5,7 +5,7 @@ Tables (code and a date, unless said otherwise):
 * bars: open, high, low, close, vol, amount; flow: main_net; flows: small_net, net_amount, on the same rows
 * capital: float_shares, total_shares from a date on; groups: balance, no date
 * items and reports: statements by period and notice, q (the quarter's number) in items; forecasts by known
-* actions: cash by day; seats: seat and net by day
+* actions: cash by day; seats: seat and net by day; blocks: price and amount by day
 * minutes: bars by datetime and date
 """
 
@@ -41,7 +41,7 @@ def _full_days(get) -> DataFrame:
 
 
 LIBRARY = Registry([
-    Table("bars"), Table("flow", calendar=_traded), Table("flows", calendar=_traded), Table("minutes", calendar=_full_days), Table("actions", rule="events", announced=60), Table("seats", rule="events", late=True),
+    Table("bars"), Table("flow", calendar=_traded), Table("flows", calendar=_traded), Table("minutes", calendar=_full_days), Table("actions", rule="events", announced=60), Table("seats", rule="events", late=True), Table("blocks", rule="events", late=True),
     Table("capital", rule="published"), Table("items", "notice", "published"), Table("reports", "notice", "published"), Table("forecasts", "known", "published"), Table("groups", None),
 ])
 
@@ -254,13 +254,16 @@ use("climb_peak_20", "behaviour", Reach(19), "priced")(lambda get: rp.climb_peak
 use("amp_nonjump_20", "behaviour", Reach(79), "priced")(lambda get: rp.jumps(get["priced"]).withColumn("value", c("amp")))
 use("jump_share_20", "behaviour", Reach(79), "priced")(lambda get: rp.jumps(get["priced"]).withColumn("value", c("share")))
 use("boat_follow_20", "behaviour", Reach(20), "priced")(lambda get: rp.boat_follow(get["priced"]))
-use("ev_high_vol_20", "behaviour", Reach(48), "priced")(lambda get: rp.volume_events(get["priced"], True))
-use("ev_low_vol_20", "behaviour", Reach(48), "priced")(lambda get: rp.volume_events(get["priced"], False))
+use("ev_high_vol_20", "behaviour", Reach(78), "priced")(lambda get: rp.volume_events(get["priced"], True))
+use("ev_low_vol_20", "behaviour", Reach(78), "priced")(lambda get: rp.volume_events(get["priced"], False))
 use("chip_cost_bias", "behaviour", Reach(None), "priced")(lambda get: rp.cost_bias(get["priced"]))
 for _k, _n in ((1, "holder_num_chg"), (2, "holder_num_chg_2")):
     use(_n, "event", Reach(), "bars", "reports")(lambda get, k=_k: rp.report_change(get["bars"], get["reports"], k))
 use("event_sum_20", "event", Reach(11, days=19), "bars", "actions")(lambda get: rp.event_sum(get["bars"], get["actions"], "cash", -19, 0))
-use("lockup_pressure_60", "event", Reach(11, ahead=60), "bars", "actions")(lambda get: rp.event_sum(get["bars"], get["actions"], "cash", 0, 60))
+use("event_ahead_60", "event", Reach(11, ahead=60), "bars", "actions")(lambda get: rp.event_sum(get["bars"], get["actions"], "cash", 0, 60))
+use("lockup_pressure_60", "event", Reach(ahead=60), "bars", "actions", "capital")(lambda get: rp.per_float(get["bars"], get["capital"], get["actions"], "cash", 0, 60))
+use("dragon_net_20", "event", Reach(days=20), "bars", "seats", "capital")(lambda get: rp.net_per_cap(get["bars"], get["capital"], get["seats"], "net"))
+use("block_premium_20", "event", Reach(1, days=20), "bars", "blocks")(lambda get: rp.block_premium(get["bars"], get["blocks"]))
 use("dividend_yield", "value", Reach(days=364), "bars", "actions")(lambda get: asof.in_windows(get["bars"], get["actions"], -364, 0, "cash", "_c").withColumn("value", c("_c") / c("close")))
 for _n, _seat in (("inst", "F"), ("retail", "O")):
     use(f"{_n}_buy_20", "event", Reach(19, days=19), "bars", "seats")(lambda get, seat=_seat: asof.in_windows(get["bars"], get["seats"].where(c("seat") == seat), -19, 0, "net", "_e").withColumn("value", safe_div(c("_e") * 1e4, ts.total("amount", 20, 1))))

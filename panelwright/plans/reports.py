@@ -50,7 +50,7 @@ def boat_follow(p: DataFrame, d: int = 20) -> DataFrame:
     return p.withColumn("value", F.when(F.count("_a").over(w) >= 15, safe_div(F.covar_pop("_a", F.when(both, F.col("_m"))).over(w), F.stddev_samp("_a").over(w) * F.stddev_samp(F.when(both, F.col("_m"))).over(w))))
 
 
-def volume_events(p: DataFrame, high: bool, d: int = 20, look: int = 30, least: int = 20) -> DataFrame:
+def volume_events(p: DataFrame, high: bool, d: int = 20, look: int = 60, least: int = 45) -> DataFrame:
     """How often in d rows volume stood in its top fifth with the close in its top (or bottom) fifth."""
     p = p.withColumns({"_v": ts.quantile("vol", look, 0.8, least), "_c": ts.quantile("close", look, 0.8 if high else 0.2, least)})
     near = F.col("close") >= F.col("_c") if high else F.col("close") <= F.col("_c")
@@ -101,17 +101,40 @@ def acceleration(p: DataFrame, reports: DataFrame, item: str) -> DataFrame:
 
 
 def surprise(p: DataFrame, reports: DataFrame, item: str = "net_profit", n: int = 8, least: int = 4) -> DataFrame:
-    """Change over a year, less the mean of the n quarters before, over the deviation of those; known once both are published."""
+    """Change over a year less the mean of those of the n quarters before, over the deviation of the n errors before; known once all that it is made of is published."""
     q = (F.year("period") * 4 + F.quarter("period")).cast("int")
     before = reports.select("code", (q + 4).alias("_q"), F.col(item).alias("_y"), F.col("notice").alias("_n"))
     r = reports.withColumn("_q", q).join(before, ["code", "_q"]).withColumn("_d", F.col(item) - F.col("_y"))
-    w = Window.partitionBy("code").orderBy("_q").rangeBetween(-n, -1)
-    r = r.withColumns({"_m": F.avg("_d").over(w), "_s": F.stddev_samp("_d").over(w), "_c": F.count("_d").over(w), "_k": F.greatest("notice", "_n", F.max("notice").over(w))})
-    r = r.where(F.col("_c") >= least).withColumn("value", clip(safe_div(F.col("_d") - F.col("_m"), F.col("_s")), -10.0, 10.0)).where("value is not null")
+    along = Window.partitionBy("code").orderBy("_q")
+    w, reach = along.rangeBetween(-n, -1), along.rangeBetween(-2 * n, -1)
+    r = r.withColumns({"_m": F.avg("_d").over(w), "_c": F.count("_d").over(w), "_k": F.greatest("notice", "_n", F.max(F.greatest("notice", "_n")).over(reach))})
+    r = r.withColumn("_e", F.when(F.col("_c") >= least, F.col("_d") - F.col("_m"))).where("_e is not null")
+    r = r.withColumn("_s", F.when(F.count("_e").over(w) >= least, F.stddev_samp("_e").over(w)))
+    r = r.withColumn("value", clip(safe_div(F.col("_e"), F.col("_s")), -10.0, 10.0)).where("value is not null")
     r = panel.latest(r.select("code", "period", F.col("_k").alias("known"), "value"), ["code", "known"], [F.desc("period")])
     return asof.asof(p, r, ["value"], right_on="known")
 
 
+def per_float(p: DataFrame, capital: DataFrame, events: DataFrame, value: str, first: int, last: int) -> DataFrame:
+    """Sum of an event's value from `first` to `last` days around each bar, over the float of its date; 0 without an event."""
+    d = asof.asof(asof.in_windows(p, events, first, last, value, "_e"), capital, ["float_shares"])
+    return d.withColumn("value", safe_div(F.col("_e"), F.col("float_shares")))
+
+
+def net_per_cap(p: DataFrame, capital: DataFrame, events: DataFrame, value: str, days: int = 20) -> DataFrame:
+    """Sum of an event's value over the last `days` calendar days, over the market value of the float, as it can be traded on: events count from the day after theirs."""
+    d = asof.asof(asof.in_windows(p, events, -days, -1, value, "_e"), capital, ["float_shares"])
+    return d.withColumn("value", safe_div(F.col("_e"), F.col("float_shares") * F.col("close")))
+
+
+def block_premium(p: DataFrame, blocks: DataFrame, days: int = 20) -> DataFrame:
+    """Premium of block trades over the close known when they were made, weighted by amount over the last `days` calendar days, from the day after each; 0 without a trade."""
+    b = asof.asof(blocks, p.select("code", "date", "close"), ["close"], strict=True).where("close > 0")
+    b = b.withColumn("_w", F.col("amount") * (F.col("price") / F.col("close") - 1))
+    d = asof.in_windows(asof.in_windows(p, b, -days, -1, "_w", "_p"), b, -days, -1, "amount", "_a")
+    return d.withColumn("value", F.coalesce(safe_div(F.col("_p"), F.col("_a")), F.lit(0.0)))
+
+
 def event_sum(p: DataFrame, events: DataFrame, value: str, first: int, last: int) -> DataFrame:
     """Sum of an event's value from `first` to `last` days around each bar, over the mean amount of 12 rows."""
     d = asof.in_windows(p, events, first, last, value, "_e")
