@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelwright.catalog import fixtures as X
-from panelwright.operators import panel
+from panelwright.operators import asof, panel
 
 C = X.Catalog()
 B = X.bars
@@ -35,7 +35,9 @@ def curve(s, d):
     """Mean return since its snapshot of each model's holdings, on every date until the next snapshot."""
     b = B(s, d).select("code", "date", "close")
     h = snapshots(s, d)
-    j = h.join(b, "code").where("date > d0 and (until is null or date <= until)")
+    # a date belongs to the last snapshot before it: one row a date, so holdings meet their bars by equal keys
+    dates = asof.asof(b.select("date", F.lit(1).alias("k")).distinct(), h.select(F.col("d0").alias("date"), F.lit(1).alias("k"), "d0").distinct(), ["d0"], by="k", strict=True).where("d0 is not null")
+    j = h.join(b.join(F.broadcast(dates.select("date", "d0")), "date"), ["code", "d0"])
     return j.groupBy("model", "date", "d0").agg(F.avg(F.col("close") / F.col("c0") - 1).alias("ret"), F.count("*").alias("n"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelwright.catalog import fixtures as X
 from panelwright.functions.elementwise import finite
 from panelwright.operators import asof, panel, ts
+from panelwright.plans import fundamentals
 from panelwright.sources import tables as src
 from panelwright.sources.folders import fresh
 
@@ -73,6 +74,22 @@ def _upsert(s, d):
 C.add("SNK_01_upsert", _upsert, "SELECT code, date, CASE WHEN code = '1' THEN close * 2 ELSE close END AS close FROM bars", values=("close",))
 
 
+def _stored(s, d):
+    """Bars stored by year, corrected by a second batch; then the second and the first are delivered again."""
+    folder = fresh(s, "upserted")
+    b = B(s, d).select("code", "date", "close").withColumn("year", F.year("date"))
+    better = b.where("date >= '1997-01-01' and code in ('1', '2')").withColumn("close", F.col("close") + 1)
+    more = better.where("code = '1'").withColumn("code", F.lit("new"))
+    batches = [b, better.unionByName(more)]
+    for i in (0, 1, 1, 0):
+        src.upsert(s, folder, batches[i], ["code", "date"], "year", i)
+    return s.read.parquet(folder).select("code", "date", F.col("close").alias("value"))
+
+
+C.add("SNK_01_stored", _stored, """n AS (SELECT code, date, close + 1 AS value FROM bars WHERE date >= DATE '1997-01-01' AND code IN ('1', '2'))
+SELECT code, date, close AS value FROM bars ANTI JOIN n USING (code, date) UNION ALL SELECT code, date, value FROM n UNION ALL SELECT 'new', date, value FROM n WHERE code = '1'""")
+
+
 def _append(s, d):
     folder = _written(s, d)
     new = B(s, d).where("year(date) = 1998").withColumns({"year": F.year("date"), "close": F.col("close") + 1})
@@ -130,11 +147,9 @@ C.add("JN_09_period_offset", _year_before, "SELECT a.code, a.period, a.revenue /
 
 
 def _triangular(s, d):
-    r = X.reports(s, d)
-    c, p = r.select("code", "period", "notice"), r.select(F.col("code").alias("c"), F.col("period").alias("p"), F.col("notice").alias("n"), "net_profit")
-    j = c.join(p, (c.code == p.c) & (p.p < c.period) & (p.n <= c.notice))
-    j = j.withColumn("k", F.row_number().over(Window.partitionBy("code", "period").orderBy(F.desc("p")))).where("k <= 4")
-    return j.groupBy("code", "period").agg(F.count("*").alias("n"), F.avg("net_profit").alias("value"))
+    """Mean profit of the four latest earlier periods that were out by a report's own publication: one ordered pass along the code, no self-join."""
+    r = fundamentals.published_before(X.reports(s, d).withColumn("q", F.year("period") * 4 + F.quarter("period")), "net_profit", 4).where(F.size("_before") > 0)
+    return r.select("code", "period", F.size("_before").cast("long").alias("n"), (F.aggregate("_before", F.lit(0.0), lambda a, e: a + e["v"]) / F.size("_before")).alias("value"))
 
 
 C.add("JN_10_triangular", _triangular, """j AS (SELECT c.code, c.period, p.net_profit FROM reports c JOIN reports p ON p.code = c.code AND p.period < c.period AND p.notice <= c.notice QUALIFY row_number() OVER (PARTITION BY c.code, c.period ORDER BY p.period DESC) <= 4)
