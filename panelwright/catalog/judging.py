@@ -109,7 +109,7 @@ def _tilt(s, d):
 add("EV_11_size_tilt", _tilt, """, b AS (SELECT date, code, percent_rank() OVER (PARTITION BY date ORDER BY amount, code) AS p, close / lag(close, 4) OVER (PARTITION BY code ORDER BY date) - 1 AS x FROM bars),
 q AS (SELECT *, ntile(5) OVER (PARTITION BY date ORDER BY x, code) AS q FROM b WHERE x IS NOT NULL)
 SELECT CAST(year(date) AS INTEGER) AS year, median(p) AS value FROM q WHERE q = 5 GROUP BY 1""", dates=())
-add("EV_12_similarity", lambda s, d: ev.pairwise(factors(s, d).where("date >= '2001-01-01'")), PAIRS + "SELECT a, b, avg(rho) AS rho, count(rho) AS days FROM cc WHERE date >= DATE '2001-01-01' GROUP BY 1, 2", dates=(), values=("rho",))
+add("EV_12_similarity", lambda s, d: ev.pairwise(factors(s, d)), PAIRS + "SELECT a, b, avg(rho) AS rho, count(rho) AS days FROM cc GROUP BY 1, 2", dates=(), values=("rho",))
 
 
 def _discoveries(s, d):
@@ -254,7 +254,16 @@ add("MS_05_core_correlation", lambda s, d: ev.pairwise(factors(s, d)).where("b =
 add("MS_06_exposure_pivot", lambda s, d: ev.pairwise(factors(s, d)).groupBy("a").pivot("b", ["size", "vol_12"]).agg(F.max("rho")).select("a", F.col("size").alias("exp_size"), F.col("vol_12").alias("exp_vol_12")), PAIRS + "SELECT a, max(r) FILTER (WHERE b = 'size') AS exp_size, max(r) FILTER (WHERE b = 'vol_12') AS exp_vol_12 FROM (SELECT a, b, avg(rho) AS r FROM cc GROUP BY 1, 2) GROUP BY a", dates=(), values=("exp_size", "exp_vol_12"))
 add("MS_07_rolling", lambda s, d: ev.rolling_metrics(ic(s, d), 20), """SELECT factor, CAST(h AS INTEGER) AS h, date, CASE WHEN count(rank_ic) OVER v >= 10 THEN avg(rank_ic) OVER v END AS mean, CASE WHEN count(rank_ic) OVER v >= 10 THEN avg(CAST(rank_ic > 0 AS INTEGER)) OVER v END AS win,
 CASE WHEN count(rank_ic) OVER v >= 10 THEN avg(rank_ic) OVER v / (stddev_samp(rank_ic) OVER v / sqrt(count(rank_ic) OVER v)) END AS t FROM ic WINDOW v AS (PARTITION BY factor, h ORDER BY date ROWS 19 PRECEDING)""", values=("mean", "win", "t"))
-add("MS_08_matrix", lambda s, d: ev.pairwise(factors(s, d).where("date >= '2001-09-01'")), PAIRS + "SELECT a, b, avg(rho) AS rho, count(rho) AS days FROM cc WHERE date >= DATE '2001-09-01' GROUP BY 1, 2", dates=(), values=("rho",))
+
+
+def _last_matrix(s, d, days: int = 5):
+    """Correlations over the last five dates whose sections are large enough."""
+    f = factors(s, d)
+    full = B(s, d).groupBy("date").agg(F.count("*").alias("n")).where("n >= 30").orderBy(F.desc("date")).limit(days)
+    return ev.pairwise(f.join(F.broadcast(full.select("date")), "date", "left_semi"))
+
+
+add("MS_08_matrix", _last_matrix, PAIRS + "SELECT a, b, avg(rho) AS rho, count(rho) AS days FROM cc WHERE date IN (SELECT date FROM bars GROUP BY date HAVING count(*) >= 30 ORDER BY date DESC LIMIT 5) GROUP BY 1, 2", dates=(), values=("rho",))
 add("MS_09_sampled", lambda s, d: ev.pairwise(factors(s, d).join(F.broadcast(panel.every_kth(B(s, d), 10)), "date", "left_semi")), """, g AS (SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM bars)) WHERE i % 10 = 0)""" + PAIRS + "SELECT a, b, avg(rho) AS rho, count(rho) AS days FROM cc SEMI JOIN g USING (date) GROUP BY 1, 2", dates=(), values=("rho",))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.elementwise import finite, safe_div
 from panelwright.operators import panel, xs
+from panelwright.sources.folders import fresh, remove
 
 KEY = ("factor", "date")
 
@@ -169,17 +170,25 @@ def clusters(pairs: DataFrame, factors: DataFrame, bound: float = 0.7) -> DataFr
     """factor, cluster (its least factor's name), size, medoid: factors linked by pairs (a, b, rho) of at least `bound` in size form a cluster; its medoid has the highest mean |rho| to its others, ties by name.
 
     The least name spreads over the links round by round until nothing changes; the table has a row a
-    factor.
+    factor. Each round is written to the shared folder, where it ends the lineage, and the one before deleted.
     """
-    links = pairs.where(F.abs("rho") >= bound).select("a", "b").persist()
-    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = factors.select("factor").distinct().withColumn("cluster", F.col("factor"))
+    spark = pairs.sparkSession
+    folder = fresh(spark, "clusters")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    links = pairs.where(F.abs("rho") >= bound).select("a", "b")
+    links = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    label, turn = written(factors.select("factor").distinct().withColumn("cluster", F.col("factor")), "0"), 0
     while True:
         near = links.join(label.select(F.col("factor").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("factor")).agg(F.min("cluster").alias("_near"))
-        spread = label.join(near, "factor", "left").select("factor", F.least("cluster", F.coalesce("_near", "cluster")).alias("cluster"), (F.col("_near") < F.col("cluster")).alias("_moved")).persist()
-        moved = spread.where("_moved").count()
+        spread = label.join(near, "factor", "left").select("factor", F.least("cluster", F.coalesce("_near", "cluster")).alias("cluster"), (F.col("_near") < F.col("cluster")).alias("_moved"))
+        spread, turn = written(spread, str(turn + 1)), turn + 1
+        remove(spark, f"{folder}/{turn - 1}")
         label = spread.select("factor", "cluster")
-        if not moved:
+        if spread.where("_moved").isEmpty():
             break
     both = pairs.select("a", "b", F.abs("rho").alias("r"))
     both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
