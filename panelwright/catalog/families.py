@@ -77,6 +77,9 @@ short("43_kyle_lambda_24", "CASE WHEN count(ret) OVER (w ROWS 23 PRECEDING) >= 1
 C.add("FA_03_rsi_14", factor("03_rsi_14"), PR + """g AS (SELECT code, date, coalesce(greatest(close - lag(close) OVER w, 0), 0) AS g, coalesce(greatest(lag(close) OVER w - close, 0), 0) AS l FROM pr WINDOW w AS (PARTITION BY code ORDER BY date))
 SELECT code, date, CASE WHEN avg(l) OVER w = 0 THEN 100 ELSE 100 - 100 / (1 + avg(g) OVER w / avg(l) OVER w) END AS value FROM g WINDOW w AS (PARTITION BY code ORDER BY date ROWS 13 PRECEDING)""")
 
+put("21_chip_vwap_bias_250", f""", h AS (SELECT code, date, close, list({{'p': close, 'u': least(turnover / 100, 1)}}) OVER (w ROWS 249 PRECEDING) AS h FROM px {W})
+SELECT code, date, close / list_reduce(h, lambda a, x: {{'p': a.p * (1 - x.u) + x.p * x.u, 'u': 0.0::DOUBLE}}).p - 1 AS value FROM h""")
+
 # Approximations from daily bars: illiquidity by path and side, tails, similarity to the market. Amounts in millions.
 _KPATH = "least(abs(high - open) + abs(high - low) + abs(close - low), abs(open - low) + abs(high - low) + abs(close - high)) / close / (amount / 1e6)"
 

@@ -61,7 +61,7 @@ FACTORS = {
     "18_overnight_20": "overnight_mom_20",
     "19_high_volume_20": "ev_high_vol_20", "19_low_volume_20": "ev_low_vol_20",
     "20_ep_zscore": "ep_zscore_30", "20_turn_idio_20": "turn_idio_20", "20_epd_60": "epd_60", "20_epds_60": "epds_60",
-    "21_cost_bias": "chip_cost_bias",
+    "21_cost_bias": "chip_cost_bias", "21_chip_vwap_bias_250": "chip_vwap_bias_250",
     "22_report_change": "holder_num_chg", "22_report_change_2": "holder_num_chg_2",
     "23_event_sum_20": "event_sum_20",
     "23_dragon_net_20": "dragon_net_20", "23_block_premium_20": "block_premium_20", "24_pressure_60": "event_ahead_60", "24_lockup_pressure_60": "lockup_pressure_60",

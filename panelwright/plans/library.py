@@ -257,6 +257,7 @@ use("boat_follow_20", "behaviour", Reach(20), "priced")(lambda get: rp.boat_foll
 use("ev_high_vol_20", "behaviour", Reach(78), "priced")(lambda get: rp.volume_events(get["priced"], True))
 use("ev_low_vol_20", "behaviour", Reach(78), "priced")(lambda get: rp.volume_events(get["priced"], False))
 use("chip_cost_bias", "behaviour", Reach(None), "priced")(lambda get: rp.cost_bias(get["priced"]))
+use("chip_vwap_bias_250", "behaviour", Reach(249), "panel")(lambda get: rp.window_cost_bias(get["panel"].withColumn("_u", c("turnover") / 100), "_u"))
 for _k, _n in ((1, "holder_num_chg"), (2, "holder_num_chg_2")):
     use(_n, "event", Reach(), "bars", "reports")(lambda get, k=_k: rp.report_change(get["bars"], get["reports"], k))
 use("event_sum_20", "event", Reach(11, days=19), "bars", "actions")(lambda get: rp.event_sum(get["bars"], get["actions"], "cash", -19, 0))

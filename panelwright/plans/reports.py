@@ -64,6 +64,15 @@ def cost_bias(p: DataFrame, unit: float = 2000.0) -> DataFrame:
     return ts.held_cost(p, "close", "_u", "_cost", block=60).withColumn("value", safe_div(F.col("close"), F.col("_cost")) - 1)
 
 
+def window_cost_bias(p: DataFrame, turnover: str, rows: int = 250) -> DataFrame:
+    """Close over the turnover-decayed mean cost of the last `rows` rows, less 1: the cost begins with the first close of the window, and each row takes its share of turnover (1 at most) at its close."""
+    row = F.struct(F.col("close").alias("p"), F.least(F.col(turnover), F.lit(1.0)).alias("u"))
+    held = F.collect_list(F.when(F.col("close").isNotNull() & F.col(turnover).isNotNull(), row)).over(ts.rows(1 - rows))
+    cost = F.aggregate("_h", F.col("_h")[0]["p"], lambda a, x: a * (1 - x["u"]) + x["p"] * x["u"])
+    p = p.withColumn("_h", held).withColumn("value", F.when(F.size("_h") > 0, safe_div(F.col("close"), cost) - 1))
+    return p.drop("_h")
+
+
 def latest_reports(reports: DataFrame) -> DataFrame:
     """One row a publication date: its latest period."""
     return panel.latest(reports, ["code", "notice"], [F.desc("period")])
