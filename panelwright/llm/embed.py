@@ -96,15 +96,24 @@ def open_pairs(x: np.ndarray, y: np.ndarray, d: int, threshold: float) -> tuple[
     return np.nonzero(estimate(x, y, d) + DEVIATIONS * np.sqrt(spread) / f + 1e-6 >= threshold)
 
 
-def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of x and y with cosine >= threshold, in double precision."""
-    nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-    i, j = np.nonzero((x / nx[:, None]) @ (y / ny[:, None]).T >= threshold - 1e-9)
-    exact = np.zeros(len(i), bool)
+def open_among(code: np.ndarray, one: np.ndarray, two: np.ndarray, d: int, threshold: float) -> np.ndarray:
+    """Which pairs (i, j), i < j, of a row of `one` and a row of `two` may reach the threshold: a square of the codes' rows."""
+    out = np.zeros((len(code), len(code)), bool)
+    for k in range(0, len(one), 1024):
+        i, j = open_pairs(code[one[k : k + 1024]], code[two], d, threshold)
+        i, j = one[k : k + 1024][i], two[j]
+        out[np.minimum(i, j), np.maximum(i, j)] = True
+    np.fill_diagonal(out, False)
+    return out
+
+
+def linked(x: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs (i, j) of x's rows have a cosine >= threshold, in double precision. No other pair is computed."""
+    norm, out = np.linalg.norm(x, axis=1), np.zeros(len(i), bool)
     for k in range(0, len(i), PAIRS):
         a, b = i[k : k + PAIRS], j[k : k + PAIRS]
-        exact[k : k + PAIRS] = (x[a] * y[b]).sum(1) / (nx[a] * ny[b]) >= threshold
-    return i[exact], j[exact]
+        out[k : k + PAIRS] = (x[a] * x[b]).sum(1) / (norm[a] * norm[b]) >= threshold
+    return out
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
@@ -118,8 +127,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     Equal vectors are one class with a count. A class is coded once: the signs of its rotated direction, its
     components there in four bits, and a correction factor, 52 bytes for 64 dimensions. Classes go to
     buckets of several tables by signs after random rotations, with their codes alone. There the estimates
-    and their bounds leave pairs open; the vectors of the rows in open pairs follow, and these pairs are
-    computed. A pair of classes counts in the first table where it meets, so counts are sums over tasks.
+    and their bounds leave pairs open; the vectors of the rows in open pairs follow, each with a bit for
+    every partner, and these pairs, no others, are computed. A pair of classes counts in the first table where it meets, so counts are sums over tasks.
     Buckets of more than BLOCK rows are split into pairs of blocks. A task returns one row for each of its
     classes: links found, and the least class it is connected with inside the bucket, so a large cluster
     costs rows, not pairs.
@@ -158,27 +167,26 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
         return zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)
 
     def sides(pair: int, blocks: int, mine: np.ndarray):
-        """Rows of the two blocks that meet, and whether they are one."""
-        return np.flatnonzero(mine == pair // blocks), np.flatnonzero(mine == pair % blocks), pair // blocks == pair % blocks
+        """Rows of the two blocks that meet."""
+        return np.flatnonzero(mine == pair // blocks), np.flatnonzero(mine == pair % blocks)
 
     def sift(t):
+        import pyarrow as pa
+
         t = t.sort_by([("bucket", "ascending"), ("pair", "ascending"), ("id", "ascending")])
         bucket, pair, blocks, mine = (np.asarray(t[c]) for c in ("bucket", "pair", "blocks", "mine"))
         raw = t["code"].to_pylist()
-        keep = np.zeros(len(bucket), bool)
+        keep, partners = np.zeros(len(bucket), bool), []
         for a, b in ends(bucket, pair):
             d = int(bucket[a] >> 44)
             code = np.frombuffer(b"".join(raw[a:b]), code_type(d))
-            one, two, same = sides(pair[a], blocks[a], mine[a:b])
-            for k in range(0, len(one), 1024):
-                i, j = open_pairs(code[one[k : k + 1024]], code[two], d, threshold)
-                i, j = one[k : k + 1024][i], two[j]
-                if same:
-                    i, j = i[i != j], j[i != j]
-                keep[a + i] = keep[a + j] = True
-        return t.drop(["code", "task"]).filter(keep)
-
-    opened = rows.withColumn("task", task).groupBy("task").applyInArrow(sift, "bucket long, id long, blocks int, mine int, pair int")
+            found = open_among(code, *sides(pair[a], blocks[a], mine[a:b]), d, threshold)
+            keep[a:b] = found.any(0) | found.any(1)
+            rest = np.flatnonzero(keep[a:b])
+            partners += [r.tobytes() for r in np.packbits(found[np.ix_(rest, rest)], axis=1)]
+        return t.drop(["code", "task", "blocks", "mine"]).filter(keep).append_column("partners", pa.array(partners, pa.binary()))
+
+    opened = rows.withColumn("task", task).groupBy("task").applyInArrow(sift, "bucket long, id long, pair int, partners binary")
     vector = classes.select("id", "m", "embedding")
     rows = opened.join(vector, "id").withColumn("task", task)
 
@@ -186,18 +194,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
         import pyarrow as pa
 
         t = t.sort_by([("bucket", "ascending"), ("pair", "ascending"), ("id", "ascending")])
-        bucket, pair, blocks, mine, ids, m = (np.asarray(t[c]) for c in ("bucket", "pair", "blocks", "mine", "id", "m"))
+        bucket, pair, ids, m = (np.asarray(t[c]) for c in ("bucket", "pair", "id", "m"))
+        partners = t["partners"].to_pylist()
         row, matrix = np.zeros(len(bucket), np.int64), {}
         for at, x in by_dimension(t["embedding"]):
             row[at], matrix[x.shape[1]] = np.arange(len(at)), x
         out = [[], [], []]
         for a, b in ends(bucket, pair):
             x = matrix[int(bucket[a] >> 44)][row[a:b]]
-            one, two, same = sides(pair[a], blocks[a], mine[a:b])
-            i, j = linked(x[one], x[two], threshold)
-            i, j = one[i], two[j]
-            keep = i < j if same else slice(None)
-            i, j = i[keep], j[keep]
+            marks = np.frombuffer(b"".join(partners[a:b]), np.uint8).reshape(b - a, -1)
+            i, j = np.nonzero(np.unpackbits(marks, axis=1, count=b - a))  # the rows of sift, in its order
+            near = linked(x, i, j, threshold)
+            i, j = i[near], j[near]
             t_no = int(bucket[a] >> 32) & 0xFFF
             if t_no and len(i):  # counted already where they met before
                 some, at = np.unique(np.r_[i, j], return_inverse=True)
