@@ -22,6 +22,8 @@ _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{180e}\p{Z}]"
 _ODD, _EDGE = rf"^ | $| {_WHITE}|{_WHITE} ", rf"^{_WHITE}|{_WHITE}$"
 #: Words that are encoded as one text.
 TOGETHER = 2000
+#: Words whose ids a worker remembers at most (some 40 bytes each), and the longest of them in bytes.
+REMEMBERED, WORD = 1 << 20, 32
 
 
 def splits_at_spaces(path: str) -> bool:
@@ -40,7 +42,7 @@ class Encoder:
     Where the tokenizer's rules allow it, texts are cut at single spaces between other characters, and a
     text's ids are those of its words in order, each with the space before it. Words come back often, so
     the distinct ones of a batch are encoded, many of them in one text, where each starts with a token that
-    starts with a space. Texts with other white space around a space, and other tokenizers' texts, are
+    starts with a space; the first REMEMBERED of them are kept for the worker's later batches. Texts with other white space around a space, and other tokenizers' texts, are
     encoded whole.
     """
 
@@ -52,6 +54,14 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith(_SPACE)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Start anew without remembered words."""
+        import pyarrow as pa
+
+        self.known = pa.array([], pa.large_string())
+        self.known_ids, self.known_start, self.known_length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, length of each)."""
@@ -59,7 +69,30 @@ class Encoder:
         return np.concatenate(found) if found else np.zeros(0, np.int32), np.fromiter(map(len, found), np.int64, len(found))
 
     def _words(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, start, length) of the Arrow strings `words`, each after a space."""
+        """(ids, start, length) of the distinct Arrow strings `words`, each after a space: remembered ones are looked up, the others encoded."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.known), -1))
+        new = np.flatnonzero(at < 0)
+        fresh = words.take(pa.array(new))
+        ids, first, n = self._encode_words(fresh)
+        start, length = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        old = at >= 0
+        start[old], length[old] = self.known_start[at[old]], self.known_length[at[old]]
+        start[new], length[new] = len(self.known_ids) + first, n
+        both = np.r_[self.known_ids, ids]
+        keep = np.flatnonzero(np.asarray(pc.less_equal(pc.binary_length(fresh), WORD)))[: REMEMBERED - len(self.known)]
+        if len(keep):
+            to = np.cumsum(n[keep])
+            place = np.repeat(first[keep] - (to - n[keep]), n[keep]) + np.arange(to[-1])
+            self.known = pa.concat_arrays([self.known, fresh.take(pa.array(keep))])
+            self.known_start = np.r_[self.known_start, len(self.known_ids) + to - n[keep]]
+            self.known_length, self.known_ids = np.r_[self.known_length, n[keep]], np.r_[self.known_ids, ids[place]]
+        return both, start, length
+
+    def _encode_words(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """_words() through the library."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
