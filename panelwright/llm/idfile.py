@@ -20,6 +20,11 @@ SLOTS, GAIN = 20, 24
 #: The range has up to TOP bits and is refilled below LOW; a choice between candidates has 2**SCALE parts.
 TOP, LOW, SCALE = 48, 32, 16
 
+#: What is added to the table's entry of a candidate with a count of 0 to 15 (the entry's bits 4 to 7), by turns when it was wrong and when it was right: half the count goes; one comes, up to 15.
+_MOVES = np.array([m for s in range(16) for m in (-16 * (s >> 1), 16 * (s < 15))], np.int32)
+#: Whether it stays the candidate: firm enough to lose half its count, or right.
+_STAYS = np.array([stays for s in range(16) for stays in (s > 2, True)])
+
 
 class _Model:
     """What the lanes of a block have learned together, the same in coding and decoding.
@@ -96,9 +101,8 @@ class _Model:
         right1 &= self.s1 > 0
         fresh = (ids << 8) | 16
         for order, v, s, right in ((1, self.v1, self.s1, right1), (2, self.v2, self.s2, right2)):
-            # right: one more, up to 15; wrong: a firm candidate's count halves, a weak one gives way
-            moved = v + 16 * (right & (s < 15)) - ((s >> 1) << 4) * ~right
-            new = np.where((s > 2) | right, moved, fresh | self.check if order == 2 else fresh)
+            case = (s << 1) | right
+            new = np.where(_STAYS.take(case), v + _MOVES.take(case), fresh | self.check if order == 2 else fresh)
             self.tables[order - 1][self.slot if order == 2 else self.one] = new
         self.waiting.append(ids)
         i = self.steps
