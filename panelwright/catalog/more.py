@@ -94,7 +94,7 @@ C.add("UNI_06_dividend_pool", _dividend_pool, """y AS (SELECT code, year(date) A
 j AS (SELECT code, CAST(year AS INTEGER) AS year, cash / close AS yl FROM y JOIN p USING (code, year)),
 k AS (SELECT code, year, count(*) OVER w AS n, avg(yl) OVER w AS m FROM j WINDOW w AS (PARTITION BY code ORDER BY year RANGE BETWEEN 2 PRECEDING AND CURRENT ROW))
 SELECT year, code, m AS value FROM k WHERE n = 3 QUALIFY row_number() OVER (PARTITION BY year ORDER BY round(m, 9) DESC, code) <= 20""", dates=())
-C.add("CA_06_multipliers", lambda s, d: X.actions(s, d).select("code", "date", F.exp(F.sum(F.log1p(-F.col("cash") / 1000)).over(ts.rows(None))).alias("value")), "SELECT code, date, exp(sum(ln(1 - cash / 1000)) OVER (PARTITION BY code ORDER BY date ROWS UNBOUNDED PRECEDING)) AS value FROM actions")
+C.add("CA_06_multipliers", lambda s, d: X.actions(s, d).select("code", "date", ts.compounded(-F.col("cash") / 1000).alias("value")), "SELECT code, date, exp(sum(ln(1 - cash / 1000)) OVER (PARTITION BY code ORDER BY date ROWS UNBOUNDED PRECEDING)) AS value FROM actions")
 
 
 def _deviation(s, d):

@@ -144,3 +144,11 @@ def test_pair_correlation_without_pairs(spark):
     d = spark.createDataFrame([("g", str(j), day(i), float(x[i, j])) for i in range(20) for j in range(5)], "g string, code string, date date, r double")
     c = np.corrcoef(x.T)
     assert abs(ev.pair_corr_mean(d, "r", "g").first()["rho"] - c[np.triu_indices(5, 1)].mean()) < 1e-9
+
+
+def test_a_product_does_not_pass_over_what_takes_all_or_more(spark):
+    d = spark.createDataFrame([("a", i, r) for i, r in enumerate([0.5, -1.0, 0.5])] + [("b", i, r) for i, r in enumerate([-0.5, None, -1.5, 0.5])], "code string, date int, r double")
+    got = {(r["code"], r["date"]): (r["v"], r["s"]) for r in d.select("code", "date", ts.compounded("r").alias("v"), ts.survival(-F.col("r")).alias("s")).collect()}
+    assert [got["a", i][0] for i in range(3)] == pytest.approx([1.5, 0.0, 0.0])
+    assert [got["b", i][0] for i in range(2)] == pytest.approx([0.5, 0.5])
+    assert all(v != v for i in (2, 3) for v in got["b", i]) and got["a", 2][1] == 0.0
