@@ -93,3 +93,11 @@ def test_lagged_regression_against_numpy(spark):
     var = rss / (len(y) - 6)
     t = beta / np.sqrt(np.diag(np.linalg.inv(x.T @ x)) * var)
     assert got["n"] == len(y) and np.allclose(got["t"], t[1:], rtol=1e-6) and np.isclose(got["f"], (tss - rss) / 5 / var, rtol=1e-6)
+
+
+def test_a_history_that_does_not_vary_counts_as_the_least_surprise(spark):
+    rows = [(k, D(2020, 1, 1) + dt.timedelta(days=90 * i), D(2020, 2, 1) + dt.timedelta(days=90 * i), 8080 + i, v) for k, x in (("a", [0.1] * 7), ("b", [0.1] * 6 + [0.7])) for i, v in enumerate(x)]
+    d = items(spark, rows)
+    for f in (fu.zscore_before, fu.zscore_published):
+        got = {(r["code"], r["q"]): r["value"] for r in f(d, "revenue").collect()}
+        assert got["a", 8086] == got["b", 8086] == -10.0 and got["a", 8085] is None
