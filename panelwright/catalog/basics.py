@@ -123,7 +123,7 @@ section("XS_03_scale", lambda: xs.scale("close", 2.0), "close * 2 / nullif(sum(a
 section("XS_04_zscore", lambda: xs.zscore("close"), "CASE WHEN min(close) OVER w < max(close) OVER w THEN (close - avg(close) OVER w) / stddev_samp(close) OVER w END")
 section("XS_07_ntile", lambda: xs.ntile("vol", 5), "ntile(5) OVER (PARTITION BY date ORDER BY vol, code)")
 section("XS_08_percent_rank", lambda: xs.percent_rank("vol"), "percent_rank() OVER (PARTITION BY date ORDER BY vol)")
-section("XS_13_rank_product", lambda: xs.rank("vol") * xs.rank("close"), "rank() OVER (PARTITION BY date ORDER BY vol) * rank() OVER (PARTITION BY date ORDER BY close)")
+section("XS_13_rank_product", lambda: xs.rank_product("vol", "close"), "rank() OVER (PARTITION BY date ORDER BY vol) * rank() OVER (PARTITION BY date ORDER BY close)")
 section("XS_15_distance", lambda: F.abs(xs.zscore("close")), "CASE WHEN min(close) OVER w < max(close) OVER w THEN abs((close - avg(close) OVER w) / stddev_samp(close) OVER w) END")
 section("XS_11_residual", lambda: xs.residual("close", "vol"), "CASE WHEN count(*) OVER w >= 3 THEN close - avg(close) OVER w - coalesce(covar_samp(close, vol) OVER w / nullif(var_samp(vol) OVER w, 0), 0) * (vol - avg(vol) OVER w) END")
 C.add("XS_05_winsorize", lambda s, d: xs.winsorize_mad(_bars(s, d), "vol", "value").select("code", "date", F.col("value").alias("value")), """m AS (SELECT *, quantile_cont(vol, 0.5) OVER (PARTITION BY date) AS m FROM bars),

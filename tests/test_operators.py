@@ -152,3 +152,8 @@ def test_a_product_does_not_pass_over_what_takes_all_or_more(spark):
     assert [got["a", i][0] for i in range(3)] == pytest.approx([1.5, 0.0, 0.0])
     assert [got["b", i][0] for i in range(2)] == pytest.approx([0.5, 0.5])
     assert all(v != v for i in (2, 3) for v in got["b", i]) and got["a", 2][1] == 0.0
+
+
+def test_a_product_of_ranks_passes_the_int_range(spark):
+    d = spark.range(50_000).select(F.lit(1).alias("date"), F.col("id").cast("double").alias("x"))
+    assert d.select(xs.rank_product("x", "x").alias("p")).agg(F.max("p")).first()[0] == 2_500_000_000
