@@ -93,3 +93,63 @@ def test_a_view_that_arrives_after_a_later_purchase_still_counts(spark):
     e = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, part int")
     got = {r["event_id"]: r["value"] for r in bars.settled_values(spark, e, F.col("part"), 4).collect()}
     assert got == {2: 20.0, 4: None, 5: 20.0}  # the last view is later than the watermark lets in
+
+
+class _State:
+    """The parts of the streaming handle that last_values() uses, in memory; counts timers."""
+
+    def __init__(self):
+        self.timers, self.value, self.rows = [], None, []
+
+    def getValueState(self, *_):
+        return self
+
+    def getListState(self, *_):
+        return self
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+    def getCurrentWatermarkInMs(self):
+        return self.mark
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, v):
+        self.value = v
+
+
+class _Waiting(_State):
+    def get(self):
+        return iter(self.rows)
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    put = lambda self, rows: setattr(self, "rows", list(rows))
+
+    def clear(self):
+        self.rows = []
+
+
+def test_timers_do_not_grow_with_the_rows_of_a_user():
+    import pandas as pd
+
+    handle, waiting, p = _State(), _Waiting(), bars._LastValue()
+    p.init(handle)
+    p.waiting = waiting
+    n = 500
+    d = pd.DataFrame({"event_id": range(n), "event_type": ["view", "purchase"] * (n // 2), "ts": pd.to_datetime("2020-01-01") + pd.to_timedelta(range(n), unit="min"), "value": [float(i) for i in range(n)]})
+    list(p.handleInputRows(("1",), iter([d[: n // 2], d[n // 2 :]]), None))
+    assert len(handle.timers) == 1
+    handle.mark = int(pd.Timestamp("2020-01-01 01:00").value // 1_000_000)
+    out = pd.concat(p.handleExpiredTimer(("1",), handle, None))
+    assert out["event_id"].tolist() == list(range(1, 60, 2)) and out["value"].tolist() == [float(i) for i in range(0, 60, 2)]
+    assert len(handle.timers) == 2 and len(waiting.rows) == n - 60 and handle.timers[-1] == handle.mark + 1
+    handle.mark = int(pd.Timestamp("2020-02-01").value // 1_000_000)
+    assert len(pd.concat(p.handleExpiredTimer(("1",), handle, None))) == n // 2 - 30 and not waiting.rows and len(handle.timers) == 2
+    assert not list(p.handleExpiredTimer(("1",), handle, None))
