@@ -141,7 +141,7 @@ C.add("DQ_05_water_level", lambda s, d: ev.coverage(factors(s, d), B(s, d)).sele
 k AS (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY date DESC) AS k, lead(n) OVER (PARTITION BY factor ORDER BY date DESC) AS before FROM n),
 c AS (SELECT date, row_number() OVER (ORDER BY date DESC) - 1 AS behind FROM (SELECT DISTINCT date FROM bars))
 SELECT factor, behind, behind <= 1 AND n >= 0.9 * coalesce(before, n) AS ok FROM k JOIN c USING (date) WHERE k = 1""", dates=(), values=())
-C.add("DQ_09_scale", lambda s, d: B(s, d).join(X.flow(s, d), ["code", "date"]).where("main_net > 0").agg(*[F.percentile(F.col("main_net") / F.col("amount"), F.lit(q)).alias(f"q{int(q * 100)}") for q in (0.05, 0.5, 0.95)]), "SELECT quantile_cont(main_net / amount, 0.05) AS q5, quantile_cont(main_net / amount, 0.5) AS q50, quantile_cont(main_net / amount, 0.95) AS q95 FROM bars JOIN flow USING (code, date) WHERE main_net > 0", dates=(), values=("q5", "q50", "q95"))
+C.add("DQ_09_scale", lambda s, d: B(s, d).join(X.flow(s, d), ["code", "date"]).where("main_net > 0").select(F.lit(0).alias("all"), (F.col("main_net") / F.col("amount")).alias("x")).transform(xs.quantiles, "x", {"q5": 0.05, "q50": 0.5, "q95": 0.95}, "all").agg(*[F.max(q).alias(q) for q in ("q5", "q50", "q95")]), "SELECT quantile_cont(main_net / amount, 0.05) AS q5, quantile_cont(main_net / amount, 0.5) AS q50, quantile_cont(main_net / amount, 0.95) AS q95 FROM bars JOIN flow USING (code, date) WHERE main_net > 0", dates=(), values=("q5", "q50", "q95"))
 C.add("DQ_12_grade", lambda s, d: ev.ic_summary(ic(s, d)).select("factor", "h", F.when((F.abs("mean") > 0.03) & (F.abs("icir") > 0.5), "pass").when((F.abs("mean") > 0.02) & (F.abs("icir") > 0.3), "watch").otherwise("weak").alias("grade")), JUDGING + "SELECT factor, CAST(h AS INTEGER) AS h, CASE WHEN abs(avg(rank_ic)) > 0.03 AND abs(avg(rank_ic) / stddev_samp(rank_ic)) > 0.5 THEN 'pass' WHEN abs(avg(rank_ic)) > 0.02 AND abs(avg(rank_ic) / stddev_samp(rank_ic)) > 0.3 THEN 'watch' ELSE 'weak' END AS grade FROM ic GROUP BY 1, 2", dates=(), values=())
 C.add("PIT_12_states", lambda s, d: X.table(s, d, "part").select("p_partkey", F.when(F.col("p_name").like("%green%"), 2).when(F.col("p_name").like("%b%"), 1).otherwise(0).alias("state")), "SELECT p_partkey, CAST(CASE WHEN p_name LIKE '%green%' THEN 2 WHEN p_name LIKE '%b%' THEN 1 ELSE 0 END AS INTEGER) AS state FROM part", dates=(), values=())
 

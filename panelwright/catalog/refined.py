@@ -11,7 +11,7 @@ from panelwright.catalog.books import HELD, held
 from panelwright.catalog.formulas import GRID, SQLS
 from panelwright.catalog.judging import SQL as JUDGING
 from panelwright.catalog.judging import factors, ic
-from panelwright.operators import panel, ts
+from panelwright.operators import panel, ts, xs
 from panelwright.plans import formulas
 
 C = X.Catalog()
@@ -99,11 +99,12 @@ def _faulty(s, d) -> DataFrame:
 def audit(f: DataFrame) -> DataFrame:
     """Per factor: rows, repeated keys, nulls, infinite and non-zero values, quantiles of |value|, and the least and median number of names a day."""
     infinite = F.col("value").isNotNull() & (F.abs("value") == float("inf"))
-    whole = f.groupBy("factor").agg(F.count("*").alias("rows"), F.count(F.when(F.col("value").isNull(), 1)).alias("nulls"), F.count(F.when(infinite, 1)).alias("infinite"), F.avg((F.col("value") != 0).cast("double")).alias("nonzero"), *[F.percentile(F.when(~infinite, F.abs("value")), F.lit(q)).alias(n) for n, q in (("q01", 0.01), ("q50", 0.5), ("q99", 0.99))])
+    whole = f.groupBy("factor").agg(F.count("*").alias("rows"), F.count(F.when(F.col("value").isNull(), 1)).alias("nulls"), F.count(F.when(infinite, 1)).alias("infinite"), F.avg((F.col("value") != 0).cast("double")).alias("nonzero"))
+    sizes = xs.quantiles(f.select("factor", F.when(~infinite, F.abs("value")).alias("_size")), "_size", {"q01": 0.01, "q50": 0.5, "q99": 0.99}, "factor")
     keys = f.groupBy("factor", "date", "code").agg(F.count("*").alias("n"))
     days = keys.groupBy("factor", "date").agg(F.sum(F.col("n") - 1).alias("again"), F.count("*").alias("names"))
     days = days.groupBy("factor").agg(F.sum("again").alias("repeated"), F.min("names").alias("least_names"), F.percentile("names", F.lit(0.5)).alias("median_names"))
-    return whole.join(days, "factor")
+    return whole.join(sizes, "factor", "left").join(days, "factor").select("factor", "rows", "nulls", "infinite", "nonzero", "q01", "q50", "q99", "repeated", "least_names", "median_names")
 
 
 C.add("PIT_09_audit", lambda s, d: audit(_faulty(s, d)), JUDGING + """, ff AS (SELECT * FROM factors WHERE factor <> 'mom_4' UNION ALL SELECT * FROM factors WHERE factor = 'size' AND code = '3' UNION ALL SELECT date, code, factor, CASE WHEN code = '5' THEN 'inf'::DOUBLE ELSE value END FROM factors WHERE factor = 'mom_4'),

@@ -157,3 +157,12 @@ def test_a_product_does_not_pass_over_what_takes_all_or_more(spark):
 def test_a_product_of_ranks_passes_the_int_range(spark):
     d = spark.range(50_000).select(F.lit(1).alias("date"), F.col("id").cast("double").alias("x"))
     assert d.select(xs.rank_product("x", "x").alias("p")).agg(F.max("p")).first()[0] == 2_500_000_000
+
+
+def test_quantiles_of_large_groups_are_exact_and_leave_the_rest_unsorted(spark):
+    d = spark.range(3000).select(F.when(F.col("id") < 2900, "a").otherwise("b").alias("k"), F.when(F.col("id") % 7 > 0, F.pmod(F.col("id") * 7919, F.lit(1009)) / 8 - 20).alias("x"))
+    qs = {"a0": 0.0, "q01": 0.01, "q50": 0.5, "q99": 0.99, "a1": 1.0}
+    for accuracy in (100, 10_000):
+        got = {r["k"]: [r[n] for n in qs] for r in xs.quantiles(d, "x", qs, "k", accuracy).collect()}
+        want = {r["k"]: [r[n] for n in qs] for r in d.groupBy("k").agg(*[F.percentile("x", F.lit(q)).alias(n) for n, q in qs.items()]).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
