@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelwright.catalog import fixtures as X
 from panelwright.catalog.books import BAR, HELD, ON_TIME, PERIODS, TURNOVER, _periods, _turnover, held
 from panelwright.catalog.judging import SQL as JUDGING
-from panelwright.catalog.judging import factors, ic, joined
+from panelwright.catalog.judging import factors, features, ic, joined
 from panelwright.operators import panel, ts, xs
 from panelwright.plans import evaluate as ev
 from panelwright.streaming import bars as stream
@@ -148,8 +148,7 @@ C.add("PIT_12_states", lambda s, d: X.table(s, d, "part").select("p_partkey", F.
 
 def _complementary(s, d):
     """Two scores: mean section correlation, and the rank IC of each and of their mean."""
-    f = factors(s, d).where("factor in ('mom_4', 'size')").withColumn("r", xs.rank_pct("value", ("factor", "date"))).where("r is not null")
-    wide = f.groupBy("date", "code").pivot("factor", ["mom_4", "size"]).agg(F.max("r")).na.drop().withColumn("mean", (F.col("mom_4") + F.col("size")) / 2)
+    wide = features(s, d, ("mom_4", "size")).withColumn("mean", (F.col("mom_4") + F.col("size")) / 2)
     long = wide.unpivot(["date", "code"], ["mom_4", "size", "mean"], "factor", "value").withColumn("value", F.round("value", 9))
     return ev.ic_summary(ev.daily_ic(ev.with_forward(long, B(s, d), (4,)), (4,))).select("factor", "days", F.col("mean").alias("value"))
 

@@ -63,3 +63,18 @@ def test_names_are_unique():
     c.add("x", None)
     with pytest.raises(ValueError):
         c.add("x", None)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_ranks_side_by_side_equal_those_of_the_long_table_without_its_exchange(spark):
+    from pyspark.sql import functions as F
+
+    from panelwright.catalog import judging
+    from panelwright.operators import xs
+
+    names = ["mom_4", "size", "vol_12"]
+    long = judging.factors(spark, SF).withColumn("r", xs.rank_pct("value", ("factor", "date"))).groupBy("date", "code").pivot("factor", names).agg(F.max("r")).na.drop()
+    got = judging.features(spark, SF)
+    assert got.count() > 0 and got.exceptAll(long).count() == long.exceptAll(got).count() == 0
+    plan = judging.C.queries["ML_01_features"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
