@@ -91,6 +91,18 @@ def test_scores_equal_the_dictionaries(spark, settings):
         assert g[7] == pytest.approx(w[7], abs=3e-4 * w[3] + 1e-5 * abs(w[7]))  # a code is off by 1 / (2 * STEPS) powers of ten at most, three of them in a token
 
 
+def test_the_model_does_not_depend_on_how_the_work_is_dealt(spark):
+    texts = made(300, 2)
+    docs = [(i * 7, t) for i, t in enumerate(texts)] + [(5, texts[3]), (None, texts[4]), (11, None), (14, "w1 " * 5000)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    scores = lambda **k: sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in lm.log_probabilities(table, **k).collect())
+    want = sorted((d[0] is None, d[0] or 0, w[5], w[1]) for d, w in zip(docs, brute(docs, 0, 1 << 62), strict=True))
+    whole, dealt = scores(), scores(known=1 / 60, task=1500, spread=100)
+    for w, x, y in zip(want, whole, dealt, strict=True):
+        assert w[:2] == x[:2] == y[:2] and x[2] == pytest.approx(y[2], rel=1e-6)
+        assert y[2] == pytest.approx(w[2], abs=3e-4 * w[3] + 1e-5 * abs(w[2]))
+
+
 def test_what_is_learned_helps_on_rows_held_out(spark):
     rng = np.random.default_rng(3)
     follow = rng.integers(0, 200, (200, 4))
