@@ -116,3 +116,11 @@ def test_cuts_are_bounded(tables):
         rp.replay(LIBRARY, ["size"], tables, [dt.date(2000, 1, i + 1) for i in range(19)])
     with pytest.raises(ValueError, match="no factors"):
         rp.replay(LIBRARY, [], tables, CUTS)
+
+
+def test_stored_frames_give_the_same_values_and_are_read_back(tables):
+    some = ["momentum_20", "team_coin_20", "boat_follow_20"]
+    plain, stored = LIBRARY.compute(some, tables), LIBRARY.compute(some, LIBRARY.stored(some, tables), store=True)
+    assert values(plain) == values(stored)
+    scans = [line for line in stored._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in line]
+    assert scans and all("/priced-" in s for s in scans)
