@@ -62,3 +62,25 @@ def test_trees_learn_from_a_table_that_is_written_once(spark):
 def test_shuffles_are_made_once(spark):
     with nulls_for_errors(spark):
         assert plan(judging._permuted(spark, SF)).count("FlatMapGroupsInArrow") == 1
+
+
+def test_daily_metrics_plan_no_window_across_dates(spark):
+    with nulls_for_errors(spark):
+        p = judging._metrics(spark, SF)._jdf.queryExecution().optimizedPlan()
+        windows = [x for x in p.toString().splitlines() if "Window" in x]
+    assert windows and not any("rank(" in x or "factor" in x for x in windows)
+
+
+def test_daily_metrics_of_a_small_table(spark):
+    """Two factors, one of them partly null, against figures worked out by hand."""
+    rows = [(day, f"c{i}", 10.0 + i + day * (i % 3), float((i * 7 + day) % 10), float(i) if i % 2 else None) for day in range(3) for i in range(10)]
+    d = spark.createDataFrame(rows, "day int, code string, close double, a double, b double").withColumn("date", F.date_add(F.lit("2020-01-01").cast("date"), F.col("day")))
+    got = {(r.factor, r.date.day): r for r in judging.ev.daily_metrics(d, ["a", "b"], (1,), (1,), 3).collect()}
+    assert len(got) == 6
+    r = got["b", 2]
+    assert (r.rows, r.n, r.coverage, r.degraded, r.q50) == (10, 5, 0.5, False, 5.0)
+    assert r.auto_1 == 1.0 and r.turnover_1 == 0.0 and r.turnover_5 == 0.0
+    assert got["a", 1].turnover_1 is None and got["a", 3].ic_1 is None and got["a", 1].ret_1_1 is not None
+    a = {(x[0], x[1]): x for x in rows}
+    low = [f"c{i}" for i in sorted(range(10), key=lambda i: a[1, f"c{i}"][3])[:2]]
+    assert math.isclose(got["a", 2].ret_1_1, sum(a[2, c][2] / a[1, c][2] - 1 for c in low) / 2)
