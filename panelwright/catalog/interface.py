@@ -54,7 +54,7 @@ C.add("UX_02_sql_factor", _within, FACTORS + "SELECT date, code, value FROM ampl
 
 def _saved(s, d):
     """Two ranges of dates saved one after the other; what is read back holds both, and no factor that fails the check."""
-    folder, t = fresh(s, "factor-lake"), tables(s, d)
+    folder, t = fresh(s, "factor-lake"), R.stored(NAMES, tables(s, d))
     rg.save(R.compute(NAMES, t, last="1998-12-31"), folder)
     rg.save(R.compute(NAMES, t, first="1998-06-01"), folder, "merge")
     return s.read.schema("date date, code string, value double, factor string").parquet(folder).groupBy("factor").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), F.avg("value").alias("value"))

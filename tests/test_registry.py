@@ -105,3 +105,35 @@ def test_section_correlations_against_pandas():
             want = both.corr().iloc[0, 1]
             assert n == len(both) and (rho is None and np.isnan(want) or abs(rho - want) < 1e-12)
     assert ev.section_correlations(names, x, 61) == []
+
+
+def test_a_calendar_is_worked_out_once(spark, monkeypatch):
+    """Two tables of different reach are counted by one calendar."""
+    from pyspark.sql import functions as F
+
+    from panelwright.plans import registry
+
+    made = []
+    real = registry.dates_by_code
+    monkeypatch.setattr(registry, "dates_by_code", lambda rows: made.append(1) or real(rows))
+    r = registry.Registry([registry.Table("t"), registry.Table("e", rule="events")])
+    r.add(registry.Factor("long", {"t": ("x",)}, column=lambda: F.col("x"), reach=registry.Reach(5, 2)))
+    r.register("short", {"t": ("x",), "e": ("x",)}, reach=registry.Reach(2, days=3))(lambda get: get["t"].withColumn("value", F.col("x")))
+    t = spark.range(40).select(F.lit("c").alias("code"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("date"), F.col("id").cast("double").alias("x"))
+    got = r.pruned(["long", "short"], {"t": t, "e": t}, "2020-01-20", "2020-01-25")
+    assert len(made) == 1
+    assert [str(got[n].agg(F.min("date")).first()[0]) for n in ("t", "e")] == ["2020-01-13", "2020-01-15"]
+
+
+def test_replacing_writes_a_table_once_beside_the_folder(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+    from pyspark.sql import functions as F
+
+    from panelwright.plans import registry
+
+    written, real = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: written.append(path) or real(self, path, *a, **k))
+    f = spark.range(20).select(F.lit("f").alias("factor"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("date"), F.lit("c").alias("code"), F.col("id").cast("double").alias("value"))
+    assert registry.save(f, str(tmp_path / "lake")) == ["f"] and len(written) == 2
+    assert registry.save(f.withColumn("value", -F.col("value")), str(tmp_path / "lake"), "merge") == ["f"]
+    assert spark.read.parquet(str(tmp_path / "lake")).agg(F.sum("value")).first()[0] == -190.0
