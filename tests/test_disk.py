@@ -58,3 +58,42 @@ def test_groups_of_formulas_are_bounded():
     some = formulas.grouped(lib)
     assert sorted(k for g in some for k in g) == sorted(lib)
     assert all(len(g) == 1 or len(g) <= formulas.TOGETHER and formulas.carried(list(g.values())) <= formulas.WIDTH for g in some)
+
+
+def test_factors_are_worked_out_by_parts(spark, monkeypatch):
+    """Values by parts equal those of one plan, a frame goes after its last reader and the tables after the block."""
+    from panelwright.catalog.named import Inputs
+    from panelwright.plans import registry
+    from panelwright.plans.library import LIBRARY
+
+    names = ["momentum_20", "reversal_5", "volatility_20", "team_coin_20", "boat_follow_20", "ep", "bp", "epd_60"]
+    monkeypatch.setattr(registry, "PART", 2)
+    seen, real = [], LIBRARY._side_by_side
+    at = urlparse(folders.shared(spark)).path
+    parts = lambda: {n for d in shared_folders(spark) if d.startswith("parts-") and d not in before for n in os.listdir(f"{at}/{d}")}
+    before = shared_folders(spark)
+    monkeypatch.setattr(LIBRARY, "_side_by_side", lambda some, *a: seen.append((tuple(some), parts())) or real(some, *a))
+    then = lambda f: f.groupBy("factor").agg(F.count("*").alias("n"), F.count("value").alias("k"), F.avg("value").alias("value"))
+    with X.nulls_for_errors(spark):
+        with LIBRARY.kept(names, Inputs(spark, SF)) as t:
+            got = {r.factor: r for r in LIBRARY.each(names, t, then).collect()}
+        want = {r.factor: r for r in then(LIBRARY.compute(names, Inputs(spark, SF))).collect()}
+    assert sorted(n for some, _ in seen[:7] for n in some) == sorted(names) and all(len(some) <= 2 for some, _ in seen)
+    held = dict(seen)
+    assert "priced" in held["momentum_20", "reversal_5"] and "priced" not in held["ep",] and "capitalised" not in held["team_coin_20",]
+    assert not {n for n in parts() if not n.startswith("part-")}
+    assert not [d for d in shared_folders(spark) - before if d.startswith("tables-")]
+    assert got.keys() == want.keys() == set(names)
+    for n in names:
+        assert (got[n].n, got[n].k) == (want[n].n, want[n].k) and (want[n].value is None or abs(got[n].value - want[n].value) <= 1e-9 * max(1, abs(want[n].value)))
+
+
+def test_replays_leave_their_result_alone(spark):
+    from panelwright.catalog import audits
+
+    before = shared_folders(spark)
+    with X.nulls_for_errors(spark):
+        out = audits._replayed(spark, SF, ["momentum_20", "leak_next", "leak_high"])
+    at = urlparse(folders.shared(spark)).path
+    new = {f"{d}/{n}" for d in shared_folders(spark) - before for n in os.listdir(f"{at}/{d}")}
+    assert out.count() == 6 and all("/part-" in n or n.startswith("calendar-") for n in new), new
